@@ -275,7 +275,7 @@ def baskets_by_type(spark, d):
         "prefs_e cands_e",
         f""", {MODEL_E},
 given AS (SELECT DISTINCT user_id || ':' || label AS request_id, label, item_id FROM pref_events),
-scored AS (SELECT g.request_id, g.label, t.similar_item_id AS item_id, round(avg(t.similarity), 6) AS value
+scored AS (SELECT g.request_id, g.label, t.similar_item_id AS item_id, round(avg(t.similarity), 10) AS value
   FROM given g JOIN top t USING (item_id)
   JOIN cands_e c ON c.label = g.label AND c.item_id = t.similar_item_id
   WHERE NOT EXISTS (SELECT 1 FROM given o WHERE o.request_id = g.request_id AND o.item_id = t.similar_item_id)
@@ -285,7 +285,7 @@ scored AS (SELECT g.request_id, g.label, t.similar_item_id AS item_id, round(avg
 )
 def recommend_items_for_items(spark, d):
     return I.recommend_items_for_items(
-        baskets_by_type(spark, d), model_e(spark, d), V.cands_e(spark, d), 10, digits=DIGITS
+        baskets_by_type(spark, d), model_e(spark, d), V.cands_e(spark, d), 10, digits=10
     )
 
 
@@ -296,14 +296,13 @@ def recommend_items_for_items(spark, d):
     "unseen_items",
     with_views(
         "prefs_e cands_e",
-        """SELECT c.label, u.user_id, c.item_id FROM (SELECT DISTINCT user_id, label FROM pref_events
-WHERE preference > 100) u JOIN cands_e c ON c.label = u.label
+        """SELECT c.label, u.user_id, c.item_id FROM (SELECT DISTINCT user_id, label FROM pref_events) u JOIN cands_e c ON c.label = u.label
 WHERE c.item_id IN (SELECT item_id FROM prefs_e) AND NOT EXISTS
 (SELECT 1 FROM prefs_e p WHERE p.user_id = u.user_id AND p.item_id = c.item_id)""",
     ),
 )
 def unseen_items(spark, d):
-    users = V.pref_events(spark, d).where("preference > 100").select("user_id", "label")
+    users = V.pref_events(spark, d).select("user_id", "label")
     return R.unseen_items(users, V.prefs_e(spark, d), V.cands_e(spark, d))
 
 

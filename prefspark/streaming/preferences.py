@@ -88,11 +88,14 @@ def stream_preferences(
 
 
 def read_preference_state(spark: SparkSession, log_path: str, mode: str = "last") -> DataFrame:
-    """(user_id, item_id, preference) after all batches written so far."""
+    """(user_id, item_id, preference) after all batches written so far.
+
+    The source's own sequence decides which write is last; batches break its ties.
+    """
     log = spark.read.parquet(log_path)
     if mode == "max":
         return upsert_max(log)
-    written = log.withColumn("written", F.struct("batch_id", "ingest_seq"))
+    written = log.withColumn("written", F.struct("ingest_seq", "batch_id"))
     return upsert_last(written, order="written").drop("written")
 
 
