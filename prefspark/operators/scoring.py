@@ -100,6 +100,7 @@ def top_unseen(
     item_factors: DataFrame,
     cands: DataFrame,
     how_many: int = 10,
+    asked: DataFrame | None = None,
     rescore: Rescore | None = None,
     digits: int | None = None,
     missing_as_zero: bool = False,
@@ -108,11 +109,13 @@ def top_unseen(
 ) -> DataFrame:
     """Best `how_many` candidates of the request's label by vector product, seen ones left out.
 
-    requests: (request_id, label, features); seen: (request_id, item_id). Items without a vector are
+    requests: (request_id, label, features); seen: (request_id, item_id). `asked` is the requests'
+    (request_id, label) where that is cheaper to get than the vectors; it may hold more. Items without a vector are
     no candidates or, with `missing_as_zero`, score 0. With `digits` scores are rounded before they are ranked, so that the order does
     not hang on the last bits of a sum. A `rescore` may change any order, so blocks then hand over
     all their scores.
     """
+    asked = requests.select("request_id", "label") if asked is None else asked
     items = item_factors.select(F.col("id").alias("item_id"), "features")
     universe = (
         cands.select("label", "item_id")
@@ -122,7 +125,7 @@ def top_unseen(
     sizes = (
         universe.groupBy("label")
         .agg(F.count("*").alias("candidates"))
-        .join(requests.groupBy("label").agg(F.count("*").alias("requests")), "label")
+        .join(asked.groupBy("label").agg(F.count("*").alias("requests")), "label")
         .select(
             "label",
             F.ceil(F.col("candidates") / block_candidates).alias("blocks"),
@@ -140,7 +143,7 @@ def top_unseen(
     marks = (
         seen.select("request_id", "item_id")
         .distinct()
-        .join(sized.select("request_id", "label", "blocks", "chunks"), "request_id")
+        .join(asked.join(sizes, "label"), "request_id")
         .select(
             "label", chunk, block, "request_id", none.cast("array<double>").alias("features"),
             F.col("item_id").alias("seen_item"),
@@ -202,7 +205,8 @@ def recommend_mf(
         .join(asked, ["user_id", "label"])
         .select(request.alias("request_id"), "item_id")
     )
-    top = top_unseen(requests, excluded, item_factors, universe, how_many, **options)
+    known = requests.select("request_id", "label")
+    top = top_unseen(requests, excluded, item_factors, universe, how_many, known, **options)
     return top.select(
         "label",
         F.substring_index("request_id", ":", 1).cast("long").alias("user_id"),
@@ -246,7 +250,7 @@ def recommend_anonymous_mf(
     )
     universe = cands.join(prefs.select("item_id").distinct(), "item_id", "left_semi")
     return top_unseen(
-        vectors.join(labels, "request_id"), item_sets, item_factors, universe, how_many, **options
+        vectors.join(labels, "request_id"), item_sets, item_factors, universe, how_many, labels, **options
     )
 
 

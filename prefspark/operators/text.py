@@ -44,21 +44,32 @@ def term_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
-    return tf.groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df): documents the term occurs in.
+
+    The condition on tf keeps that column in this branch of a plan, so that the counted terms are the
+    same exchange in all branches and Spark reuses it instead of reading the texts again.
+    """
+    return tf.where(F.col("tf") > 0).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def prune_vocabulary(df: DataFrame, sigma: float) -> DataFrame:
+    """Terms in at most sigma standard deviations' worth of documents; a negative sigma keeps all."""
+    if sigma < 0:
+        return df
+    return df.where(F.col("df") <= df.agg(F.lit(float(sigma)) * F.stddev_pop("df")).scalar())
 
 
 def prune_max_df_sigma(tf: DataFrame, sigma: float) -> DataFrame:
-    """Drop terms in more than sigma standard deviations' worth of documents; negative keeps all."""
+    """Counts without the terms that are too frequent."""
     if sigma < 0:
         return tf
-    df = document_frequencies(tf)
-    limit = df.agg(F.lit(float(sigma)) * F.stddev_pop("df")).scalar()
-    return tf.join(df.where(F.col("df") <= limit).select("term"), "term", "left_semi").select(*tf.columns)
+    kept = prune_vocabulary(document_frequencies(tf), sigma)
+    return tf.join(kept.select("term"), "term", "left_semi").select(*tf.columns)
 
 
 def tfidf(tf: DataFrame, digits: int | None = None) -> DataFrame:
     """tf * ln((N + 1) / (df + 1)) with N the number of documents that have any term."""
-    documents = tf.agg(F.countDistinct("item_id")).scalar()
+    documents = tf.where(F.col("tf") > 0).agg(F.countDistinct("item_id")).scalar()
     idf = document_frequencies(tf).select(
         "term", F.ln((documents + 1) / (F.col("df") + 1)).alias("idf")
     )

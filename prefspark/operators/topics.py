@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from prefspark.functions.text import words
 from prefspark.operators.scoring import top_unseen
-from prefspark.operators.text import document_frequencies, prune_max_df_sigma, term_frequencies
+from prefspark.operators.text import document_frequencies, prune_vocabulary, term_frequencies
+from prefspark.plans.session import materialize
 
 
 @dataclass
@@ -45,8 +46,8 @@ def train_topics(
     The dictionary comes to the driver because the model itself is a matrix of k rows by dictionary
     size that the solver keeps there; texts never do.
     """
-    tf = term_frequencies(docs, text)
-    df = document_frequencies(prune_max_df_sigma(tf, max_df_sigma))
+    df = materialize(document_frequencies(term_frequencies(docs, text)), "document-frequencies")
+    df = prune_vocabulary(df, max_df_sigma)
     vocabulary = [r.term for r in df.orderBy(F.col("df").desc(), "term").select("term").toLocalIterator()]
     if not vocabulary:
         raise ValueError("no term is left to train on")
@@ -67,7 +68,10 @@ def train_topics(
         topicConcentration=eta,
         subsamplingRate=subsampling if subsampling is not None else 0.05,
     )
-    model.lda = lda.fit(model.vectors(docs, text))
+    # Every iteration reads the vectors: they are written once, spread evenly.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vectors = materialize(model.vectors(docs, text).repartition(parts, "item_id"), "term-vectors")
+    model.lda = lda.fit(vectors)
     return model
 
 

@@ -45,7 +45,7 @@ def grid_search_als(spark, d):
 
 
 def _docs(spark, d):
-    docs = V.table(spark, d, "documents")
+    docs = V.documents(spark, d)
     return docs.select(F.col("doc_id").alias("item_id"), "lang", clean(F.col("text")).alias("text"))
 
 

@@ -29,17 +29,17 @@ def _clean(text: str) -> str:
 
 @query("strip_bad_chars", f"SELECT doc_id, {_strip('text')} AS text FROM documents")
 def strip(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", strip_bad_chars(F.col("text")).alias("text"))
+    return V.documents(spark, d).select("doc_id", strip_bad_chars(F.col("text")).alias("text"))
 
 
 @query("remove_stopwords", f"SELECT doc_id, {_unstop('text')} AS text FROM documents")
 def unstop(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", remove_stopwords(F.col("text")).alias("text"))
+    return V.documents(spark, d).select("doc_id", remove_stopwords(F.col("text")).alias("text"))
 
 
 @query("min_words", f"SELECT doc_id FROM documents WHERE len({_words('text')}) >= 50")
 def min_words(spark, d):
-    return X.min_words(V.table(spark, d, "documents"), 50).select("doc_id")
+    return X.min_words(V.documents(spark, d), 50).select("doc_id")
 
 
 @query(
@@ -62,7 +62,7 @@ _TF = f"""tf AS (SELECT item_id, term, count(*) AS tf FROM
 
 
 def cleaned(spark, d):
-    docs = V.table(spark, d, "documents")
+    docs = V.documents(spark, d)
     return docs.select(F.col("doc_id").alias("item_id"), clean(F.col("text")).alias("text"))
 
 

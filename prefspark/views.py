@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from prefspark.operators.preferences import upsert_max
+from prefspark.plans.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +60,13 @@ def cands_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pref_events(spark, sf_dir).select("label", "item_id").distinct()
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long texts: cleaning and counting them is heavy per row."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("item_id"),
         F.col("source").alias("label"),
         "text",

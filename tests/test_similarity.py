@@ -184,3 +184,36 @@ def test_items_for_items(spark):
         (7, 1, 3, 0.4),
         (7, 2, 4, 0.35),
     ]
+
+
+@pytest.mark.parametrize("heavy_history,list_length", [(4096, 256), (3, 2), (1, 1)])
+def test_recommendations_by_brute_force(spark, monkeypatch, heavy_history, list_length):
+    """Splitting histories and neighbour lists changes nothing."""
+    monkeypatch.setattr(I, "LIST_LENGTH", list_length)
+    data = sample(8, users=12, items=20)
+    prefs = spark.createDataFrame(data, PREFS)
+    sims = [(r.item_id, r.similar_item_id, r.similarity) for r in S.similar_items_model(prefs, k=6).collect()]
+    table = spark.createDataFrame(sims, "item_id long, similar_item_id long, similarity double")
+    history = {}
+    for u, i, p in data:
+        history.setdefault(u, {})[i] = p
+    near = {}
+    for i, j, s in sims:
+        near.setdefault(i, {})[j] = s
+    votes = {}
+    for u, mine in history.items():
+        for i, p in mine.items():
+            for j, s in near.get(i, {}).items():
+                if j not in mine:
+                    votes.setdefault((u, j), []).append((s, p))
+    got = I.recommend_itembased(None, prefs, table, how_many=100, heavy_history=heavy_history)
+    assert {(r.user_id, r.item_id): round(r.value, 9) for r in got.collect()} == {
+        k: round(sum(s * p for s, p in v) / sum(s for s, _ in v), 9) for k, v in votes.items()
+    }
+    reached = I.similar_candidates(None, prefs, table, heavy_history)
+    assert sorted(map(tuple, reached.collect())) == sorted(votes)
+    sets = prefs.select(F.col("user_id").alias("request_id"), "item_id")
+    means = I.recommend_items_for_items(sets, table, how_many=100, heavy_history=heavy_history)
+    assert {(r.request_id, r.item_id): round(r.value, 9) for r in means.collect()} == {
+        k: round(sum(s for s, _ in v) / len(v), 9) for k, v in votes.items()
+    }
