@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # Fixed value: ids live in 0..2147483647 after ingest.
@@ -96,3 +98,8 @@ def similarity(measure: str) -> Column:
     if measure not in MEASURES:
         raise ValueError(f"unknown similarity measure {measure!r}; known: {sorted(MEASURES)}")
     return MEASURES[measure]()
+
+
+def uses(measure: str, name: str) -> bool:
+    """Whether the measure reads that figure."""
+    return re.search(rf"\b{name}\b", str(similarity(measure))) is not None

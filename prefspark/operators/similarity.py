@@ -17,8 +17,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from prefspark.functions.columns import similarity
+from prefspark.functions.columns import similarity, uses
 from prefspark.operators.topk import top_similar_items
+from prefspark.plans.session import materialize
 
 SUMS = ["both", "sxy", "sx", "sy", "sxx", "syy"]
 
@@ -26,75 +27,101 @@ HEAVY_BASKET = 512
 BLOCK_ITEMS = 1024
 SLICE_USERS = 256
 
+# Rows of item figures, about 50 bytes each, that may be sent to every executor.
+SMALL_CATALOGUE = 500_000
+
 
 def _extra_keys(prefs: DataFrame) -> list[str]:
     return ["label"] if "label" in prefs.columns else []
 
 
-def _baskets(prefs: DataFrame) -> DataFrame:
+def _baskets(prefs: DataFrame, carry: list[str]) -> DataFrame:
     return prefs.select(
-        *_extra_keys(prefs), "user_id", "item_id", F.col("preference").cast("double").alias("x")
+        *_extra_keys(prefs), "user_id", "item_id", F.col("preference").cast("double").alias("x"), *carry
     )
 
 
-def _light_pairs(light: DataFrame, extra: list[str]) -> DataFrame:
-    left = light.select(*extra, "user_id", F.col("item_id").alias("i"), "x")
-    right = light.select(*extra, "user_id", F.col("item_id").alias("j"), F.col("x").alias("y"))
+def _light_pairs(light: DataFrame, extra: list[str], carry: list[str]) -> DataFrame:
+    """One row per user and pair; the caller sums them inside the task."""
+    left = light.select(
+        *extra, "user_id", F.col("item_id").alias("i"), "x", *(F.col(c).alias(f"{c}_i") for c in carry)
+    )
+    right = light.select(
+        *extra,
+        "user_id",
+        F.col("item_id").alias("j"),
+        F.col("x").alias("y"),
+        *(F.col(c).alias(f"{c}_j") for c in carry),
+    )
     x, y = F.col("x"), F.col("y")
     return (
         left.join(right, [*extra, "user_id"])
         .where(F.col("i") < F.col("j"))
-        .groupBy(*extra, "i", "j")
-        .agg(
-            F.count("*").alias("both"),
-            F.sum(x * y).alias("sxy"),
-            F.sum(x).alias("sx"),
-            F.sum(y).alias("sy"),
-            F.sum(x * x).alias("sxx"),
-            F.sum(y * y).alias("syy"),
+        .select(
+            *extra,
+            "i",
+            "j",
+            F.lit(1).cast("long").alias("both"),
+            (x * y).alias("sxy"),
+            x.alias("sx"),
+            y.alias("sy"),
+            (x * x).alias("sxx"),
+            (y * y).alias("syy"),
+            *_carried(carry),
         )
     )
 
 
-def _block_product(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Pair sums of one cell: users of a slice, items of block b1 against items of block b2."""
-    columns = ["label", "i", "j", *SUMS]
-    if left.empty or right.empty:
-        return pd.DataFrame(columns=columns)
-    user_ids = pd.unique(pd.concat([left["user_id"], right["user_id"]]))
-    users = pd.Index(user_ids)
-
-    def dense(rows: pd.DataFrame):
-        items = pd.Index(np.sort(rows["item_id"].unique()))
-        values = np.zeros((len(users), len(items)))
-        seen = np.zeros((len(users), len(items)))
-        at = (users.get_indexer(rows["user_id"]), items.get_indexer(rows["item_id"]))
-        values[at] = rows["x"].to_numpy()
-        seen[at] = 1.0
-        return items.to_numpy(), values, seen
-
-    i_ids, x, has_i = dense(left)
-    j_ids, y, has_j = dense(right)
-    both = has_i.T @ has_j
-    hit = (both > 0) & (i_ids[:, None] < j_ids[None, :])
-    rows, cols = np.nonzero(hit)
-    sums = {
-        "both": both,
-        "sxy": x.T @ y,
-        "sx": x.T @ has_j,
-        "sy": has_i.T @ y,
-        "sxx": (x * x).T @ has_j,
-        "syy": has_i.T @ (y * y),
-    }
-    out = pd.DataFrame({"label": keys[0], "i": i_ids[rows], "j": j_ids[cols]})
-    for name, matrix in sums.items():
-        out[name] = matrix[rows, cols]
-    out["both"] = out["both"].astype("int64")
-    return out[columns]
-
-
-def _heavy_pairs(heavy: DataFrame, extra: list[str], block_items: int) -> DataFrame:
+def _carried(carry: list[str]) -> list[str]:
+    return [f"{c}_{side}" for c in carry for side in "ij"]
+
+
+def _block_product(carry: list[str]):
+    columns = ["label", "i", "j", *SUMS, *_carried(carry)]
+
+    def product(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Pair sums of one cell: users of a slice, items of block b1 against items of block b2."""
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=columns)
+        users = pd.Index(pd.unique(pd.concat([left["user_id"], right["user_id"]])))
+
+        def dense(rows: pd.DataFrame):
+            items = rows.drop_duplicates("item_id").set_index("item_id")
+            values = np.zeros((len(users), len(items)))
+            seen = np.zeros((len(users), len(items)))
+            at = (users.get_indexer(rows["user_id"]), items.index.get_indexer(rows["item_id"]))
+            values[at] = rows["x"].to_numpy()
+            seen[at] = 1.0
+            return items, values, seen
+
+        i_items, x, has_i = dense(left)
+        j_items, y, has_j = dense(right)
+        i_ids, j_ids = i_items.index.to_numpy(), j_items.index.to_numpy()
+        both = has_i.T @ has_j
+        rows, cols = np.nonzero((both > 0) & (i_ids[:, None] < j_ids[None, :]))
+        sums = {
+            "both": both,
+            "sxy": x.T @ y,
+            "sx": x.T @ has_j,
+            "sy": has_i.T @ y,
+            "sxx": (x * x).T @ has_j,
+            "syy": has_i.T @ (y * y),
+        }
+        out = pd.DataFrame({"label": keys[0], "i": i_ids[rows], "j": j_ids[cols]})
+        for name, matrix in sums.items():
+            out[name] = matrix[rows, cols]
+        out["both"] = out["both"].astype("int64")
+        for c in carry:
+            out[f"{c}_i"] = i_items[c].to_numpy()[rows]
+            out[f"{c}_j"] = j_items[c].to_numpy()[cols]
+        return out[columns]
+
+    return product
+
+
+def _heavy_pairs(heavy: DataFrame, extra: list[str], carry: list[str], block_items: int) -> DataFrame:
     """Block products over a grid of user slices and item blocks sized from the data."""
+
     def parts(column: str, size: int):
         return F.greatest(F.lit(1), F.ceil(F.approx_count_distinct(column) / size))
 
@@ -104,42 +131,52 @@ def _heavy_pairs(heavy: DataFrame, extra: list[str], block_items: int) -> DataFr
         ).alias("grid")
     ).scalar()
     label = F.col("label") if extra else F.lit(None).cast("string")
+    rating = ["user_id", "item_id", "x", *carry]
     cells = heavy.withColumn("grid", grid).select(
         label.alias("label"),
         F.pmod(F.xxhash64("user_id", F.lit("slice")), F.col("grid.slices")).alias("slice"),
         F.pmod(F.xxhash64("item_id", F.lit("block")), F.col("grid.blocks")).alias("block"),
         F.col("grid.blocks").alias("blocks"),
-        "user_id",
-        "item_id",
-        "x",
+        *rating,
     )
     # Block b meets every block: once on the left, once on the right. The pair i < j is kept
-    # only in the cell whose left block holds i.
+    # only in the cell whose left block holds i. Both sides come from the same rows, so each gets
+    # columns of its own.
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    # Own names on either side: both come from the same rows.
-    same = [F.col(c).alias(c) for c in ("label", "slice", "user_id", "item_id", "x")]
-    left = cells.select(*same, F.col("block").alias("b1"), every.alias("b2"))
-    same = [F.col(c).alias(c) for c in ("label", "slice", "user_id", "item_id", "x")]
-    right = cells.select(*same, every.alias("b1"), F.col("block").alias("b2"))
+
+    def side(own: str, other: str) -> DataFrame:
+        same = [F.col(c).alias(c) for c in ("label", "slice", *rating)]
+        return cells.select(*same, F.col("block").alias(own), every.alias(other))
+
     cell = ["label", "slice", "b1", "b2"]
+    types = dict(heavy.dtypes)
+    carried = "".join(f", {c}_{n} {types[c]}" for c in carry for n in "ij")
     products = (
-        left.groupBy(*cell)
-        .cogroup(right.groupBy(*cell))
+        side("b1", "b2")
+        .groupBy(*cell)
+        .cogroup(side("b2", "b1").groupBy(*cell))
         .applyInPandas(
-            _block_product,
+            _block_product(carry),
             "label string, i long, j long, both long, "
-            "sxy double, sx double, sy double, sxx double, syy double",
+            f"sxy double, sx double, sy double, sxx double, syy double{carried}",
         )
     )
-    return products.select(*extra, "i", "j", *SUMS)
+    return products.select(*extra, "i", "j", *SUMS, *_carried(carry))
 
 
 def pair_statistics(
-    prefs: DataFrame, heavy_basket: int = HEAVY_BASKET, block_items: int = BLOCK_ITEMS
+    prefs: DataFrame,
+    heavy_basket: int = HEAVY_BASKET,
+    block_items: int = BLOCK_ITEMS,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """For every item pair i < j rated by at least one common user: their count and rating sums."""
-    extra = _extra_keys(prefs)
-    baskets = _baskets(prefs)
+    """For every item pair i < j rated by at least one common user: their count and rating sums.
+
+    `carry` names columns of `prefs` that depend on the item alone; they come out as <name>_i, <name>_j
+    without a join on the pairs.
+    """
+    extra, carry = _extra_keys(prefs), carry or []
+    baskets = _baskets(prefs, carry)
     owner = [*extra, "user_id"]
     heavy_owners = (
         baskets.groupBy(*owner)
@@ -149,8 +186,10 @@ def pair_statistics(
     )
     light = baskets.join(heavy_owners, owner, "left_anti")
     heavy = baskets.join(heavy_owners, owner, "left_semi")
-    parts = _light_pairs(light, extra).unionByName(_heavy_pairs(heavy, extra, block_items))
-    return parts.groupBy(*extra, "i", "j").agg(*(F.sum(c).alias(c) for c in SUMS))
+    parts = _light_pairs(light, extra, carry).unionByName(_heavy_pairs(heavy, extra, carry, block_items))
+    return parts.groupBy(*extra, "i", "j").agg(
+        *(F.sum(c).alias(c) for c in SUMS), *(F.max(c).alias(c) for c in _carried(carry))
+    )
 
 
 def pair_cooccurrence(
@@ -163,6 +202,16 @@ def pair_cooccurrence(
     )
 
 
+def _item_figures(prefs: DataFrame, extra: list[str]) -> DataFrame:
+    """Per (label, item): raters, sum of squared ratings, and the users of the label."""
+    x = F.col("preference").cast("double")
+    items = prefs.groupBy(*extra, "item_id").agg(F.count("*").alias("n"), F.sum(x * x).alias("norm"))
+    if not extra:
+        return items.withColumn("n_users", prefs.agg(F.countDistinct("user_id")).scalar())
+    users = prefs.groupBy(*extra).agg(F.countDistinct("user_id").alias("n_users"))
+    return items.join(users, extra)
+
+
 def item_similarity(
     prefs: DataFrame,
     measure: str = "loglikelihood",
@@ -172,24 +221,24 @@ def item_similarity(
 ) -> DataFrame:
     """Similarity of every co-rated pair, item_id < similar_item_id; undefined ones are left out."""
     extra = _extra_keys(prefs)
-    baskets = _baskets(prefs)
-    items = baskets.groupBy(*extra, "item_id").agg(
-        F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("norm")
-    )
-    pairs = pair_statistics(prefs, heavy_basket, block_items)
-    first = items.select(
-        *extra, F.col("item_id").alias("i"), F.col("n").alias("n_i"), F.col("norm").alias("norm_i")
-    )
-    second = items.select(
-        *extra, F.col("item_id").alias("j"), F.col("n").alias("n_j"), F.col("norm").alias("norm_j")
-    )
-    stats = pairs.join(first, [*extra, "i"]).join(second, [*extra, "j"])
-    if measure == "loglikelihood" or "n_users" in str(similarity(measure)):
-        if extra:
-            users = baskets.groupBy(*extra).agg(F.countDistinct("user_id").alias("n_users"))
-            stats = stats.join(users, extra)
+    carry = [c for c in ("n", "norm") if uses(measure, f"{c}_i")] + ["n_users"] * uses(measure, "n_users")
+    if not carry:
+        stats = pair_statistics(prefs, heavy_basket, block_items)
+    else:
+        items = materialize(_item_figures(prefs, extra).select(*extra, "item_id", *carry), "item-figures")
+        if items.count() <= SMALL_CATALOGUE:
+            # The catalogue fits every executor: pairs look their items up where they are.
+            stats = pair_statistics(prefs, heavy_basket, block_items)
+            for side in "ij":
+                named = {"item_id": side, **{c: f"{c}_{side}" for c in carry}}
+                stats = stats.join(F.broadcast(items.withColumnsRenamed(named)), [*extra, side])
         else:
-            stats = stats.withColumn("n_users", baskets.agg(F.countDistinct("user_id")).scalar())
+            # The figures ride on the ratings: those are joined with the catalogue, and the far
+            # longer table of pairs never is.
+            rated = prefs.join(items, [*extra, "item_id"])
+            stats = pair_statistics(rated, heavy_basket, block_items, carry)
+    if "n_users" in carry:
+        stats = stats.withColumnRenamed("n_users_i", "n_users")
     value = similarity(measure)
     if digits is not None:
         value = F.round(value, digits)

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import IDF, CountVectorizerModel
+from pyspark.ml.feature import IDF, CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from prefspark.functions.text import words
 from prefspark.operators.scoring import top_unseen
-from prefspark.operators.text import document_frequencies, prune_vocabulary, term_frequencies
+from prefspark.operators.text import document_frequencies, term_frequencies
 from prefspark.plans.session import materialize
 
 
@@ -41,17 +42,22 @@ def train_topics(
     seed: int = 42,
     text: str = "text",
 ) -> TopicModel:
-    """Fit topics on (item_id, text).
+    """Fit topics on (item_id, text). `max_df_sigma` prunes the dictionary as `prune_vocabulary` does.
 
-    The dictionary comes to the driver because the model itself is a matrix of k rows by dictionary
-    size that the solver keeps there; texts never do.
+    The dictionary and the topics, k numbers per term, are what the solver keeps on the driver; texts
+    never go there.
     """
-    df = materialize(document_frequencies(term_frequencies(docs, text)), "document-frequencies")
-    df = prune_vocabulary(df, max_df_sigma)
-    vocabulary = [r.term for r in df.orderBy(F.col("df").desc(), "term").select("term").toLocalIterator()]
-    if not vocabulary:
-        raise ValueError("no term is left to train on")
-    counts = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="features")
+    limit = {}
+    if max_df_sigma >= 0:
+        df = document_frequencies(term_frequencies(docs, text))
+        sigma = df.agg(F.stddev_pop("df")).first()[0]
+        if sigma is None or max_df_sigma * sigma < 1:
+            raise ValueError("no term is left to train on")
+        limit["maxDF"] = math.floor(max_df_sigma * sigma)
+    counter = CountVectorizer(
+        inputCol="words", outputCol="features", minDF=1, vocabSize=2**31 - 1, **limit
+    )
+    counts = counter.fit(docs.select(words(F.col(text)).alias("words")))
     model = TopicModel(counts, None, None)
     if weighting == "tfidf":
         model.idf = IDF(inputCol="counts", outputCol="features").fit(
@@ -85,21 +91,14 @@ def document_topics(model: TopicModel, docs: DataFrame, text: str = "text") -> D
 def topic_terms(model: TopicModel, n: int = 100) -> DataFrame:
     """(topic, rank, term, weight): the n heaviest terms of every topic."""
     described = model.lda.describeTopics(n)
-    names = described.sparkSession.createDataFrame(
-        list(enumerate(model.counts.vocabulary)), "idx int, term string"
-    )
-    pairs = F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "t")
-    return (
-        described.select("topic", pairs)
-        .select(
-            "topic",
-            (F.col("pos") + 1).alias("rank"),
-            F.col("t.termIndices").alias("idx"),
-            F.col("t.termWeights").alias("weight"),
-        )
-        .join(names, "idx")
-        .select("topic", "rank", "term", "weight")
-    )
+    vocabulary = model.counts.vocabulary
+    # k * n rows, whatever the texts.
+    rows = [
+        (r.topic, rank, vocabulary[idx], weight)
+        for r in described.collect()
+        for rank, (idx, weight) in enumerate(zip(r.termIndices, r.termWeights), 1)
+    ]
+    return described.sparkSession.createDataFrame(rows, "topic int, rank int, term string, weight double")
 
 
 def infer_topics(

@@ -9,6 +9,7 @@ from prefspark.operators.topics import recommend_topics
 from prefspark.operators.topk import top_n
 from prefspark.operators.tuning import absolute_error
 from prefspark.plans.catalog import query, with_views
+from prefspark.plans.session import materialize
 from prefspark.sources.sinks import recommendations_json
 
 DIGITS = 6
@@ -82,7 +83,8 @@ MODEL_O = pairs_sql("label_prefs", "label") + ",\n" + loglikelihood_sql("label")
 
 
 def label_prefs(spark, d):
-    return P.preferences_for_label(V.prefs_o(spark, d), V.cands_o(spark, d))
+    """The training view of all labels, written once: training reads it several times."""
+    return materialize(P.preferences_for_label(V.prefs_o(spark, d), V.cands_o(spark, d)), "training-view")
 
 
 def model_e(spark, d):

@@ -77,10 +77,12 @@ def test_log_likelihood_by_hand(spark):
     assert sims[0].similarity == pytest.approx(1 - 1 / (1 + entropy_llr(2, 1, 0, 1)))
 
 
-def test_log_likelihood_in_range(spark):
+@pytest.mark.parametrize("small,heavy_basket", [(500_000, 512), (0, 512), (0, 5)])
+def test_log_likelihood_in_range(spark, monkeypatch, small, heavy_basket):
+    monkeypatch.setattr(S, "SMALL_CATALOGUE", small)
     data = sample(3)
     users = len({u for u, _, _ in data})
-    got = {(r.item_id, r.similar_item_id): r.similarity for r in S.item_similarity(spark.createDataFrame(data, PREFS)).collect()}
+    got = {(r.item_id, r.similar_item_id): r.similarity for r in S.item_similarity(spark.createDataFrame(data, PREFS), heavy_basket=heavy_basket, block_items=9).collect()}
     for i, j, x, _, ri, rj in brute(data):
         k11 = len(x)
         llr = max(0.0, entropy_llr(k11, len(ri) - k11, len(rj) - k11, users - len(ri) - len(rj) + k11))
@@ -88,7 +90,10 @@ def test_log_likelihood_in_range(spark):
         assert 0 <= got[i, j] < 1
 
 
-def test_other_measures(spark):
+@pytest.mark.parametrize("small", [500_000, 0])
+def test_other_measures(spark, monkeypatch, small):
+    """With the catalogue sent to the executors and with its figures on the ratings."""
+    monkeypatch.setattr(S, "SMALL_CATALOGUE", small)
     data = sample(4)
     df = spark.createDataFrame(data, PREFS)
 
