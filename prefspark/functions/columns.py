@@ -20,6 +20,12 @@ def dot(u: Column, v: Column) -> Column:
     return F.aggregate(F.zip_with(u, v, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """`c` to so many decimals, in plain double arithmetic: scores are rounded before they are ranked,
+    so this runs once or more per scored row."""
+    return F.rint(c * 10.0**digits) / 10.0**digits
+
+
 def l1_norm(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.abs(x))
 
@@ -89,6 +95,11 @@ MEASURES = {
 }
 
 
+# Measures that have a value for every co-rated pair; results of others are filtered, which evaluates
+# the formula again.
+ALWAYS_DEFINED = {"loglikelihood", "tanimoto", "cityblock", "euclidean"}
+
+
 def register_measure(name: str, expression) -> None:
     """Add a similarity measure: `expression()` returns a Column over the names above."""
     MEASURES[name] = expression

@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from prefspark.functions.columns import rounded
 from prefspark.operators.preferences import heavy_users
 from prefspark.plans.session import materialize
 
@@ -216,7 +217,7 @@ def cluster_stats(centroids: DataFrame, digits: int | None = None) -> DataFrame:
     out = volumes.withColumn("mean_volume", volumes.agg(F.avg("volume")).scalar())
     if digits is not None:
         out = out.withColumns(
-            {c: F.round(c, digits) for c in ("weight", "l2_norm", "max_weight", "norm_weight", "volume", "mean_volume")}
+            {c: rounded(F.col(c), digits) for c in ("weight", "l2_norm", "max_weight", "norm_weight", "volume", "mean_volume")}
         )
     return out
 
@@ -241,11 +242,11 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame, digits: int = 9)
         .select("item_id", "centroid_id", (F.col("length") + F.col("norm") + F.col("gain")).alias("distance"))
     )
     order = F.struct("norm", "centroid_id")
-    least = norms.select(F.round("norm", digits).alias("norm"), "centroid_id").agg(F.min(order)).scalar()
+    least = norms.select(rounded(F.col("norm"), digits).alias("norm"), "centroid_id").agg(F.min(order)).scalar()
     others = lengths.select("item_id", least.alias("l"), "length").select(
         "item_id", "l.centroid_id", (F.col("length") + F.col("l.norm")).alias("distance")
     )
-    distance = F.round("distance", digits).alias("distance")
+    distance = rounded(F.col("distance"), digits).alias("distance")
     return (
         shared.unionByName(others.where(F.col("centroid_id").isNotNull()))
         .select("item_id", F.struct(distance, "centroid_id").alias("n"))
@@ -264,7 +265,7 @@ def recommend_cluster_weight(
     weights = cluster_stats(centroids).select("centroid_id", "norm_weight")
     value = F.col("norm_weight")
     if digits is not None:
-        value = F.round(value, digits)
+        value = rounded(value, digits)
     return (
         items.join(nearest_centroid(known, centroids), "item_id")
         .join(weights, "centroid_id")

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from prefspark.functions.columns import similarity, uses
+from prefspark.functions.columns import ALWAYS_DEFINED, rounded, similarity, uses
 from prefspark.operators.topk import top_similar_items
 from prefspark.plans.session import materialize
 
@@ -239,15 +239,17 @@ def item_similarity(
             stats = pair_statistics(rated, heavy_basket, block_items, carry)
     if "n_users" in carry:
         stats = stats.withColumnRenamed("n_users_i", "n_users")
-    value = similarity(measure)
-    if digits is not None:
-        value = F.round(value, digits)
-    return stats.select(
+    sims = stats.select(
         *extra,
         F.col("i").alias("item_id"),
         F.col("j").alias("similar_item_id"),
-        value.alias("similarity"),
-    ).where(F.col("similarity").isNotNull() & ~F.isnan("similarity"))
+        similarity(measure).alias("similarity"),
+    )
+    if measure not in ALWAYS_DEFINED:
+        sims = sims.where(F.col("similarity").isNotNull() & ~F.isnan("similarity"))
+    if digits is not None:
+        sims = sims.withColumn("similarity", rounded(F.col("similarity"), digits))
+    return sims
 
 
 def both_directions(sims: DataFrame) -> DataFrame:

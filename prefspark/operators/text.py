@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
+from prefspark.functions.columns import rounded
 from prefspark.functions.text import DEFAULT_STOP_WORDS, clean, has_min_words, words
 
 
@@ -75,7 +76,7 @@ def tfidf(tf: DataFrame, digits: int | None = None) -> DataFrame:
     )
     weight = F.col("tf") * F.col("idf")
     if digits is not None:
-        weight = F.round(weight, digits)
+        weight = rounded(weight, digits)
     return tf.join(idf, "term").select("item_id", "term", weight.alias("weight"))
 
 
