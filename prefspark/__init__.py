@@ -1 +1,8 @@
-"""Recommendations and article topics over whole tables, as Spark DataFrame operators."""
+"""Recommendation, topic and clustering models as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the job, so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
