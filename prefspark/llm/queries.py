@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prefspark.llm import chat, decontaminate, line_dedup, sharding, warc
+from prefspark.llm import chat, decontaminate, line_dedup, quality, sharding, warc
 from prefspark.llm.common import read
 from prefspark.plans.session import tune
 
@@ -56,6 +56,13 @@ def op3(spark, sf_dir):
     return chat.digest_conversations(chat.format_turns(turns))
 
 
+@query("op4_isolation_forest")
+def op4(spark, sf_dir):
+    """Rule statistics and verdicts of all documents."""
+    found = quality.quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", *quality.COUNTS[:5], "base_failed", "kept", "score")
+
+
 OP6 = """
 WITH payloads AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest FROM pages),
