@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prefspark.llm import chat, decontaminate, line_dedup, packing, quality, sharding, warc
+from prefspark.llm import chat, decontaminate, html_extract, line_dedup, packing, quality, sharding, warc
 from prefspark.llm.common import read
 from prefspark.plans.session import tune
 
@@ -30,6 +30,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_url_differencing")
+def op1(spark, sf_dir):
+    """Main text of all pages."""
+    return html_extract.extract_pages(read(spark, sf_dir, "pages"))
+
+
 @query("op2_tournament_packing")
 def op2(spark, sf_dir):
     """All documents as pieces of sequences of 2048 tokens."""
