@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prefspark.llm import chat, decontaminate, html_extract, line_dedup, packing, quality, sharding, warc
+from prefspark.llm import chat, decontaminate, hmm, html_extract, line_dedup, packing, quality, sharding, warc
 from prefspark.llm.common import read
 from prefspark.plans.session import tune
 
@@ -75,6 +75,12 @@ def op4(spark, sf_dir):
     return found.select("doc_id", *quality.COUNTS[:5], "base_failed", "kept", "score")
 
 
+@query("op5_hidden_markov")
+def op5(spark, sf_dir):
+    """Log10 probabilities of all documents."""
+    return hmm.score_documents(read(spark, sf_dir, "documents"))
+
+
 OP6 = """
 WITH payloads AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest FROM pages),
