@@ -6,6 +6,7 @@ import sys
 import types
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -32,6 +33,28 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def bitmap_test(hashes: DataFrame, column: str, bits: int):
+    """A test on hash columns that every hash of `column` passes, and few others as long as the bitmap is not full.
+
+    The bitmap of `bits` bits (a power of two) is a literal of the plan; its size is fixed whatever the table
+    holds. A full bitmap lets everything pass: it saves work and decides nothing.
+    """
+    slot = F.col(column).bitwiseAND(bits - 1)
+    words = np.zeros(bits // 64, np.int64)
+    set_bits = hashes.select(
+        F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 AS INT))").alias("bit")
+    )
+    for row in set_bits.groupBy("word").agg(F.bit_or("bit").alias("held")).collect():
+        words[row.word] = row.held
+    bitmap = F.lit(words)
+
+    def test(h: Column) -> Column:
+        held = F.get(bitmap, F.shiftright(h.bitwiseAND(bits - 1), 6).cast("int"))
+        return F.getbit(held, h.bitwiseAND(63).cast("int")) == 1
+
+    return test
+
+
 def process_cache(name: str, make):
     """A value kept for the life of a Python worker, which serves many tasks."""
     holder = sys.modules.setdefault("_prefspark_worker", types.ModuleType("_prefspark_worker"))

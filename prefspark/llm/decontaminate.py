@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prefspark.llm.common import ascii_lower, fresh
+from prefspark.llm.common import ascii_lower, bitmap_test, fresh
 from prefspark.plans.session import materialize
 
 #: Everything that parts words: ASCII other than digits and letters (A-Z are lower-cased before).
@@ -50,24 +49,6 @@ def _with_minima(rows: DataFrame, grams: str, width: int, name: str) -> DataFram
     return rows.withColumn(name, _head(F.col(current), F.size(grams) - (width - 1))).drop(*made)
 
 
-def _bitmap(hashes: DataFrame, column: str) -> Column:
-    """2^18 bits as a literal, set where a hash falls; its size is fixed whatever the benchmark holds."""
-    slot = F.col(column).bitwiseAND(_BITS - 1)
-    words = np.zeros(_BITS // 64, np.int64)
-    for row in (
-        hashes.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 AS INT))").alias("bit"))
-        .groupBy("word")
-        .agg(F.bit_or("bit").alias("bits"))
-        .collect()
-    ):
-        words[row.word] = row.bits
-    return F.lit(words)
-
-
-def _passes(bitmap: Column):
-    return lambda h: F.getbit(F.get(bitmap, F.shiftright(h.bitwiseAND(_BITS - 1), 6).cast("int")), h.bitwiseAND(63).cast("int")) == 1
-
-
 def item_windows(items: DataFrame, window: int, id_column: str, text_column: str) -> DataFrame:
     """(window: array of words, items: sorted ids as strings): every distinct window of the benchmark."""
     return (
@@ -148,7 +129,7 @@ def contamination(
         base = _with_grams(base, "words", "n_words", g, f"g{t}")
         base = _with_minima(base, f"g{t}", w, f"m{t}")
         base = base.withColumn(
-            f"s{t}", F.array_distinct(F.filter(f"m{t}", _passes(_bitmap(kept, "fp"))))
+            f"s{t}", F.array_distinct(F.filter(f"m{t}", bitmap_test(kept, "fp", _BITS)))
         )
         left = window - g
         base = base.withColumn(

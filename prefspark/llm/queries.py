@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prefspark.llm import chat, decontaminate, hmm, html_extract, line_dedup, packing, quality, sharding, warc
+from prefspark.llm import chat, decontaminate, hmm, html_extract, line_dedup, ngram_join, packing, quality, sharding, warc
 from prefspark.llm.common import read
 from prefspark.plans.session import tune
 
@@ -200,3 +200,32 @@ def op8(spark, sf_dir):
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated"
     )
+
+
+OP10 = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+shingled AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 3), ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM worded WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingled a JOIN shingled b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id, doc_id AS seen FROM worded UNION SELECT r.doc_id, e.b FROM reached r JOIN edges e ON e.a = r.seen)
+SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, min(r.seen) AS component_id
+FROM worded w LEFT JOIN sizes s ON s.doc_id = w.doc_id JOIN reached r ON r.doc_id = w.doc_id
+GROUP BY w.doc_id, s.n
+"""
+
+
+@query("op10_divide_skip", OP10)
+def op10(spark, sf_dir):
+    """Components of all documents by shared shingles."""
+    found = ngram_join.ngram_components(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
