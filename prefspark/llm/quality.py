@@ -211,6 +211,7 @@ def fit(
     good_sample: int = 4096,
     bad_share: float = 0.05,
     tail: float = 0.001,
+    slack: float = 0.5,
     max_clean_loss: float = 0.001,
     clean_weight: float = 10.0,
     seed: int = 11,
@@ -218,7 +219,7 @@ def fit(
     """Fit the forest on labelled rows of `counts` (see `document_counts`) and calibrate its threshold.
 
     The rates' ranges are the quantiles `tail` and 1 - `tail` of all rows labelled good that pass the base
-    rules. The forest sees what lies outside them, on a sample of at most `good_sample` good rows and a
+    rules, widened by `slack` of their width to either side. The forest sees what lies outside them, on a sample of at most `good_sample` good rows and a
     share `bad_share` of bad ones (the bound on what the driver collects). The threshold is taken from the
     scores of all labelled rows that pass the base rules, as counts per bin.
 
@@ -239,6 +240,7 @@ def fit(
         zeros = np.zeros(len(rates))
         return QualityModel(zeros, zeros, None, 1.0)
     low, high = (np.array([bounds[name][i] for name in rates]) for i in (0, 1))
+    low, high = low - slack * (high - low), high + slack * (high - low)
 
     def draw(good: int, n: int) -> np.ndarray:
         rows = labelled.where(F.col("good") == good).orderBy(F.xxhash64("doc_id", F.lit(seed)), *COUNTS).limit(n).collect()
