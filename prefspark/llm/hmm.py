@@ -147,17 +147,15 @@ def _buckets(batches: Iterable[pa.RecordBatch], own: set[bytes], buckets: int) -
 
 
 class Dictionary:
-    """The most frequent words, a bounded number, with what a text adds to its sums for each of them.
+    """The end and the most frequent words, a bounded number, with what a text adds to its sums for each.
 
-    The first words, the end among them, have a class of their own; all others share the class of their
+    The first words, the end before all, have a class of their own; all others share the class of their
     ending. In a shared class a word has (c + 1) / (n + v + 1) of the class, with n tokens of v words in
     training: the share of one unseen word is left over.
     """
 
-    def __init__(self, rows: list, own_classes: int, bucket_totals: np.ndarray):
-        counts = {bytes(r.word): r.c for r in rows}
-        counts.setdefault(END, 0)
-        own = [END, *(w for w in counts if w != END)][:own_classes]
+    def __init__(self, counts: dict[bytes, int], own_classes: int, bucket_totals: np.ndarray):
+        own = list(counts)[:own_classes]
         buckets = len(bucket_totals)
         self.first, self.n_classes, self.buckets = own_classes, own_classes + buckets, buckets
         self.index = {word: i for i, word in enumerate(counts)}
@@ -304,20 +302,25 @@ def score_documents(
         .agg(F.sum("c").alias("c"), F.sum("other").alias("other")),
         "hmm-words",
     )
-    whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    is_end = F.octet_length("word") == 0
+    whole = counts.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
+        F.count_if(F.col("c") > 0).alias("v"),
+        F.coalesce(F.sum(F.when(is_end, F.col("c"))), F.lit(0)).alias("ends"),
+    ).first()
     frequent = (
-        counts.where(F.octet_length("word") <= longest_word)
+        counts.where(~is_end & (F.octet_length("word") <= longest_word))
         .orderBy((F.col("c") + F.col("other")).desc(), "word")
         .limit(dictionary_words)
         .select("word", "c")
         .collect()
     )
-    own = {END, *[w for w in (bytes(r.word) for r in frequent) if w != END][: own_classes - 1]}
+    own = {END, *(bytes(r.word) for r in frequent[: own_classes - 1])}
     totals = np.zeros((buckets, 2))
     bucketed = counts.where("c > 0").select("word", "c").mapInArrow(lambda batches: _buckets(batches, own, buckets), "bucket bigint, n bigint, v bigint")
     for row in bucketed.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         totals[row.bucket] = row.n, row.v
-    dictionary = Dictionary(frequent, own_classes, totals)
+    dictionary = Dictionary({END: whole.ends} | {bytes(r.word): r.c for r in frequent}, own_classes, totals)
     shared = spark.sparkContext.broadcast(dictionary)
     encoded = materialize(
         rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
