@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         after = materialize(small, "edges")
         # Edges only ever come nearer to the smallest nodes, so equal sums mean equal edges.
         if _mark(after) == _mark(now):
-            return after.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+            named = after.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            return named.unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         now = after
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
