@@ -19,16 +19,14 @@ def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     )
 
 
-def _draw(rows: DataFrame, weight: Column, n: int, seed: int) -> list:
-    """`n` rows, a row of twice the weight twice as likely: the first arrivals of an exponential race.
+def _draw(rows: DataFrame, weight: Column, total: int, n: int, seed: int) -> list:
+    """About `n` rows, drawn with chances in proportion to their weights, which add up to `total`.
 
-    The chance comes from a hash of the row, so that a repeated task draws the same rows.
+    A row's chance is 1 - exp(-n * weight / total); it comes from a hash of the row, so that a repeated task
+    draws the same rows, and no task returns more than its share.
     """
     u = (F.xxhash64("key", "doc_id", F.lit(seed)).bitwiseAND((1 << 53) - 1) + 1) / float(1 << 53)
-    race = -F.log(u) / weight
-    return rows.select("key", "doc_id", *(["part"] if "part" in rows.columns else []), race.alias("race")).orderBy(
-        "race", "key", "doc_id"
-    ).limit(n).collect()
+    return rows.where(-F.log(u) * total <= weight * n).select("key", "doc_id", *(["part"] if "part" in rows.columns else [])).collect()
 
 
 def _order(row) -> tuple:
@@ -72,17 +70,18 @@ def sampled_ranges(rows: DataFrame, rows_per_range: int, draws_per_range: int, s
     rows (many small rows) is divided again at quantiles of a sample of its rows. The sample grows with
     the number of ranges: `draws_per_range` keys for each `rows_per_range` rows reach the driver.
     """
-    n = rows.count()
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     parts = max(2, -(-n // rows_per_range))
-    level1 = _quantiles(_draw(rows, F.col("size"), parts * draws_per_range, seed), parts)
+    level1 = _quantiles(_draw(rows, F.col("size"), total, parts * draws_per_range, seed), parts)
     first = rows.withColumn("part", _ranged(rows, level1).cast("int"))
     counts = first.groupBy("part").count().where(F.col("count") > 2 * rows_per_range).collect()
     overfull = {r.part: -(-r["count"] // rows_per_range) for r in counts}
+    crowd = sum(r["count"] for r in counts)
     if not overfull:
         return first.withColumn("sub", F.lit(0))
     inner = first.where(F.col("part").isin(list(overfull)))
     sample: dict[int, list] = {}
-    for row in _draw(inner, F.lit(1.0), sum(overfull.values()) * draws_per_range, seed + 1):
+    for row in _draw(inner, F.lit(1), crowd, sum(overfull.values()) * draws_per_range, seed + 1):
         sample.setdefault(row.part, []).append(row)
     sub = F.lit(0)
     for part, pieces in overfull.items():
