@@ -3,32 +3,23 @@
 Preferences hold one row per (user, item), see `upsert_max` and `collapse_slots`. With a `label` column
 they hold one row per (label, user, item), and pairs are formed per label in one plan.
 
-How pairs are counted. A user's basket of d items stands for d*(d-1)/2 pairs. Baskets of at most
-`heavy_basket` items are joined with themselves: a row meets at most `heavy_basket` partners and the
-pairs are summed inside the task before any shuffle. Longer baskets (one user may own a third of the
-table) are cut into item blocks and multiplied as matrices, users of a slice at a time, so that a
-basket is spread over many tasks and a task returns one row per pair of its blocks, not one per user
-and pair. Both ways are exact and their sums are added.
+How pairs are counted. A user's basket of d items stands for d*(d-1)/2 pairs. Every basket is cut into
+chunks of about `chunk_items` items; most are one chunk. Each pair of a basket's chunks is a cell of a
+self-join: a rating is copied once per chunk of its own basket to either side and meets at most a chunk
+of partners there, so a user who owns a third of the table is spread over many tasks. Pairs are summed
+inside the task before they are shuffled. What a rating costs follows its basket, not the catalogue.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from prefspark.functions.columns import ALWAYS_DEFINED, rounded, similarity, uses
 from prefspark.operators.topk import top_similar_items
-from prefspark.plans.session import materialize
 
 SUMS = ["both", "sxy", "sx", "sy", "sxx", "syy"]
 
-HEAVY_BASKET = 512
-BLOCK_ITEMS = 1024
-SLICE_USERS = 256
-
-# Rows of item figures, about 50 bytes each, that may be sent to every executor.
-SMALL_CATALOGUE = 500_000
+CHUNK_ITEMS = 512
 
 
 def _extra_keys(prefs: DataFrame) -> list[str]:
@@ -41,163 +32,63 @@ def _baskets(prefs: DataFrame, carry: list[str]) -> DataFrame:
     )
 
 
-def _light_pairs(light: DataFrame, extra: list[str], carry: list[str]) -> DataFrame:
-    """One row per user and pair; the caller sums them inside the task."""
-    left = light.select(
-        *extra, "user_id", F.col("item_id").alias("i"), "x", *(F.col(c).alias(f"{c}_i") for c in carry)
-    )
-    right = light.select(
-        *extra,
-        "user_id",
-        F.col("item_id").alias("j"),
-        F.col("x").alias("y"),
-        *(F.col(c).alias(f"{c}_j") for c in carry),
-    )
-    x, y = F.col("x"), F.col("y")
-    return (
-        left.join(right, [*extra, "user_id"])
-        .where(F.col("i") < F.col("j"))
-        .select(
-            *extra,
-            "i",
-            "j",
-            F.lit(1).cast("long").alias("both"),
-            (x * y).alias("sxy"),
-            x.alias("sx"),
-            y.alias("sy"),
-            (x * x).alias("sxx"),
-            (y * y).alias("syy"),
-            *_carried(carry),
-        )
-    )
-
-
 def _carried(carry: list[str]) -> list[str]:
     return [f"{c}_{side}" for c in carry for side in "ij"]
 
 
-def _block_product(carry: list[str]):
-    columns = ["label", "i", "j", *SUMS, *_carried(carry)]
-
-    def product(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Pair sums of one cell: users of a slice, items of block b1 against items of block b2."""
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=columns)
-        users = pd.Index(pd.unique(pd.concat([left["user_id"], right["user_id"]])))
-
-        def dense(rows: pd.DataFrame):
-            items = rows.drop_duplicates("item_id").set_index("item_id")
-            values = np.zeros((len(users), len(items)))
-            seen = np.zeros((len(users), len(items)))
-            at = (users.get_indexer(rows["user_id"]), items.index.get_indexer(rows["item_id"]))
-            values[at] = rows["x"].to_numpy()
-            seen[at] = 1.0
-            return items, values, seen
-
-        i_items, x, has_i = dense(left)
-        j_items, y, has_j = dense(right)
-        i_ids, j_ids = i_items.index.to_numpy(), j_items.index.to_numpy()
-        both = has_i.T @ has_j
-        rows, cols = np.nonzero((both > 0) & (i_ids[:, None] < j_ids[None, :]))
-        sums = {
-            "both": both,
-            "sxy": x.T @ y,
-            "sx": x.T @ has_j,
-            "sy": has_i.T @ y,
-            "sxx": (x * x).T @ has_j,
-            "syy": has_i.T @ (y * y),
-        }
-        out = pd.DataFrame({"label": keys[0], "i": i_ids[rows], "j": j_ids[cols]})
-        for name, matrix in sums.items():
-            out[name] = matrix[rows, cols]
-        out["both"] = out["both"].astype("int64")
-        for c in carry:
-            out[f"{c}_i"] = i_items[c].to_numpy()[rows]
-            out[f"{c}_j"] = j_items[c].to_numpy()[cols]
-        return out[columns]
-
-    return product
-
-
-def _heavy_pairs(heavy: DataFrame, extra: list[str], carry: list[str], block_items: int) -> DataFrame:
-    """Block products over a grid of user slices and item blocks sized from the data."""
-
-    def parts(column: str, size: int):
-        return F.greatest(F.lit(1), F.ceil(F.approx_count_distinct(column) / size))
-
-    grid = heavy.agg(
-        F.struct(
-            parts("item_id", block_items).alias("blocks"), parts("user_id", SLICE_USERS).alias("slices")
-        ).alias("grid")
-    ).scalar()
-    label = F.col("label") if extra else F.lit(None).cast("string")
-    rating = ["user_id", "item_id", "x", *carry]
-    cells = heavy.withColumn("grid", grid).select(
-        label.alias("label"),
-        F.pmod(F.xxhash64("user_id", F.lit("slice")), F.col("grid.slices")).alias("slice"),
-        F.pmod(F.xxhash64("item_id", F.lit("block")), F.col("grid.blocks")).alias("block"),
-        F.col("grid.blocks").alias("blocks"),
-        *rating,
+def _cells(baskets: DataFrame, owner: list[str], chunk_items: int) -> tuple[DataFrame, DataFrame]:
+    """The two sides of the self-join: every rating as (c1, c2) with c1, or c2, its own chunk."""
+    long = (
+        baskets.groupBy(*owner)
+        .agg(F.ceil(F.count("*") / chunk_items).alias("chunks"))
+        .where(F.col("chunks") > 1)
     )
-    # Block b meets every block: once on the left, once on the right. The pair i < j is kept
-    # only in the cell whose left block holds i. Both sides come from the same rows, so each gets
-    # columns of its own.
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-
-    def side(own: str, other: str) -> DataFrame:
-        same = [F.col(c).alias(c) for c in ("label", "slice", *rating)]
-        return cells.select(*same, F.col("block").alias(own), every.alias(other))
-
-    cell = ["label", "slice", "b1", "b2"]
-    types = dict(heavy.dtypes)
-    carried = "".join(f", {c}_{n} {types[c]}" for c in carry for n in "ij")
-    products = (
-        side("b1", "b2")
-        .groupBy(*cell)
-        .cogroup(side("b2", "b1").groupBy(*cell))
-        .applyInPandas(
-            _block_product(carry),
-            "label string, i long, j long, both long, "
-            f"sxy double, sx double, sy double, sxx double, syy double{carried}",
-        )
+    chunks = F.coalesce("chunks", F.lit(1))
+    dealt = baskets.join(long, owner, "left").withColumns(
+        {
+            "own": F.pmod(F.xxhash64("item_id"), chunks),
+            "every": F.sequence(F.lit(0).cast("long"), chunks - 1),
+        }
     )
-    return products.select(*extra, "i", "j", *SUMS, *_carried(carry))
+    rating = [c for c in baskets.columns]
+    left = dealt.select(*rating, F.col("own").alias("c1"), F.explode("every").alias("c2"))
+    right = dealt.select(*rating, F.explode("every").alias("c1"), F.col("own").alias("c2"))
+    return left, right
 
 
 def pair_statistics(
     prefs: DataFrame,
-    heavy_basket: int = HEAVY_BASKET,
-    block_items: int = BLOCK_ITEMS,
+    chunk_items: int = CHUNK_ITEMS,
     carry: list[str] | None = None,
+    sums: list[str] | None = None,
 ) -> DataFrame:
     """For every item pair i < j rated by at least one common user: their count and rating sums.
 
-    `carry` names columns of `prefs` that depend on the item alone; they come out as <name>_i, <name>_j
-    without a join on the pairs.
+    `sums` names the figures wanted, all of `SUMS` by default. `carry` names columns of `prefs` that
+    depend on the item alone; they come out as <name>_i, <name>_j without a join on the pairs.
     """
-    extra, carry = _extra_keys(prefs), carry or []
-    baskets = _baskets(prefs, carry)
+    extra, carry, sums = _extra_keys(prefs), carry or [], sums or SUMS
     owner = [*extra, "user_id"]
-    heavy_owners = (
-        baskets.groupBy(*owner)
-        .agg(F.count("*").alias("items"))
-        .where(F.col("items") > heavy_basket)
-        .select(*owner)
+    left, right = _cells(_baskets(prefs, carry), owner, chunk_items)
+    cell = [*owner, "c1", "c2"]
+    left = left.select(*cell, F.col("item_id").alias("i"), "x", *(F.col(c).alias(f"{c}_i") for c in carry))
+    right = right.select(
+        *cell, F.col("item_id").alias("j"), F.col("x").alias("y"), *(F.col(c).alias(f"{c}_j") for c in carry)
     )
-    light = baskets.join(heavy_owners, owner, "left_anti")
-    heavy = baskets.join(heavy_owners, owner, "left_semi")
-    parts = _light_pairs(light, extra, carry).unionByName(_heavy_pairs(heavy, extra, carry, block_items))
-    return parts.groupBy(*extra, "i", "j").agg(
-        *(F.sum(c).alias(c) for c in SUMS), *(F.max(c).alias(c) for c in _carried(carry))
+    x, y = F.col("x"), F.col("y")
+    figures = {"both": F.lit(1).cast("long"), "sxy": x * y, "sx": x, "sy": y, "sxx": x * x, "syy": y * y}
+    return (
+        left.join(right, cell)
+        .where(F.col("i") < F.col("j"))
+        .groupBy(*extra, "i", "j")
+        .agg(*(F.sum(figures[c]).alias(c) for c in sums), *(F.max(c).alias(c) for c in _carried(carry)))
     )
 
 
-def pair_cooccurrence(
-    prefs: DataFrame, heavy_basket: int = HEAVY_BASKET, block_items: int = BLOCK_ITEMS
-) -> DataFrame:
+def pair_cooccurrence(prefs: DataFrame, chunk_items: int = CHUNK_ITEMS) -> DataFrame:
     """Number of users who rated both items, for every pair i < j that has any."""
     extra = _extra_keys(prefs)
-    return pair_statistics(prefs, heavy_basket, block_items).select(
+    return pair_statistics(prefs, chunk_items, sums=["both"]).select(
         *extra, F.col("i").alias("item_id"), F.col("j").alias("other_item_id"), "both"
     )
 
@@ -216,27 +107,20 @@ def item_similarity(
     prefs: DataFrame,
     measure: str = "loglikelihood",
     digits: int | None = None,
-    heavy_basket: int = HEAVY_BASKET,
-    block_items: int = BLOCK_ITEMS,
+    chunk_items: int = CHUNK_ITEMS,
 ) -> DataFrame:
-    """Similarity of every co-rated pair, item_id < similar_item_id; undefined ones are left out."""
+    """Similarity of every co-rated pair, item_id < similar_item_id; undefined ones are left out.
+
+    Figures of single items ride on the ratings, which are joined with the catalogue; the far longer
+    table of pairs never is.
+    """
     extra = _extra_keys(prefs)
+    sums = ["both", *(c for c in SUMS if c != "both" and uses(measure, c))]
     carry = [c for c in ("n", "norm") if uses(measure, f"{c}_i")] + ["n_users"] * uses(measure, "n_users")
-    if not carry:
-        stats = pair_statistics(prefs, heavy_basket, block_items)
-    else:
-        items = materialize(_item_figures(prefs, extra).select(*extra, "item_id", *carry), "item-figures")
-        if items.count() <= SMALL_CATALOGUE:
-            # The catalogue fits every executor: pairs look their items up where they are.
-            stats = pair_statistics(prefs, heavy_basket, block_items)
-            for side in "ij":
-                named = {"item_id": side, **{c: f"{c}_{side}" for c in carry}}
-                stats = stats.join(F.broadcast(items.withColumnsRenamed(named)), [*extra, side])
-        else:
-            # The figures ride on the ratings: those are joined with the catalogue, and the far
-            # longer table of pairs never is.
-            rated = prefs.join(items, [*extra, "item_id"])
-            stats = pair_statistics(rated, heavy_basket, block_items, carry)
+    if carry:
+        items = _item_figures(prefs, extra).select(*extra, "item_id", *carry)
+        prefs = prefs.join(items, [*extra, "item_id"])
+    stats = pair_statistics(prefs, chunk_items, carry, sums)
     if "n_users" in carry:
         stats = stats.withColumnRenamed("n_users_i", "n_users")
     sims = stats.select(

@@ -116,7 +116,7 @@ SELECT i AS item_id, j AS other_item_id, k11 AS "both" FROM k""",
 )
 def pair_cooccurrence_heavy(spark, d):
     """Every basket of more than 40 items, most of them here, goes through the block products."""
-    return S.pair_cooccurrence(V.prefs_e(spark, d), heavy_basket=40, block_items=32)
+    return S.pair_cooccurrence(V.prefs_e(spark, d), chunk_items=40)
 
 
 @query(

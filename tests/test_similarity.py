@@ -37,12 +37,12 @@ def entropy_llr(k11, k12, k21, k22):
     return 2 * (sum(map(xlogx, (k11, k12, k21, k22))) - rows - cols + xlogx(k11 + k12 + k21 + k22))
 
 
-@pytest.mark.parametrize("heavy_basket,block_items", [(512, 1024), (0, 1024), (0, 4), (7, 5)])
-def test_pair_statistics_by_either_way(spark, heavy_basket, block_items):
+@pytest.mark.parametrize("chunk_items", [512, 1, 4, 7])
+def test_pair_statistics_whatever_the_chunks(spark, chunk_items):
     data = sample()
     got = {
         (r.i, r.j): (r.both, r.sxy, r.sx, r.sy, r.sxx, r.syy)
-        for r in S.pair_statistics(spark.createDataFrame(data, PREFS), heavy_basket, block_items).collect()
+        for r in S.pair_statistics(spark.createDataFrame(data, PREFS), chunk_items).collect()
     }
     want = {
         (i, j): (len(x), sum(a * b for a, b in zip(x, y)), sum(x), sum(y), sum(a * a for a in x), sum(b * b for b in y))
@@ -54,15 +54,25 @@ def test_pair_statistics_by_either_way(spark, heavy_basket, block_items):
 def test_one_user_owning_a_third_of_the_rows(spark):
     data = [(0, i, 1.0) for i in range(300)] + [(u, (u * 7 + k) % 300, 1.0) for u in range(1, 121) for k in range(5)]
     df = spark.createDataFrame(data, PREFS)
-    plain = S.pair_cooccurrence(df, heavy_basket=10_000)
-    split = S.pair_cooccurrence(df, heavy_basket=50, block_items=64)
+    plain = S.pair_cooccurrence(df, chunk_items=10_000)
+    split = S.pair_cooccurrence(df, chunk_items=50)
     assert plain.exceptAll(split).count() == 0 and split.exceptAll(plain).count() == 0
     assert split.count() == 300 * 299 // 2
 
 
+def test_copies_of_a_rating_follow_its_basket(spark):
+    """A wide catalogue of short baskets copies nothing; a long basket copies by its own chunks."""
+    data = [(u, u * 10 + k, 1.0) for u in range(200) for k in range(10)] + [(999, i, 1.0) for i in range(100)]
+    baskets = S._baskets(spark.createDataFrame(data, PREFS), [])
+    for side in S._cells(baskets, ["user_id"], 20):
+        copies = {r.user_id: r["count"] for r in side.groupBy("user_id").count().collect()}
+        assert copies.pop(999) == 100 * 5
+        assert set(copies.values()) == {10}
+
+
 def test_labels_are_kept_apart(spark):
     data = [("a", *r) for r in sample(1)] + [("b", *r) for r in sample(2)]
-    both = S.pair_statistics(spark.createDataFrame(data, "label string, " + PREFS), heavy_basket=5, block_items=8)
+    both = S.pair_statistics(spark.createDataFrame(data, "label string, " + PREFS), chunk_items=5)
     for label, seed in (("a", 1), ("b", 2)):
         alone = S.pair_statistics(spark.createDataFrame(sample(seed), PREFS))
         mine = both.where(F.col("label") == label).drop("label")
@@ -77,12 +87,11 @@ def test_log_likelihood_by_hand(spark):
     assert sims[0].similarity == pytest.approx(1 - 1 / (1 + entropy_llr(2, 1, 0, 1)))
 
 
-@pytest.mark.parametrize("small,heavy_basket", [(500_000, 512), (0, 512), (0, 5)])
-def test_log_likelihood_in_range(spark, monkeypatch, small, heavy_basket):
-    monkeypatch.setattr(S, "SMALL_CATALOGUE", small)
+@pytest.mark.parametrize("chunk_items", [512, 5])
+def test_log_likelihood_in_range(spark, chunk_items):
     data = sample(3)
     users = len({u for u, _, _ in data})
-    got = {(r.item_id, r.similar_item_id): r.similarity for r in S.item_similarity(spark.createDataFrame(data, PREFS), heavy_basket=heavy_basket, block_items=9).collect()}
+    got = {(r.item_id, r.similar_item_id): r.similarity for r in S.item_similarity(spark.createDataFrame(data, PREFS), chunk_items=chunk_items).collect()}
     for i, j, x, _, ri, rj in brute(data):
         k11 = len(x)
         llr = max(0.0, entropy_llr(k11, len(ri) - k11, len(rj) - k11, users - len(ri) - len(rj) + k11))
@@ -90,10 +99,7 @@ def test_log_likelihood_in_range(spark, monkeypatch, small, heavy_basket):
         assert 0 <= got[i, j] < 1
 
 
-@pytest.mark.parametrize("small", [500_000, 0])
-def test_other_measures(spark, monkeypatch, small):
-    """With the catalogue sent to the executors and with its figures on the ratings."""
-    monkeypatch.setattr(S, "SMALL_CATALOGUE", small)
+def test_other_measures(spark):
     data = sample(4)
     df = spark.createDataFrame(data, PREFS)
 
