@@ -8,6 +8,7 @@ from prefspark.operators.clustering import recommend_cluster_weight
 from prefspark.operators.itembased import recommend_items_for_items, recommend_itembased
 from prefspark.operators.scoring import recommend_anonymous_mf, recommend_mf
 from prefspark.operators.topics import recommend_topics
+from prefspark.plans.session import materialize
 from prefspark.schemas import DEFAULT_HOW_MANY
 
 KINDS = ("itembased", "factorization", "lda", "clusters")
@@ -41,6 +42,16 @@ def _item_rows(requests: DataFrame) -> DataFrame:
     )
 
 
+def _failed(requests: DataFrame, reason: str) -> DataFrame:
+    return requests.select(
+        "request_id",
+        F.lit(None).cast("int").alias("rank"),
+        F.lit(None).cast("long").alias("item_id"),
+        F.lit(None).cast("double").alias("value"),
+        F.lit(reason).alias("error"),
+    )
+
+
 def recommend(
     kind: str,
     requests: DataFrame,
@@ -58,27 +69,22 @@ def recommend(
     """Answer a table of requests: (request_id, rank, item_id, value, error).
 
     `max_how_many` is the largest list any request asks for; it is read from the requests when not
-    given. A request with neither a user nor items yields one row with `error` set.
+    given. A request with neither a user nor items yields one row with `error` set, and so does a request
+    for clusters none of whose items has a vector.
     """
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}, not {kind!r}")
-    routed = route(requests)
+    # Read by every path below: worked out once.
+    routed = materialize(route(requests), "requests")
     n = max_how_many or routed.agg(F.max("how_many")).first()[0] or DEFAULT_HOW_MANY
     by_user = routed.where(F.col("path").isin("user", "user_items"))
     by_items = routed.where(F.col("path") == "items")
     if kind in ("lda", "clusters"):
         # These two know items only.
         by_items = routed.where(F.col("path").isin("items", "user_items"))
-    errors = routed.join(
-        (by_items if kind in ("lda", "clusters") else by_user.unionByName(by_items)).select("request_id"),
-        "request_id",
-        "left_anti",
-    ).select(
-        "request_id",
-        F.lit(None).cast("int").alias("rank"),
-        F.lit(None).cast("long").alias("item_id"),
-        F.lit(None).cast("double").alias("value"),
-        F.lit("user_id or item_ids must be supplied").alias("error"),
+    answered = by_items if kind in ("lda", "clusters") else by_user.unionByName(by_items)
+    errors = _failed(
+        routed.join(answered.select("request_id"), "request_id", "left_anti"), "user_id or item_ids must be supplied"
     )
     answers = {
         "itembased": lambda: _itembased(by_user, by_items, prefs, sims, cands, n, options),
@@ -89,6 +95,10 @@ def recommend(
         "clusters": lambda: _clusters(by_items, vectors, centroids),
     }[kind]()
     answers = answers.select("request_id", "rank", "item_id", "value")
+    if kind == "clusters":
+        known = _item_rows(by_items).join(vectors.select("item_id").distinct(), "item_id", "left_semi")
+        unknown = by_items.join(known.select("request_id").distinct(), "request_id", "left_anti")
+        errors = errors.unionByName(_failed(unknown, "no item is known"))
     if kind != "clusters":
         limits = routed.select("request_id", "how_many")
         answers = answers.join(limits, "request_id").where(F.col("rank") <= F.col("how_many"))
@@ -102,7 +112,7 @@ def _itembased(by_user, by_items, prefs, sims, cands, n, options):
     )
     own = history.select("label", F.col("request_id").alias("user_id"), "item_id", "preference")
     given = _item_rows(by_user.where(F.col("path") == "user_items"))
-    labels = by_user.select("label").distinct()
+    labels = by_user.select("label").unionByName(by_items.select("label")).distinct()
     allowed = cands.join(labels, "label", "left_semi").select("label", "item_id").distinct()
     if "label" not in sims.columns:
         sims = sims.join(allowed.withColumnRenamed("item_id", "similar_item_id"), "similar_item_id")

@@ -5,18 +5,38 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from prefspark.plans.publish import current, new_version, publish, save, version_path
 from prefspark.schemas import FACTORS, SIMILARITIES, TOPICS
 
 
 def write_similarities(sims: DataFrame, path: str) -> None:
-    """Text lines item,similar item,value."""
-    sims.select("item_id", "similar_item_id", "similarity").write.mode("overwrite").csv(path)
+    """Text lines item,similar item,value; a model of several labels has a folder for each."""
+    columns = ["item_id", "similar_item_id", "similarity"]
+    if "label" in sims.columns:
+        sims.select(*columns, "label").write.mode("overwrite").partitionBy("label").csv(path)
+    else:
+        sims.select(*columns).write.mode("overwrite").csv(path)
 
 
-def read_similarities(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SIMILARITIES).csv(path)
+def read_similarities(spark: SparkSession, path: str, labelled: bool = False) -> DataFrame:
+    schema = StructType([*SIMILARITIES.fields, *([StructField("label", StringType())] if labelled else [])])
+    return spark.read.schema(schema).csv(path)
+
+
+def save_similarities(sims: DataFrame, root: str) -> str:
+    """Write the item-based model, labels included, as a new version and put it in force."""
+    version = new_version()
+    save(sims, root, "similarities", version)
+    publish(sims.sparkSession, root, version)
+    return version
+
+
+def load_similarities(spark: SparkSession, root: str) -> DataFrame | None:
+    """The model in force, or None where nothing is trained yet."""
+    found = current(spark, root)
+    return None if found is None else spark.read.parquet(version_path(root, found[0], "similarities"))
 
 
 def save_factors(users: DataFrame, items: DataFrame, root: str) -> str:

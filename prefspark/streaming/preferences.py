@@ -6,11 +6,14 @@ lost executor or a restart changes nothing in the tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from prefspark.functions.columns import slot_hours
+from prefspark.functions.columns import slot_hours, slot_seq
 from prefspark.operators.candidates import item_label
 from prefspark.operators.preferences import (
     assign_slot,
@@ -117,14 +120,30 @@ def stream_slots(stream: DataFrame, window_hours: int = 24) -> DataFrame:
 
 
 def stream_slot_log(
-    stream: DataFrame, log_path: str, checkpoint: str, window_hours: int = 24, available_now: bool = False
+    stream: DataFrame,
+    log_path: str,
+    checkpoint: str,
+    window_hours: int = 24,
+    available_now: bool = False,
+    now: Callable[[], datetime] | None = None,
 ) -> StreamingQuery:
     """Keep the raw rows of the ring, partitioned by slot: rows already outside it are not written,
-    and slots that leave it are removed."""
+    and slots that leave it are removed.
+
+    The slot of the clock bounds the ring: a row dated later neither moves it nor enters it, but is parked
+    as it is below `<log_path>_later`. `now` is the clock, the session's by default.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        clock = F.current_timestamp() if now is None else F.lit(now())
+        today = spark.range(1).select(slot_seq(clock, window_hours)).first()[0]
         slotted = assign_slot(batch, window_hours)
+        later = F.col("slot_seq") > today
+        parked = slotted.where(later)
+        if not parked.isEmpty():
+            _write_batch(parked, batch_id, f"{log_path.rstrip('/')}_later")
+        slotted = slotted.where(~later)
         newest = slotted.agg(F.max("slot_seq")).first()[0]
         if newest is None:
             return

@@ -162,6 +162,27 @@ def test_dispatch_itembased(spark):
     assert items == {1: [3], 2: [3, 4], 3: [3], 4: [3], 5: [None]}
 
 
+def test_an_answer_does_not_depend_on_other_requests(spark):
+    prefs = spark.createDataFrame([(1, 1, 4.0), (1, 2, 2.0)], PREFS)
+    sims = spark.createDataFrame([(10, 3, 0.5), (2, 4, 0.25), (1, 4, 0.1)], "item_id long, similar_item_id long, similarity double")
+    cands = spark.createDataFrame([("a", 3), ("b", 3), ("b", 4)], "label string, item_id long")
+    mine = (4, None, [10], "b", 5)
+    answers = []
+    for others in ([], [(1, 1, None, "a", 9)], [(1, 1, None, "b", 9)]):
+        got = recommend("itembased", spark.createDataFrame([mine, *others], REQ), cands, prefs, sims=sims)
+        answers.append([(r.item_id, r.value) for r in got.where("request_id = 4").collect()])
+    assert answers[0] == answers[1] == answers[2] == [(3, 0.5)]
+
+
+def test_cluster_requests_of_unknown_items_fail(spark):
+    cands = spark.createDataFrame([("l", 1)], "label string, item_id long")
+    vectors = spark.createDataFrame([(1, 10, 1.0)], "item_id long, dim long, value double")
+    centroids = spark.createDataFrame([(0, 4.0, 10, 1.0)], "centroid_id long, weight double, dim long, value double")
+    requests = spark.createDataFrame([(1, None, [7, 8], "l", 1), (2, None, [1, 8], "l", 1)], REQ)
+    got = recommend("clusters", requests, cands, vectors=vectors, centroids=centroids).collect()
+    assert sorted((r.request_id, r.item_id or 0, r.error or "") for r in got) == [(1, 0, "no item is known"), (2, 1, "")]
+
+
 def test_dispatch_clusters_and_topics(spark):
     cands = spark.createDataFrame([("l", 1), ("l", 2)], "label string, item_id long")
     vectors = spark.createDataFrame([(1, 10, 1.0), (2, 20, 1.0)], "item_id long, dim long, value double")

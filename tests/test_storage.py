@@ -57,6 +57,18 @@ def test_similarities_round_trip(spark, rows, tmp_path):
     assert rows(models.read_similarities(spark, str(tmp_path / "s"))) == rows(sims)
 
 
+def test_labelled_similarities_keep_their_labels(spark, rows, tmp_path):
+    schema = "item_id long, similar_item_id long, similarity double, label string"
+    sims = spark.createDataFrame([(1, 2, 0.5, "a"), (1, 2, 0.25, "b c")], schema)
+    models.write_similarities(sims, str(tmp_path / "s"))
+    assert rows(models.read_similarities(spark, str(tmp_path / "s"), labelled=True)) == rows(sims)
+    root = str(tmp_path / "versions")
+    assert models.load_similarities(spark, root) is None
+    models.save_similarities(sims.where("label = 'a'"), root)
+    models.save_similarities(sims, root)
+    assert rows(models.load_similarities(spark, root)) == rows(sims)
+
+
 def test_factors_are_published_whole(spark, tmp_path):
     root = str(tmp_path / "factors")
     users, items = models.load_factors(spark, root)

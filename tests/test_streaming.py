@@ -97,6 +97,15 @@ def test_slot_log_keeps_the_ring(spark, feed, tmp_path):
     assert SP.drop_slots(spark, log, 0) == []
 
 
+def test_a_row_from_the_future_leaves_the_ring_alone(spark, feed, tmp_path):
+    batches = [[at(s, s) for s in range(4)], [at(4, 4), (34, dt.datetime(2034, 1, 1))], [at(5, 5)]]
+    log = str(tmp_path / "log")
+    clock = lambda: START + dt.timedelta(hours=4 * 5 + 3)
+    finish(SP.stream_slot_log(feed(RING, batches), log, str(tmp_path / "ck"), 24, available_now=True, now=clock))
+    assert sorted(r.user_id for r in spark.read.parquet(log).collect()) == [1, 2, 3, 4, 5]
+    assert [r.user_id for r in spark.read.parquet(log + "_later").collect()] == [34]
+
+
 def test_slot_counts_drop_what_left_the_ring(spark, feed, tmp_path):
     # Spark holds late rows against the watermark of the batch before.
     batches = [[at(0, 1), at(1, 1), at(1, 2)], [at(6, 1)], [at(6, 2)], [at(1, 3), at(2, 4), at(3, 5)], [at(20, 9)]]
