@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,47 +58,49 @@ class Chain:
     def likelihoods(self, classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log P of each column's classes by the scaled forward recursion.
 
-        `classes` is (longest, texts); a text's classes are its first `lengths` entries. Only the current
-        step is kept, so memory doesn't grow with the length of a text.
+        `classes` is (longest, texts); a text's classes are its first `lengths` entries, and the longest texts
+        come first. Only the current step is kept, so memory doesn't grow with the length of a text.
         """
         emit = np.ascontiguousarray(self.emit.T)
         total = np.zeros(len(lengths))
         alpha = None
-        for t in range(classes.shape[0]):
-            alpha = (self.start if alpha is None else alpha @ self.move) * emit[classes[t]]
-            scale = alpha.sum(axis=1, keepdims=True)
-            alpha /= scale
-            total += np.where(t < lengths, np.log(scale[:, 0]), 0.0)
+        for t, open_ in enumerate(_open(lengths)):
+            alpha = (self.start if alpha is None else alpha[:open_] @ self.move) * emit[classes[t, :open_]]
+            scale = alpha.sum(axis=1)
+            alpha /= scale[:, None]
+            total[:open_] += np.log(scale)
         return total
 
     def expected(self, classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Expected start, transition and emission counts of the texts, and their log likelihood."""
-        longest, texts = classes.shape
-        states = len(self.start)
-        emit = np.ascontiguousarray(self.emit.T)
-        alpha = np.empty((longest, texts, states))
-        scales = np.empty((longest, texts, 1))
-        inside = np.arange(longest)[:, None] < lengths
-        for t in range(longest):
-            step = (self.start if t == 0 else alpha[t - 1] @ self.move) * emit[classes[t]]
-            scales[t] = step.sum(axis=1, keepdims=True)
-            np.divide(step, scales[t], out=alpha[t])
+        """Expected start, transition and emission counts of the texts, and their log likelihood; texts as above.
+
+        The recursions run in single precision, which scaling keeps from under- and overflow.
+        """
+        states, steps = len(self.start), _open(lengths)
+        move, back = self.move.astype(np.float32), np.ascontiguousarray(self.move.T, np.float32)
+        emit = np.ascontiguousarray(self.emit.T, np.float32)[classes]
+        ones = np.ones(states, np.float32)
+        alpha, scales = np.zeros_like(emit), np.ones(classes.shape, np.float32)
+        for t, n in enumerate(steps):
+            step = emit[t, :n] * (self.start.astype(np.float32) if t == 0 else alpha[t - 1, :n] @ move)
+            scale = scales[t, :n]
+            np.dot(step, ones, out=scale)
+            np.divide(step, scale[:, None], out=alpha[t, :n])
         moves = np.zeros((states, states))
-        beta = np.ones((texts, states))
-        back = np.ascontiguousarray(self.move.T)
-        for t in range(longest - 1, -1, -1):
-            # beta of t; past the end of a text it is 1.
-            if t + 1 < longest:
-                ahead = beta * emit[classes[t + 1]] / scales[t + 1]
-                ahead *= inside[t + 1][:, None]
-                moves += alpha[t].T @ ahead
-                beta = np.where(inside[t + 1][:, None], ahead @ back, 1.0)
-            alpha[t] *= beta
-        seen = alpha.reshape(-1, states) * inside.reshape(-1, 1)
-        flat = classes.reshape(-1)
+        beta = np.ones((steps[-1], states), np.float32)
+        for t in range(len(steps) - 1, 0, -1):
+            n = steps[t]
+            ahead = beta * emit[t, :n]
+            ahead /= scales[t, :n, None]
+            moves += alpha[t - 1, :n].T @ ahead
+            alpha[t, :n] *= beta
+            # A text that ends at t - 1 has nothing ahead.
+            beta = np.ones((steps[t - 1], states), np.float32)
+            np.dot(ahead, back, out=beta[:n])
+        alpha[0] *= beta
+        flat, seen = classes.reshape(-1), alpha.reshape(-1, states)
         emitted = np.stack([np.bincount(flat, seen[:, s], self.emit.shape[1]) for s in range(states)])
-        log_likelihood = float(np.where(inside, np.log(scales[:, :, 0]), 0.0).sum())
-        return alpha[0].sum(axis=0), moves * self.move, emitted, log_likelihood
+        return alpha[0].sum(axis=0, dtype=float), moves * self.move, emitted, float(np.log(scales, dtype=float).sum())
 
     def updated(self, start: np.ndarray, moves: np.ndarray, emitted: np.ndarray, prior: np.ndarray, weight: float) -> Chain:
         """The chain of the expected counts; `weight` counts of the prior keep every class possible."""
@@ -106,6 +109,11 @@ class Chain:
         return Chain(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emitted / emitted.sum(axis=1, keepdims=True))
 
 
+def _open(lengths: np.ndarray) -> list[int]:
+    """How many texts, the longest first, reach each step."""
+    return [int(n) for n in len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")]
+
+
 def _blocks(rows: list[np.ndarray], cells: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """Sequences of like length side by side, about `cells` entries (one sequence at least) at a time."""
     order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
@@ -124,15 +132,42 @@ def _blocks(rows: list[np.ndarray], cells: int) -> Iterator[tuple[list[int], np.
 
 
 def _counts(batches: Iterable[pa.RecordBatch], folds: int, held: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 8 << 20):
-        sides = Counter(), Counter()
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            sides[is_held_out(doc, folds, held)].update(tokens(text))
+    """Words counted over many texts at a time, in training and in held-out texts."""
+    sides = Counter(), Counter()
+
+    def flush():
         for side, counted in enumerate(sides):
             n = pa.array(list(counted.values()), pa.int64())
             nothing = pa.array(np.zeros(len(counted), np.int64))
             columns = [pa.array(list(counted), pa.binary()), *((n, nothing) if side == 0 else (nothing, n))]
             yield pa.RecordBatch.from_arrays(columns, ["word", "c", "other"])
+            counted.clear()
+
+    for batch in slices(batches, "text", 8 << 20):
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            sides[is_held_out(doc, folds, held)].update(tokens(text))
+        if len(sides[0]) + len(sides[1]) > 500_000:
+            yield from flush()
+    yield from flush()
+
+
+def _frequent(counts: DataFrame, longest_word: int, most: int) -> dict[bytes, int]:
+    """Training counts of the most frequent words, as many whole steps of frequency as `most` words hold."""
+    total = F.col("c") + F.col("other")
+    # Exact counts up to 4096, then 64 steps to the doubling: a bounded number of steps.
+    step = F.when(total < 4096, total).otherwise(4096 + F.floor(F.log2(total) * 64)).cast("long")
+    usable = counts.where((F.octet_length("word") > 0) & (F.octet_length("word") <= longest_word)).withColumn("step", step)
+    held, least = 0, None
+    for row in sorted(usable.groupBy("step").count().collect(), reverse=True):
+        held += row["count"]
+        if held > most:
+            break
+        least = row.step
+    if least is None:
+        return {}
+    words = usable.where(F.col("step") >= least).select("word", "c", total.alias("n")).toArrow()
+    rows = sorted(zip(words["n"].to_pylist(), words["word"].to_pylist(), words["c"].to_pylist()), key=lambda r: (-r[0], r[1]))
+    return {word: c for _, word, c in rows}
 
 
 def _buckets(batches: Iterable[pa.RecordBatch], own: set[bytes], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -193,14 +228,14 @@ def _encoded(batches: Iterable[pa.RecordBatch], shared, folds: int, held: int) -
         rows = []
         for row, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
             words = tokens(text)
-            index = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+            index = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
             found = index >= 0
             classes = known.classes[index]
-            missing = np.flatnonzero(~found).tolist()
-            rare: Counter = Counter()
-            for i in missing:
-                rare[words[i]] += 1
-                classes[i] = known.first + suffix_class(words[i], known.buckets)
+            missing = np.flatnonzero(~found)
+            others = [words[i] for i in missing.tolist()]
+            rare = Counter(others)
+            shared_class = {w: known.first + suffix_class(w, known.buckets) for w in rare}
+            classes[missing] = np.fromiter(map(shared_class.__getitem__, others), np.int64, len(others))
             at = index[found]
             own = classes[found] < known.first
             rows.append(
@@ -245,8 +280,10 @@ def train(encoded: DataFrame, prior: np.ndarray, states: int, iterations: int, s
         now = chain
         sums = [np.zeros((1, states)), np.zeros((states, states)), np.zeros((states, len(prior))), np.zeros((1, 1))]
         counted = texts.mapInArrow(lambda batches: _expected(batches, now, segment, cells), _EXPECTED)
-        for row in counted.groupBy("kind", "i", "j").agg(F.sum("value").alias("value")).collect():
-            sums[row.kind][row.i, row.j] = row.value
+        added = counted.groupBy("kind", "i", "j").agg(F.sum("value").alias("value")).toArrow()
+        kind, i, j, value = (added[c].to_numpy() for c in ("kind", "i", "j", "value"))
+        for k, total in enumerate(sums):
+            total[i[kind == k], j[kind == k]] = value[kind == k]
         heights.append(float(sums[3][0, 0]))
         chain = chain.updated(sums[0][0], sums[1], sums[2], prior, weight)
     return chain, heights
@@ -267,14 +304,14 @@ def score_documents(
     text_column: str = "text",
     states: int = 8,
     iterations: int = 4,
-    dictionary_words: int = 100_000,
+    dictionary_words: int = 1 << 16,
     longest_word: int = 64,
     own_classes: int = 3072,
     buckets: int = 1024,
     folds: int = 7,
     held: int = 2,
     segment: int = 65_536,
-    cells: int = 200_000,
+    cells: int = 250_000,
     stay: float = 0.9,
     noise: float = 1.0,
     weight: float = 10.0,
@@ -289,7 +326,7 @@ def score_documents(
     others share one of `buckets` classes by their last letters, so the chain's size is a parameter whatever
     the vocabulary. The forward recursion runs over whole texts.
 
-    Word counts are a table. Its `dictionary_words` most frequent words of at most `longest_word` bytes,
+    Word counts are a table. Its most frequent words, at most `dictionary_words` of at most `longest_word` bytes,
     bounded by their product, are sent to the tasks; the others are joined, and none of them is frequent.
     Null text is only an end, a null id counts as the id "", repeated rows are scored and trained on each,
     an empty table gives no rows, other columns are not read.
@@ -308,19 +345,13 @@ def score_documents(
         F.count_if(F.col("c") > 0).alias("v"),
         F.coalesce(F.sum(F.when(is_end, F.col("c"))), F.lit(0)).alias("ends"),
     ).first()
-    frequent = (
-        counts.where(~is_end & (F.octet_length("word") <= longest_word))
-        .orderBy((F.col("c") + F.col("other")).desc(), "word")
-        .limit(dictionary_words)
-        .select("word", "c")
-        .collect()
-    )
-    own = {END, *(bytes(r.word) for r in frequent[: own_classes - 1])}
+    known = {END: whole.ends} | _frequent(counts, longest_word, dictionary_words)
+    own = set(list(known)[:own_classes])
     totals = np.zeros((buckets, 2))
     bucketed = counts.where("c > 0").select("word", "c").mapInArrow(lambda batches: _buckets(batches, own, buckets), "bucket bigint, n bigint, v bigint")
     for row in bucketed.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         totals[row.bucket] = row.n, row.v
-    dictionary = Dictionary({END: whole.ends} | {bytes(r.word): r.c for r in frequent}, own_classes, totals)
+    dictionary = Dictionary(known, own_classes, totals)
     shared = spark.sparkContext.broadcast(dictionary)
     encoded = materialize(
         rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
