@@ -5,7 +5,7 @@ a whole vector, so an item rated by a third of all users is just many rows.
 
 Fitting is one streaming pass per partition (facility opening with a growing cost, after Shindler,
 Wong and Meyerson 2011) over fixed-size sketches of the vectors, a tree of merges over the weighted
-centroids the partitions return, and then exact centroids from the resulting assignment.
+centroids the partitions return, and then exact rounds over the vectors themselves.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from prefspark.plans.session import materialize
 SKETCH_DIMS = 256
 FAN_IN = 64
 GROWTH = 1.5
+BATCH = 256
 
 
 # -- vectors -----------------------------------------------------------------------
@@ -54,53 +55,98 @@ def new_item_vectors(
 
 
 class _Centroids:
-    """At most `limit()` weighted centroids over a stream of weighted points."""
+    """A bounded number of weighted centroids over a stream of weighted points."""
 
-    def __init__(self, k: int, cutoff: float, dims: int, fixed_limit: bool):
-        self.k, self.cutoff, self.fixed_limit = k, cutoff, fixed_limit
-        self.vectors, self.weights = np.empty((0, dims)), np.empty(0)
-        self.seen = 0
+    def __init__(self, k: int, cutoff: float, dims: int):
+        self.k, self.cutoff = k, cutoff
+        self.vectors, self.weights = np.empty((2 * k, dims)), np.empty(2 * k)
+        self.n = self.seen = 0
 
     def limit(self) -> int:
-        if self.fixed_limit:
-            return self.k
         return max(self.k, self.k * math.ceil(math.log2(self.seen + 1)))
 
-    def add(self, x: np.ndarray, weight: float, draw: float) -> None:
-        self.seen += 1
-        self._place(x, weight, draw)
-        while len(self.weights) > self.limit():
-            self.cutoff *= GROWTH
-            vectors, weights = self.vectors, self.weights
-            self.vectors, self.weights = vectors[:0], weights[:0]
-            for n, (v, w) in enumerate(zip(vectors, weights)):
-                self._place(v, w, (draw + n * 0.6180339887498949) % 1.0)
+    def extend(self, points: np.ndarray, weights: np.ndarray, draws: np.ndarray) -> None:
+        """Absorb at once what is near by, and open or place the rest one after the other."""
+        self.seen += len(points)
+        left = np.arange(len(points))
+        if self.n:
+            near, distance = self._nearest(points)
+            absorbed = draws >= np.minimum(1.0, weights * distance / self.cutoff)
+            self._absorb(near[absorbed], points[absorbed], weights[absorbed])
+            left = left[~absorbed]
+        for at in left:
+            self._place(points[at], weights[at], draws[at])
+            while self.n > self.limit():
+                self.cutoff *= GROWTH
+                vectors, held = self.vectors[: self.n].copy(), self.weights[: self.n].copy()
+                self.n = 0
+                for nth, (v, w) in enumerate(zip(vectors, held)):
+                    self._place(v, w, (draws[at] + nth * 0.6180339887498949) % 1.0)
+
+    def _nearest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        distance = _manhattan(points, self.vectors[: self.n])
+        near = distance.argmin(axis=1)
+        return near, distance[np.arange(len(points)), near]
+
+    def _absorb(self, near: np.ndarray, points: np.ndarray, weights: np.ndarray) -> None:
+        added = np.bincount(near, weights, self.n)
+        moved = np.zeros((self.n, points.shape[1]))
+        np.add.at(moved, near, points * weights[:, None])
+        total = self.weights[: self.n] + added
+        self.vectors[: self.n] = (self.vectors[: self.n] * self.weights[: self.n, None] + moved) / total[:, None]
+        self.weights[: self.n] = total
 
     def _place(self, x: np.ndarray, weight: float, draw: float) -> None:
-        if len(self.weights):
-            distance = np.abs(self.vectors - x).sum(axis=1)
+        if self.n:
+            distance = np.abs(self.vectors[: self.n] - x).sum(axis=1)
             near = int(distance.argmin())
             if draw >= min(1.0, weight * distance[near] / self.cutoff):
                 total = self.weights[near] + weight
                 self.vectors[near] += (x - self.vectors[near]) * (weight / total)
                 self.weights[near] = total
                 return
-        self.vectors = np.vstack([self.vectors, x])
-        self.weights = np.append(self.weights, weight)
+        if self.n == len(self.weights):
+            self.vectors = np.concatenate([self.vectors, np.empty_like(self.vectors)])
+            self.weights = np.concatenate([self.weights, np.empty_like(self.weights)])
+        self.vectors[self.n], self.weights[self.n] = x, weight
+        self.n += 1
 
 
-def _sketch_pass(k: int, cutoff: float, dims: int, fixed_limit: bool):
+def _manhattan(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return np.stack([np.abs(points - c).sum(axis=1) for c in centers], axis=1)
+
+
+def _sketch_pass(k: int, cutoff: float, dims: int):
     def run(batches):
-        found = _Centroids(k, cutoff, dims, fixed_limit)
+        found = _Centroids(k, cutoff, dims)
         for batch in batches:
-            for v, w, draw in zip(batch["v"], batch["weight"], batch["draw"]):
-                found.add(np.asarray(v), w, draw)
-        if len(found.weights):
-            yield pd.DataFrame({"v": list(found.vectors), "weight": found.weights})
+            for start in range(0, len(batch), BATCH):
+                some = batch.iloc[start : start + BATCH]
+                found.extend(np.stack(some["v"].to_numpy()), some["weight"].to_numpy(), some["draw"].to_numpy())
+        if found.n:
+            yield pd.DataFrame({"v": list(found.vectors[: found.n]), "weight": found.weights[: found.n]})
 
     return run
 
 
+def _ball(points: np.ndarray, weights: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
+    """k centers of a small weighted set: the heaviest point, then ever the one that weighs most by its
+    distance to those before; a few rounds of weighted means."""
+    chosen = [int(weights.argmax())]
+    distance = np.abs(points - points[chosen[0]]).sum(axis=1)
+    while len(chosen) < min(k, len(points)) and (distance > 0).any():
+        chosen.append(int((weights * distance).argmax()))
+        distance = np.minimum(distance, np.abs(points - points[chosen[-1]]).sum(axis=1))
+    centers = points[chosen]
+    for _ in range(rounds):
+        near = _manhattan(points, centers).argmin(axis=1)
+        mass = np.bincount(near, weights, len(centers))
+        sums = np.zeros_like(centers)
+        np.add.at(sums, near, points * weights[:, None])
+        centers = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1e-12)[:, None], centers)
+    return centers
+
+
 def _draw(seed: int, *columns: str):
     """A number in [0, 1) that depends on the row alone, so a repeated task opens the same facilities."""
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1_000_003)) / 1_000_003
@@ -127,42 +173,53 @@ def fit_streaming_kmeans(
     cutoff: float = 10.0,
     seed: int = 42,
     sketch_dims: int = SKETCH_DIMS,
+    rows_per_part: int = 10_000,
+    rounds: int = 2,
 ) -> tuple[DataFrame, DataFrame]:
-    """(centroids, assignment): at most k weighted centroids, and each item's centroid.
-
-    `cutoff` is the starting cost of opening a centroid; it grows while there are too many.
+    """(centroids, assignment): at most k weighted centroids, and each item's nearest one.
+
+    The streaming pass starts with `cutoff` as the cost of opening a centroid, over parts of about
+    `rows_per_part` items, so the model is a function of the vectors and these arguments. It works on
+    sketches: dimensions are hashed into `sketch_dims` sums, which only choose where the exact rounds
+    start. Each of these takes every item to its nearest centroid in the full space and the means anew;
+    at the end every item is at its nearest centroid, and a centroid's weight is the number of items
+    whose mean it is.
     """
-    spark = vectors.sparkSession
     sketches = materialize(sketch_vectors(vectors, sketch_dims), "sketches")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, math.ceil(sketches.count() / rows_per_part))
     # Placed and ordered by hash: the same input gives the same centroids.
     points = (
         sketches.select("v", F.lit(1.0).alias("weight"), _draw(seed, "item_id").alias("draw"), "item_id")
         .repartition(parts, "item_id")
-        .sortWithinPartitions(F.xxhash64("item_id"))
+        .sortWithinPartitions(F.xxhash64("item_id"), "item_id")
     )
     schema = "v array<double>, weight double"
-    found = points.mapInPandas(_sketch_pass(k, cutoff, sketch_dims, False), schema)
-    while True:
+    found = materialize(points.mapInPandas(_sketch_pass(k, cutoff, sketch_dims), schema), "sketch-centroids")
+    while parts > 1:
         parts = math.ceil(parts / FAN_IN)
         keyed = found.withColumn("h", F.xxhash64("v", "weight"))
         merged = keyed.withColumn("draw", _draw(seed, "h")).repartition(parts, "h")
         merged = merged.sortWithinPartitions(F.desc("weight"), "h")
-        found = merged.mapInPandas(_sketch_pass(k, cutoff, sketch_dims, parts == 1), schema)
-        if parts == 1:
-            break
-    # k rows of fixed width, whatever the data.
-    centers = np.stack([np.asarray(r.v) for r in found.collect()] or [np.zeros(sketch_dims)])
+        found = materialize(merged.mapInPandas(_sketch_pass(k, cutoff, sketch_dims), schema), "sketch-centroids")
+    # At most k * log2(items) rows of fixed width.
+    rows = sorted(found.collect(), key=lambda r: (-r.weight, r.v))
+    if rows:
+        centers = _ball(np.array([r.v for r in rows]), np.array([r.weight for r in rows]), k)
+    else:
+        centers = np.zeros((1, sketch_dims))
 
     def assign(batches):
         for batch in batches:
             if len(batch):
-                x = np.stack(batch["v"].to_numpy())
-                distance = np.stack([np.abs(x - c).sum(axis=1) for c in centers], axis=1)
+                distance = _manhattan(np.stack(batch["v"].to_numpy()), centers)
                 yield pd.DataFrame({"item_id": batch["item_id"], "centroid_id": distance.argmin(axis=1)})
 
     assignment = sketches.mapInPandas(assign, "item_id long, centroid_id long")
-    return centroids_of(vectors, assignment), assignment
+    centroids = materialize(centroids_of(vectors, assignment), "centroids")
+    for _ in range(rounds):
+        assignment = materialize(nearest_centroid(vectors, centroids).drop("distance"), "assignment")
+        centroids = materialize(centroids_of(vectors, assignment), "centroids")
+    return centroids, nearest_centroid(vectors, centroids).drop("distance")
 
 
 def centroids_of(vectors: DataFrame, assignment: DataFrame) -> DataFrame:

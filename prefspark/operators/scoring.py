@@ -8,6 +8,8 @@ of the block.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -15,9 +17,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 
 from prefspark.functions.columns import dot, l1_norm
-from prefspark.operators.itembased import Rescore, _rescored
 from prefspark.operators.topk import top_n
 
+BlockRescore = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
 CHUNK_REQUESTS = 1024
 BLOCK_CANDIDATES = 4096
 
@@ -56,16 +59,20 @@ def estimate_preference(pairs: DataFrame, user_factors: DataFrame, item_factors:
     return scored.withColumn("value", F.col("value").cast("float"))
 
 
-def _best_of_block(how_many: int, digits: int | None, keep_all: bool):
+def _best_of_block(how_many: int, digits: int | None, rescore: BlockRescore | None):
     def best(key: tuple, left: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         columns = ["label", "request_id", "item_id", "value"]
         requests = left[left["seen_item"].isna()]
         if requests.empty or block.empty:
             return pd.DataFrame(columns=columns)
+        # In the order of ids, which decides between equal scores.
+        block = block.sort_values("item_id")
         ids = block["item_id"].to_numpy()
         users = np.stack(requests["features"].to_numpy())
         vectors = [np.zeros(users.shape[1]) if v is None else v for v in block["features"]]
         scores = users @ np.stack(vectors).T
+        if rescore is not None:
+            scores = np.array(rescore(ids[None, :], scores), float)
         if digits is not None:
             scores = np.round(scores, digits)
         seen = left[left["seen_item"].notna()]
@@ -76,10 +83,12 @@ def _best_of_block(how_many: int, digits: int | None, keep_all: bool):
             scores[row[known], col[known]] = np.nan
         scores = np.where(np.isnan(scores), -np.inf, scores)
         kept = scores > -np.inf
-        if not keep_all and how_many < len(ids):
-            # Everything that ties with the last place stays in; the final ranking decides.
-            last = np.partition(scores, len(ids) - how_many, axis=1)[:, len(ids) - how_many]
-            kept &= scores >= last[:, None]
+        if how_many < len(ids):
+            # All above the last place, and of its ties as many as fit, by id.
+            last = np.partition(scores, len(ids) - how_many, axis=1)[:, len(ids) - how_many, None]
+            above, ties = scores > last, scores == last
+            room = how_many - above.sum(axis=1, keepdims=True)
+            kept &= above | (ties & (ties.cumsum(axis=1) <= room))
         rows, cols = np.nonzero(kept)
         return pd.DataFrame(
             {
@@ -101,7 +110,7 @@ def top_unseen(
     cands: DataFrame,
     how_many: int = 10,
     asked: DataFrame | None = None,
-    rescore: Rescore | None = None,
+    rescore: BlockRescore | None = None,
     digits: int | None = None,
     missing_as_zero: bool = False,
     chunk_requests: int = CHUNK_REQUESTS,
@@ -112,8 +121,9 @@ def top_unseen(
     requests: (request_id, label, features); seen: (request_id, item_id). `asked` is the requests'
     (request_id, label) where that is cheaper to get than the vectors; it may hold more. Items without a vector are
     no candidates or, with `missing_as_zero`, score 0. With `digits` scores are rounded before they are ranked, so that the order does
-    not hang on the last bits of a sum. A `rescore` may change any order, so blocks then hand over
-    all their scores.
+    not hang on the last bits of a sum. `rescore` is called inside the block with numpy arrays, the item ids
+    as one row and the scores of all its requests, and returns the scores to rank by; NaN leaves a
+    candidate out. A block hands over `how_many` rows per request at most, ties broken by item id.
     """
     asked = requests.select("request_id", "label") if asked is None else asked
     items = item_factors.select(F.col("id").alias("item_id"), "features")
@@ -164,12 +174,10 @@ def top_unseen(
         .groupBy(*cell)
         .cogroup(blocks.groupBy(*cell))
         .applyInPandas(
-            _best_of_block(how_many, digits, rescore is not None),
+            _best_of_block(how_many, digits, rescore),
             f"label string, request_id {request_type}, item_id long, value double",
         )
     )
-    if rescore is not None:
-        scored = _rescored(scored, rescore, digits)
     return top_n(scored, "request_id", how_many).select(
         "label", "request_id", "rank", "item_id", "value"
     )

@@ -83,6 +83,7 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from prefspark.plans import (  # noqa: F401
+        queries_facts,
         queries_models,
         queries_preferences,
         queries_recommend,

@@ -332,6 +332,16 @@ def delete_candidates(spark, d):
     return C.delete_candidates(V.cands_e(spark, d), gone)[0]
 
 
+@query(
+    "delete_candidates_labels",
+    with_views("cands_e", "SELECT DISTINCT label FROM pref_events WHERE preference > 200"),
+)
+def delete_candidates_labels(spark, d):
+    """The labels whose models the deletion touches."""
+    gone = V.pref_events(spark, d).where("preference > 200")
+    return C.delete_candidates(V.cands_e(spark, d), gone)[1]
+
+
 @query(
     "delete_all_candidates",
     with_views(

@@ -115,7 +115,7 @@ SELECT i AS item_id, j AS other_item_id, k11 AS "both" FROM k""",
     ),
 )
 def pair_cooccurrence_heavy(spark, d):
-    """Every basket of more than 40 items, most of them here, goes through the block products."""
+    """Every basket of more than 40 items, most of them here, is cut into chunks."""
     return S.pair_cooccurrence(V.prefs_e(spark, d), chunk_items=40)
 
 
@@ -338,12 +338,12 @@ def estimate_preference(spark, d):
     return R.estimate_preference(pairs, f, f).withColumn("value", F.round(F.col("value").cast("double"), DIGITS))
 
 
-def _mf_sql(seen: str) -> str:
+def _mf_sql(seen: str, value: str = _DOT) -> str:
     return with_views(
         "prefs_o cands_o factors pref_events",
         f""", asked AS (SELECT o_custkey AS user_id, label FROM (SELECT DISTINCT o_custkey FROM orders) o,
   (SELECT DISTINCT label FROM cands_o) l),
-scored AS (SELECT a.label, a.user_id, c.item_id, round({_DOT}, 6) AS value FROM asked a
+scored AS (SELECT a.label, a.user_id, c.item_id, round({value}, 6) AS value FROM asked a
   JOIN factors u ON u.id = a.user_id JOIN cands_o c ON c.label = a.label JOIN factors v ON v.id = c.item_id
   WHERE c.item_id IN (SELECT item_id FROM prefs_o) AND NOT EXISTS
   (SELECT 1 FROM {seen} s WHERE s.user_id = a.user_id AND s.item_id = c.item_id))
@@ -351,7 +351,7 @@ scored AS (SELECT a.label, a.user_id, c.item_id, round({_DOT}, 6) AS value FROM
     )
 
 
-def _mf(spark, d, seen=None):
+def _mf(spark, d, seen=None, **options):
     f, cands = V.factors(spark, d), V.cands_o(spark, d)
     labels = cands.select("label").distinct()
     every = F.collect_set("label").alias("labels")
@@ -360,7 +360,7 @@ def _mf(spark, d, seen=None):
     asked = users.withColumn("labels", labels.agg(every).scalar()).select(
         "user_id", F.explode("labels").alias("label")
     )
-    return R.recommend_mf(asked, V.prefs_o(spark, d), f, f, cands, 10, seen=seen, digits=DIGITS)
+    return R.recommend_mf(asked, V.prefs_o(spark, d), f, f, cands, 10, seen=seen, digits=DIGITS, **options)
 
 
 @query("recommend_mf", _mf_sql("prefs_o"))
@@ -373,6 +373,12 @@ def recommend_mf_given(spark, d):
     return _mf(spark, d, seen=V.pref_events(spark, d))
 
 
+@query("recommend_mf_rescored", _mf_sql("prefs_o", f"{_DOT} / (1 + c.item_id % 2)"))
+def recommend_mf_rescored(spark, d):
+    """Parts with odd numbers count half."""
+    return _mf(spark, d, rescore=lambda item, value: value / (1 + item % 2))
+
+
 _FOLD_SQL = """, given AS (SELECT DISTINCT user_id || ':' || label AS request_id, label, item_id FROM label_prefs),
 parts AS (SELECT g.request_id, generate_subscripts(f.features, 1) AS dim, unnest(f.features) AS x
   FROM given g JOIN factors f ON f.id = g.item_id),
@@ -608,3 +614,99 @@ def recommend_dispatch(spark, d):
         item_factors=f,
         digits=DIGITS,
     ).drop("error")
+
+
+@query(
+    "recommend_dispatch_itembased",
+    with_views(
+        "prefs_e cands_e",
+        f""", {MODEL_E},
+est AS (SELECT p.user_id AS request_id, t.similar_item_id AS item_id,
+  round(sum(t.similarity * CAST(p.preference AS DOUBLE)) / nullif(sum(t.similarity), 0.0), 10) AS value FROM prefs_e p
+  JOIN top t ON t.item_id = p.item_id JOIN cands_e c ON c.label = 'purchase' AND c.item_id = t.similar_item_id
+  WHERE p.user_id % 3 = 0 GROUP BY 1, 2),
+by_user AS (SELECT * FROM est e WHERE value IS NOT NULL AND NOT EXISTS
+  (SELECT 1 FROM prefs_e p WHERE p.user_id = e.request_id AND p.item_id = e.item_id)),
+given AS (SELECT DISTINCT user_id AS request_id, item_id, CASE WHEN user_id % 3 = 1 THEN 'click' ELSE 'view' END AS label
+  FROM pref_events WHERE user_id % 3 <> 0),
+by_items AS (SELECT g.request_id, t.similar_item_id AS item_id, round(avg(t.similarity), 10) AS value FROM given g
+  JOIN top t USING (item_id) JOIN cands_e c ON c.label = g.label AND c.item_id = t.similar_item_id
+  WHERE NOT EXISTS (SELECT 1 FROM given o WHERE o.request_id = g.request_id AND o.item_id = t.similar_item_id) GROUP BY 1, 2),
+scored AS (SELECT * FROM by_user UNION ALL SELECT * FROM by_items)
+SELECT request_id, rank, item_id, CAST(value AS FLOAT) AS value FROM ({best_sql("request_id", "scored", 5)}) t""",
+    ),
+)
+def recommend_dispatch_itembased(spark, d):
+    """Some users ask by their history, all for purchases; others by their items, for labels no user asks."""
+    asked = (
+        V.pref_events(spark, d)
+        .groupBy("user_id")
+        .agg(F.collect_set("item_id").alias("items"))
+        .select(
+            F.col("user_id").alias("request_id"),
+            F.when(F.col("user_id") % 3 == 0, F.col("user_id")).alias("user_id"),
+            F.when(F.col("user_id") % 3 != 0, F.col("items")).alias("item_ids"),
+            F.when(F.col("user_id") % 3 == 0, "purchase").when(F.col("user_id") % 3 == 1, "click").otherwise("view").alias("label"),
+            F.lit(5).alias("how_many"),
+        )
+    )
+    return recommend(
+        "itembased", asked, V.cands_e(spark, d), prefs=V.prefs_e(spark, d), sims=model_e(spark, d), digits=10
+    ).select("request_id", "rank", "item_id", F.col("value").cast("float").alias("value"))
+
+
+_ORDER_ITEMS = """, req AS (SELECT l_orderkey AS request_id, list_sort(list(DISTINCT l_partkey)) AS items,
+  CASE WHEN l_orderkey % 2 = 0 THEN 'PROMO' ELSE 'ECONOMY' END AS label FROM lineitem GROUP BY 1),
+given AS (SELECT request_id, label, unnest(items) AS item_id, generate_subscripts(items, 1) AS rank FROM req)"""
+
+
+def order_requests(spark, d):
+    """Every order's parts as an item request; even orders ask for one label, odd ones for another."""
+    return (
+        V.table(spark, d, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("request_id"))
+        .agg(F.array_sort(F.collect_set("l_partkey")).alias("item_ids"))
+        .select(
+            "request_id",
+            F.lit(None).cast("long").alias("user_id"),
+            "item_ids",
+            F.when(F.col("request_id") % 2 == 0, "PROMO").otherwise("ECONOMY").alias("label"),
+            F.lit(5).alias("how_many"),
+        )
+    )
+
+
+@query(
+    "recommend_dispatch_topics",
+    with_views(
+        "cands_o factors",
+        f"""{_ORDER_ITEMS},
+scored AS (SELECT g.request_id, c.item_id, coalesce(round({_DOT}, 6), 0.0) AS value FROM given g
+  JOIN factors u ON u.id = g.item_id JOIN cands_o c ON c.label = g.label LEFT JOIN factors v ON v.id = c.item_id
+  WHERE g.rank = 1 AND NOT EXISTS (SELECT 1 FROM given o WHERE o.request_id = g.request_id AND o.item_id = c.item_id))
+{best_sql("request_id", "scored", 5)}""",
+    ),
+)
+def recommend_dispatch_topics(spark, d):
+    """By the topics of an order's first part; most parts have none and score 0."""
+    topics = V.factors(spark, d).select(F.col("id").alias("item_id"), F.col("features").alias("topics"))
+    return recommend("lda", order_requests(spark, d), V.cands_o(spark, d), topics=topics, digits=DIGITS).drop("error")
+
+
+@query(
+    "recommend_dispatch_clusters",
+    with_views(
+        "prefs_o cands_o",
+        f"""{_CLUSTER_SQL}{_ORDER_ITEMS},
+answers AS (SELECT g.request_id, CAST(g.rank AS INTEGER) AS rank, g.item_id,
+  round(s.weight / (SELECT max(weight) FROM stats), 6) AS value, CAST(NULL AS VARCHAR) AS error
+  FROM given g JOIN near USING (item_id) JOIN stats s USING (centroid_id))
+SELECT * FROM answers UNION ALL
+SELECT request_id, NULL, NULL, NULL, 'no item is known' FROM req WHERE request_id NOT IN (SELECT request_id FROM answers)""",
+    ),
+)
+def recommend_dispatch_clusters(spark, d):
+    """An order none of whose parts was rated by a heavy user has an error row."""
+    vectors, centroids = type_centroids(spark, d)
+    got = recommend("clusters", order_requests(spark, d), V.cands_o(spark, d), vectors=vectors, centroids=centroids)
+    return got.withColumns({"rank": F.col("rank").cast("int"), "value": F.round("value", DIGITS)})

@@ -6,12 +6,12 @@ Input files, logs and checkpoints go below the session's shared folder, a fresh
 from pyspark.sql import functions as F
 
 from prefspark import views as V
-from prefspark.operators import clustering as K
+from prefspark.operators import clustering as K, similarity as S
 from prefspark.operators.text import article_variants
 from prefspark.plans.catalog import query, with_views
-from prefspark.plans.queries_recommend import MODEL_E, model_e
+from prefspark.plans.queries_recommend import MODEL_E, MODEL_O, label_prefs, model_e
 from prefspark.plans.queries_text import _clean, _words
-from prefspark.plans.session import scratch_path
+from prefspark.plans.session import materialize, scratch_path
 from prefspark.sources import files, models, sinks
 from prefspark.streaming import content as W, preferences as SP
 
@@ -211,6 +211,29 @@ def write_similarities(spark, d):
     return models.read_similarities(spark, path)
 
 
+@query(
+    "write_similarities_by_label",
+    with_views("label_prefs", f", {MODEL_O}\nSELECT label, item_id, similar_item_id, similarity FROM top"),
+)
+def write_similarities_by_label(spark, d):
+    path = scratch_path(spark, "similarities")
+    models.write_similarities(S.similar_items_model(label_prefs(spark, d), 25, digits=6), path)
+    return models.read_similarities(spark, path, labelled=True)
+
+
+@query(
+    "save_similarities",
+    with_views("label_prefs", f", {MODEL_O}\nSELECT label, item_id, similar_item_id, similarity, rank FROM top"),
+)
+def save_similarities(spark, d):
+    """The version in force, after one that held a single label's pairs."""
+    root = scratch_path(spark, "similarities")
+    sims = materialize(S.similar_items_model(label_prefs(spark, d), 25, digits=6), "model")
+    models.save_similarities(sims.where("label = 'PROMO'"), root)
+    models.save_similarities(sims, root)
+    return models.load_similarities(spark, root).select("label", "item_id", "similar_item_id", "similarity", "rank")
+
+
 @query(
     "write_article_variants",
     with_views("articles", f", a AS (SELECT * FROM articles)\n{_VARIANT_SQL}"),

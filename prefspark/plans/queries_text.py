@@ -57,6 +57,22 @@ def article_variants(spark, d):
     return X.article_variants(V.articles(spark, d)).select("item_id", "label", "training_set", "text")
 
 
+@query(
+    "article_variants_sceal2",
+    with_views(
+        "articles",
+        f"""SELECT item_id, label, training_set, t AS text FROM (
+SELECT item_id, label, 'SCEAL2' AS training_set, text || ' ' || label AS t FROM articles
+UNION ALL SELECT item_id, label, 'processedSCEAL2', {_clean("text || ' ' || label")} FROM articles) v""",
+    ),
+)
+def article_variants_sceal2(spark, d):
+    """The second context, here the article's source."""
+    articles = V.articles(spark, d).drop("sce_al1").withColumn("sce_al2", F.col("label"))
+    found = X.article_variants(articles).where(F.col("training_set").endswith("SCEAL2"))
+    return found.select("item_id", "label", "training_set", "text")
+
+
 _TF = f"""tf AS (SELECT item_id, term, count(*) AS tf FROM
 (SELECT doc_id AS item_id, unnest({_words(_clean("text"))}) AS term FROM documents) t GROUP BY 1, 2)"""
 

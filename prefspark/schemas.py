@@ -78,4 +78,3 @@ TUNING_RESULTS = T.StructType(
 )
 
 DEFAULT_HOW_MANY = 10
-DEFAULT_MAX_RECORDS_PER_FILE = 10_000

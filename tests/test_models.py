@@ -203,6 +203,24 @@ def test_streaming_kmeans_finds_the_groups(spark):
     assert centroids.columns == CENTROIDS.fieldNames()
 
 
+def test_clusters_are_a_function_of_the_vectors(spark):
+    """Session settings and the order of rows change nothing, every item is at its nearest centroid, k are found."""
+    data = [(i, 50 * (i % 8) + u, 1.0) for i in range(160) for u in range(12) if (i * 7 + u) % 5]
+    vectors = spark.createDataFrame(data, "item_id long, dim long, value double")
+    before, models = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts, df in ((4, vectors), (8, vectors.repartition(3).sort(F.desc("dim")))):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            centroids, assignment = K.fit_streaming_kmeans(df, k=8, cutoff=5.0, rows_per_part=50)
+            models.append((sorted((r[0], r[1], r[2], round(r[3], 9)) for r in centroids.collect()), sorted(map(tuple, assignment.collect()))))
+            near = {r.item_id: r.centroid_id for r in K.nearest_centroid(df, centroids).collect()}
+            assert near == dict(models[-1][1])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert models[0] == models[1]
+    assert len({c for _, c in models[0][1]}) == 8 and sum({r[0]: r[1] for r in models[0][0]}.values()) == 160
+
+
 def test_nearest_centroid_is_the_nearest(spark):
     vectors = group_vectors(spark)
     centroids = spark.createDataFrame(

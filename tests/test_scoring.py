@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from prefspark.operators import scoring as R
@@ -68,6 +69,16 @@ def test_rescore_sees_every_score(spark):
     assert [r.item_id for r in sorted(flipped, key=lambda r: r["rank"])] == pool[:3]
 
 
+def test_blocks_hand_over_how_many_rows_whatever_the_ties():
+    left = pd.DataFrame({"request_id": range(5), "features": [np.ones(2)] * 5, "seen_item": [None] * 5})
+    block = pd.DataFrame({"item_id": [*range(200, 100, -1)], "features": [np.ones(2)] * 99 + [None]})
+    out = R._best_of_block(10, 6, None)(("l", 0, 0), left, block)
+    assert len(out) == 50 and sorted(set(out["item_id"])) == [*range(102, 112)]
+    seen = pd.DataFrame({"request_id": [2], "features": [None], "seen_item": [103]})
+    out = R._best_of_block(10, 6, lambda item, value: value - (item > 110))(("l", 0, 0), pd.concat([left, seen]), block)
+    assert sorted(out[out["request_id"] == 2]["item_id"]) == [102, *range(104, 113)]
+
+
 def test_unseen_items(spark, rows):
     prefs = spark.createDataFrame([(1, 1, 1.0), (2, 2, 1.0)], PREFS)
     cands = spark.createDataFrame([("l", 1), ("l", 2), ("l", 3)], "label string, item_id long")
