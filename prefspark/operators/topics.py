@@ -38,12 +38,13 @@ def train_topics(
     iters: int = 20,
     max_df_sigma: float = 2.5,
     weighting: str = "counts",
-    subsampling: float | None = None,
+    subsampling: float = 1.0,
     seed: int = 42,
     text: str = "text",
 ) -> TopicModel:
     """Fit topics on (item_id, text). `max_df_sigma` prunes the dictionary as `prune_vocabulary` does.
 
+    Every iteration reads all documents; a smaller `subsampling` reads a random share of them each time.
     The dictionary and the topics, k numbers per term, are what the solver keeps on the driver; texts
     never go there.
     """
@@ -72,7 +73,7 @@ def train_topics(
         optimizer="online",
         docConcentration=[alpha],
         topicConcentration=eta,
-        subsamplingRate=subsampling if subsampling is not None else 0.05,
+        subsamplingRate=subsampling,
     )
     # Every iteration reads the vectors: they are written once, spread evenly.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -49,5 +49,17 @@ def current(spark: SparkSession, root: str):
     return None if found is None or found.v is None else (found.v.version, found.v.model_key)
 
 
+def training(spark: SparkSession, root: str):
+    """(version, model_key) of the newest training, or None: what its later versions were made with."""
+    try:
+        log = spark.read.schema(_LOG).parquet(f"{root.rstrip('/')}/published")
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    found = log.where("retrained").agg(F.max_by(F.struct("version", "model_key"), "seq").alias("v")).first()
+    return None if found.v is None else (found.v.version, found.v.model_key)
+
+
 def save(df: DataFrame, root: str, part: str, version: str, **write_options) -> None:
     df.write.options(**write_options).mode("overwrite").parquet(version_path(root, version, part))

@@ -4,13 +4,28 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
+from pyspark.ml.clustering import LocalLDAModel
+from pyspark.ml.feature import CountVectorizerModel, IDFModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from prefspark.plans.publish import current, new_version, publish, save, version_path
+from prefspark.operators.topics import TopicModel
+from prefspark.plans.publish import current, new_version, publish, save, training, version_path
 from prefspark.schemas import FACTORS, SIMILARITIES, TOPICS
 
 
+def read_or_none(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
+    """A parquet table, or None where nothing was written yet."""
+    try:
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return reader.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def write_similarities(sims: DataFrame, path: str) -> None:
     """Text lines item,similar item,value; a model of several labels has a folder for each."""
     columns = ["item_id", "similar_item_id", "similarity"]
@@ -78,8 +93,70 @@ def save_topic_model(topics: DataFrame, root: str, expected_key: str | None = No
     return key
 
 
-def load_topic_model(spark: SparkSession, root: str) -> tuple[DataFrame, str | None]:
+def load_topic_model(spark: SparkSession, root: str, but_batch: int | None = None) -> tuple[DataFrame, str | None]:
+    """(item topics, key) in force: those of the version and those appended under its key.
+
+    `but_batch` leaves out what one streaming batch appended, which it will write again.
+    """
     found = current(spark, root)
     if found is None:
         return spark.createDataFrame([], TOPICS), None
-    return spark.read.parquet(version_path(root, found[0], "topics")).select("item_id", "topics"), found[1]
+    version, key = found
+    topics = spark.read.parquet(version_path(root, version, "topics")).select("item_id", "topics")
+    added = read_or_none(spark, f"{root.rstrip('/')}/appended", _APPENDED)
+    if added is not None:
+        added = added.where(F.col("model_key") == key)
+        if but_batch is not None:
+            added = added.where(F.col("batch_id") != but_batch)
+        topics = topics.unionByName(added.select("item_id", "topics"))
+    return topics, key
+
+
+_APPENDED = "item_id long, topics array<double>, model_key string, batch_id long"
+
+
+def append_topics(topics: DataFrame, root: str, expected_key: str, batch_id: int) -> str | None:
+    """Add item topics inferred under a key; a batch written twice replaces itself.
+
+    They are discarded, and None returned, if another training has been published since.
+    """
+    found = current(topics.sparkSession, root)
+    if found is None or found[1] != expected_key:
+        return None
+    (
+        topics.select("item_id", "topics", F.lit(expected_key).alias("model_key"), F.lit(batch_id).cast("long").alias("batch_id"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("model_key", "batch_id")
+        .parquet(f"{root.rstrip('/')}/appended")
+    )
+    return expected_key
+
+
+def save_trained_topics(model: TopicModel, topics: DataFrame, root: str) -> str:
+    """Publish a new training whole: dictionary, weights and topics of the terms, and the items' topics."""
+    spark, key, version = topics.sparkSession, uuid.uuid4().hex[:10], new_version()
+    for part in ("counts", "idf", "lda"):
+        trained = getattr(model, part)
+        if trained is not None:
+            trained.write().overwrite().save(version_path(root, version, part))
+    parts = [(part,) for part in ("counts", "idf", "lda") if getattr(model, part) is not None]
+    save(spark.createDataFrame(parts, "part string"), root, "parts", version)
+    save(topics.withColumn("model_key", F.lit(key)), root, "topics", version)
+    publish(spark, root, version, key)
+    return key
+
+
+def load_trained_topics(spark: SparkSession, root: str) -> tuple[TopicModel, str] | None:
+    """The newest training's model and its key; None where none was stored."""
+    found = training(spark, root)
+    if found is None:
+        return None
+    version, key = found
+    stored = read_or_none(spark, version_path(root, version, "parts"))
+    if stored is None:
+        return None
+    parts = {r.part for r in stored.collect()}
+    kinds = {"counts": CountVectorizerModel, "idf": IDFModel, "lda": LocalLDAModel}
+    loaded = {part: kind.load(version_path(root, version, part)) if part in parts else None for part, kind in kinds.items()}
+    return TopicModel(**loaded), key

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,6 +20,7 @@ from prefspark.operators.preferences import (
     upsert_last,
     upsert_max,
 )
+from prefspark.sources.models import read_or_none
 
 
 def _write_batch(df: DataFrame, batch_id: int, path: str, *partitions: str) -> None:
@@ -33,16 +33,6 @@ def _write_batch(df: DataFrame, batch_id: int, path: str, *partitions: str) -> N
     )
 
 
-def _read_or_none(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
-    try:
-        reader = spark.read if schema is None else spark.read.schema(schema)
-        return reader.parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 def _start(stream: DataFrame, each_batch, checkpoint: str, available_now: bool) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -147,7 +137,7 @@ def stream_slot_log(
         newest = slotted.agg(F.max("slot_seq")).first()[0]
         if newest is None:
             return
-        log = _read_or_none(spark, log_path)
+        log = read_or_none(spark, log_path)
         before = None if log is None else log.agg(F.max("slot_seq")).first()[0]
         newest = max(newest, before if before is not None else newest)
         _write_batch(slotted.where(F.col("slot_seq") >= newest - 4), batch_id, log_path, "slot_seq")
@@ -186,7 +176,7 @@ def stream_retrain_triggers(
         spark = batch.sparkSession
         counts_path, triggers_path = f"{state_path}/counts", f"{state_path}/triggers"
         new = batch.groupBy("label").agg(F.count("*").alias("added"))
-        old = _read_or_none(spark, counts_path, "label string, changes long, batch_id long")
+        old = read_or_none(spark, counts_path, "label string, changes long, batch_id long")
         if old is None:
             totals = new.select("label", F.lit(0).cast("long").alias("before"), "added")
         else:
@@ -219,7 +209,7 @@ def stream_retrain_triggers(
 
 def read_retrain_triggers(spark: SparkSession, state_path: str) -> DataFrame:
     schema = "label string, changes long, batch_id long"
-    rows = _read_or_none(spark, f"{state_path}/triggers", schema)
+    rows = read_or_none(spark, f"{state_path}/triggers", schema)
     if rows is None:
         rows = spark.createDataFrame([], schema)
     return rows.select("label", "changes")

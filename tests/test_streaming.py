@@ -155,6 +155,30 @@ def test_articles_end_to_end(spark, feed, rows, tmp_path):
     }
 
 
+def test_articles_after_a_restart_and_a_retraining(spark, tmp_path):
+    """Each batch is inferred by the model in force; what was inferred under an older one is gone with it."""
+    root, corpus, cands, ck = (str(tmp_path / n) for n in ("model", "corpus", "cands", "ck"))
+    docs = spark.createDataFrame([(i, " ".join([["apple pear plum", "rock sand clay"][i % 2]] * 5)) for i in range(10)], "item_id long, text string")
+    train = lambda k: L.train_topics(docs, k=k, iters=3, max_df_sigma=-1.0)
+    schema = "item_id long, label string, text string"
+    first = train(2)
+    models.save_trained_topics(first, L.document_topics(first, docs), root)
+
+    def stream(row, name):
+        spark.createDataFrame([row], schema).write.parquet(str(tmp_path / name))
+        return spark.readStream.schema(schema).parquet(str(tmp_path / name))
+
+    finish(W.stream_articles(stream((50, "l", "apple pear apple plum"), "one"), corpus, cands, root, None, ck, 3, available_now=True))
+    topics = {r.item_id: r.topics for r in models.load_topic_model(spark, root)[0].collect()}
+    assert sorted(topics) == [*range(10), 50] and len(topics[50]) == 2
+    second = train(3)
+    models.save_trained_topics(second, L.document_topics(second, docs), root)
+    later = str(tmp_path / "ck2")
+    finish(W.stream_articles(stream((51, "l", "rock sand rock clay"), "two"), corpus + "2", cands, root, None, later, 3, available_now=True))
+    topics = {r.item_id: r.topics for r in models.load_topic_model(spark, root)[0].collect()}
+    assert sorted(topics) == [*range(10), 51] and {len(x) for x in topics.values()} == {3}
+
+
 def test_clusters_follow_the_stream(spark, feed, tmp_path):
     fit = [(100 * (i % 2) + u, i) for i in range(10) for u in range(6)]
     later = [(100 * (i % 2) + u, i) for i in range(10, 14) for u in range(6)] + [(999, 77)]
