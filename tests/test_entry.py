@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import pytest
 
@@ -14,7 +16,8 @@ def test_flagship(spark):
 
 def test_every_definition_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    without = set(entry.queries()) - set(entry.oracle_sql())
+    # The training-data operators, where present, have tests of their own.
+    without = {n for n in set(entry.queries()) - set(entry.oracle_sql()) if not re.match(r"op\d+_|pipeline$", n)}
     assert without == {
         "train_als_explicit", "train_als_implicit", "train_all_labels", "als_error_curve", "grid_search_als",
         "train_topics", "document_topics", "topic_terms_dump", "doc_topics_dump", "infer_topics",
