@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, Window, functions as F
 
 from prefspark.operators.preferences import num_items, num_users, preferences_for_label
+from prefspark.plans.session import materialize, scratch_path
 from prefspark.schemas import FACTORS
 
 # A label is trained with at least this many items and users.
@@ -59,8 +63,9 @@ def _fit(ratings: DataFrame, rank, reg, iters, implicit, alpha, seed, blocks):
 def _train(prefs, rank, reg, iters, implicit, alpha, seed, blocks, keys=()):
     """(user factors, item factors); `keys` are carried columns that keep blocks of ids apart."""
     keys = list(keys)
-    users = dense_index(prefs, [*keys, "user_id"], "user_idx")
-    items = dense_index(prefs, [*keys, "item_id"], "item_idx")
+    # Read for the fit and again for the names of its vectors.
+    users = materialize(dense_index(prefs, [*keys, "user_id"], "user_idx"), "user-index")
+    items = materialize(dense_index(prefs, [*keys, "item_id"], "item_idx"), "item-index")
     ratings = prefs.join(users, [*keys, "user_id"]).join(items, [*keys, "item_id"])
     model = _fit(ratings, rank, reg, iters, implicit, alpha, seed, blocks)
 
@@ -118,27 +123,35 @@ def train_all_labels(
     alpha: float = 40.0,
     seed: int = 42,
     blocks: int | None = None,
+    parallelism: int = 2,
 ) -> tuple[DataFrame, DataFrame]:
     """One model per label that passes the gate: vectors with a `label` column.
 
     Explicit models of different labels share no unknowns once (label, user) and (label, item) are
-    the ids, so all of them are one fit. Implicit models meet in the sum over all items, so they are
-    fitted label by label; each fit is distributed.
+    the ids, so all of them are one fit, up to the solver's 2^31 distinct ids; beyond that fit groups of
+    labels. Implicit models meet in the sum over all items, so they are fitted label by label, `parallelism`
+    at a time, on a view that is written once by label; each fit is distributed and its vectors are written.
     """
     gated = training_gate(prefs, cands).select("label")
     view = preferences_for_label(prefs, cands).join(gated, "label", "left_semi")
     if not implicit:
         return _train(view, rank, reg, iters, False, 1.0, seed, blocks, keys=["label"])
-    users = items = None
-    for row in gated.orderBy("label").toLocalIterator():
-        u, i = train_als_implicit(
-            view.where(F.col("label") == row.label), rank, reg, iters, alpha, seed, blocks
-        )
-        u, i = (d.select(F.lit(row.label).alias("label"), "id", "features") for d in (u, i))
-        users = u if users is None else users.unionByName(u)
-        items = i if items is None else items.unionByName(i)
-    if users is None:
-        users, items = (
-            d.withColumn("label", F.lit(None).cast("string")) for d in empty_factors(prefs.sparkSession)
-        )
-    return users, items
+    spark = prefs.sparkSession
+    path = scratch_path(spark, "label-view")
+    view.write.partitionBy("label").parquet(path)
+    stored = spark.read.schema(view.schema).parquet(path)
+
+    def fit(label: str) -> list[str]:
+        found = train_als_implicit(stored.where(F.col("label") == label), rank, reg, iters, alpha, seed, blocks)
+        paths = [scratch_path(spark, f"label-{side}") for side in ("users", "items")]
+        for vectors, at in zip(found, paths):
+            vectors.select(F.lit(label).alias("label"), "id", "features").write.parquet(at)
+        return paths
+
+    labels = [row.label for row in gated.orderBy("label").toLocalIterator()]
+    with ThreadPoolExecutor(parallelism) as pool:
+        written = list(pool.map(inheritable_thread_target(spark)(fit), labels))
+    if not written:
+        users, items = (d.withColumn("label", F.lit(None).cast("string")) for d in empty_factors(spark))
+        return users, items
+    return tuple(spark.read.parquet(*side) for side in zip(*written))

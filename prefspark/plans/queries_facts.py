@@ -9,8 +9,12 @@ from prefspark.operators import clustering as K, factors as M, scoring as R, spl
 from prefspark.plans.catalog import query, with_views
 from prefspark.plans.queries_models import _docs, _model
 from prefspark.plans.queries_recommend import _FOLD_SQL, label_baskets
+from prefspark.plans.queries_streaming import event_stream, finish
 from prefspark.plans.session import materialize, scratch_path
+from prefspark.plans.training import train
 from prefspark.sources import sinks
+from prefspark.sources.models import load_factors
+from prefspark.streaming import preferences as SP
 
 
 @query(
@@ -206,3 +210,29 @@ def doc_topics_dump_facts(spark, d):
     return dump.groupBy("item_id").agg(
         F.countDistinct("topic").alias("topics"), F.max("rank").alias("last"), F.round(F.sum("weight"), 6).isin(0.0, 1.0).alias("whole")
     )
+
+
+@query(
+    "train_by_name",
+    with_views(
+        "prefs_e cands_e",
+        """SELECT c.label, count(DISTINCT p.user_id) AS users, count(DISTINCT p.item_id) AS items FROM cands_e c JOIN prefs_e p USING (item_id)
+WHERE c.label IN (SELECT label FROM pref_events GROUP BY 1 HAVING count(*) >= 2000) GROUP BY 1
+HAVING count(DISTINCT p.item_id) >= 5 AND count(DISTINCT p.user_id) >= 10""",
+    ),
+)
+def train_by_name(spark, d):
+    """Labels whose changes reach a multiple of 2,000 in the stream are trained and published."""
+    state, root = scratch_path(spark, "triggers"), scratch_path(spark, "factors")
+    stream = event_stream(spark, d, "label", "ingest_seq")
+    finish(SP.stream_retrain_triggers(stream, state, scratch_path(spark, "ckpt"), 2000, available_now=True))
+    labels = [r.label for r in SP.read_retrain_triggers(spark, state).select("label").distinct().collect()]
+    prefs, cands = materialize(V.prefs_e(spark, d), "prefs"), materialize(V.cands_e(spark, d), "cands")
+    train("factorization", root, prefs, cands, labels, rank=4, iters=2)
+    users, items = load_factors(spark, root)
+    if "label" not in users.columns:  # nothing was due
+        users, items = (f.withColumn("label", F.lit(None).cast("string")) for f in (users, items))
+    return (
+        users.groupBy("label").agg(F.count("*").alias("users"))
+        .join(items.groupBy("label").agg(F.count("*").alias("items")), "label")
+    )
