@@ -57,60 +57,99 @@ def _digest(found: np.ndarray) -> tuple[int, int]:
     return high - (1 << 63), low - (1 << 63)
 
 
-_FIRST = "doc bigint, n bigint, d1 bigint, d2 bigint, piece int, counts binary"
+# ---- how common a shingle is ----
 
+#: log2 of the parts in which shingles are counted, of the bits that mark repeated shingles, and of the levels.
+BUCKETS, BITS, LEVELS = 14, 26, 22
 
-def _described(batches, size: int, slots: int) -> Iterator[pa.RecordBatch]:
-    """Every row's set by its size and 128-bit digest; at the end the task's shingles counted by slot, in pieces."""
 
-    def rows(doc, n, d1, d2, piece, counts):
-        columns = [pa.array(x, pa.int64()) for x in (doc, n, d1, d2)] + [pa.array(piece, pa.int32()), pa.array(counts, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["doc", "n", "d1", "d2", "piece", "counts"])
-
-    total = np.zeros(slots, np.int64)
-    for batch, sets in _sets(batches, 1, size):
-        digests = [_digest(s) for s in sets]
-        nothing = [None] * len(sets)
-        yield rows(batch.column(0), [len(s) for s in sets], [d[0] for d in digests], [d[1] for d in digests], nothing, nothing)
-        total += np.bincount(_slots(np.concatenate(sets), slots), minlength=slots)
-    if total.any():
-        for piece, values in enumerate(np.split(total, slots // _PIECE)):
-            yield rows([None], [None], [None], [None], [piece], [values.tobytes()])
-
-
-_PIECE = 4096
-
-
-def _slots(found: np.ndarray, slots: int) -> np.ndarray:
-    return ((found >> _U(20)) % _U(slots)).astype(np.int64)
-
-
-def _add_pieces(batches) -> Iterator[pa.RecordBatch]:
-    for group in runs(batches, ["piece"]):
-        total = np.zeros(_PIECE, np.int64)
-        for counts in group.column("counts"):
-            total += np.frombuffer(counts.as_buffer(), np.int64)
-        yield pa.RecordBatch.from_arrays([group.column("piece").chunk(0).slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["piece", "counts"])
+class Rarity:
+    """What all tasks know of all shingles: a mark for those that two or more sets have, and a level for
+    common ones, both by the first bits of the hash. Its size is fixed; a full table orders by hash alone.
+    """
 
+    def __init__(self, marks: np.ndarray, levels: np.ndarray):
+        self.marks, self.levels = marks, levels
+
+    @staticmethod
+    def of(regions: dict[int, tuple[bytes, bytes]]) -> Rarity:
+        marks, levels = np.zeros(1 << BITS - 3, np.uint8), np.zeros(1 << LEVELS, np.uint8)
+        for bucket, (own_marks, own_levels) in regions.items():
+            for whole, own in ((marks, own_marks), (levels, own_levels)):
+                whole[bucket * len(own) : (bucket + 1) * len(own)] = np.frombuffer(own, np.uint8)
+        return Rarity(marks, levels)
+
+    def prefix(self, found: np.ndarray, percent: int) -> np.ndarray:
+        """The shingles of a set's prefix that other sets may have.
+
+        All sets are ordered alike: unmarked shingles, then marked ones by level and hash. Unmarked ones are
+        in one set only and stand for themselves.
+        """
+        slot = (found >> _U(64 - BITS)).astype(np.int64)
+        marked = (self.marks[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+        shared = found[marked]
+        left = prefix_length(len(found), percent) - (len(found) - len(shared))
+        if left <= 0:
+            return shared[:0]
+        level = self.levels[(shared >> _U(64 - LEVELS)).astype(np.int64)]
+        return shared[np.lexsort((shared, level))[:left]]
+
+
+def region(bucket: int, hashes: np.ndarray) -> tuple[bytes, bytes]:
+    """The marks and levels of a bucket, from the shingles of all sets (a shingle as often as sets have it)."""
+    marks, levels = np.zeros(1 << BITS - BUCKETS, bool), np.zeros(1 << LEVELS - BUCKETS, np.uint8)
+    values, times = np.unique(hashes, return_counts=True)
+    values, times = values[times > 1], times[times > 1]
+    marks[(values >> _U(64 - BITS)).astype(np.int64) - (bucket << BITS - BUCKETS)] = True
+    at = (values >> _U(64 - LEVELS)).astype(np.int64) - (bucket << LEVELS - BUCKETS)
+    np.maximum.at(levels, at, (np.log2(times) * 2).astype(np.uint8))
+    return np.packbits(marks, bitorder="little").tobytes(), levels.tobytes()
+
+
+def _counted(batches, size: int) -> Iterator[pa.RecordBatch]:
+    """A task's shingles by bucket, sorted and with their bytes in planes, so that equal leading bytes compress."""
+    held, n, seen = [], 0, set()
+
+    def flush():
+        hashes = np.sort(np.concatenate(held))
+        ends = np.searchsorted(hashes >> _U(64 - BUCKETS), np.arange((1 << BUCKETS) + 1, dtype=_U))
+        used = np.flatnonzero(np.diff(ends))
+        planes = [np.ascontiguousarray(hashes[ends[b] : ends[b + 1]].view(np.uint8).reshape(-1, 8).T).tobytes() for b in used]
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(planes, pa.binary())], ["bucket", "hashes"])
 
-def _summed(described: DataFrame, slots: int) -> np.ndarray:
-    """Shingles of the whole corpus by slot: a fixed number of counts."""
-    pieces = (
-        described.where("piece IS NOT NULL")
-        .select("piece", "counts")
-        .repartition("piece")
-        .sortWithinPartitions("piece")
-        .mapInArrow(_add_pieces, "piece int, counts binary")
+    for _, sets in _sets(batches, 0, size):
+        for found in sets:
+            digest = _digest(found)
+            if len(found) and digest not in seen:
+                seen.add(digest)
+                held.append(found)
+                n += len(found)
+        if n > 4_000_000:
+            yield flush()
+            held, n = [], 0
+    if held:
+        yield flush()
+
+
+def _regions(batches) -> Iterator[pa.RecordBatch]:
+    for group in runs(batches, ["bucket"]):
+        bucket = group.column("bucket")[0].as_py()
+        planes = [np.frombuffer(x.as_buffer(), np.uint8).reshape(8, -1) for x in group.column("hashes")]
+        marks, levels = region(bucket, np.ascontiguousarray(np.concatenate(planes, axis=1).T).reshape(-1).view(_U))
+        columns = [pa.array([bucket], pa.int32()), pa.array([marks], pa.binary()), pa.array([levels], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "marks", "levels"])
+
+
+def rarity_of(texts: DataFrame, size: int) -> Rarity:
+    """Count the shingles of all sets; the driver gets 2^BITS bits and 2^LEVELS bytes, whatever the corpus."""
+    counted = (
+        texts.mapInArrow(lambda batches: _counted(batches, size), "bucket int, hashes binary")
+        .repartition("bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(_regions, "bucket int, marks binary, levels binary")
+        .toArrow()
     )
-    total = np.zeros((slots // _PIECE, _PIECE), np.int64)
-    for row in pieces.collect():
-        total[row.piece] = np.frombuffer(row.counts, np.int64)
-    return total.reshape(-1)
-
-
-def by_rarity(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A set in one order for all documents: rare slots first. Any one order gives right results."""
-    return found[np.lexsort((found, counts[_slots(found, len(counts))]))]
+    return Rarity.of({b: (m, v) for b, m, v in zip(*(counted[c].to_pylist() for c in ("bucket", "marks", "levels")))})
 
 
 # ---- search ----
@@ -226,36 +265,63 @@ def _shared(values: np.ndarray, found: np.ndarray) -> int:
 # ---- Spark ----
 
 
-def _prefixes(batches, size: int, percent: int, shared) -> Iterator[pa.RecordBatch]:
-    """The prefix of every set, once per task for copies."""
-    counts, seen = shared.value, set()
-    for _, sets in _sets(batches, 0, size):
-        keys, firsts, sizes = [], [], []
-        for found in sets:
-            digest = _digest(found)
-            if not len(found) or digest in seen:
+_SCANNED = "doc bigint, n bigint, d1 bigint, d2 bigint, shingle bigint"
+
+
+def _scanned(batches, size: int, percent: int, shared) -> Iterator[pa.RecordBatch]:
+    """Every row's set by its size and 128-bit digest, and the prefixes of sets: (n, d1, shingle), once per task for copies."""
+    rarity, seen = shared.value, set()
+    names = [c.split()[0] for c in _SCANNED.split(", ")]
+    for batch, sets in _sets(batches, 1, size):
+        digests = [_digest(s) for s in sets]
+        docs = batch.column(0).to_pylist()
+        columns = [docs, [len(s) for s in sets], [d[0] for d in digests], [d[1] for d in digests], [None] * len(sets)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+        firsts, keys, sizes = [], [], []
+        for doc, found, digest in zip(docs, sets, digests):
+            if doc is None or not len(found) or digest in seen:
                 continue
             seen.add(digest)
-            first = by_rarity(found, counts)[: prefix_length(len(found), percent)]
+            first = rarity.prefix(found, percent)
             firsts.append(first.view(np.int64))
             keys.append(np.full(len(first), digest[0]))
             sizes.append(np.full(len(first), len(found)))
-        if keys:
-            columns = [pa.array(np.concatenate(x)) for x in (firsts, keys, sizes)]
-            yield pa.RecordBatch.from_arrays(columns, ["shingle", "d1", "n"])
+        if firsts:
+            first, key, n = (pa.array(np.concatenate(x), pa.int64()) for x in (firsts, keys, sizes))
+            blank = pa.nulls(len(first), pa.int64())
+            yield pa.RecordBatch.from_arrays([blank, n, key, blank, first], names)
+
+
+_CELLS = "array<struct<list:boolean,key:bigint,low:int,high:int,side:int>>"
+_PLACED = "list boolean, key bigint, low int, high int, side int, node bigint, shingles binary"
+_PLACED_TYPES = [pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+
 
+def _placed(batches, size: int) -> Iterator[pa.RecordBatch]:
+    """The sets of the rows that have the class's digest (a repeated id may have other texts), once for each of their cells."""
 
-def _members(batches, size: int) -> Iterator[pa.RecordBatch]:
-    """The sets of the rows that have the class's digest (a repeated id may have other texts)."""
-    for batch, sets in _sets(batches, 3, size):
-        kept = [i for i, (d1, d2) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())) if _digest(sets[i]) == (d1, d2)]
-        columns = [batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([sets[i].tobytes() for i in kept], pa.binary())], ["node", "d1", "shingles"])
+    def batch_of(rows):
+        columns = list(zip(*rows)) if rows else [()] * len(_PLACED_TYPES)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PLACED_TYPES)], [c.split()[0] for c in _PLACED.split(", ")])
+
+    for batch, sets in _sets(batches, 4, size):
+        rows, held = [], 0
+        for node, d1, d2, cells, found in zip(*(batch.column(i).to_pylist() for i in range(4)), sets):
+            if _digest(found) != (d1, d2):
+                continue
+            data = found.tobytes()
+            for cell in cells:
+                rows.append((*cell.values(), node, data))
+                held += len(data)
+                if held > 16 << 20:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+        yield batch_of(rows)
 
 
 def _search(batches, percent: int, spanning: bool) -> Iterator[pa.RecordBatch]:
     a, b = [], []
-    for cell in runs(batches, ["shingle", "low", "high"]):
+    for cell in runs(batches, ["list", "key", "low", "high"]):
         nodes, sides = cell.column("node").to_pylist(), cell.column("side").to_pylist()
         inner = cell.column("low")[0].as_py() == cell.column("high")[0].as_py()
         sets = [np.frombuffer(x.as_buffer(), _U) for x in cell.column("shingles")]
@@ -277,18 +343,21 @@ class JaccardJoin:
 
     Rows with equal sets are one class. Sets of the size of a link share a shingle among their first ones
     in an order from rare to common, so each such shingle's list of classes holds the candidates. The order
-    comes from counts of all shingles in `slots` hash slots. Lists with the same members are searched once.
-    A list of over `cell_shingles` shingles is dealt into chunks, and every pair of chunks is a cell, so a
-    task holds two chunks whatever the list. A cell is searched by `linked_pairs`.
+    comes from counts of all shingles (`Rarity`); one that no other set has needs no list. Lists with the same members are searched once,
+    and lists that share members are searched together while their sets have `cell_shingles` shingles at most.
+    A longer list is dealt into chunks, and every pair of chunks is a cell, so a task holds two chunks
+    whatever the list. A cell is searched by `linked_pairs`.
     """
 
-    def __init__(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 4, percent: int = 85, slots: int = 1 << 18, cell_shingles: int = 1_000_000):
-        self.size, self.percent, self.slots, self.cell = size, percent, slots, cell_shingles
+    def __init__(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 4, percent: int = 85, cell_shingles: int = 1_000_000):
+        self.size, self.percent, self.cell = size, percent, cell_shingles
         self.rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
-        described = materialize(self.rows.mapInArrow(lambda batches: _described(batches, size, slots), _FIRST), "join-sets")
-        self.counts = _summed(described, slots)
+        shared = docs.sparkSession.sparkContext.broadcast(rarity_of(self.rows.where("doc IS NOT NULL").select("text"), size))
+        scanned = materialize(self.rows.mapInArrow(lambda batches: _scanned(batches, size, percent, shared), _SCANNED), "join-sets")
         #: (doc, n, d1, d2) of every row.
-        self.described = described.where("piece IS NULL").select("doc", "n", "d1", "d2")
+        self.described = scanned.where("shingle IS NULL").select("doc", "n", "d1", "d2")
+        #: (shingle, d1, n): the inverted lists' entries.
+        self.prefixes = scanned.where("shingle IS NOT NULL").select("shingle", "d1", "n")
         #: (d1, d2, node): the smallest id with each set.
         self.classes = materialize(
             self.described.where("n > 0 AND doc IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc").alias("node")), "join-classes"
@@ -297,13 +366,7 @@ class JaccardJoin:
     def links(self, spanning: bool = False) -> DataFrame:
         """(a, b), a < b: linked class representatives; with `spanning` only enough of them to connect the same."""
         size, percent = self.size, self.percent
-        shared = self.rows.sparkSession.sparkContext.broadcast(self.counts)
-        prefixes = materialize(
-            self.rows.where("doc IS NOT NULL")
-            .select("text")
-            .mapInArrow(lambda batches: _prefixes(batches, size, percent, shared), "shingle bigint, d1 bigint, n bigint"),
-            "join-prefixes",
-        )
+        prefixes = self.prefixes
         # Equal lists have equal sums. A class that several tasks emit counts as often in each of its lists.
         mark = F.xxhash64("d1").bitwiseAND((1 << 36) - 1)
         lists = (
@@ -312,35 +375,52 @@ class JaccardJoin:
             .where("lowest < highest")
             .groupBy("lowest", "highest", "mark", "weight")
             .agg(F.min("shingle").alias("shingle"))
-            .select("shingle", F.ceil(F.col("weight") / self.cell).cast("int").alias("chunks"))
+            .select("shingle", "lowest", F.ceil(F.col("weight") / self.cell).cast("int").alias("chunks"))
         )
         lists = materialize(lists, "join-lists")
-        entries = materialize(prefixes.join(lists, "shingle").select("shingle", "d1", "chunks").distinct(), "join-entries")
-        members = materialize(
-            self.classes.join(entries.select("d1").distinct(), "d1").select("node", "d1", "d2").withColumn("h", F.xxhash64("node")), "join-members"
-        )
+        entries = materialize(prefixes.join(lists, "shingle").select("shingle", "d1", "n", "lowest", "chunks").distinct(), "join-entries")
+        members = materialize(self._cells(entries), "join-members")
         texts = self.rows.where(bitmap_test(members, "h", 1 << 20)(F.xxhash64("doc")))
-        sets = (
-            members.join(texts, members.node == texts.doc)
-            .select("node", "d1", "d2", "text")
-            .mapInArrow(lambda batches: _members(batches, size), "node bigint, d1 bigint, shingles binary")
-            .dropDuplicates(["node", "d1"])
-        )
-        side = F.pmod(F.xxhash64("d1"), F.col("chunks")).cast("int")
-        cells = (
-            entries.withColumn("side", side)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            .select("shingle", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "d1")
-        )
         found = (
-            cells.join(sets, "d1")
-            .repartition("shingle", "low", "high")
-            .sortWithinPartitions("shingle", "low", "high")
-            .select("shingle", "low", "high", "side", "node", "shingles")
+            members.join(texts, members.node == texts.doc)
+            .select("node", "d1", "d2", "cells", "text")
+            .mapInArrow(lambda batches: _placed(batches, size), _PLACED)
+            .repartition("list", "key", "low", "high")
+            .sortWithinPartitions("list", "key", "low", "high")
             .mapInArrow(lambda batches: _search(batches, percent, spanning), "a bigint, b bigint")
         )
         return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
+    def _cells(self, entries: DataFrame) -> DataFrame:
+        """(node, d1, d2, h, cells): the cells of every class that has candidates.
+
+        Classes that lists connect are one cell, which gets each set once, if all of them fit one; else
+        every list is a cell, or a pair of its chunks.
+        """
+        tied = connected_components(entries.select(F.col("d1").alias("a"), F.col("lowest").alias("b")))
+        tied = tied.select(F.col("node").alias("d1"), "component")
+        weights = entries.select("d1", "n").distinct().join(tied, "d1").groupBy("component").agg((F.sum("n") <= self.cell).alias("fits"))
+        tied = materialize(tied.join(weights, "component"), "join-tied")
+        zero = F.lit(0)
+        whole = tied.where("fits").select(
+            "d1", F.struct(F.lit(False).alias("list"), F.col("component").alias("key"), zero.alias("low"), zero.alias("high"), zero.alias("side")).alias("cell")
+        )
+        side = F.pmod(F.xxhash64("d1"), F.col("chunks")).cast("int")
+        listed = (
+            entries.join(tied.where("NOT fits"), "d1")
+            .withColumn("side", side)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            .select(
+                "d1",
+                F.struct(
+                    F.lit(True).alias("list"), F.col("shingle").alias("key"), F.least("side", "other").alias("low"),
+                    F.greatest("side", "other").alias("high"), "side",
+                ).alias("cell"),
+            )
+        )
+        cells = whole.unionByName(listed).groupBy("d1").agg(F.collect_list("cell").cast(_CELLS).alias("cells"))
+        return self.classes.join(cells, "d1").select("node", "d1", "d2", F.xxhash64("node").alias("h"), "cells")
+
     def components(self) -> DataFrame:
         """(doc_id, n_shingles, class_id, component_id) for every row: the smallest id with the same set, and
         the smallest id reachable by links."""
