@@ -16,6 +16,7 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     shared folder. Rounds go on until no edge changes; more than `rounds` is an error.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    mark = _mark(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumnRenamed("a", "of")
@@ -37,7 +38,8 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         )
         after = materialize(small, "edges")
         # Edges only ever come nearer to the smallest nodes, so equal sums mean equal edges.
-        if _mark(after) == _mark(now):
+        before, mark = mark, _mark(after)
+        if mark == before:
             named = after.select(F.col("a").alias("node"), F.col("b").alias("component"))
             return named.unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         now = after

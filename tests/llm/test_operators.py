@@ -405,7 +405,7 @@ def jaccard_components(documents, size=4, percent=85):
     return {a: ids[forest.find(i)] for i, a in enumerate(ids)}
 
 
-@pytest.mark.parametrize("options", [{}, {"cell_shingles": 300}, {"size": 5, "percent": 80}])
+@pytest.mark.parametrize("options", [{}, {"cell_shingles": 300}, {"cell_shingles": 20}, {"size": 5, "percent": 80}])
 def test_jaccard_components(docs, documents, empty, options):
     want = jaccard_components(documents, options.get("size", 4), options.get("percent", 85))
     got = ngram_join.ngram_components(docs, **options).collect()
