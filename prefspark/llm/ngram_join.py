@@ -32,7 +32,7 @@ def shingles(text: str | None, size: int, words_seen: dict[bytes, int]) -> np.nd
     words = _WORD.findall((text or "").encode().lower())
     if not words:
         return np.zeros(0, _U)
-    if len(words_seen) > 250_000:
+    if len(words_seen) > 1_000_000:
         words_seen.clear()
     for word in set(words).difference(words_seen):
         words_seen[word] = xxhash.xxh3_64_intdigest(word)
@@ -48,7 +48,7 @@ def shingles(text: str | None, size: int, words_seen: dict[bytes, int]) -> np.nd
 
 def _sets(batches: Iterable[pa.RecordBatch], text_at: int, size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     seen = process_cache("shingle_words", dict)
-    for batch in slices(batches, "text", 4 << 20):
+    for batch in slices(batches, "text", 8 << 20):
         yield batch, [shingles(text, size, seen) for text in batch.column(text_at).to_pylist()]
 
 
@@ -124,7 +124,7 @@ def _counted(batches, size: int) -> Iterator[pa.RecordBatch]:
                 seen.add(digest)
                 held.append(found)
                 n += len(found)
-        if n > 2_000_000:
+        if n > 4_000_000:
             yield flush()
             held, n = [], 0
     if held:
@@ -292,8 +292,6 @@ def _scanned(batches, size: int, percent: int, shared) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([blank, n, key, blank, first], names)
 
 
-#: Chunks into which lists that share members are dealt together; beyond, every list is dealt by itself.
-MOST_PARTS = 32
 _CELLS = "array<struct<list:boolean,key:bigint,low:int,high:int,side:int>>"
 _PLACED = "list boolean, key bigint, low int, high int, side int, node bigint, shingles binary"
 _PLACED_TYPES = [pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
@@ -346,12 +344,12 @@ class JaccardJoin:
     Rows with equal sets are one class. Sets of the size of a link share a shingle among their first ones
     in an order from rare to common, so each such shingle's list of classes holds the candidates. The order
     comes from counts of all shingles (`Rarity`); one that no other set has needs no list. Lists with the same members are searched once,
-    and lists that share members are searched together. Their sets are dealt into chunks of about
-    `cell_shingles` shingles, and every pair of chunks is a cell, so a task holds two chunks however large the
-    group. A cell is searched by `linked_pairs`.
+    and lists that share members are searched together while their sets have `cell_shingles` shingles at most.
+    A longer list is dealt into chunks, and every pair of chunks is a cell, so a task holds two chunks
+    whatever the list. A cell is searched by `linked_pairs`.
     """
 
-    def __init__(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 4, percent: int = 85, cell_shingles: int = 100_000):
+    def __init__(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 4, percent: int = 85, cell_shingles: int = 1_000_000):
         self.size, self.percent, self.cell = size, percent, cell_shingles
         self.rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
         shared = docs.sparkSession.sparkContext.broadcast(rarity_of(self.rows.where("doc IS NOT NULL").select("text"), size))
@@ -396,26 +394,30 @@ class JaccardJoin:
     def _cells(self, entries: DataFrame) -> DataFrame:
         """(node, d1, d2, h, cells): the cells of every class that has candidates.
 
-        Classes that lists connect are dealt into chunks of about `cell_shingles`, mostly one, and every pair of
-        chunks is a cell; where that would take over `MOST_PARTS` chunks, each list is dealt so by itself.
+        Classes that lists connect are one cell, which gets each set once, if all of them fit one; else
+        every list is a cell, or a pair of its chunks.
         """
         tied = connected_components(entries.select(F.col("d1").alias("a"), F.col("lowest").alias("b")))
         tied = tied.select(F.col("node").alias("d1"), "component")
-        weights = entries.select("d1", "n").distinct().join(tied, "d1").groupBy("component").agg(F.ceil(F.sum("n") / self.cell).cast("int").alias("parts"))
+        weights = entries.select("d1", "n").distinct().join(tied, "d1").groupBy("component").agg((F.sum("n") <= self.cell).alias("fits"))
         tied = materialize(tied.join(weights, "component"), "join-tied")
-
-        def cell(is_list: bool, key: str):
-            return F.struct(
-                F.lit(is_list).alias("list"), F.col(key).alias("key"), F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side"
-            ).alias("cell")
-
-        def dealt(rows: DataFrame, chunks: str) -> DataFrame:
-            side = F.pmod(F.xxhash64("d1"), F.col(chunks)).cast("int")
-            return rows.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(chunks) - 1)))
-
-        few = F.col("parts") <= MOST_PARTS
-        whole = dealt(tied.where(few), "parts").select("d1", cell(False, "component"))
-        listed = dealt(entries.join(tied.where(~few), "d1"), "chunks").select("d1", cell(True, "shingle"))
+        zero = F.lit(0)
+        whole = tied.where("fits").select(
+            "d1", F.struct(F.lit(False).alias("list"), F.col("component").alias("key"), zero.alias("low"), zero.alias("high"), zero.alias("side")).alias("cell")
+        )
+        side = F.pmod(F.xxhash64("d1"), F.col("chunks")).cast("int")
+        listed = (
+            entries.join(tied.where("NOT fits"), "d1")
+            .withColumn("side", side)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            .select(
+                "d1",
+                F.struct(
+                    F.lit(True).alias("list"), F.col("shingle").alias("key"), F.least("side", "other").alias("low"),
+                    F.greatest("side", "other").alias("high"), "side",
+                ).alias("cell"),
+            )
+        )
         cells = whole.unionByName(listed).groupBy("d1").agg(F.collect_list("cell").cast(_CELLS).alias("cells"))
         return self.classes.join(cells, "d1").select("node", "d1", "d2", F.xxhash64("node").alias("h"), "cells")
 
