@@ -11,7 +11,8 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from prefspark.llm.common import slices
 from prefspark.plans.session import materialize
@@ -72,7 +73,12 @@ class Chain:
         return total
 
     def expected(self, classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Expected start, transition and emission counts of the texts, and their log likelihood; texts as above.
+        """Expected start, transition and emission counts of the texts, and their log likelihood; texts as above."""
+        seen, moves, log_likelihood = self.posteriors(classes, lengths)
+        return seen[0].sum(axis=0, dtype=float), moves, by_state(classes, seen, self.emit.shape[1]), log_likelihood
+
+    def posteriors(self, classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Each token's state probabilities (0 behind a text's end), expected transitions, log likelihood.
 
         The recursions run in single precision, which scaling keeps from under- and overflow.
         """
@@ -98,9 +104,7 @@ class Chain:
             beta = np.ones((steps[t - 1], states), np.float32)
             np.dot(ahead, back, out=beta[:n])
         alpha[0] *= beta
-        flat, seen = classes.reshape(-1), alpha.reshape(-1, states)
-        emitted = np.stack([np.bincount(flat, seen[:, s], self.emit.shape[1]) for s in range(states)])
-        return alpha[0].sum(axis=0, dtype=float), moves * self.move, emitted, float(np.log(scales, dtype=float).sum())
+        return alpha, moves * self.move, float(np.log(scales, dtype=float).sum())
 
     def updated(self, start: np.ndarray, moves: np.ndarray, emitted: np.ndarray, prior: np.ndarray, weight: float) -> Chain:
         """The chain of the expected counts; `weight` counts of the prior keep every class possible."""
@@ -109,6 +113,12 @@ class Chain:
         return Chain(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emitted / emitted.sum(axis=1, keepdims=True))
 
 
+def by_state(ids: np.ndarray, seen: np.ndarray, size: int) -> np.ndarray:
+    """(states, size): the state probabilities `seen` of the tokens, summed by the tokens' `ids`."""
+    flat, seen = ids.reshape(-1), seen.reshape(-1, seen.shape[-1])
+    return np.stack([np.bincount(flat, seen[:, s], size) for s in range(seen.shape[1])])
+
+
 def _open(lengths: np.ndarray) -> list[int]:
     """How many texts, the longest first, reach each step."""
     return [int(n) for n in len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")]
@@ -200,6 +210,7 @@ class Dictionary:
         self.totals = np.zeros(self.n_classes)
         self.totals[:own_classes] = np.bincount([own_class[w] for w in own], [counts[w] for w in own], own_classes)
         self.totals[own_classes:] = bucket_totals[:, 0]
+        self.kinds = bucket_totals[:, 1]
         # log10 of a shared class's denominator, 0 for words' own classes.
         self.spread = np.concatenate([np.zeros(own_classes), np.log10(bucket_totals.sum(axis=1) + 1)])
 
@@ -209,10 +220,10 @@ class Dictionary:
 
 _ENCODED = (
     "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, shared_logs double, "
-    "classes binary, words array<binary>, times array<bigint>"
+    "classes binary, places binary, words array<binary>, times array<bigint>"
 )
 _ENCODED_TYPES = [
-    pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())
+    pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())
 ]
 
 
@@ -220,7 +231,8 @@ def _encoded(batches: Iterable[pa.RecordBatch], shared, folds: int, held: int) -
     """Each text's classes, its sums over the dictionary's words, and its other words to be looked up.
 
     logs: sum of log10(c + 1); shared_logs: of log10 of a word's share of its class, where c of the other
-    words is still to come.
+    words is still to come. places: for each token of a shared class its word, as the index in the dictionary
+    or, below 0, in `words` from -1 down.
     """
     known: Dictionary = shared.value
     get, logs = known.index.get, np.log10(known.counts + 1.0)
@@ -236,11 +248,15 @@ def _encoded(batches: Iterable[pa.RecordBatch], shared, folds: int, held: int) -
             rare = Counter(others)
             shared_class = {w: known.first + suffix_class(w, known.buckets) for w in rare}
             classes[missing] = np.fromiter(map(shared_class.__getitem__, others), np.int64, len(others))
+            number = {w: -1 - i for i, w in enumerate(rare)}
+            places = index.copy()
+            places[missing] = np.fromiter(map(number.__getitem__, others), np.int64, len(others))
             at = index[found]
             own = classes[found] < known.first
             rows.append(
                 (row, doc, is_held_out(doc, folds, held), len(words), int((known.counts[at] > 0).sum()), float(logs[at].sum()),
-                 float(logs[at][~own].sum() - known.spread[classes].sum()), classes.astype(np.uint16).tobytes(), list(rare), list(rare.values()))
+                 float(logs[at][~own].sum() - known.spread[classes].sum()), classes.astype(np.uint16).tobytes(),
+                 places[classes >= known.first].astype(np.int32).tobytes(), list(rare), list(rare.values()))
             )
         names = [c.split()[0] for c in _ENCODED.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _ENCODED_TYPES)], names)
@@ -298,6 +314,168 @@ def _likelihoods(batches: Iterable[pa.RecordBatch], chain: Chain, cells: int) ->
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], [*batch.schema.names[:-1], "chain"])
 
 
+# ---- every word's counts by state ----
+
+
+def _placed(batch: pa.RecordBatch, first: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Each text's classes, where they are shared, and the places there."""
+    places = batch.column(batch.schema.get_field_index("places")).to_pylist()
+    for classes, x in zip(_sequences(batch), places):
+        yield classes, np.flatnonzero(classes >= first), np.frombuffer(x, np.int32).astype(np.int64)
+
+
+def _sums(states: int) -> list[str]:
+    return [f"e{s}" for s in range(states)]
+
+
+#: Kinds of expected counts: starts, transitions from state j, class j, likelihood, word j of the dictionary, other words.
+_START, _MOVE, _CLASS, _HEIGHT, _KNOWN, _OTHER = range(6)
+
+
+def _word_counts(batches: Iterable[pa.RecordBatch], chain: Chain, shared, segment: int, cells: int) -> Iterator[pa.RecordBatch]:
+    """A task's expected counts by state: the chain's, and those of every word of the shared classes."""
+    known: Dictionary = shared.value
+    states, held = len(chain.start), len(known.counts)
+    names = ["kind", "j", "word", "c", *_sums(states)]
+
+    def rows(kind, j, words, c, sums):
+        columns = [np.full(len(j), kind, np.int32), j.astype(np.int32), words, c.astype(np.int64), *sums]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), *[pa.float64()] * states]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names)
+
+    start, moves, emitted = np.zeros(states), np.zeros_like(chain.move), np.zeros_like(chain.emit)
+    height, of_known = np.zeros(states), np.zeros((states, held))
+    for batch in slices(batches, "classes", 8 << 20):
+        words = batch.column(batch.schema.get_field_index("words"))
+        distinct = words.flatten().dictionary_encode()
+        code, offsets = distinct.indices.to_numpy(), words.offsets.to_numpy() - words.offsets[0].as_py()
+        # Ids: the dictionary, this batch's other words, own classes.
+        size = held + len(distinct.dictionary) + 1
+        pieces, ids = [], []
+        for at, (classes, where, place) in zip(offsets, _placed(batch, known.first)):
+            id_ = np.full(len(classes), size - 1)
+            other = place < 0
+            place[other] = held + code[at - 1 - place[other]]
+            id_[where] = place
+            for i in range(0, len(classes), segment):
+                pieces.append(classes[i : i + segment])
+                ids.append(id_[i : i + segment])
+        found, c = np.zeros((states, size)), np.bincount(np.concatenate(ids), minlength=size)
+        for some, block, lengths in _blocks(pieces, cells):
+            seen, part, log_likelihood = chain.posteriors(block, lengths)
+            start += seen[0].sum(axis=0, dtype=float)
+            moves += part
+            emitted += by_state(block, seen, emitted.shape[1])
+            height[0] += log_likelihood
+            id_ = np.full(block.shape, size - 1)
+            for column, i in enumerate(some):
+                id_[: len(ids[i]), column] = ids[i]
+            found += by_state(id_, seen, size)
+        of_known += found[:, :held]
+        if size - 1 > held:
+            yield rows(_OTHER, np.zeros(size - 1 - held), distinct.dictionary, c[held:-1], found[:, held:-1])
+    for kind, sums in ((_START, start[:, None]), (_MOVE, moves.T), (_CLASS, emitted), (_HEIGHT, height[:, None]), (_KNOWN, of_known)):
+        j = np.flatnonzero(sums.any(axis=0))
+        yield rows(kind, j, pa.nulls(len(j), pa.binary()), np.zeros(len(j)), sums[:, j])
+
+
+def count_words(encoded: DataFrame, chain: Chain, shared, prior: np.ndarray, segment: int, cells: int, weight: float) -> tuple[Chain, np.ndarray, np.ndarray, DataFrame]:
+    """One more round: the chain, expected counts (states, classes) and (states, dictionary), and a table of the other words.
+
+    The table holds every training word outside the dictionary with its count and its expected count by state,
+    reduced by word; the driver gets classes and dictionary, whose numbers are parameters.
+    """
+    states = len(chain.start)
+    schema = "kind int, j int, word binary, c bigint, " + ", ".join(f"{x} double" for x in _sums(states))
+    counted = materialize(
+        encoded.where("NOT held_out")
+        .select("classes", "places", "words")
+        .mapInArrow(lambda batches: _word_counts(batches, chain, shared, segment, cells), schema)
+        .groupBy("kind", "j", "word")
+        .agg(F.sum("c").alias("c"), *(F.sum(x).alias(x) for x in _sums(states))),
+        "hmm-states",
+    )
+    few = counted.where(F.col("kind") != _OTHER).drop("word", "c").toArrow()
+    kind, j = few["kind"].to_numpy(), few["j"].to_numpy()
+    value = np.stack([few[x].to_numpy() for x in _sums(states)])
+
+    def held(of, size):
+        out = np.zeros((states, size))
+        out[:, j[kind == of]] = value[:, kind == of]
+        return out
+
+    emitted = held(_CLASS, len(prior))
+    after = chain.updated(held(_START, 1)[:, 0], held(_MOVE, states).T, emitted, prior, weight)
+    vector = F.array(*(F.col(x).cast("float") for x in _sums(states)))
+    others = counted.where(F.col("kind") == _OTHER).select("word", "c", vector.alias("e"))
+    return after, emitted, held(_KNOWN, len(shared.value.counts)), others
+
+
+class Emissions:
+    """The states' emissions of words: (tokens by kind, states).
+
+    In a shared class a state emits a word with (e + 1/S) / (n + (v + 1)/S) of the class, for e expected
+    counts of the word and n of the class's v words in that state, and S states: the share of one unseen word
+    is left over, and states that share all words evenly come to (c + 1) / (n + v + 1).
+    """
+
+    def __init__(self, chain: Chain, known: Dictionary, emitted: np.ndarray, of_known: np.ndarray):
+        self.chain, self.first, self.one = chain, known.first, 1 / len(chain.start)
+        self.factor = chain.emit.T.copy()
+        self.factor[known.first :] /= emitted.T[known.first :] + (known.kinds[:, None] + 1) * self.one
+        #: Of own classes as they are, of shared classes for an unseen word.
+        unseen = self.factor.copy()
+        unseen[known.first :] *= self.one
+        self.fixed = np.concatenate([unseen, (of_known.T + self.one) * self.factor[known.classes]])
+
+    def with_others(self, classes: np.ndarray, e: np.ndarray) -> Chain:
+        """The chain over the fixed words and more words of `classes` with the expected counts `e`."""
+        emit = np.concatenate([self.fixed, (e + self.one) * self.factor[classes]])
+        return Chain(self.chain.start, self.chain.move, emit.T)
+
+
+def _word_likelihoods(batches: Iterable[pa.RecordBatch], shared, cells: int) -> Iterator[pa.RecordBatch]:
+    """As `_likelihoods`, with the emissions of the texts' own words; `found` has those outside the dictionary."""
+    model: Emissions = shared.value
+    n_classes, states = len(model.factor), model.factor.shape[1]
+    for batch in slices(batches, "classes", 8 << 20):
+        lists = batch.column(batch.schema.get_field_index("found"))
+        given = lists.flatten()
+        k, e = given.field("k").to_numpy(), given.field("e").flatten().to_numpy().reshape(-1, states)
+        lengths = np.array([0 if x is None else x for x in pc.list_value_length(lists).to_pylist()])
+        rows, class_of, at = [], np.zeros(len(k), np.int64), 0
+        for n, (classes, where, place) in zip(lengths, _placed(batch, model.first)):
+            ids = classes.astype(np.int64)
+            word = -1 - place
+            slot = np.full(max(int(word.max(initial=-1)) + 1, 1), -1)
+            slot[k[at : at + n]] = np.arange(at, at + n)
+            in_list = np.where(word >= 0, slot[np.maximum(word, 0)], -1)
+            hit = in_list >= 0
+            class_of[in_list[hit]] = classes[where[hit]]
+            ids[where[hit]] = len(model.fixed) + in_list[hit]
+            ids[where[place >= 0]] = n_classes + place[place >= 0]
+            rows.append(ids)
+            at += n
+        chain, found = model.with_others(class_of, e), np.zeros(len(rows))
+        for some, block, long in _blocks(rows, cells):
+            found[some] = chain.likelihoods(block, long) / _LOG10
+        kept = [i for i, name in enumerate(batch.schema.names) if name not in ("classes", "places", "found")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(found)], [*(batch.schema.names[i] for i in kept), "chain"])
+
+
+def _result(whole, score: Column) -> list:
+    rare_logs = F.coalesce("rare_logs", F.lit(0.0))
+    return [
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        F.lit(whole.n).cast("long").alias("train_tokens"),
+        (F.col("logs") + rare_logs - F.col("n_tokens") * math.log10(whole.n + whole.v + 1)).alias("base_score"),
+        score.alias("score"),
+    ]
+
+
 def score_documents(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -316,6 +494,7 @@ def score_documents(
     noise: float = 1.0,
     weight: float = 10.0,
     seed: int = 3,
+    by_word: bool = False,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs`.
 
@@ -326,6 +505,10 @@ def score_documents(
     others share one of `buckets` classes by their last letters, so the chain's size is a parameter whatever
     the vocabulary. The forward recursion runs over whole texts.
 
+    With `by_word` every training word has its own counts in every state: the last round sums them by word, a
+    table that grows with the vocabulary, and texts are joined to it (`Emissions` has the formula). The rounds
+    before it, which only place the states, share the classes.
+
     Word counts are a table. Its most frequent words, at most `dictionary_words` of at most `longest_word` bytes,
     bounded by their product, are sent to the tasks; the others are joined, and none of them is frequent.
     Null text is only an end, a null id counts as the id "", repeated rows are scored and trained on each,
@@ -359,6 +542,28 @@ def score_documents(
         ),
         "hmm-texts",
     )
+    columns = ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "shared_logs"]
+    scored_columns = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, shared_logs double, chain double"
+    if by_word:
+        chain, _ = train(encoded, dictionary.prior(), states, iterations - 1, segment, cells, stay, noise, weight, seed)
+        chain, emitted, of_known, others = count_words(encoded, chain, shared, dictionary.prior(), segment, cells, weight)
+        model = spark.sparkContext.broadcast(Emissions(chain, dictionary, emitted, of_known))
+        words = encoded.select("row", F.posexplode(F.arrays_zip("words", "times")).alias("k", "x"))
+        looked_up = (
+            words.select("row", "k", F.col("x.words").alias("word"), "x.times")
+            .join(others, "word")
+            .groupBy(F.col("row").alias("of_row"))
+            .agg(
+                F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_logs"),
+                F.sum("times").alias("rare_known"),
+                F.collect_list(F.struct("k", "e")).alias("found"),
+            )
+        )
+        joined = encoded.join(looked_up, encoded.row == looked_up.of_row, "left")
+        return joined.select(*columns, "rare_logs", "rare_known", "classes", "places", "found").mapInArrow(
+            lambda batches: _word_likelihoods(batches, model, cells),
+            scored_columns.replace("chain", "rare_logs double, rare_known bigint, chain"),
+        ).select(*_result(whole, F.col("chain")))
     chain, _ = train(encoded, dictionary.prior(), states, iterations, segment, cells, stay, noise, weight, seed)
 
     rare = encoded.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), "x.times")
@@ -368,18 +573,9 @@ def score_documents(
         .agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_logs"), F.sum("times").alias("rare_known"))
         .withColumnRenamed("row", "of_row")
     )
-    columns = ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "shared_logs"]
     scored = encoded.select(*columns, "classes").mapInArrow(
         lambda batches: _likelihoods(batches, chain, cells),
-        "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, shared_logs double, chain double",
-    )
-    rare_logs = F.coalesce("rare_logs", F.lit(0.0))
-    return scored.join(looked_up, scored.row == looked_up.of_row, "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(whole.n).cast("long").alias("train_tokens"),
-        (F.col("logs") + rare_logs - F.col("n_tokens") * math.log10(whole.n + whole.v + 1)).alias("base_score"),
-        (F.col("chain") + F.col("shared_logs") + rare_logs).alias("score"),
+        scored_columns,
     )
+    score = F.col("chain") + F.col("shared_logs") + F.coalesce("rare_logs", F.lit(0.0))
+    return scored.join(looked_up, scored.row == looked_up.of_row, "left").select(*_result(whole, score))

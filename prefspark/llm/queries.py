@@ -78,7 +78,7 @@ def op4(spark, sf_dir):
 @query("op5_hidden_markov")
 def op5(spark, sf_dir):
     """Log10 probabilities of all documents."""
-    return hmm.score_documents(read(spark, sf_dir, "documents"))
+    return hmm.score_documents(read(spark, sf_dir, "documents"), by_word=True)
 
 
 OP6 = """

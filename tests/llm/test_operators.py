@@ -250,6 +250,74 @@ def test_language_model(docs, documents, empty, monkeypatch):
     assert hmm.score_documents(empty, **options).count() == 0
 
 
+def test_every_word_has_counts_by_state(docs, documents, empty, monkeypatch):
+    options = {"own_classes": 16, "buckets": 8, "dictionary_words": 50, "longest_word": 10, "by_word": True}
+    kept, train, count_words = {}, hmm.train, hmm.count_words
+
+    def keep_train(*args):
+        kept["before"], heights = train(*args)
+        return kept["before"], heights
+
+    def keep_words(encoded, chain, shared, *rest):
+        kept["known"], kept["got"] = shared.value, count_words(encoded, chain, shared, *rest)
+        return kept["got"]
+
+    monkeypatch.setattr(hmm, "train", keep_train)
+    monkeypatch.setattr(hmm, "count_words", keep_words)
+    got = hmm.score_documents(docs, **options).collect()
+    known, (after, emitted, of_known, others) = kept["known"], kept["got"]
+
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
+    place = {w: i for i, w in enumerate(list(known.index)[:16])}
+    class_of = lambda w: place[w] if w in place else 16 + hmm.suffix_class(w, 8)
+    c, e = Counter(), defaultdict(lambda: np.zeros(8))
+    for d in documents:
+        words = hmm.tokens(d[1])
+        if not held(d[0]):
+            c.update(words)
+            seen, _, _ = kept["before"].posteriors(np.array([class_of(w) for w in words])[:, None], np.array([len(words)]))
+            for w, at in zip(words, seen[:, 0]):
+                e[w] += at
+    n, v = sum(c.values()), len(c)
+    # Each training word outside the dictionary is in the table, once, with its own counts by state.
+    table = {r.word: r for r in others.collect()}
+    table = {bytes(w): r for w, r in table.items()}
+    assert {w: r.c for w, r in table.items()} == {w: times for w, times in c.items() if w not in known.index}
+    assert len(table) > 200 and others.count() == len(table)
+    for w, r in table.items():
+        assert r.e == pytest.approx(e[w], rel=1e-3, abs=1e-3)
+    for w, i in known.index.items():
+        if w not in place:
+            assert of_known[:, i] == pytest.approx(e[w], rel=1e-3, abs=1e-3)
+    # Words of a class are not shared out in every state alike.
+    spread = [e[w] / c[w] for w in c if c[w] > 5 and class_of(w) == 16]
+    assert np.ptp(spread, axis=0).max() > 0.05
+    kinds, size = Counter(class_of(w) for w in c if w not in place), defaultdict(lambda: np.zeros(8))
+    for w in c:
+        size[class_of(w)] += e[w]
+
+    def emission(w):
+        k = class_of(w)
+        return after.emit[:, k] * (1.0 if w in place else (e[w] + 1 / 8) / (size[k] + (kinds[k] + 1) / 8))
+
+    want = Counter()
+    for d in documents:
+        words = hmm.tokens(d[1])
+        index = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        model = hmm.Chain(after.start, after.move, np.stack([emission(w) for w in index], axis=1))
+        score = model.likelihoods(np.array([index[w] for w in words])[:, None], np.array([len(words)]))[0] / math.log(10)
+        base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words)
+        want[d[0], held(d[0]), len(words), sum(c[w] > 0 for w in words), n, round(base, 6), round(score / len(words), 3)] += 1
+    near_ = lambda counted: sorted(counted.elements(), key=lambda r: tuple(map(str, r)))
+    found = Counter((*r[:5], round(r.base_score, 6), round(r.score / r.n_tokens, 3)) for r in got)
+    assert [r[:6] for r in near_(found)] == [r[:6] for r in near_(want)]
+    assert [r[6] for r in near_(found)] == pytest.approx([r[6] for r in near_(want)], abs=2e-3)
+    # A state's emissions of all training words and one unseen word in each class come to 1.
+    whole = sum(emission(w) for w in {*c, *place}) + sum(after.emit[:, 16 + b] / 8 / (size[16 + b] + (kinds[16 + b] + 1) / 8) for b in range(8))
+    assert whole == pytest.approx(np.ones(8))
+    assert hmm.score_documents(empty, **options).count() == 0
+
+
 def test_language_model_beats_single_words_on_held_out_texts(spark):
     found = QUERIES["op5_hidden_markov"](spark, "/root/testdata/sf0.01").where("held_out")
     row = found.agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
