@@ -162,7 +162,7 @@ def _counts(batches: Iterable[pa.RecordBatch], folds: int, held: int) -> Iterato
 
 
 def _frequent(counts: DataFrame, longest_word: int, most: int) -> dict[bytes, int]:
-    """Training counts of the most frequent words, as many whole steps of frequency as `most` words hold."""
+    """Training counts of the words most frequent in all texts, as many whole steps of frequency as `most` words hold."""
     total = F.col("c") + F.col("other")
     # Exact counts up to 4096, then 64 steps to the doubling: a bounded number of steps.
     step = F.when(total < 4096, total).otherwise(4096 + F.floor(F.log2(total) * 64)).cast("long")
@@ -180,6 +180,14 @@ def _frequent(counts: DataFrame, longest_word: int, most: int) -> dict[bytes, in
     return {word: c for _, word, c in rows}
 
 
+def _most_trained(counts: DataFrame, longest_word: int, most: int) -> dict[bytes, int]:
+    """The `most` words most frequent in training texts; held-out texts have no say."""
+    length = F.octet_length("word")
+    usable = counts.where((length > 0) & (length <= longest_word) & (F.col("c") > 0))
+    rows = usable.select("word", "c").orderBy(F.desc("c"), "word").limit(max(most, 0)).collect()
+    return {bytes(r.word): r.c for r in rows}
+
+
 def _buckets(batches: Iterable[pa.RecordBatch], own: set[bytes], buckets: int) -> Iterator[pa.RecordBatch]:
     """Training tokens and distinct training words of each shared class."""
     totals = np.zeros((buckets, 2), np.int64)
@@ -194,13 +202,12 @@ def _buckets(batches: Iterable[pa.RecordBatch], own: set[bytes], buckets: int) -
 class Dictionary:
     """The end and the most frequent words, a bounded number, with what a text adds to its sums for each.
 
-    The first words, the end before all, have a class of their own; all others share the class of their
+    The words of `own`, `own_classes` at most, have a class of their own; all others share the class of their
     ending. In a shared class a word has (c + 1) / (n + v + 1) of the class, with n tokens of v words in
     training: the share of one unseen word is left over.
     """
 
-    def __init__(self, counts: dict[bytes, int], own_classes: int, bucket_totals: np.ndarray):
-        own = list(counts)[:own_classes]
+    def __init__(self, counts: dict[bytes, int], own: list[bytes], own_classes: int, bucket_totals: np.ndarray):
         buckets = len(bucket_totals)
         self.first, self.n_classes, self.buckets = own_classes, own_classes + buckets, buckets
         self.index = {word: i for i, word in enumerate(counts)}
@@ -507,7 +514,8 @@ def score_documents(
 
     With `by_word` every training word has its own counts in every state: the last round sums them by word, a
     table that grows with the vocabulary, and texts are joined to it (`Emissions` has the formula). The rounds
-    before it, which only place the states, share the classes.
+    before it, which only place the states, share the classes, and training counts alone decide which words have
+    classes of their own; without it, held-out counts are added there.
 
     Word counts are a table. Its most frequent words, at most `dictionary_words` of at most `longest_word` bytes,
     bounded by their product, are sent to the tasks; the others are joined, and none of them is frequent.
@@ -529,12 +537,16 @@ def score_documents(
         F.coalesce(F.sum(F.when(is_end, F.col("c"))), F.lit(0)).alias("ends"),
     ).first()
     known = {END: whole.ends} | _frequent(counts, longest_word, dictionary_words)
-    own = set(list(known)[:own_classes])
+    own = list(known)[:own_classes]
+    if by_word:
+        trained = {END: whole.ends} | _most_trained(counts, longest_word, own_classes - 1)
+        known, own = trained | known, list(trained)[:own_classes]
+    own_set = set(own)
     totals = np.zeros((buckets, 2))
-    bucketed = counts.where("c > 0").select("word", "c").mapInArrow(lambda batches: _buckets(batches, own, buckets), "bucket bigint, n bigint, v bigint")
+    bucketed = counts.where("c > 0").select("word", "c").mapInArrow(lambda batches: _buckets(batches, own_set, buckets), "bucket bigint, n bigint, v bigint")
     for row in bucketed.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         totals[row.bucket] = row.n, row.v
-    dictionary = Dictionary(known, own_classes, totals)
+    dictionary = Dictionary(known, own, own_classes, totals)
     shared = spark.sparkContext.broadcast(dictionary)
     encoded = materialize(
         rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(

@@ -318,6 +318,16 @@ def test_every_word_has_counts_by_state(docs, documents, empty, monkeypatch):
     assert hmm.score_documents(empty, **options).count() == 0
 
 
+def test_held_out_texts_do_not_change_the_model(docs):
+    options = {"own_classes": 16, "buckets": 8, "dictionary_words": 50, "longest_word": 10, "by_word": True}
+    trained = docs.where(~F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)).eqNullSafe(2))
+    assert 0 < trained.count() < docs.count()
+    score = lambda t: sorted((str(r.doc_id), r.n_tokens, r.score) for r in hmm.score_documents(t, **options).where("NOT held_out").collect())
+    a, b = score(docs), score(trained)
+    assert [x[:2] for x in a] == [x[:2] for x in b]
+    assert [x[2] / x[1] for x in a] == pytest.approx([x[2] / x[1] for x in b], abs=2e-3)
+
+
 def test_language_model_beats_single_words_on_held_out_texts(spark):
     found = QUERIES["op5_hidden_markov"](spark, "/root/testdata/sf0.01").where("held_out")
     row = found.agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
