@@ -82,18 +82,43 @@ class Chain:
 
         The recursions run in single precision, which scaling keeps from under- and overflow.
         """
-        states, steps = len(self.start), _open(lengths)
-        move, back = self.move.astype(np.float32), np.ascontiguousarray(self.move.T, np.float32)
+        return self._backward(classes, lengths, None, None)[:3]
+
+    def segments(self, classes: np.ndarray, segment: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
+        """One text's posteriors in pieces of `segment` tokens, the last first, with where each begins.
+
+        The forward pass keeps its message at each cut; each piece is then run again between its two messages,
+        so the counts are those of the whole text and memory is that of a piece.
+        """
+        cuts, before, after = range(0, len(classes), segment), [None], None
+        for at in cuts[:-1]:
+            _, alpha, _ = self._forward(classes[at : at + segment, None], np.array([segment]), before[-1])
+            before.append(alpha[-1])
+        for at, message in zip(reversed(cuts), reversed(before)):
+            piece = classes[at : at + segment, None]
+            *found, after = self._backward(piece, np.array([len(piece)]), message, after)
+            yield at, *found
+
+    def _forward(self, classes: np.ndarray, lengths: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Emissions, scaled forward messages and scales; `before` is the message of the token before."""
+        move, ones = self.move.astype(np.float32), np.ones(len(self.start), np.float32)
         emit = np.ascontiguousarray(self.emit.T, np.float32)[classes]
-        ones = np.ones(states, np.float32)
         alpha, scales = np.zeros_like(emit), np.ones(classes.shape, np.float32)
-        for t, n in enumerate(steps):
-            step = emit[t, :n] * (self.start.astype(np.float32) if t == 0 else alpha[t - 1, :n] @ move)
+        first = self.start.astype(np.float32) if before is None else before @ move
+        for t, n in enumerate(_open(lengths)):
+            step = emit[t, :n] * (first if t == 0 else alpha[t - 1, :n] @ move)
             scale = scales[t, :n]
             np.dot(step, ones, out=scale)
             np.divide(step, scale[:, None], out=alpha[t, :n])
+        return emit, alpha, scales
+
+    def _backward(self, classes: np.ndarray, lengths: np.ndarray, before: np.ndarray | None, after: np.ndarray | None):
+        """`posteriors` between the messages of the tokens before and behind, and the message to the token before."""
+        states, steps = len(self.start), _open(lengths)
+        back = np.ascontiguousarray(self.move.T, np.float32)
+        emit, alpha, scales = self._forward(classes, lengths, before)
         moves = np.zeros((states, states))
-        beta = np.ones((steps[-1], states), np.float32)
+        beta = np.ones((steps[-1], states), np.float32) if after is None else after
         for t in range(len(steps) - 1, 0, -1):
             n = steps[t]
             ahead = beta * emit[t, :n]
@@ -103,8 +128,13 @@ class Chain:
             # A text that ends at t - 1 has nothing ahead.
             beta = np.ones((steps[t - 1], states), np.float32)
             np.dot(ahead, back, out=beta[:n])
+        message = None
+        if before is not None:
+            ahead = beta * emit[0] / scales[0, :, None]
+            moves += before.T @ ahead
+            message = ahead @ back
         alpha[0] *= beta
-        return alpha, moves * self.move, float(np.log(scales, dtype=float).sum())
+        return alpha, moves * self.move, float(np.log(scales, dtype=float).sum()), message
 
     def updated(self, start: np.ndarray, moves: np.ndarray, emitted: np.ndarray, prior: np.ndarray, weight: float) -> Chain:
         """The chain of the expected counts; `weight` counts of the prior keep every class possible."""
@@ -138,6 +168,19 @@ def _blocks(rows: list[np.ndarray], cells: int) -> Iterator[tuple[list[int], np.
         at += len(some)
 
 
+def _passes(chain: Chain, rows: list[np.ndarray], segment: int, cells: int) -> Iterator[tuple]:
+    """Posteriors of whole texts: (text, offset) of each column, classes, state probabilities, starts, transitions, likelihood."""
+    short = [i for i, row in enumerate(rows) if len(row) <= segment]
+    for some, block, lengths in _blocks([rows[i] for i in short], cells):
+        seen, moves, height = chain.posteriors(block, lengths)
+        yield [(short[i], 0) for i in some], block, seen, seen[0].sum(axis=0, dtype=float), moves, height
+    for i, row in enumerate(rows):
+        if len(row) > segment:
+            for at, seen, moves, height in chain.segments(row, segment):
+                start = seen[0].sum(axis=0, dtype=float) * (at == 0)
+                yield [(i, at)], row[at : at + segment, None], seen, start, moves, height
+
+
 # ---- Spark ----
 
 
@@ -280,10 +323,8 @@ def _expected(batches: Iterable[pa.RecordBatch], chain: Chain, segment: int, cel
     """A task's expected counts, summed over its texts."""
     sums = [np.zeros((1, len(chain.start))), np.zeros_like(chain.move), np.zeros_like(chain.emit), np.zeros((1, 1))]
     for batch in slices(batches, "classes", 8 << 20):
-        pieces = [row[i : i + segment] for row in _sequences(batch) for i in range(0, len(row), segment)]
-        for _, block, lengths in _blocks(pieces, cells):
-            start, moves, emitted, log_likelihood = chain.expected(block, lengths)
-            for total, part in zip(sums, (start, moves, emitted, log_likelihood)):
+        for _, block, seen, start, moves, log_likelihood in _passes(chain, _sequences(batch), segment, cells):
+            for total, part in zip(sums, (start, moves, by_state(block, seen, chain.emit.shape[1]), log_likelihood)):
                 total += part
     for kind, total in enumerate(sums):
         i, j = np.nonzero(total)
@@ -295,7 +336,8 @@ def train(encoded: DataFrame, prior: np.ndarray, states: int, iterations: int, s
     """Baum-Welch over every training text of `encoded`; also the log likelihood before each round.
 
     Tasks add up the expected counts of their texts, Spark adds up the tasks'; the driver gets a number per
-    state and class, whose number is a parameter. Texts of over `segment` tokens are cut for training.
+    state and class, whose number is a parameter. Texts of over `segment` tokens are run
+    through in pieces, with the messages of their neighbours.
     """
     chain, heights = Chain.first(prior, states, stay, noise, seed), []
     texts = encoded.where("NOT held_out").select("classes")
@@ -358,25 +400,23 @@ def _word_counts(batches: Iterable[pa.RecordBatch], chain: Chain, shared, segmen
         code, offsets = distinct.indices.to_numpy(), words.offsets.to_numpy() - words.offsets[0].as_py()
         # Ids: the dictionary, this batch's other words, own classes.
         size = held + len(distinct.dictionary) + 1
-        pieces, ids = [], []
+        ids = []
         for at, (classes, where, place) in zip(offsets, _placed(batch, known.first)):
             id_ = np.full(len(classes), size - 1)
             other = place < 0
             place[other] = held + code[at - 1 - place[other]]
             id_[where] = place
-            for i in range(0, len(classes), segment):
-                pieces.append(classes[i : i + segment])
-                ids.append(id_[i : i + segment])
+            ids.append(id_)
         found, c = np.zeros((states, size)), np.bincount(np.concatenate(ids), minlength=size)
-        for some, block, lengths in _blocks(pieces, cells):
-            seen, part, log_likelihood = chain.posteriors(block, lengths)
-            start += seen[0].sum(axis=0, dtype=float)
-            moves += part
+        for some, block, seen, *parts in _passes(chain, _sequences(batch), segment, cells):
+            start += parts[0]
+            moves += parts[1]
             emitted += by_state(block, seen, emitted.shape[1])
-            height[0] += log_likelihood
+            height[0] += parts[2]
             id_ = np.full(block.shape, size - 1)
-            for column, i in enumerate(some):
-                id_[: len(ids[i]), column] = ids[i]
+            for column, (i, at) in enumerate(some):
+                piece = ids[i][at : at + len(block)]
+                id_[: len(piece), column] = piece
             found += by_state(id_, seen, size)
         of_known += found[:, :held]
         if size - 1 > held:

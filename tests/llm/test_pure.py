@@ -258,6 +258,31 @@ def test_forward_recursion_and_baum_welch():
     assert all(b >= a - 1e-2 for a, b in zip(heights, heights[1:])) and heights[-1] > heights[0]
 
 
+def test_long_texts_count_as_whole_ones():
+    rng = np.random.default_rng(5)
+    chain = hmm.Chain.first(rng.dirichlet(np.ones(9)), 3, 0.8, 1.0, 4)
+    texts = [rng.integers(0, 9, n) for n in (1, 7, 8, 14, 15, 50)]
+
+    def counts(segment):
+        sums = [0, 0, 0, 0]
+        for _, block, seen, start, moves, height in hmm._passes(chain, texts, segment, 40):
+            sums = [a + b for a, b in zip(sums, (start, moves, hmm.by_state(block, seen, 9), height))]
+        return sums
+
+    whole = counts(1000)
+    assert whole[0].sum() == pytest.approx(len(texts)) and whole[1].sum() == pytest.approx(sum(len(t) - 1 for t in texts), rel=1e-5)
+    for segment in (1, 7, 49):
+        for a, b in zip(counts(segment), whole):
+            assert a == pytest.approx(b, rel=1e-4, abs=1e-4)
+    batch = hmm.pa.RecordBatch.from_arrays([hmm.pa.array([t.astype(np.uint16).tobytes() for t in texts])], ["classes"])
+    added = [np.zeros((1, 3)), np.zeros((3, 3)), np.zeros((3, 9)), np.zeros((1, 1))]
+    for part in hmm._expected([batch], chain, 7, 40):
+        for kind, i, j, value in zip(*(c.to_pylist() for c in part.columns)):
+            added[kind][i, j] += value
+    for a, b in zip(added, whole):
+        assert a.reshape(-1) == pytest.approx(np.reshape(b, -1), rel=1e-4, abs=1e-4)
+
+
 # ---- WARC ----
 
 
