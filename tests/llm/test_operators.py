@@ -539,3 +539,66 @@ def test_query_against_its_definition(spark, name):
 def test_every_operator_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in entry.queries() if re.match(r"op\d+_", name))
     assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+
+
+# ---- pipeline ----
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(77)
+    words = [f"v{i}" for i in range(5000)]
+    fresh_prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    spaced = lambda text, n: " ".join(f"n{i}" if i % (len(text.split()) // n) == 20 else w for i, w in enumerate(text.split()))
+    shared, rare, body, wide = fresh_prose(40), fresh_prose(20), fresh_prose(80), fresh_prose(200)
+    texts = [fresh_prose(70) for _ in range(6)]
+    texts += [fresh_prose(55) + "\n" + shared for _ in range(5)]
+    # Four holders are left when the rules have dropped the fifth, so this line stays.
+    texts += [fresh_prose(60) + "\n" + rare for _ in range(4)] + ["again " * 90 + "\n" + rare]
+    texts += [body, body + "\n" + shared, fresh_prose(60) + "\n" + shared]  # copies when the line has gone
+    texts += [wide, spaced(wide, 4), spaced(wide, 9), texts[0], texts[0]]
+    texts += [fresh_prose(60) + " " + ITEM, fresh_prose(400) + " " + " ".join(ITEM.split()[:13])]  # five per cent and less
+    texts += [None, "", "too short", "again " * 80]
+    docs = [(i + 1, t, "en", None, None if t is None else len(t)) for i, t in enumerate(texts)]
+    frames = {
+        "documents": (docs, "doc_id long, text string, lang string, source string, n_chars long"),
+        "labels": ([], "doc_id long, quality int, toxic int"),
+        "benchmark": (ITEMS, "item_id long, text string"),
+    }
+    for name, (rows_, schema) in frames.items():
+        spark.createDataFrame(rows_, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    # Without labels the forest keeps what the rules keep.
+    count = lambda t: (len((t or "").split()), quality.rule_counts(t)[quality.COUNTS.index("n_repeat_words")])
+    passed = [d for d in docs if count(d[1])[0] >= 50 and 2 * count(d[1])[1] <= count(d[1])[0]]
+    stripped = [(*d[:1], t, *d[2:4], len(t)) for d, (_, t, _, _) in zip(passed, deduped(passed))]
+    roots = jaccard_components(stripped, 5, 80)
+    single = [d for d in stripped if roots[d[0]] == d[0]]
+    clean = [d for d, w in zip(single, contaminated(single, ITEMS)) if not w[-1]]
+    # Every stage drops something, and another order or other parameters would show.
+    assert len(docs) > len(passed) > len(single) > len(clean) and passed != stripped
+    assert roots != jaccard_components(stripped, 4, 85) and roots != jaccard_components(passed, 5, 80)
+    assert dict((d[0], t) for d, (_, t, _, _) in zip(docs, deduped(docs))) != dict((d[0], d[1]) for d in docs) | {d[0]: d[1] for d in stripped}
+    assert any(rare in d[1] for d in clean) and {d[0] for d in single} - {d[0] for d in clean}
+
+    assert len(corpus_pipeline.STAGES) == 5
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for (name, stage), want in zip(corpus_pipeline.STAGES, (passed, stripped, single, clean)):
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        assert sorted(map(tuple, at.collect())) == sorted(want), name
+    encoded = packing.Encoder(packing.tokenizer_path()).encode([d[1] for d in clean])
+    tokens = {d[0]: (*np.frombuffer(ids, np.uint16).tolist(), 1) for d, ids in zip(clean, encoded)}
+    for rows_ in (corpus_pipeline.STAGES[4][1](spark, at, str(tmp_path)), corpus_pipeline.run(spark, str(tmp_path))):
+        ends = defaultdict(list)
+        for x in rows_.collect():
+            assert x.doc_tokens == len(tokens[x.doc_id])
+            ends[x.doc_id].append((x.start, x.length, x.ids_crc32))
+        assert set(ends) == set(tokens)
+        for doc, parts in ends.items():
+            place = 0
+            for start, length, crc in sorted(parts):
+                assert start == place and zlib.crc32(np.array(tokens[doc][start : start + length], "<u4").tobytes()) == crc
+                place += length
+            assert place == len(tokens[doc])
