@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prefspark.llm import chat, decontaminate, hmm, html_extract, line_dedup, ngram_join, packing, quality, sharding, warc
+from prefspark.llm import (
+    chat, classifier, decontaminate, hmm, html_extract, line_dedup, ngram_join, packing, quality, sharding, source_audit, vector_codes, warc,
+)
 from prefspark.llm.common import read
 from prefspark.plans.session import tune
 
@@ -229,3 +231,98 @@ def op10(spark, sf_dir):
     """Components of all documents by shared shingles."""
     found = ngram_join.ngram_components(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op11_boosted_trees")
+def op11(spark, sf_dir):
+    """Quality scores of all documents."""
+    return classifier.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+OP12 = r"""
+WITH clean AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+said AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM clean),
+kept AS (SELECT lang, term FROM said GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+held AS (SELECT lang, source, term, count(*) AS n FROM said GROUP BY lang, source, term),
+groups AS (SELECT DISTINCT lang, source FROM clean),
+counted AS (
+  SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n
+  FROM groups g JOIN kept k ON g.lang = k.lang
+  LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+shares AS (
+  SELECT *, CAST(1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (sum(n) OVER w + 5 * count(*) OVER w) AS BIGINT) AS p
+  FROM counted WINDOW w AS (PARTITION BY lang, source)),
+by_lang AS (SELECT lang, term, sum(n) AS n FROM counted GROUP BY lang, term),
+lang_shares AS (
+  SELECT lang, term, CAST(1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (sum(n) OVER w + 5 * count(*) OVER w) AS BIGINT) AS q
+  FROM by_lang WINDOW w AS (PARTITION BY lang)),
+differing AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(d.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN differing d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+  UNION ALL
+  SELECT s.lang, s.source, 'term', s.term, p - q
+  FROM shares s JOIN lang_shares l ON s.lang = l.lang AND s.term = l.term WHERE s.n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM parts QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50
+"""
+
+
+@query("op12_perfect_hash_recount", OP12)
+def op12(spark, sf_dir):
+    """Divergence of all sources from each other and from their language."""
+    return source_audit.audit_sources(read(spark, sf_dir, "documents"))
+
+
+def _op13(rounds: int = 6, parts: int = 8, entries: int = 16) -> str:
+    steps = [
+        f"""
+WITH whole AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+cut AS MATERIALIZED (
+  SELECT vec_id, label, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM whole, (SELECT unnest(range({parts})) AS p)),
+book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, x
+  FROM cut WHERE vec_id IN (SELECT vec_id FROM whole WHERE vec_id IS NOT NULL ORDER BY vec_id LIMIT {entries}))"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""near{r} AS MATERIALIZED (
+  SELECT c.vec_id, c.label, c.p, min(list_sum(list_transform(range(1, len(c.x) + 1), lambda i: (c.x[i] - b.x[i]) * (c.x[i] - b.x[i]))) * {entries} + b.k) AS found
+  FROM cut c JOIN book{r} b ON c.p = b.p GROUP BY ALL)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""mean{r} AS (
+  SELECT p, k, list(CAST(floor_of AS BIGINT) ORDER BY i) AS x FROM (
+    SELECT n.p, n.found % {entries} AS k, i, (sum(c.x[i]) - ((sum(c.x[i]) % count(*)) + count(*)) % count(*)) // count(*) AS floor_of
+    FROM near{r} n JOIN cut c ON c.vec_id = n.vec_id AND c.p = n.p, (SELECT unnest(range(1, (SELECT max(len(x)) FROM cut) + 1)) AS i)
+    GROUP BY n.p, k, i) GROUP BY p, k),
+book{r + 1} AS MATERIALIZED (SELECT b.p, b.k, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN mean{r} m ON m.p = b.p AND m.k = b.k)"""
+            )
+    return (
+        ",\n".join(steps)
+        + f""",
+coded AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(format('{{:02x}}', found % {entries}), '' ORDER BY p) AS code,
+         CAST(sum(found // {entries}) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, k)) FROM book{rounds}) AS codebooks_sha256
+FROM coded
+"""
+    )
+
+
+@query("op13_active_lloyd", _op13())
+def op13(spark, sf_dir):
+    """Codes of all vectors."""
+    return vector_codes.encode_vectors(read(spark, sf_dir, "embeddings"))
