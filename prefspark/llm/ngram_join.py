@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from prefspark.llm.common import bitmap_test, fresh, process_cache, runs, slices
+from prefspark.llm.common import fresh, process_cache, runs, slices
 from prefspark.llm.components import connected_components
 from prefspark.plans.session import materialize
 
@@ -270,7 +270,7 @@ _SCANNED = "doc bigint, n bigint, d1 bigint, d2 bigint, shingle bigint"
 
 def _scanned(batches, size: int, percent: int, shared) -> Iterator[pa.RecordBatch]:
     """Every row's set by its size and 128-bit digest, and the prefixes of sets: (n, d1, shingle), once per task for copies."""
-    rarity, seen = shared.value, set()
+    rarity, seen = Rarity(*shared.value), set()
     names = [c.split()[0] for c in _SCANNED.split(", ")]
     for batch, sets in _sets(batches, 1, size):
         digests = [_digest(s) for s in sets]
@@ -292,9 +292,31 @@ def _scanned(batches, size: int, percent: int, shared) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([blank, n, key, blank, first], names)
 
 
-_CELLS = "array<struct<list:boolean,key:bigint,low:int,high:int,side:int>>"
-_PLACED = "list boolean, key bigint, low int, high int, side int, node bigint, shingles binary"
-_PLACED_TYPES = [pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+_CELLS = "array<struct<key:bigint,low:int,high:int,side:int>>"
+_PLACED = "key bigint, low int, high int, side int, node bigint, shingles binary"
+_PLACED_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+
+
+def _bitmap(members: DataFrame) -> tuple[bytes, int]:
+    """A bit for the hash of every member's id, and the number of bits: 16 or more for each, 2^24 at most.
+
+    It only saves the shuffle of other texts; a full one lets all of them pass.
+    """
+    bits = min(1 << 24, max(1 << 16, 1 << (16 * members.count()).bit_length()))
+    slot = F.xxhash64("node").bitwiseAND(bits - 1)
+    words = members.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(xxhash64(node) & 63 AS INT))").alias("bit"))
+    held = words.groupBy("word").agg(F.bit_or("bit").alias("held")).toArrow()
+    out = np.zeros(bits // 64, "<i8")
+    out[held["word"].to_numpy()] = held["held"].to_numpy()
+    return out.tobytes(), bits
+
+
+def _candidates(batches, shared) -> Iterator[pa.RecordBatch]:
+    bits = np.frombuffer(shared.value, np.uint8)
+    for batch in batches:
+        slot = batch.column(2).to_numpy()
+        kept = bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], ["doc", "text"]).filter(pa.array(kept))
 
 
 def _placed(batches, size: int) -> Iterator[pa.RecordBatch]:
@@ -321,7 +343,7 @@ def _placed(batches, size: int) -> Iterator[pa.RecordBatch]:
 
 def _search(batches, percent: int, spanning: bool) -> Iterator[pa.RecordBatch]:
     a, b = [], []
-    for cell in runs(batches, ["list", "key", "low", "high"]):
+    for cell in runs(batches, ["key", "low", "high"]):
         nodes, sides = cell.column("node").to_pylist(), cell.column("side").to_pylist()
         inner = cell.column("low")[0].as_py() == cell.column("high")[0].as_py()
         sets = [np.frombuffer(x.as_buffer(), _U) for x in cell.column("shingles")]
@@ -343,17 +365,23 @@ class JaccardJoin:
 
     Rows with equal sets are one class. Sets of the size of a link share a shingle among their first ones
     in an order from rare to common, so each such shingle's list of classes holds the candidates. The order
-    comes from counts of all shingles (`Rarity`); one that no other set has needs no list. Lists with the same members are searched once,
-    and lists that share members are searched together while their sets have `cell_shingles` shingles at most.
-    A longer list is dealt into chunks, and every pair of chunks is a cell, so a task holds two chunks
-    whatever the list. A cell is searched by `linked_pairs`.
+    comes from counts of all shingles (`Rarity`); one that no other set has needs no list. Lists with the same least
+    class are one cell, which gets each of their sets once. A cell of more than `cell_shingles` shingles or
+    `cell_sets` sets is dealt into chunks, and every pair of chunks is a cell, so a task holds two chunks
+    whatever the lists. A cell is searched by `linked_pairs`.
     """
 
-    def __init__(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 4, percent: int = 85, cell_shingles: int = 1_000_000):
-        self.size, self.percent, self.cell = size, percent, cell_shingles
+    def __init__(
+        self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 4, percent: int = 85, cell_shingles: int = 1_000_000, cell_sets: int = 1000
+    ):
+        self.size, self.percent, self.cell, self.cell_sets = size, percent, cell_shingles, cell_sets
         self.rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
-        shared = docs.sparkSession.sparkContext.broadcast(rarity_of(self.rows.where("doc IS NOT NULL").select("text"), size))
+        context = docs.sparkSession.sparkContext
+        rarity = rarity_of(self.rows.where("doc IS NOT NULL").select("text"), size)
+        # Plain arrays: the workers need not have this package.
+        shared = context.broadcast((rarity.marks, rarity.levels))
         scanned = materialize(self.rows.mapInArrow(lambda batches: _scanned(batches, size, percent, shared), _SCANNED), "join-sets")
+        shared.destroy()
         #: (doc, n, d1, d2) of every row.
         self.described = scanned.where("shingle IS NULL").select("doc", "n", "d1", "d2")
         #: (shingle, d1, n): the inverted lists' entries.
@@ -366,60 +394,37 @@ class JaccardJoin:
     def links(self, spanning: bool = False) -> DataFrame:
         """(a, b), a < b: linked class representatives; with `spanning` only enough of them to connect the same."""
         size, percent = self.size, self.percent
-        prefixes = self.prefixes
-        # Equal lists have equal sums. A class that several tasks emit counts as often in each of its lists.
-        mark = F.xxhash64("d1").bitwiseAND((1 << 36) - 1)
-        lists = (
-            prefixes.groupBy("shingle")
-            .agg(F.min("d1").alias("lowest"), F.max("d1").alias("highest"), F.sum(mark).alias("mark"), F.sum("n").alias("weight"))
-            .where("lowest < highest")
-            .groupBy("lowest", "highest", "mark", "weight")
-            .agg(F.min("shingle").alias("shingle"))
-            .select("shingle", "lowest", F.ceil(F.col("weight") / self.cell).cast("int").alias("chunks"))
+        members = materialize(self._cells(), "join-members")
+        bits, slots = _bitmap(members)
+        shared = members.sparkSession.sparkContext.broadcast(bits)
+        texts = self.rows.select("doc", "text", F.xxhash64("doc").bitwiseAND(slots - 1).alias("slot")).mapInArrow(
+            lambda batches: _candidates(batches, shared), "doc bigint, text string"
         )
-        lists = materialize(lists, "join-lists")
-        entries = materialize(prefixes.join(lists, "shingle").select("shingle", "d1", "n", "lowest", "chunks").distinct(), "join-entries")
-        members = materialize(self._cells(entries), "join-members")
-        texts = self.rows.where(bitmap_test(members, "h", 1 << 20)(F.xxhash64("doc")))
         found = (
             members.join(texts, members.node == texts.doc)
             .select("node", "d1", "d2", "cells", "text")
             .mapInArrow(lambda batches: _placed(batches, size), _PLACED)
-            .repartition("list", "key", "low", "high")
-            .sortWithinPartitions("list", "key", "low", "high")
+            .repartition("key", "low", "high")
+            .sortWithinPartitions("key", "low", "high")
             .mapInArrow(lambda batches: _search(batches, percent, spanning), "a bigint, b bigint")
         )
         return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
-    def _cells(self, entries: DataFrame) -> DataFrame:
-        """(node, d1, d2, h, cells): the cells of every class that has candidates.
-
-        Classes that lists connect are one cell, which gets each set once, if all of them fit one; else
-        every list is a cell, or a pair of its chunks.
-        """
-        tied = connected_components(entries.select(F.col("d1").alias("a"), F.col("lowest").alias("b")))
-        tied = tied.select(F.col("node").alias("d1"), "component")
-        weights = entries.select("d1", "n").distinct().join(tied, "d1").groupBy("component").agg((F.sum("n") <= self.cell).alias("fits"))
-        tied = materialize(tied.join(weights, "component"), "join-tied")
-        zero = F.lit(0)
-        whole = tied.where("fits").select(
-            "d1", F.struct(F.lit(False).alias("list"), F.col("component").alias("key"), zero.alias("low"), zero.alias("high"), zero.alias("side")).alias("cell")
-        )
+    def _cells(self) -> DataFrame:
+        """(node, d1, d2, cells): the cells of every class that has candidates."""
+        lists = self.prefixes.groupBy("shingle").agg(F.min("d1").alias("lowest"), F.max("d1").alias("highest")).where("lowest < highest").select("shingle", "lowest")
+        entries = materialize(self.prefixes.join(lists, "shingle").select("lowest", "d1", "n").distinct(), "join-entries")
+        chunks = F.ceil(F.greatest(F.sum("n") / self.cell, F.count("*") / self.cell_sets)).cast("int")
         side = F.pmod(F.xxhash64("d1"), F.col("chunks")).cast("int")
-        listed = (
-            entries.join(tied.where("NOT fits"), "d1")
+        cells = (
+            entries.join(entries.groupBy("lowest").agg(chunks.alias("chunks")), "lowest")
             .withColumn("side", side)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            .select(
-                "d1",
-                F.struct(
-                    F.lit(True).alias("list"), F.col("shingle").alias("key"), F.least("side", "other").alias("low"),
-                    F.greatest("side", "other").alias("high"), "side",
-                ).alias("cell"),
-            )
-        )
-        cells = whole.unionByName(listed).groupBy("d1").agg(F.collect_list("cell").cast(_CELLS).alias("cells"))
-        return self.classes.join(cells, "d1").select("node", "d1", "d2", F.xxhash64("node").alias("h"), "cells")
+            .select("d1", F.struct(F.col("lowest").alias("key"), F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side").alias("cell"))
+            .groupBy("d1")
+            .agg(F.collect_list("cell").cast(_CELLS).alias("cells"))
+        )
+        return self.classes.join(cells, "d1").select("node", "d1", "d2", "cells")
 
     def components(self) -> DataFrame:
         """(doc_id, n_shingles, class_id, component_id) for every row: the smallest id with the same set, and

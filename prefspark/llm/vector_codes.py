@@ -92,7 +92,7 @@ def _blocks(batches: Iterable[pa.RecordBatch], shape: Shape, scale: int, block_b
             flat = _whole(lists.flatten().to_numpy(zero_copy_only=False), scale)
             whole = np.zeros((len(lengths), width), np.int64)
             whole[np.arange(width) < lengths[:, None]] = flat
-            yield rows.column(0), rows.column(2), whole.reshape(-1, shape.parts, shape.length)
+            yield rows.column(0), rows.column(2), whole.reshape(len(lengths), shape.parts, shape.length)
 
 
 def _packed(column: pa.Array) -> bytes:
@@ -133,8 +133,8 @@ def _again(batches, shape: Shape, book: np.ndarray, moved: np.ndarray) -> Iterat
     for batch in batches:
         for i in range(batch.num_rows):
             ids, labels, vectors, codes, stored = (batch.column(c)[i].as_py() for c in range(5))
-            whole = np.frombuffer(vectors, shape.component).astype(np.int64).reshape(-1, shape.parts, shape.length)
             codes = np.frombuffer(codes, np.uint8).astype(np.int64).reshape(-1, shape.parts)
+            whole = np.frombuffer(vectors, shape.component).astype(np.int64).reshape(len(codes), shape.parts, shape.length)
             stored = np.frombuffer(stored, shape.distance).astype(np.int64).reshape(-1, shape.parts)
             found = [assign(whole[:, p], book[p], moved[p], codes[:, p], stored[:, p], shape.blas) for p in range(shape.parts)]
             codes, stored = (np.stack([f[k] for f in found], axis=1) for k in (0, 1))
@@ -202,7 +202,7 @@ class Codes:
         book = np.zeros((len(firsts), parts * shape.length), np.int64)
         for i, row in enumerate(firsts):
             book[i, : len(row.x)] = _whole(np.array(row.x, float), scale)
-        self.book = book.reshape(-1, parts, shape.length).transpose(1, 0, 2).copy()
+        self.book = book.reshape(len(firsts), parts, shape.length).transpose(1, 0, 2).copy()
         #: Distances computed in each pass.
         self.blocks, moved = None, None
         if not len(firsts):
