@@ -32,7 +32,7 @@ def shingles(text: str | None, size: int, words_seen: dict[bytes, int]) -> np.nd
     words = _WORD.findall((text or "").encode().lower())
     if not words:
         return np.zeros(0, _U)
-    if len(words_seen) > 1_000_000:
+    if len(words_seen) > 200_000:
         words_seen.clear()
     for word in set(words).difference(words_seen):
         words_seen[word] = xxhash.xxh3_64_intdigest(word)
@@ -124,7 +124,7 @@ def _counted(batches, size: int) -> Iterator[pa.RecordBatch]:
                 seen.add(digest)
                 held.append(found)
                 n += len(found)
-        if n > 4_000_000:
+        if n > 2_000_000:
             yield flush()
             held, n = [], 0
     if held:
@@ -372,7 +372,7 @@ class JaccardJoin:
     """
 
     def __init__(
-        self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 4, percent: int = 85, cell_shingles: int = 1_000_000, cell_sets: int = 1000
+        self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 4, percent: int = 85, cell_shingles: int = 500_000, cell_sets: int = 1000
     ):
         self.size, self.percent, self.cell, self.cell_sets = size, percent, cell_shingles, cell_sets
         self.rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
