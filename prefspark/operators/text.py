@@ -10,15 +10,20 @@ from prefspark.functions.columns import rounded
 from prefspark.functions.text import DEFAULT_STOP_WORDS, clean, has_min_words, words
 
 
+def spread(docs: DataFrame, partitions: int | None) -> DataFrame:
+    """`docs` dealt by item into `partitions` tasks: for tables of few large files, whose texts few tasks would read."""
+    return docs if partitions is None else docs.repartition(partitions, "item_id")
+
+
 def min_words(articles: DataFrame, n: int = 3, text: str = "text") -> DataFrame:
     """Articles whose raw text has at least n words."""
     return articles.where(has_min_words(F.col(text), n))
 
 
 def article_variants(
-    articles: DataFrame, stop_words: str | Iterable[str] = DEFAULT_STOP_WORDS
+    articles: DataFrame, stop_words: str | Iterable[str] = DEFAULT_STOP_WORDS, partitions: int | None = None
 ) -> DataFrame:
-    """Up to six texts per article, by training set.
+    """Up to six texts per article, by training set, made in `partitions` tasks where that is given.
 
     `pure` is the text as it came and `stopwords` its cleaned form. SCEAL1/2 add the article's
     first/second context (columns sce_al1, sce_al2), and processedSCEAL1/2 are those cleaned; they
@@ -32,13 +37,16 @@ def article_variants(
             joined = F.concat(text, F.lit(" "), F.col(f"sce_al{n}"))
             variants += [(f"SCEAL{n}", joined), (f"processedSCEAL{n}", clean(joined, stop))]
     named = F.array(*(F.struct(F.lit(name).alias("training_set"), t.alias("text")) for name, t in variants))
-    return articles.select("item_id", "label", F.inline(named)).where(F.col("text").isNotNull())
+    return spread(articles, partitions).select("item_id", "label", F.inline(named)).where(F.col("text").isNotNull())
 
 
-def term_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(item_id, term, tf). Counted inside each task first, so a frequent term is no hot spot."""
+def term_frequencies(docs: DataFrame, text: str = "text", partitions: int | None = None) -> DataFrame:
+    """(item_id, term, tf). Counted inside each task first, so a frequent term is no hot spot.
+
+    With `partitions` texts are dealt by item into so many tasks, which then count without another shuffle.
+    """
     return (
-        docs.select("item_id", F.explode(words(F.col(text))).alias("term"))
+        spread(docs, partitions).select("item_id", F.explode(words(F.col(text))).alias("term"))
         .groupBy("item_id", "term")
         .agg(F.count("*").alias("tf"))
     )

@@ -1,33 +1,65 @@
-"""Topic models over article texts, with Spark's online LDA."""
+"""Topic models over article texts, with Spark's online LDA in a hashed term space.
+
+Terms are hashed into 2^bits slots, so what the solver keeps on the driver, k numbers per slot, is a parameter and
+does not grow with the texts. The dictionary is a table (term, slot, df); nobody holds it whole.
+"""
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import IDF, CountVectorizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from prefspark.functions.text import words
 from prefspark.operators.scoring import top_unseen
-from prefspark.operators.text import document_frequencies, term_frequencies
-from prefspark.plans.session import materialize
+from prefspark.operators.text import document_frequencies, prune_vocabulary, spread
+from prefspark.plans.session import materialize, scratch_path
+
+#: log2 of the slots: at 262,144 of them the solver keeps 2 MB per topic.
+BITS = 18
 
 
 @dataclass
 class TopicModel:
-    counts: object
-    idf: object | None
+    """terms: (term, slot, df), the dictionary; weights: (slot, idf), or None where counts are taken as they are."""
+
+    bits: int
+    terms: DataFrame
+    weights: DataFrame | None
     lda: object
 
-    def vectors(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """(item_id, features); words outside the dictionary are dropped."""
-        out = self.counts.transform(docs.select("item_id", words(F.col(text)).alias("words")))
-        if self.idf is not None:
-            out = self.idf.transform(out.withColumnRenamed("features", "counts"))
-        return out.select("item_id", "features")
+
+def term_slot(term: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(1 << bits)).cast("int")
+
+
+def term_counts(docs: DataFrame, text: str = "text", partitions: int | None = None) -> DataFrame:
+    """(item_id, term, tf); an item without words has one row with a null term. One row of input is one task's work."""
+    exploded = spread(docs.select("item_id", F.col(text).alias("text")), partitions).select("item_id", F.explode_outer(words(F.col("text"))).alias("term"))
+    return exploded.groupBy("item_id", "term").agg(F.count("term").alias("tf"))
+
+
+def slot_vectors(counts: DataFrame, bits: int, weights: DataFrame | None = None) -> DataFrame:
+    """(item_id, features): sparse vectors from (item_id, slot, tf), written once; null slots make no entry."""
+    entries = counts.groupBy("item_id", "slot").agg(F.sum("tf").cast("double").alias("value"))
+    if weights is not None:
+        weighted = entries.join(weights, "slot", "left")
+        entries = weighted.select("item_id", "slot", (F.col("value") * F.coalesce("idf", F.lit(0.0))).alias("value"))
+    held = F.sort_array(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "value"))))
+    listed = entries.groupBy("item_id").agg(held.alias("held"))
+    # What Spark's sparse vectors look like in a file.
+    sparse = F.struct(
+        F.lit(0).cast("byte").alias("type"), F.lit(1 << bits).alias("size"), F.col("held.slot").alias("indices"), F.col("held.value").alias("values")
+    )
+    path = scratch_path(counts.sparkSession, "term-vectors")
+    out = listed.select("item_id", sparse.alias("features"))
+    out.write.parquet(path)
+    schema = StructType([out.schema["item_id"]]).add("features", VectorUDT())
+    return counts.sparkSession.read.schema(schema).parquet(path)
 
 
 def train_topics(
@@ -41,65 +73,66 @@ def train_topics(
     subsampling: float = 1.0,
     seed: int = 42,
     text: str = "text",
+    bits: int = BITS,
+    partitions: int | None = None,
 ) -> TopicModel:
     """Fit topics on (item_id, text). `max_df_sigma` prunes the dictionary as `prune_vocabulary` does.
 
+    Texts are read once, in `partitions` tasks where that is given, and their term counts written. Terms of one slot
+    are one term to the solver: with n distinct terms about n / 2^(bits + 1) of them share theirs with a certain other.
     Every iteration reads all documents; a smaller `subsampling` reads a random share of them each time.
-    The dictionary and the topics, k numbers per term, are what the solver keeps on the driver; texts
-    never go there.
+    `eta` is the prior count of a term: the solver, which has slots no term fell into, gets as much in all.
     """
-    limit = {}
+    if weighting not in ("counts", "tfidf"):
+        raise ValueError("weighting must be 'counts' or 'tfidf'")
+    counts = materialize(term_counts(docs, text, partitions), "term-counts")
+    frequencies = document_frequencies(counts.where("term IS NOT NULL"))
+    terms = prune_vocabulary(frequencies, max_df_sigma).select("term", term_slot(F.col("term"), bits).alias("slot"), "df")
+    terms = materialize(terms, "dictionary")
+    used = terms.agg(F.countDistinct("slot")).first()[0]
+    if not used:
+        raise ValueError("no term is left to train on")
+    placed = counts.withColumn("slot", term_slot(F.col("term"), bits)).withColumn("slot", F.when(F.col("term").isNotNull(), F.col("slot")))
     if max_df_sigma >= 0:
-        df = document_frequencies(term_frequencies(docs, text))
-        sigma = df.agg(F.stddev_pop("df")).first()[0]
-        if sigma is None or max_df_sigma * sigma < 1:
-            raise ValueError("no term is left to train on")
-        limit["maxDF"] = math.floor(max_df_sigma * sigma)
-    counter = CountVectorizer(
-        inputCol="words", outputCol="features", minDF=1, vocabSize=2**31 - 1, **limit
-    )
-    counts = counter.fit(docs.select(words(F.col(text)).alias("words")))
-    model = TopicModel(counts, None, None)
+        # Few terms are too frequent; the long table of the others is not joined.
+        gone = frequencies.join(terms.select("term"), "term", "left_anti").select("term", F.lit(True).alias("gone"))
+        placed = placed.join(materialize(gone, "pruned"), "term", "left").withColumn("slot", F.when(F.col("gone").isNull(), F.col("slot")))
+    weights = None
     if weighting == "tfidf":
-        model.idf = IDF(inputCol="counts", outputCol="features").fit(
-            model.vectors(docs, text).withColumnRenamed("features", "counts")
-        )
-    elif weighting != "counts":
-        raise ValueError("weighting must be 'counts' or 'tfidf'")
+        documents = counts.agg(F.countDistinct("item_id")).scalar()
+        by_slot = placed.where("slot IS NOT NULL").select("item_id", "slot").distinct().groupBy("slot").agg(F.count("*").alias("df"))
+        weights = materialize(by_slot.select("slot", F.ln((documents + 1) / (F.col("df") + 1)).alias("idf")), "slot-weights")
     lda = LDA(
         k=k,
         maxIter=iters,
         seed=seed,
         optimizer="online",
         docConcentration=[alpha],
-        topicConcentration=eta,
+        topicConcentration=eta * used / (1 << bits),
         subsamplingRate=subsampling,
     )
-    # Every iteration reads the vectors: they are written once, spread evenly.
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    vectors = materialize(model.vectors(docs, text).repartition(parts, "item_id"), "term-vectors")
-    model.lda = lda.fit(vectors)
-    return model
+    return TopicModel(bits, terms, weights, lda.fit(slot_vectors(placed, bits, weights)))
 
 
-def document_topics(model: TopicModel, docs: DataFrame, text: str = "text") -> DataFrame:
-    """(item_id, topics): the topic distribution of every document."""
-    return model.lda.transform(model.vectors(docs, text)).select(
-        "item_id", vector_to_array("topicDistribution").alias("topics")
-    )
+def document_topics(model: TopicModel, docs: DataFrame, text: str = "text", partitions: int | None = None) -> DataFrame:
+    """(item_id, topics): the topic distribution of every document; words outside the dictionary are dropped."""
+    known = term_counts(docs, text, partitions).join(model.terms.select("term", "slot"), "term", "left")
+    vectors = slot_vectors(known, model.bits, model.weights)
+    return model.lda.transform(vectors).select("item_id", vector_to_array("topicDistribution").alias("topics"))
 
 
 def topic_terms(model: TopicModel, n: int = 100) -> DataFrame:
-    """(topic, rank, term, weight): the n heaviest terms of every topic."""
-    described = model.lda.describeTopics(n)
-    vocabulary = model.counts.vocabulary
-    # k * n rows, whatever the texts.
-    rows = [
-        (r.topic, rank, vocabulary[idx], weight)
-        for r in described.collect()
-        for rank, (idx, weight) in enumerate(zip(r.termIndices, r.termWeights), 1)
-    ]
-    return described.sparkSession.createDataFrame(rows, "topic int, rank int, term string, weight double")
+    """(topic, rank, term, weight): the n heaviest terms of every topic.
+
+    Terms of one slot share its weight in proportion to the documents that have them. Terms are looked up for each
+    topic's 4n heaviest slots.
+    """
+    slots = model.lda.describeTopics(min(4 * n, 1 << model.bits))
+    weighed = slots.select("topic", F.inline(F.arrays_zip(F.col("termIndices").alias("slot"), F.col("termWeights").alias("heaviness"))))
+    of_slot = F.sum("df").over(Window.partitionBy("topic", "slot"))
+    shared = weighed.join(model.terms, "slot").select("topic", "term", (F.col("heaviness") * F.col("df") / of_slot).alias("weight"))
+    order = Window.partitionBy("topic").orderBy(F.desc("weight"), "term")
+    return shared.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("topic", "rank", "term", "weight")
 
 
 def infer_topics(

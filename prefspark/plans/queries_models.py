@@ -6,8 +6,9 @@ from prefspark import views as V
 from prefspark.functions.text import clean
 from prefspark.operators import clustering as K, factors as M, splits as S, topics as L, tuning as T
 from prefspark.operators.preferences import preferences_for_label
+from prefspark.operators.text import spread
 from prefspark.plans.catalog import query
-from prefspark.plans.session import materialize
+from prefspark.plans.session import materialize, tasks
 from prefspark.sources import sinks
 
 
@@ -45,12 +46,12 @@ def grid_search_als(spark, d):
 
 
 def _docs(spark, d):
-    docs = V.documents(spark, d)
-    return docs.select(F.col("doc_id").alias("item_id"), "lang", clean(F.col("text")).alias("text"))
+    docs = spread(V.documents(spark, d).withColumnRenamed("doc_id", "item_id"), tasks(spark))
+    return docs.select("item_id", "lang", clean(F.col("text")).alias("text"))
 
 
 def _model(docs):
-    return L.train_topics(docs.select("item_id", "text"), k=8, iters=5, subsampling=1.0)
+    return L.train_topics(docs.select("item_id", "text"), k=8, iters=5, subsampling=1.0, partitions=tasks(docs.sparkSession))
 
 
 @query("train_topics")

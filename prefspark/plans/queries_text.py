@@ -6,6 +6,7 @@ from prefspark import views as V
 from prefspark.functions.text import KEPT_LETTERS, clean, remove_stopwords, stop_word_list, strip_bad_chars
 from prefspark.operators import text as X
 from prefspark.plans.catalog import query, with_views
+from prefspark.plans.session import tasks
 
 _STOP = ", ".join(f"'{w}'" for w in stop_word_list())
 _BREAK = r"[ \t\n\r\f]+"
@@ -54,7 +55,7 @@ UNION ALL SELECT item_id, label, 'processedSCEAL1', {_clean("text || ' ' || sce_
     ),
 )
 def article_variants(spark, d):
-    return X.article_variants(V.articles(spark, d)).select("item_id", "label", "training_set", "text")
+    return X.article_variants(V.articles(spark, d), partitions=tasks(spark)).select("item_id", "label", "training_set", "text")
 
 
 @query(
@@ -78,8 +79,8 @@ _TF = f"""tf AS (SELECT item_id, term, count(*) AS tf FROM
 
 
 def cleaned(spark, d):
-    docs = V.documents(spark, d)
-    return docs.select(F.col("doc_id").alias("item_id"), clean(F.col("text")).alias("text"))
+    docs = X.spread(V.documents(spark, d).withColumnRenamed("doc_id", "item_id"), tasks(spark))
+    return docs.select("item_id", clean(F.col("text")).alias("text"))
 
 
 def counts(spark, d):

@@ -26,6 +26,11 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def tasks(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, as a number of tasks to deal heavy rows to."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's `spark.checkpoint.dir`.
 

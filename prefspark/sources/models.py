@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.ml.clustering import LocalLDAModel
-from pyspark.ml.feature import CountVectorizerModel, IDFModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -134,14 +133,13 @@ def append_topics(topics: DataFrame, root: str, expected_key: str, batch_id: int
 
 
 def save_trained_topics(model: TopicModel, topics: DataFrame, root: str) -> str:
-    """Publish a new training whole: dictionary, weights and topics of the terms, and the items' topics."""
+    """Publish a new training whole: dictionary, weights and topics of the slots, and the items' topics."""
     spark, key, version = topics.sparkSession, uuid.uuid4().hex[:10], new_version()
-    for part in ("counts", "idf", "lda"):
-        trained = getattr(model, part)
-        if trained is not None:
-            trained.write().overwrite().save(version_path(root, version, part))
-    parts = [(part,) for part in ("counts", "idf", "lda") if getattr(model, part) is not None]
-    save(spark.createDataFrame(parts, "part string"), root, "parts", version)
+    model.lda.write().overwrite().save(version_path(root, version, "lda"))
+    save(model.terms, root, "terms", version)
+    if model.weights is not None:
+        save(model.weights, root, "weights", version)
+    save(spark.createDataFrame([(model.bits, model.weights is not None)], "bits int, weighted boolean"), root, "space", version)
     save(topics.withColumn("model_key", F.lit(key)), root, "topics", version)
     publish(spark, root, version, key)
     return key
@@ -153,10 +151,9 @@ def load_trained_topics(spark: SparkSession, root: str) -> tuple[TopicModel, str
     if found is None:
         return None
     version, key = found
-    stored = read_or_none(spark, version_path(root, version, "parts"))
+    stored = read_or_none(spark, version_path(root, version, "space"))
     if stored is None:
         return None
-    parts = {r.part for r in stored.collect()}
-    kinds = {"counts": CountVectorizerModel, "idf": IDFModel, "lda": LocalLDAModel}
-    loaded = {part: kind.load(version_path(root, version, part)) if part in parts else None for part, kind in kinds.items()}
-    return TopicModel(**loaded), key
+    space, read = stored.first(), lambda part: spark.read.parquet(version_path(root, version, part))
+    lda = LocalLDAModel.load(version_path(root, version, "lda"))
+    return TopicModel(space.bits, read("terms"), read("weights") if space.weighted else None, lda), key

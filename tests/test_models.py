@@ -173,6 +173,28 @@ def test_topics_separate_two_vocabularies(spark):
         L.train_topics(docs, weighting="none")
 
 
+def test_slots_of_the_hashed_space(spark):
+    """Collisions are as rare as the width says, and terms that share a slot share its weight by their documents."""
+    words = spark.range(20_000).select(F.concat(F.lit("term"), "id").alias("term"))
+    used = words.select(L.term_slot(F.col("term"), 18).alias("slot")).distinct().count()
+    # Throwing n terms into m slots fills m (1 - (1 - 1/m)^n) of them.
+    m = 1 << 18
+    assert abs(used - m * (1 - (1 - 1 / m) ** 20_000)) < 150 and used > 0.95 * 20_000
+    docs = spark.createDataFrame([(i, "one two three") for i in range(6)] + [(9, "one"), (10, None), (11, "")], "item_id long, text string")
+    narrow = L.train_topics(docs, k=2, iters=2, max_df_sigma=-1, bits=0)
+    assert {tuple(r) for r in narrow.terms.collect()} == {("one", 0, 7), ("two", 0, 6), ("three", 0, 6)}
+    terms = L.topic_terms(narrow, 5).where("topic = 0").orderBy("rank").collect()
+    assert [r.term for r in terms] == ["one", "three", "two"]
+    assert [r.weight for r in terms] == pytest.approx([7 / 19, 6 / 19, 6 / 19])
+    topics = L.document_topics(narrow, docs).collect()
+    assert sorted(r.item_id for r in topics) == [*range(6), 9, 10, 11]
+    assert {r.item_id for r in topics if sum(r.topics) == 0} == {10, 11}
+    # Frequent terms leave the dictionary, and texts with nothing else keep their row.
+    pruned = L.train_topics(spark.createDataFrame([(i, f"all w{i % 4}") for i in range(8)] + [(8, "all")], "item_id long, text string"), k=2, iters=2, max_df_sigma=1.0)
+    assert {r.term for r in pruned.terms.collect()} == {f"w{i}" for i in range(4)}
+    assert L.document_topics(pruned, spark.createDataFrame([(1, "all"), (2, "w1 all new")], "item_id long, text string")).count() == 2
+
+
 # -- clusters ------------------------------------------------------------------------------------
 
 
