@@ -63,3 +63,49 @@ def training(spark: SparkSession, root: str):
 
 def save(df: DataFrame, root: str, part: str, version: str, **write_options) -> None:
     df.write.options(**write_options).mode("overwrite").parquet(version_path(root, version, part))
+
+
+# -- expiry --------------------------------------------------------------------------
+
+
+def folders(spark: SparkSession, root: str) -> list[str]:
+    """Names of what lies in `root`, nothing where it doesn't exist."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(status.getPath().getName() for status in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def drop_folders(spark: SparkSession, root: str, names: list[str]) -> None:
+    """Remove files and folders of `root`. Spark has no writer that removes, so this asks the file system itself."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def expire(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Remove the versions before the newest `keep` published ones, and their rows of the log; returns the versions.
+
+    What is in force stays whatever its age. Versions that were begun before all that stay and never published go as
+    well. A reader that took one of the kept versions goes on undisturbed.
+    """
+    root = root.rstrip("/")
+    found = current(spark, root)
+    if found is None:
+        return []
+    log = spark.read.schema(_LOG).parquet(f"{root}/published").withColumn("file", F.input_file_name())
+    rows = sorted(log.collect(), key=lambda r: -r.seq)
+    kept = [r for i, r in enumerate(rows) if i < keep or r.version in (found[0], training(spark, root)[0])]
+    names = {r.version for r in kept}
+    oldest = min(int(name.split("-")[0]) if name.split("-")[0].isdigit() else 0 for name in names)
+    gone = []
+    for name in folders(spark, root):
+        version = name.removeprefix("v=")
+        stamp = version.split("-")[0]
+        if name != version and version not in names and (any(r.version == version for r in rows) or stamp.isdigit() and int(stamp) < oldest):
+            gone.append(version)
+    drop_folders(spark, root, [f"v={v}" for v in gone])
+    stale = {r.file for r in rows} - {r.file for r in kept}
+    drop_folders(spark, f"{root}/published", sorted(f.rsplit("/", 1)[1] for f in stale))
+    keys = {r.model_key for r in kept}
+    drop_folders(spark, f"{root}/appended", [n for n in folders(spark, f"{root}/appended") if n.startswith("model_key=") and n[10:] not in keys])
+    return gone

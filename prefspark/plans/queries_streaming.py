@@ -3,17 +3,20 @@
 Input files, logs and checkpoints go below the session's shared folder, a fresh path each time.
 """
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from prefspark import views as V
 from prefspark.operators import clustering as K, similarity as S
 from prefspark.operators.text import article_variants
+from prefspark.operators.topics import document_topics, train_topics
 from prefspark.plans.catalog import query, with_views
 from prefspark.plans.queries_recommend import MODEL_E, MODEL_O, label_prefs, model_e
 from prefspark.plans.queries_text import _clean, _words
-from prefspark.plans.session import materialize, scratch_path
+from prefspark.plans.session import materialize, scratch_path, tasks
 from prefspark.sources import files, models, sinks
-from prefspark.streaming import content as W, preferences as SP
+from prefspark.streaming import content as W, deltas, preferences as SP
 
 
 def as_stream(df, name, files_per_batch=1):
@@ -45,14 +48,14 @@ def stream_preferences_max(spark, d):
     return SP.read_preference_state(spark, log, "max")
 
 
-@query(
-    "stream_preferences_last",
-    with_views(
-        "pref_events",
-        """SELECT user_id, item_id, preference FROM (SELECT *, row_number() OVER
+CURRENT_SQL = with_views(
+    "pref_events",
+    """SELECT user_id, item_id, preference FROM (SELECT *, row_number() OVER
 (PARTITION BY user_id, item_id ORDER BY ingest_seq DESC) AS r FROM pref_events) t WHERE r = 1""",
-    ),
 )
+
+
+@query("stream_preferences_last", CURRENT_SQL)
 def stream_preferences_last(spark, d):
     log = scratch_path(spark, "log")
     stream = event_stream(spark, d, "user_id", "item_id", "preference", "ingest_seq")
@@ -60,6 +63,18 @@ def stream_preferences_last(spark, d):
     return SP.read_preference_state(spark, log, "last")
 
 
+@query("stream_compact", CURRENT_SQL)
+def stream_compact(spark, d):
+    """The same state from a log that is compacted every other batch, and once more at the end."""
+    log = scratch_path(spark, "log")
+    stream = event_stream(spark, d, "user_id", "item_id", "preference", "ingest_seq")
+    finish(SP.stream_preferences(stream, log, scratch_path(spark, "ckpt"), "last", available_now=True, compact_every=2))
+    newest = deltas.read_table(spark, log).agg(F.max("batch_id")).first()[0]
+    deltas.compact(spark, log, lambda rows: SP.fold_preference_log(rows, "last"), newest)
+    deltas.expire(spark, log, keep=1)
+    return SP.read_preference_state(spark, log, "last")
+
+
 @query(
     "retrain_triggers",
     with_views(
@@ -90,14 +105,14 @@ def stream_slots(spark, d):
     return spark.read.schema(closed.schema).parquet(out)
 
 
-@query(
-    "stream_slot_log",
-    with_views(
-        "pref_events",
-        """, s AS (SELECT *, CAST(floor(floor(epoch(ts) / 3600) / 4) AS BIGINT) AS slot_seq FROM pref_events)
+RING_SQL = with_views(
+    "pref_events",
+    """, s AS (SELECT *, CAST(floor(floor(epoch(ts) / 3600) / 4) AS BIGINT) AS slot_seq FROM pref_events)
 SELECT user_id, item_id, preference, ingest_seq, slot_seq FROM s WHERE slot_seq >= (SELECT max(slot_seq) FROM s) - 4""",
-    ),
 )
+
+
+@query("stream_slot_log", RING_SQL)
 def stream_slot_log(spark, d):
     log = scratch_path(spark, "ring")
     stream = event_stream(spark, d, "user_id", "item_id", "preference", "ts", "ingest_seq")
@@ -106,6 +121,22 @@ def stream_slot_log(spark, d):
     return kept.select("user_id", "item_id", "preference", "ingest_seq", F.col("slot_seq").cast("long").alias("slot_seq"))
 
 
+@query("stream_slot_log_deferred", RING_SQL)
+def stream_slot_log_deferred(spark, d):
+    """The clock stands one slot before the newest rows for all batches but the last; these wait and enter with it."""
+    log, path, checkpoint = (scratch_path(spark, name) for name in ("ring", "events", "ckpt"))
+    rows = V.pref_events(spark, d).select("user_id", "item_id", "preference", "ts", "ingest_seq")
+    newest = rows.agg(F.max("ts")).first()[0]
+    # The last file has the row that was sent last; the others come before it.
+    last = F.col("ingest_seq") == rows.agg(F.max("ingest_seq")).scalar()
+    for part, clock in ((rows.where(~last).repartition(3, "ingest_seq"), newest - timedelta(hours=4)), (rows.where(last), newest)):
+        part.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        finish(SP.stream_slot_log(stream, log, checkpoint, 24, available_now=True, now=lambda clock=clock: clock))
+    kept = spark.read.parquet(log)
+    return kept.select("user_id", "item_id", "preference", "ingest_seq", F.col("slot_seq").cast("long").alias("slot_seq"))
+
+
 # -- content -----------------------------------------------------------------------------
 
 # The event table read as a candidate log: high values empty a label, middle ones delete, the rest add.
@@ -170,6 +201,28 @@ def stream_articles(spark, d):
     return sinks.read_article_variants(spark, corpus)
 
 
+@query(
+    "stream_articles_backlog",
+    with_views(
+        "articles",
+        f"""SELECT doc_id AS item_id, 4 AS topics FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) OR len({_words('text')}) >= 50""",
+    ),
+)
+def stream_articles_backlog(spark, d):
+    """Articles arrive before there is a model; a training on the labelled documents follows, and the backlog is worked off."""
+    corpus, root = scratch_path(spark, "corpus"), scratch_path(spark, "topics")
+    articles = V.articles(spark, d)
+    stream = as_stream(articles.repartition(2, "item_id"), "articles")
+    finish(W.stream_articles(stream, corpus, scratch_path(spark, "cands"), root, None, scratch_path(spark, "ckpt"), 50, available_now=True))
+    labelled = V.table(spark, d, "labels").select(F.col("doc_id").alias("item_id")).distinct()
+    docs = articles.join(labelled, "item_id", "left_semi").select("item_id", "text")
+    model = train_topics(docs, k=4, iters=2, partitions=tasks(spark))
+    models.save_trained_topics(model, document_topics(model, docs), root)
+    W.infer_backlog(spark, corpus, root)
+    found, _ = models.load_topic_model(spark, root)
+    return found.select("item_id", F.size("topics").alias("topics"))
+
+
 @query("stream_kmeans")
 def stream_kmeans(spark, d):
     root = scratch_path(spark, "clusters")

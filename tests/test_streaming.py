@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import time
 
 import pytest
@@ -6,7 +7,8 @@ from pyspark.sql import functions as F
 
 from prefspark.operators import preferences as P, text as X, topics as L
 from prefspark.sources import models, sinks
-from prefspark.streaming import content as W, preferences as SP
+from prefspark.plans.publish import expire, folders, new_version, publish, save, version_path
+from prefspark.streaming import content as W, deltas as D, preferences as SP
 
 LOG = "user_id long, item_id long, preference float, ingest_seq long"
 
@@ -57,7 +59,7 @@ def test_repeated_batch_changes_nothing(spark, rows, tmp_path):
     path = str(tmp_path / "log")
     df = spark.createDataFrame([(1, 1, 2.0, 0)], LOG)
     for _ in range(2):
-        SP._write_batch(df, 4, path)
+        D.write_batch(df, 4, path)
     assert spark.read.parquet(path).count() == 1
 
 
@@ -179,6 +181,124 @@ def test_articles_after_a_restart_and_a_retraining(spark, tmp_path):
     assert sorted(topics) == [*range(10), 51] and {len(x) for x in topics.values()} == {3}
 
 
+def test_a_row_of_the_next_slot_enters_when_it_comes(spark, tmp_path):
+    """A producer whose clock is ahead loses nothing, and a repeated batch defers and takes up the same rows."""
+    log, path, hours = str(tmp_path / "log"), str(tmp_path / "in"), [3]
+    clock = lambda: START + dt.timedelta(hours=4 * 5 + hours[0])
+
+    def run(rows_):
+        spark.createDataFrame(rows_, RING).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(RING).option("maxFilesPerTrigger", 1).parquet(path)
+        finish(SP.stream_slot_log(stream, log, str(tmp_path / "ck"), 24, available_now=True, now=clock))
+        return sorted(r.user_id for r in spark.read.parquet(log).collect())
+
+    assert run([at(4, 4), at(5, 5), at(6, 60), at(7, 70)]) == [4, 5]
+    assert run([at(5, 55)]) == [4, 5, 55]
+    hours[0] = 5  # slot 6
+    assert run([at(1, 1), at(6, 6)]) == [4, 5, 6, 55, 60]
+    hours[0] = 2  # back: still slot 6
+    assert run([at(7, 71)]) == [4, 5, 6, 55, 60]
+    hours[0] = 9  # slot 7
+    assert run([at(3, 3)]) == [3, 4, 5, 6, 55, 60, 70, 71]
+    # Spark repeats a batch that it did not commit: the same rows are taken up, whatever the clock says by then.
+    last = max(int(n) for n in os.listdir(tmp_path / "ck" / "commits") if n.isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        os.remove(tmp_path / "ck" / "commits" / name)
+    hours[0] = 3
+    assert run([at(3, 33)]) == [3, 4, 5, 6, 33, 55, 60, 70, 71]
+    assert len(folders(spark, log + "_clock")) <= 5
+
+
+def test_articles_before_the_first_model_and_during_a_retraining(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join([["apple pear plum", "rock sand clay"][i % 2]] * 5)) for i in range(6)], "item_id long, text string")
+    first, second = (L.train_topics(docs, k=k, iters=2, max_df_sigma=-1) for k in (2, 3))
+    root, corpus, cands = (str(tmp_path / n) for n in ("model", "corpus", "cands"))
+    held = lambda: {r.item_id: len(r.topics) for r in models.load_topic_model(spark, root)[0].collect()}
+    known = range(6)
+
+    spark.createDataFrame([(50, "l", "apple pear rock")], "item_id long, label string, text string").write.parquet(str(tmp_path / "in"))
+    source = lambda: spark.readStream.schema("item_id long, label string, text string").parquet(str(tmp_path / "in"))
+    run = lambda: finish(W.stream_articles(source(), corpus, cands, root, None, str(tmp_path / "ck"), 3, available_now=True))
+    more = lambda *new: spark.createDataFrame([(n, "l", "sand clay unheard") for n in new], "item_id long, label string, text string").write.mode("append").parquet(str(tmp_path / "in"))
+
+    run()
+    assert held() == {} and W.infer_backlog(spark, corpus, root) is None
+    models.save_trained_topics(first, L.document_topics(first, docs), root)
+    more(51, 3)  # 3 has topics from the training
+    run()
+    assert held() == {**dict.fromkeys(known, 2), 50: 2, 51: 2}
+
+    append, calls = W.append_topics, []
+
+    def late(topics, *rest):
+        if not calls:
+            models.save_trained_topics(second, L.document_topics(second, docs), root)
+        calls.append(rest)
+        return append(topics, *rest)
+
+    monkeypatch.setattr(W, "append_topics", late)
+    more(52)
+    run()
+    # What was inferred under the first training is gone, and everything is there under the second.
+    assert len(calls) == 2 and held() == {**dict.fromkeys(known, 3), 50: 3, 51: 3, 52: 3}
+    assert W.infer_backlog(spark, corpus, root) is not None and len(calls) == 2
+    items = [r.item_id for r in models.load_topic_model(spark, root)[0].collect()]
+    assert len(items) == len(set(items))
+
+
+@pytest.mark.parametrize("mode", ["last", "max"])
+def test_compaction_bounds_the_log(spark, rows, tmp_path, mode):
+    path, log, ck = (str(tmp_path / n) for n in ("in", "log", "ck"))
+    batches = [[(s % 5, s % 3, float((s * 7) % 11), s) for s in range(b * 10, b * 10 + 10)] for b in range(9)]
+    listed, states, old = [], [], None
+    for n, batch in enumerate(batches):
+        spark.createDataFrame(batch, LOG).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(LOG).parquet(path)
+        finish(SP.stream_preferences(stream, log, ck, mode, available_now=True, compact_every=2))
+        listed.append(len([f for f in folders(spark, log) if f.startswith("batch_id=")]))
+        every = spark.createDataFrame([r for b in batches[: n + 1] for r in b], LOG)
+        want = P.upsert_last(every).drop("ingest_seq") if mode == "last" else P.upsert_max(every)
+        states.append(rows(SP.read_preference_state(spark, log, mode)) == rows(want))
+        if n == 6:
+            old = SP.read_preference_state(spark, log, mode), rows(want)
+    assert all(states) and max(listed) <= 5 and listed[-1] <= 5
+    # A reader that began before the last compaction and expiry is not disturbed.
+    assert rows(old[0]) == old[1]
+    assert len([f for f in folders(spark, D.base_root(log)) if f.startswith("v=")]) == 2
+    assert D.compact(spark, log, lambda r: r, 3) is None  # already in the base
+
+
+def test_candidate_log_is_compacted(spark, feed, rows, tmp_path):
+    t = lambda n: START + dt.timedelta(minutes=n)
+    events = [("a", 1, "add", t(0), 0), ("b", 1, "add", t(1), 1), ("b", None, "delete_all", t(2), 2), ("a", 1, "delete", t(3), 3), ("b", 1, "add", t(1), 9), ("b", 2, "add", t(4), 4), ("c", 3, "add", t(5), 5)]
+    log = str(tmp_path / "log")
+    finish(W.stream_candidates(feed(CAND, [[e] for e in events]), log, str(tmp_path / "ck"), available_now=True, compact_every=2))
+    assert rows(W.read_candidate_state(spark, log)) == [("b", 2), ("c", 3)]
+    assert len(folders(spark, log)) < len(events)
+
+
+def test_old_versions_expire(spark, tmp_path):
+    root = str(tmp_path / "model")
+    assert expire(spark, root) == []
+    versions = []
+    for n in range(4):
+        versions.append(new_version())
+        save(spark.range(n + 1), root, "rows", versions[-1])
+        if n != 1:  # begun, never published
+            publish(spark, root, versions[-1], f"k{n}")
+    reader = spark.read.parquet(version_path(root, versions[2], "rows"))
+    assert expire(spark, root, keep=2) == sorted(versions[:2])
+    assert reader.count() == 3 and folders(spark, root) == ["published", *sorted(f"v={v}" for v in versions[2:])]
+    assert expire(spark, root, keep=1) == [versions[2]] and expire(spark, root, keep=1) == []
+    # A version in force stays, however many late ones follow it.
+    late = [new_version() for _ in range(3)]
+    for v in late:
+        save(spark.range(1), root, "rows", v)
+        publish(spark, root, v, "old key", retrained=False)
+    expire(spark, root, keep=1)
+    assert f"v={versions[3]}" in folders(spark, root) and f"v={late[0]}" not in folders(spark, root)
+
+
 def test_clusters_follow_the_stream(spark, feed, tmp_path):
     fit = [(100 * (i % 2) + u, i) for i in range(10) for u in range(6)]
     later = [(100 * (i % 2) + u, i) for i in range(10, 14) for u in range(6)] + [(999, 77)]
