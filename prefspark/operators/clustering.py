@@ -279,38 +279,39 @@ def cluster_stats(centroids: DataFrame, digits: int | None = None) -> DataFrame:
     return out
 
 
-def nearest_centroid(vectors: DataFrame, centroids: DataFrame, digits: int = 9) -> DataFrame:
+def nearest_centroid(vectors: DataFrame, centroids: DataFrame, digits: int = 9, at_once: int = 64) -> DataFrame:
     """(item_id, centroid_id, distance): closest centroid, ties by id.
 
-    |x - c| = |x| + |c| + sum over shared dims of (|x_d - c_d| - |x_d| - |c_d|). Only centroids that
-    share a dim with the item come out of the join; of all others the one with the least norm is the
-    closest, so that single centroid stands for them.
+    |x - c| = |x| + |c| + sum over the dims of x of (|x_d - c_d| - |x_d| - |c_d|). Centroids are pivoted to one
+    row per dim with the values of `at_once` of them, so a vector's entry meets one row, and the sums of all
+    centroids are columns of one aggregation inside the task. The driver gets an id and a norm per centroid.
     """
-    c = centroids.select("centroid_id", "dim", F.col("value").alias("c"))
-    norms = c.groupBy("centroid_id").agg(F.sum(F.abs("c")).alias("norm"))
-    lengths = vectors.groupBy("item_id").agg(F.sum(F.abs("value")).alias("length"))
-    gain = F.abs(F.col("value") - F.col("c")) - F.abs("value") - F.abs("c")
-    shared = (
-        vectors.join(c, "dim")
-        .groupBy("item_id", "centroid_id")
-        .agg(F.sum(gain).alias("gain"))
-        .join(norms, "centroid_id")
-        .join(lengths, "item_id")
-        .select("item_id", "centroid_id", (F.col("length") + F.col("norm") + F.col("gain")).alias("distance"))
-    )
-    order = F.struct("norm", "centroid_id")
-    least = norms.select(rounded(F.col("norm"), digits).alias("norm"), "centroid_id").agg(F.min(order)).scalar()
-    others = lengths.select("item_id", least.alias("l"), "length").select(
-        "item_id", "l.centroid_id", (F.col("length") + F.col("l.norm")).alias("distance")
-    )
-    distance = rounded(F.col("distance"), digits).alias("distance")
-    return (
-        shared.unionByName(others.where(F.col("centroid_id").isNotNull()))
-        .select("item_id", F.struct(distance, "centroid_id").alias("n"))
-        .groupBy("item_id")
-        .agg(F.min("n").alias("n"))
-        .select("item_id", "n.centroid_id", "n.distance")
-    )
+    norms = centroids.groupBy("centroid_id").agg(F.sum(F.abs("value")).alias("norm")).orderBy("centroid_id").collect()
+    nearest = None
+    for start in range(0, len(norms), at_once):
+        some = norms[start : start + at_once]
+        number = F.create_map(*(F.lit(x) for i, r in enumerate(some) for x in (r.centroid_id, i)))
+        held = centroids.where(F.col("centroid_id").between(some[0].centroid_id, some[-1].centroid_id))
+        by_dim = held.groupBy("dim").agg(F.map_from_entries(F.collect_list(F.struct(number[F.col("centroid_id")].alias("n"), "value"))).alias("of"))
+        values = F.transform(F.sequence(F.lit(0), F.lit(len(some) - 1)), lambda n: F.coalesce(F.col("of")[n], F.lit(0.0)))
+        met = vectors.join(by_dim.select("dim", values.alias("c")), "dim", "left")
+        x = F.abs("value")
+        gains = []
+        for n in range(len(some)):
+            c = F.coalesce(F.col("c")[n], F.lit(0.0))
+            gains.append(F.sum(F.abs(F.col("value") - c) - x - F.abs(c)).alias(f"g{n}"))
+        summed = met.groupBy("item_id").agg(F.sum(x).alias("length"), *gains)
+        distances = [
+            F.struct(rounded(F.col("length") + F.lit(r.norm) + F.col(f"g{n}"), digits).alias("distance"), F.lit(r.centroid_id).alias("centroid_id"))
+            for n, r in enumerate(some)
+        ]
+        found = summed.select("item_id", F.array_min(F.array(*distances)).alias("n"))
+        nearest = found if nearest is None else nearest.unionByName(found)
+    if nearest is None:
+        return vectors.where("false").select("item_id", F.lit(0).cast("long").alias("centroid_id"), F.lit(0.0).alias("distance"))
+    if len(norms) > at_once:
+        nearest = nearest.groupBy("item_id").agg(F.min("n").alias("n"))
+    return nearest.select("item_id", "n.centroid_id", "n.distance")
 
 
 def recommend_cluster_weight(

@@ -4,10 +4,11 @@ Preferences hold one row per (user, item), see `upsert_max` and `collapse_slots`
 they hold one row per (label, user, item), and pairs are formed per label in one plan.
 
 How pairs are counted. A user's basket of d items stands for d*(d-1)/2 pairs. Every basket is cut into
-chunks of about `chunk_items` items; most are one chunk. Each pair of a basket's chunks is a cell of a
-self-join: a rating is copied once per chunk of its own basket to either side and meets at most a chunk
-of partners there, so a user who owns a third of the table is spread over many tasks. Pairs are summed
-inside the task before they are shuffled. What a rating costs follows its basket, not the catalogue.
+chunks of about `chunk_items` items, packed into one array each; most are one chunk. A chunk's own pairs come
+from its sorted array, and every two chunks of a basket meet once, as arrays: a rating is copied once per chunk of its
+own basket at most, so a user who owns a third of the table is spread over many tasks, and no pair is made twice
+or thrown away. Pairs are summed inside the task before they are shuffled. What a rating costs follows its
+basket, not the catalogue.
 """
 
 from __future__ import annotations
@@ -36,24 +37,34 @@ def _carried(carry: list[str]) -> list[str]:
     return [f"{c}_{side}" for c in carry for side in "ij"]
 
 
-def _cells(baskets: DataFrame, owner: list[str], chunk_items: int) -> tuple[DataFrame, DataFrame]:
-    """The two sides of the self-join: every rating as (c1, c2) with c1, or c2, its own chunk."""
+def _packed(baskets: DataFrame, owner: list[str], chunk_items: int) -> DataFrame:
+    """(owner, own, chunks, held): the chunks of every basket, their ratings as an array."""
     long = (
         baskets.groupBy(*owner)
         .agg(F.ceil(F.count("*") / chunk_items).alias("chunks"))
         .where(F.col("chunks") > 1)
     )
-    chunks = F.coalesce("chunks", F.lit(1))
-    dealt = baskets.join(long, owner, "left").withColumns(
-        {
-            "own": F.pmod(F.xxhash64("item_id"), chunks),
-            "every": F.sequence(F.lit(0).cast("long"), chunks - 1),
-        }
+    chunks = F.coalesce("chunks", F.lit(1)).alias("chunks")
+    dealt = baskets.join(long, owner, "left").withColumn("own", F.pmod(F.xxhash64("item_id"), chunks))
+    rating = F.struct("item_id", *(c for c in baskets.columns if c not in (*owner, "item_id")))
+    return dealt.groupBy(*owner, "own", chunks).agg(F.collect_list(rating).alias("held"))
+
+
+def _pairs(packed: DataFrame, owner: list[str]) -> DataFrame:
+    """(owner, a, b): every two ratings of a basket, the lower item first."""
+    ordered = packed.select(*owner, F.sort_array("held").alias("held"))
+    inner = (
+        ordered.select(*owner, "held", F.posexplode("held").alias("at", "a"))
+        .select(*owner, "a", F.explode(F.slice("held", F.col("at") + 2, F.size("held"))).alias("b"))
+        .where("a.item_id < b.item_id")
     )
-    rating = [c for c in baskets.columns]
-    left = dealt.select(*rating, F.col("own").alias("c1"), F.explode("every").alias("c2"))
-    right = dealt.select(*rating, F.explode("every").alias("c1"), F.col("own").alias("c2"))
-    return left, right
+    long = packed.where("chunks > 1")
+    left = long.where("own < chunks - 1").select(*owner, F.col("held").alias("left"), F.explode(F.sequence(F.col("own") + 1, F.col("chunks") - 1)).alias("own"))
+    both = left.join(long.select(*owner, "own", "held"), [*owner, "own"])
+    crossed = both.select(*owner, "held", F.explode("left").alias("a")).select(*owner, "a", F.explode("held").alias("b"))
+    below = F.col("a.item_id") < F.col("b.item_id")
+    crossed = crossed.select(*owner, F.when(below, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(below, F.col("b")).otherwise(F.col("a")).alias("b"))
+    return inner.unionByName(crossed)
 
 
 def pair_statistics(
@@ -69,19 +80,14 @@ def pair_statistics(
     """
     extra, carry, sums = _extra_keys(prefs), carry or [], sums or SUMS
     owner = [*extra, "user_id"]
-    left, right = _cells(_baskets(prefs, carry), owner, chunk_items)
-    cell = [*owner, "c1", "c2"]
-    left = left.select(*cell, F.col("item_id").alias("i"), "x", *(F.col(c).alias(f"{c}_i") for c in carry))
-    right = right.select(
-        *cell, F.col("item_id").alias("j"), F.col("x").alias("y"), *(F.col(c).alias(f"{c}_j") for c in carry)
-    )
+    pairs = _pairs(_packed(_baskets(prefs, carry), owner, chunk_items), owner).select(
+        *extra, F.col("a.item_id").alias("i"), F.col("b.item_id").alias("j"), F.col("a.x").alias("x"), F.col("b.x").alias("y"),
+        *(F.col(f"{side}.{c}").alias(f"{c}_{name}") for c in carry for side, name in (("a", "i"), ("b", "j"))),
+    )
     x, y = F.col("x"), F.col("y")
     figures = {"both": F.lit(1).cast("long"), "sxy": x * y, "sx": x, "sy": y, "sxx": x * x, "syy": y * y}
-    return (
-        left.join(right, cell)
-        .where(F.col("i") < F.col("j"))
-        .groupBy(*extra, "i", "j")
-        .agg(*(F.sum(figures[c]).alias(c) for c in sums), *(F.max(c).alias(c) for c in _carried(carry)))
+    return pairs.groupBy(*extra, "i", "j").agg(
+        *(F.sum(figures[c]).alias(c) for c in sums), *(F.max(c).alias(c) for c in _carried(carry))
     )
 
 

@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 
 from prefspark import views as V
 from prefspark.operators import clustering as K, factors as M, scoring as R, splits as S, topics as L, tuning as T
+from prefspark.operators.preferences import preferences_for_label
 from prefspark.plans.catalog import query, with_views
 from prefspark.plans.queries_models import _docs, _model
-from prefspark.plans.queries_recommend import _FOLD_SQL, label_baskets
+from prefspark.plans.queries_recommend import _FOLD_SQL, MODEL_O, label_baskets
 from prefspark.plans.queries_streaming import event_stream, finish
-from prefspark.plans.session import materialize, scratch_path
+from prefspark.plans.session import materialize, scratch_path, tasks
 from prefspark.plans.training import train
 from prefspark.sources import sinks
-from prefspark.sources.models import load_factors
+from prefspark.sources.models import load_factors, load_similarities, load_topic_model
 from prefspark.streaming import preferences as SP
+from prefspark.streaming.content import load_clusters
 
 
 @query(
@@ -236,3 +238,62 @@ def train_by_name(spark, d):
         users.groupBy("label").agg(F.count("*").alias("users"))
         .join(items.groupBy("label").agg(F.count("*").alias("items")), "label")
     )
+
+
+@query(
+    "train_by_name_itembased",
+    with_views("label_prefs", f", {MODEL_O}\nSELECT label, item_id, similar_item_id, similarity FROM top"),
+)
+def train_by_name_itembased(spark, d):
+    """The item-based model of every label, trained by its kind and read back."""
+    root = scratch_path(spark, "similarities")
+    train("itembased", root, V.prefs_o(spark, d), V.cands_o(spark, d), k=25, digits=6)
+    return load_similarities(spark, root).select("label", "item_id", "similar_item_id", "similarity")
+
+
+@query(
+    "train_by_name_lda",
+    "SELECT doc_id AS item_id, CAST(6 AS BIGINT) AS topics, true AS whole FROM documents",
+)
+def train_by_name_lda(spark, d):
+    """Topics of every document under the model that was trained by its kind and published."""
+    root = scratch_path(spark, "topics")
+    docs = materialize(_docs(spark, d).select("item_id", "text"), "docs")
+    train("lda", root, docs=docs, k=6, iters=3, partitions=tasks(spark))
+    topics, _ = load_topic_model(spark, root)
+    total = F.aggregate("topics", F.lit(0.0), lambda acc, x: acc + x)
+    return topics.select("item_id", F.size("topics").cast("long").alias("topics"), F.round(total, 6).isin(0.0, 1.0).alias("whole"))
+
+
+@query(
+    "train_by_name_clusters",
+    with_views(
+        "prefs_e cands_e",
+        """, r AS (SELECT DISTINCT c.label, p.user_id, p.item_id FROM prefs_e p JOIN cands_e c USING (item_id)),
+heavy AS (SELECT label, user_id FROM r GROUP BY 1, 2 HAVING count(*) > 4)
+SELECT label, count(DISTINCT item_id) AS items, CAST(count(DISTINCT item_id) AS DOUBLE) AS weight, CAST(0 AS BIGINT) AS misplaced
+FROM r JOIN heavy USING (label, user_id) GROUP BY 1""",
+    ),
+)
+def train_by_name_clusters(spark, d):
+    """Clusters of labels that share items: each label's heavy users and items alone, every item at its nearest centroid."""
+    root = scratch_path(spark, "clusters")
+    prefs, cands = materialize(V.prefs_e(spark, d), "prefs"), materialize(V.cands_e(spark, d), "cands")
+    train("clusters", root, prefs, cands, min_ratings=4, k=6, cutoff=10.0)
+    centroids, items = load_clusters(spark, root)
+    view = preferences_for_label(prefs, cands).select("label", "user_id", "item_id").distinct()
+    heavy = view.groupBy("label", "user_id").agg(F.count("*").alias("n")).where("n > 4").select("label", "user_id")
+    # By brute force: the distance of every item from every centroid of its label.
+    x = view.join(heavy, ["label", "user_id"]).select("label", "item_id", F.col("user_id").alias("dim"))
+    c = centroids.select("label", "centroid_id", "dim", "value")
+    norms = c.groupBy("label", "centroid_id").agg(F.sum(F.abs("value")).alias("norm"))
+    each = x.groupBy("label", "item_id").agg(F.count("*").alias("length")).join(norms, "label")
+    gain = x.join(c, ["label", "dim"]).groupBy("label", "item_id", "centroid_id").agg(F.sum(F.abs(1 - F.col("value")) - 1 - F.abs("value")).alias("gain"))
+    far = each.join(gain, ["label", "item_id", "centroid_id"], "left").select(
+        "label", "item_id", "centroid_id", (F.col("length") + F.col("norm") + F.coalesce("gain", F.lit(0.0))).alias("far")
+    )
+    best = far.groupBy("label", "item_id").agg(F.min("far").alias("best"))
+    placed = items.join(far, ["label", "item_id", "centroid_id"]).join(best, ["label", "item_id"])
+    facts = placed.groupBy("label").agg(F.countDistinct("item_id").alias("items"), F.count_if(F.col("far") > F.col("best") + 1e-6).alias("misplaced"))
+    weights = centroids.select("label", "centroid_id", "weight").distinct().groupBy("label").agg(F.sum("weight").alias("weight"))
+    return facts.join(weights, "label").select("label", "items", "weight", "misplaced")
