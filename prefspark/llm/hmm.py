@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 import math
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+import xxhash
+from pyspark.sql import DataFrame, functions as F
 
-from prefspark.llm.common import slices
+from prefspark.llm.common import runs, slices
 from prefspark.plans.session import materialize
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: The end of a text as a token; no word is empty.
 END = b""
 _MARKS = b".,;:!?\"'()[]"
@@ -26,7 +23,8 @@ _LOG10 = math.log(10)
 
 def tokens(text: str | None) -> list[bytes]:
     """Words with A-Z lower-cased, then the end."""
-    return [*_WORD.findall((text or "").encode().lower()), END]
+    # bytes.split() parts at exactly [\x20\x09-\x0D], bytes.lower() changes A-Z only.
+    return [*(text or "").encode().lower().split(), END]
 
 
 def is_held_out(doc_id: int | None, folds: int, held: int) -> bool:
@@ -184,24 +182,70 @@ def _passes(chain: Chain, rows: list[np.ndarray], segment: int, cells: int) -> I
 # ---- Spark ----
 
 
-def _counts(batches: Iterable[pa.RecordBatch], folds: int, held: int) -> Iterator[pa.RecordBatch]:
-    """Words counted over many texts at a time, in training and in held-out texts."""
-    sides = Counter(), Counter()
+_BLOCK = (
+    "block bigint, doc_id array<bigint>, held_out array<boolean>, lengths array<int>, codes binary, words binary, size bigint, buckets binary"
+)
+
+
+def _packed(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _blocked(batches: Iterable[pa.RecordBatch], buckets: int, folds: int, held: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Texts side by side as one row: distinct words once, and every token as the number of its word in the block."""
+    for batch in slices(batches, "text", block_bytes):
+        index: dict[bytes, int] = {}
+        codes, lengths = [], []
+        for part in slices([batch], "text", 8 << 20):
+            said = [tokens(text) for text in part.column(2).to_pylist()]
+            lengths += map(len, said)
+            coded = pa.array([w for words in said for w in words], pa.binary()).dictionary_encode()
+            local = np.array([index.setdefault(w, len(index)) for w in coded.dictionary.to_pylist()], "<i4")
+            codes.append(local[coded.indices.to_numpy()])
+        words, docs = b"\n".join(index), batch.column(1).to_pylist()
+        shared = np.array([suffix_class(w, buckets) for w in index], "<i4")
+        values = [batch.column(0)[0].as_py(), docs, [is_held_out(d, folds, held) for d in docs], lengths, _packed(np.concatenate(codes).tobytes()), _packed(words), len(words), _packed(shared.tobytes())]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], [c.split()[0] for c in _BLOCK.split(", ")])
+
+
+class Block:
+    """A row of `_BLOCK` opened."""
+
+    def __init__(self, row: dict):
+        unpack = lambda name, size: pa.decompress(row[name], decompressed_size=size, codec="zstd", asbytes=True)
+        self.number, self.docs, self.held = row["block"], row["doc_id"], np.array(row["held_out"], bool)
+        self.lengths = np.array(row["lengths"], np.int64)
+        self.codes = np.frombuffer(unpack("codes", 4 * int(self.lengths.sum())), "<i4")
+        self.words = unpack("words", row["size"]).split(b"\n")
+        self.buckets = np.frombuffer(unpack("buckets", 4 * len(self.words)), "<i4")
+
+    def placed(self, known: Dictionary) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's place in the dictionary, -1 outside, and its class."""
+        index = np.fromiter(map(known.index.get, self.words, repeat(-1)), np.int64, len(self.words))
+        return index, np.where(index >= 0, known.classes[index], known.first + self.buckets)
+
+    def texts(self, values: np.ndarray | None = None, training: bool = False) -> list[np.ndarray]:
+        """The texts' tokens, as the numbers of their words or by `values` of these."""
+        every = np.split(self.codes if values is None else values[self.codes], np.cumsum(self.lengths)[:-1])
+        return [x for x, held in zip(every, self.held) if not held] if training else every
+
+    def times(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often each word stands in training and in held-out texts."""
+        held = np.repeat(self.held, self.lengths)
+        return tuple(np.bincount(self.codes[side], minlength=len(self.words)) for side in (~held, held))
+
+
+def _opened(batches: Iterable[pa.RecordBatch]) -> Iterator[Block]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield Block({name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)})
 
-    def flush():
-        for side, counted in enumerate(sides):
-            n = pa.array(list(counted.values()), pa.int64())
-            nothing = pa.array(np.zeros(len(counted), np.int64))
-            columns = [pa.array(list(counted), pa.binary()), *((n, nothing) if side == 0 else (nothing, n))]
-            yield pa.RecordBatch.from_arrays(columns, ["word", "c", "other"])
-            counted.clear()
 
-    for batch in slices(batches, "text", 8 << 20):
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            sides[is_held_out(doc, folds, held)].update(tokens(text))
-        if len(sides[0]) + len(sides[1]) > 500_000:
-            yield from flush()
-    yield from flush()
+def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's words with their counts in training and in held-out texts."""
+    for block in _opened(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(block.words, pa.binary()), *map(pa.array, block.times())], ["word", "c", "other"])
 
 
 def _frequent(counts: DataFrame, longest_word: int, most: int) -> dict[bytes, int]:
@@ -251,8 +295,9 @@ class Dictionary:
     """
 
     def __init__(self, counts: dict[bytes, int], own: list[bytes], own_classes: int, bucket_totals: np.ndarray):
+        self.given = (counts, own, own_classes, bucket_totals)
         buckets = len(bucket_totals)
-        self.first, self.n_classes, self.buckets = own_classes, own_classes + buckets, buckets
+        self.first, self.n_classes = own_classes, own_classes + buckets
         self.index = {word: i for i, word in enumerate(counts)}
         own_class = {word: i for i, word in enumerate(own)}
         self.counts = np.fromiter(counts.values(), np.int64, len(counts))
@@ -261,69 +306,19 @@ class Dictionary:
         self.totals[:own_classes] = np.bincount([own_class[w] for w in own], [counts[w] for w in own], own_classes)
         self.totals[own_classes:] = bucket_totals[:, 0]
         self.kinds = bucket_totals[:, 1]
-        # log10 of a shared class's denominator, 0 for words' own classes.
-        self.spread = np.concatenate([np.zeros(own_classes), np.log10(bucket_totals.sum(axis=1) + 1)])
 
     def prior(self) -> np.ndarray:
         return (self.totals + 1) / (self.totals + 1).sum()
 
 
-_ENCODED = (
-    "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, shared_logs double, "
-    "classes binary, places binary, words array<binary>, times array<bigint>"
-)
-_ENCODED_TYPES = [
-    pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())
-]
-
-
-def _encoded(batches: Iterable[pa.RecordBatch], shared, folds: int, held: int) -> Iterator[pa.RecordBatch]:
-    """Each text's classes, its sums over the dictionary's words, and its other words to be looked up.
-
-    logs: sum of log10(c + 1); shared_logs: of log10 of a word's share of its class, where c of the other
-    words is still to come. places: for each token of a shared class its word, as the index in the dictionary
-    or, below 0, in `words` from -1 down.
-    """
-    known: Dictionary = shared.value
-    get, logs = known.index.get, np.log10(known.counts + 1.0)
-    for batch in slices(batches, "text", 8 << 20):
-        rows = []
-        for row, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-            words = tokens(text)
-            index = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-            found = index >= 0
-            classes = known.classes[index]
-            missing = np.flatnonzero(~found)
-            others = [words[i] for i in missing.tolist()]
-            rare = Counter(others)
-            shared_class = {w: known.first + suffix_class(w, known.buckets) for w in rare}
-            classes[missing] = np.fromiter(map(shared_class.__getitem__, others), np.int64, len(others))
-            number = {w: -1 - i for i, w in enumerate(rare)}
-            places = index.copy()
-            places[missing] = np.fromiter(map(number.__getitem__, others), np.int64, len(others))
-            at = index[found]
-            own = classes[found] < known.first
-            rows.append(
-                (row, doc, is_held_out(doc, folds, held), len(words), int((known.counts[at] > 0).sum()), float(logs[at].sum()),
-                 float(logs[at][~own].sum() - known.spread[classes].sum()), classes.astype(np.uint16).tobytes(),
-                 places[classes >= known.first].astype(np.int32).tobytes(), list(rare), list(rare.values()))
-            )
-        names = [c.split()[0] for c in _ENCODED.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _ENCODED_TYPES)], names)
-
-
-def _sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint16) for x in batch.column(batch.schema.get_field_index("classes")).to_pylist()]
-
-
 _EXPECTED = "kind int, i int, j int, value double"
 
 
-def _expected(batches: Iterable[pa.RecordBatch], chain: Chain, segment: int, cells: int) -> Iterator[pa.RecordBatch]:
-    """A task's expected counts, summed over its texts."""
+def _expected(groups: Iterable[list[np.ndarray]], chain: Chain, segment: int, cells: int) -> Iterator[pa.RecordBatch]:
+    """A task's expected counts, summed over its texts, which come some at a time as their classes."""
     sums = [np.zeros((1, len(chain.start))), np.zeros_like(chain.move), np.zeros_like(chain.emit), np.zeros((1, 1))]
-    for batch in slices(batches, "classes", 8 << 20):
-        for _, block, seen, start, moves, log_likelihood in _passes(chain, _sequences(batch), segment, cells):
+    for rows in groups:
+        for _, block, seen, start, moves, log_likelihood in _passes(chain, rows, segment, cells):
             for total, part in zip(sums, (start, moves, by_state(block, seen, chain.emit.shape[1]), log_likelihood)):
                 total += part
     for kind, total in enumerate(sums):
@@ -332,20 +327,25 @@ def _expected(batches: Iterable[pa.RecordBatch], chain: Chain, segment: int, cel
         yield pa.RecordBatch.from_arrays(columns, ["kind", "i", "j", "value"])
 
 
-def train(encoded: DataFrame, prior: np.ndarray, states: int, iterations: int, segment: int, cells: int, stay: float, noise: float, weight: float, seed: int) -> tuple[Chain, list[float]]:
-    """Baum-Welch over every training text of `encoded`; also the log likelihood before each round.
+def train(
+    blocks: DataFrame, prior: np.ndarray, shared, states: int, iterations: int, segment: int, cells: int, stay: float, noise: float, weight: float, seed: int
+) -> tuple[Chain, list[float]]:
+    """Baum-Welch over every training text of `blocks`; also the log likelihood before each round.
 
     Tasks add up the expected counts of their texts, Spark adds up the tasks'; the driver gets a number per
     state and class, whose number is a parameter. Texts of over `segment` tokens are run
     through in pieces, with the messages of their neighbours.
     """
     chain, heights = Chain.first(prior, states, stay, noise, seed), []
-    texts = encoded.where("NOT held_out").select("classes")
     for _ in range(iterations):
         now = chain
         sums = [np.zeros((1, states)), np.zeros((states, states)), np.zeros((states, len(prior))), np.zeros((1, 1))]
-        counted = texts.mapInArrow(lambda batches: _expected(batches, now, segment, cells), _EXPECTED)
-        added = counted.groupBy("kind", "i", "j").agg(F.sum("value").alias("value")).toArrow()
+
+        def run(batches):
+            known = Dictionary(*shared.value)
+            return _expected((b.texts(b.placed(known)[1], training=True) for b in _opened(batches)), now, segment, cells)  # noqa: B023
+
+        added = blocks.mapInArrow(run, _EXPECTED).groupBy("kind", "i", "j").agg(F.sum("value").alias("value")).toArrow()
         kind, i, j, value = (added[c].to_numpy() for c in ("kind", "i", "j", "value"))
         for k, total in enumerate(sums):
             total[i[kind == k], j[kind == k]] = value[kind == k]
@@ -354,173 +354,182 @@ def train(encoded: DataFrame, prior: np.ndarray, states: int, iterations: int, s
     return chain, heights
 
 
-def _likelihoods(batches: Iterable[pa.RecordBatch], chain: Chain, cells: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "classes", 8 << 20):
-        rows = _sequences(batch)
-        found = np.zeros(len(rows))
-        for some, block, lengths in _blocks(rows, cells):
-            found[some] = chain.likelihoods(block, lengths) / _LOG10
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], [*batch.schema.names[:-1], "chain"])
-
-
-# ---- every word's counts by state ----
-
-
-def _placed(batch: pa.RecordBatch, first: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Each text's classes, where they are shared, and the places there."""
-    places = batch.column(batch.schema.get_field_index("places")).to_pylist()
-    for classes, x in zip(_sequences(batch), places):
-        yield classes, np.flatnonzero(classes >= first), np.frombuffer(x, np.int32).astype(np.int64)
-
-
-def _sums(states: int) -> list[str]:
-    return [f"e{s}" for s in range(states)]
-
-
-#: Kinds of expected counts: starts, transitions from state j, class j, likelihood, word j of the dictionary, other words.
-_START, _MOVE, _CLASS, _HEIGHT, _KNOWN, _OTHER = range(6)
-
-
-def _word_counts(batches: Iterable[pa.RecordBatch], chain: Chain, shared, segment: int, cells: int) -> Iterator[pa.RecordBatch]:
-    """A task's expected counts by state: the chain's, and those of every word of the shared classes."""
-    known: Dictionary = shared.value
-    states, held = len(chain.start), len(known.counts)
-    names = ["kind", "j", "word", "c", *_sums(states)]
-
-    def rows(kind, j, words, c, sums):
-        columns = [np.full(len(j), kind, np.int32), j.astype(np.int32), words, c.astype(np.int64), *sums]
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), *[pa.float64()] * states]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names)
-
-    start, moves, emitted = np.zeros(states), np.zeros_like(chain.move), np.zeros_like(chain.emit)
-    height, of_known = np.zeros(states), np.zeros((states, held))
-    for batch in slices(batches, "classes", 8 << 20):
-        words = batch.column(batch.schema.get_field_index("words"))
-        distinct = words.flatten().dictionary_encode()
-        code, offsets = distinct.indices.to_numpy(), words.offsets.to_numpy() - words.offsets[0].as_py()
-        # Ids: the dictionary, this batch's other words, own classes.
-        size = held + len(distinct.dictionary) + 1
-        ids = []
-        for at, (classes, where, place) in zip(offsets, _placed(batch, known.first)):
-            id_ = np.full(len(classes), size - 1)
-            other = place < 0
-            place[other] = held + code[at - 1 - place[other]]
-            id_[where] = place
-            ids.append(id_)
-        found, c = np.zeros((states, size)), np.bincount(np.concatenate(ids), minlength=size)
-        for some, block, seen, *parts in _passes(chain, _sequences(batch), segment, cells):
-            start += parts[0]
-            moves += parts[1]
-            emitted += by_state(block, seen, emitted.shape[1])
-            height[0] += parts[2]
-            id_ = np.full(block.shape, size - 1)
-            for column, (i, at) in enumerate(some):
-                piece = ids[i][at : at + len(block)]
-                id_[: len(piece), column] = piece
-            found += by_state(id_, seen, size)
-        of_known += found[:, :held]
-        if size - 1 > held:
-            yield rows(_OTHER, np.zeros(size - 1 - held), distinct.dictionary, c[held:-1], found[:, held:-1])
-    for kind, sums in ((_START, start[:, None]), (_MOVE, moves.T), (_CLASS, emitted), (_HEIGHT, height[:, None]), (_KNOWN, of_known)):
-        j = np.flatnonzero(sums.any(axis=0))
-        yield rows(kind, j, pa.nulls(len(j), pa.binary()), np.zeros(len(j)), sums[:, j])
-
-
-def count_words(encoded: DataFrame, chain: Chain, shared, prior: np.ndarray, segment: int, cells: int, weight: float) -> tuple[Chain, np.ndarray, np.ndarray, DataFrame]:
-    """One more round: the chain, expected counts (states, classes) and (states, dictionary), and a table of the other words.
-
-    The table holds every training word outside the dictionary with its count and its expected count by state,
-    reduced by word; the driver gets classes and dictionary, whose numbers are parameters.
-    """
-    states = len(chain.start)
-    schema = "kind int, j int, word binary, c bigint, " + ", ".join(f"{x} double" for x in _sums(states))
-    counted = materialize(
-        encoded.where("NOT held_out")
-        .select("classes", "places", "words")
-        .mapInArrow(lambda batches: _word_counts(batches, chain, shared, segment, cells), schema)
-        .groupBy("kind", "j", "word")
-        .agg(F.sum("c").alias("c"), *(F.sum(x).alias(x) for x in _sums(states))),
-        "hmm-states",
-    )
-    few = counted.where(F.col("kind") != _OTHER).drop("word", "c").toArrow()
-    kind, j = few["kind"].to_numpy(), few["j"].to_numpy()
-    value = np.stack([few[x].to_numpy() for x in _sums(states)])
+# ---- every word's counts ----
 
-    def held(of, size):
-        out = np.zeros((states, size))
-        out[:, j[kind == of]] = value[:, kind == of]
-        return out
 
-    emitted = held(_CLASS, len(prior))
-    after = chain.updated(held(_START, 1)[:, 0], held(_MOVE, states).T, emitted, prior, weight)
-    vector = F.array(*(F.col(x).cast("float") for x in _sums(states)))
-    others = counted.where(F.col("kind") == _OTHER).select("word", "c", vector.alias("e"))
-    return after, emitted, held(_KNOWN, len(shared.value.counts)), others
+_REQUEST = "bucket bigint, block bigint, places binary, words binary, c binary, e binary, sums binary"
+_NAMES = [c.split()[0] for c in _REQUEST.split(", ")]
+_KINDS = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
+
+
+def _row(*values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, _KINDS)], _NAMES)
+
+
+def _requests(batches: Iterable[pa.RecordBatch], chain: Chain | None, shared, n_buckets: int, segment: int, cells: int) -> Iterator[pa.RecordBatch]:
+    """A block's words outside the dictionary, with its counts of them, dealt by hash; at the end the task's other sums.
+
+    With a chain the counts by state are among them: of the words, and as `sums` starts, transitions, likelihood,
+    emissions by class and emissions of the dictionary's words.
+    """
+    known = Dictionary(*shared.value)
+    states = 0 if chain is None else len(chain.start)
+    parts = [] if chain is None else [np.zeros(states), np.zeros_like(chain.move), np.zeros(1), np.zeros_like(chain.emit), np.zeros((states, len(known.counts)))]
+    for block in _opened(batches):
+        index, classes = block.placed(known)
+        size = len(block.words)
+        found = np.zeros((states, size + 1))
+        if states and not block.held.all():
+            ids = block.texts(training=True)
+            for some, wide, seen, start, moves, height in _passes(chain, [classes[x] for x in ids], segment, cells):
+                id_ = np.full(wide.shape, size)
+                for column, (i, at) in enumerate(some):
+                    piece = ids[i][at : at + len(wide)]
+                    id_[: len(piece), column] = piece
+                found += by_state(id_, seen, size + 1)
+                for total, more in zip(parts, (start, moves, height)):
+                    total += more
+            here = np.flatnonzero(index >= 0)
+            for s in range(states):
+                parts[3][s] += np.bincount(classes, found[s, :size], parts[3].shape[1])
+                parts[4][s, index[here]] += found[s, here]
+        c = block.times()[0]
+        outside = np.flatnonzero(index < 0)
+        bucket = np.array([xxhash.xxh3_64_intdigest(block.words[i]) % n_buckets for i in outside], np.int64)
+        order = np.argsort(bucket, kind="stable")
+        outside, bucket = outside[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for start, end in zip(cuts, [*cuts[1:], len(outside)]):
+            at = outside[start:end]
+            words = b"\n".join([block.words[i] for i in at])
+            yield _row(int(bucket[start]), block.number, at.astype("<i4").tobytes(), words, c[at].astype("<i4").tobytes(), found[:, at].T.astype("<f4").tobytes(), None)
+    if states:
+        yield _row(-1, None, None, None, None, None, np.concatenate([x.reshape(-1) for x in parts]).astype("<f8").tobytes())
+
+
+def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for data in batch.column(0):
+            one = np.frombuffer(data.as_buffer(), "<f8")
+            total = one.copy() if total is None else total + one
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+
+_ANSWER = "block bigint, places binary, c binary, e binary"
+
+
+def _answers(batches: Iterable[pa.RecordBatch], states: int) -> Iterator[pa.RecordBatch]:
+    """Whole counts of a bucket's words, given back to every block that asked."""
+    for group in runs(batches, ["bucket"]):
+        asked = [data.split(b"\n") for data in group.column("words").to_pylist()]
+        codes = pa.array([w for words in asked for w in words], pa.binary()).dictionary_encode().indices.to_numpy()
+        c = np.bincount(codes, np.frombuffer(b"".join(group.column("c").to_pylist()), "<i4")).astype(np.int64)
+        e = np.frombuffer(b"".join(group.column("e").to_pylist()), "<f4").reshape(-1, states) if states else np.zeros((len(codes), 0))
+        total = np.stack([np.bincount(codes, e[:, s], len(c)) for s in range(states)], axis=1) if states else np.zeros((len(c), 0))
+        at = 0
+        for block, places, words in zip(group.column("block").to_pylist(), group.column("places").to_pylist(), asked):
+            mine = codes[at : at + len(words)]
+            at += len(words)
+            values = [block, places, c[mine].astype("<i8").tobytes(), total[mine].astype("<f4").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int64(), *[pa.binary()] * 3))], [x.split()[0] for x in _ANSWER.split(", ")])
+
+
+def count_words(
+    blocks: DataFrame, chain: Chain | None, shared, prior: np.ndarray, segment: int, cells: int, weight: float, words_per_bucket: int = 200_000
+) -> tuple[Chain | None, np.ndarray | None, np.ndarray | None, DataFrame]:
+    """Counts of the words outside the dictionary for every block that has them: (block, places, c, e).
+
+    A block asks once for each of its distinct words, with its own counts: training tokens, and with a chain one more
+    round's expected counts by state. Requests are dealt by word into buckets of about `words_per_bucket`, added up there and
+    answered as packed arrays. No word outside the dictionary is in very many blocks. The chain after that round,
+    and expected counts (states, classes) and (states, dictionary), go to the driver, whose numbers are parameters.
+    """
+    known = Dictionary(*shared.value)
+    n_words = blocks.agg(F.coalesce(F.sum(F.length("buckets")), F.lit(0))).first()[0]
+    n_buckets = max(1, -(-n_words // words_per_bucket))
+    asked = materialize(blocks.mapInArrow(lambda batches: _requests(batches, chain, shared, n_buckets, segment, cells), _REQUEST), "hmm-requests")
+    states = 0 if chain is None else len(chain.start)
+    answers = (
+        asked.where("bucket >= 0")
+        .repartition(n_buckets, "bucket")
+        .sortWithinPartitions("bucket")
+        .select("bucket", "block", "places", "words", "c", "e")
+        .mapInArrow(lambda batches: _answers(batches, states), _ANSWER)
+    )
+    if chain is None:
+        return None, None, None, answers
+    partly = asked.where("bucket < 0").select("sums").repartition(16).mapInArrow(_summed, "sums binary")
+    whole = partly.repartition(1).mapInArrow(_summed, "sums binary").first()
+    shapes = [(states,), (states, states), (1,), (states, len(prior)), (states, len(known.counts))]
+    sizes = [int(np.prod(x)) for x in shapes]
+    flat = np.zeros(sum(sizes)) if whole is None else np.frombuffer(whole.sums, "<f8")
+    start, moves, _, emitted, of_known = (x.reshape(shape) for x, shape in zip(np.split(flat, np.cumsum(sizes)[:-1]), shapes))
+    return chain.updated(start, moves, emitted, prior, weight), emitted, of_known, answers
 
 
 class Emissions:
-    """The states' emissions of words: (tokens by kind, states).
+    """The states' emissions of words: (words, states).
 
-    In a shared class a state emits a word with (e + 1/S) / (n + (v + 1)/S) of the class, for e expected
-    counts of the word and n of the class's v words in that state, and S states: the share of one unseen word
-    is left over, and states that share all words evenly come to (c + 1) / (n + v + 1).
+    With expected counts by word a state emits a word of a shared class with (e + 1/S) / (n + (v + 1)/S) of the class, for e
+    expected counts of the word and n of the class's v words in that state, and S states: the share of one unseen word
+    is left over, and states that share all words evenly come to (c + 1) / (n + v + 1), which all of them
+    have without expected counts.
     """
 
-    def __init__(self, chain: Chain, known: Dictionary, emitted: np.ndarray, of_known: np.ndarray):
-        self.chain, self.first, self.one = chain, known.first, 1 / len(chain.start)
-        self.factor = chain.emit.T.copy()
-        self.factor[known.first :] /= emitted.T[known.first :] + (known.kinds[:, None] + 1) * self.one
-        #: Of own classes as they are, of shared classes for an unseen word.
-        unseen = self.factor.copy()
-        unseen[known.first :] *= self.one
-        self.fixed = np.concatenate([unseen, (of_known.T + self.one) * self.factor[known.classes]])
-
-    def with_others(self, classes: np.ndarray, e: np.ndarray) -> Chain:
-        """The chain over the fixed words and more words of `classes` with the expected counts `e`."""
-        emit = np.concatenate([self.fixed, (e + self.one) * self.factor[classes]])
-        return Chain(self.chain.start, self.chain.move, emit.T)
-
-
-def _word_likelihoods(batches: Iterable[pa.RecordBatch], shared, cells: int) -> Iterator[pa.RecordBatch]:
-    """As `_likelihoods`, with the emissions of the texts' own words; `found` has those outside the dictionary."""
-    model: Emissions = shared.value
-    n_classes, states = len(model.factor), model.factor.shape[1]
-    for batch in slices(batches, "classes", 8 << 20):
-        lists = batch.column(batch.schema.get_field_index("found"))
-        given = lists.flatten()
-        k, e = given.field("k").to_numpy(), given.field("e").flatten().to_numpy().reshape(-1, states)
-        lengths = np.array([0 if x is None else x for x in pc.list_value_length(lists).to_pylist()])
-        rows, class_of, at = [], np.zeros(len(k), np.int64), 0
-        for n, (classes, where, place) in zip(lengths, _placed(batch, model.first)):
-            ids = classes.astype(np.int64)
-            word = -1 - place
-            slot = np.full(max(int(word.max(initial=-1)) + 1, 1), -1)
-            slot[k[at : at + n]] = np.arange(at, at + n)
-            in_list = np.where(word >= 0, slot[np.maximum(word, 0)], -1)
-            hit = in_list >= 0
-            class_of[in_list[hit]] = classes[where[hit]]
-            ids[where[hit]] = len(model.fixed) + in_list[hit]
-            ids[where[place >= 0]] = n_classes + place[place >= 0]
-            rows.append(ids)
-            at += n
-        chain, found = model.with_others(class_of, e), np.zeros(len(rows))
-        for some, block, long in _blocks(rows, cells):
-            found[some] = chain.likelihoods(block, long) / _LOG10
-        kept = [i for i, name in enumerate(batch.schema.names) if name not in ("classes", "places", "found")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(found)], [*(batch.schema.names[i] for i in kept), "chain"])
-
-
-def _result(whole, score: Column) -> list:
-    rare_logs = F.coalesce("rare_logs", F.lit(0.0))
-    return [
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(whole.n).cast("long").alias("train_tokens"),
-        (F.col("logs") + rare_logs - F.col("n_tokens") * math.log10(whole.n + whole.v + 1)).alias("base_score"),
-        score.alias("score"),
-    ]
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, known: tuple, emitted: np.ndarray | None, of_known: np.ndarray | None):
+        self.known, self.start, self.move, self.of_known = Dictionary(*known), start, move, of_known
+        self.one, self.factor, first = 1 / len(start), emit.T.copy(), self.known.first
+        if emitted is None:
+            self.factor[first:] /= (self.known.totals[first:] + self.known.kinds + 1)[:, None]
+        else:
+            self.factor[first:] /= emitted.T[first:] + (self.known.kinds[:, None] + 1) * self.one
+
+    def chain(self, index: np.ndarray, classes: np.ndarray, c: np.ndarray, e: np.ndarray) -> Chain:
+        """The chain over words with these places in the dictionary, classes and, outside it, counts."""
+        inside = index >= 0
+        if self.of_known is None:
+            weights = (c + 1.0)[:, None]
+        else:
+            weights = e.astype(float) + self.one
+            weights[inside] = self.of_known[:, index[inside]].T + self.one
+        emit = self.factor[classes] * np.where((classes >= self.known.first)[:, None], weights, 1.0)
+        return Chain(self.start, self.move, emit.T)
+
+
+_SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double"
+
+
+def _scored(batches: Iterable[pa.RecordBatch], shared, states: int, cells: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by block, the answers before the block itself."""
+    model = Emissions(*shared.value)
+    held: list[tuple] = []
+    for batch in batches:
+        columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+        for i, whole in enumerate(columns["whole"].to_pylist()):
+            if not whole:
+                held.append(tuple(columns[x][i].as_py() for x in ("places", "c", "e")))
+                continue
+            block = Block({x: columns[x][i].as_py() for x in ("block", "doc_id", "held_out", "lengths", "codes", "words", "size", "buckets")})
+            index, classes = block.placed(model.known)
+            c, e = np.zeros(len(index), np.int64), np.zeros((len(index), states), np.float32)
+            c[index >= 0] = model.known.counts[index[index >= 0]]
+            for places, times, by_state_ in held:
+                at = np.frombuffer(places, "<i4")
+                c[at] = np.frombuffer(times, "<i8")
+                if states:
+                    e[at] = np.frombuffer(by_state_, "<f4").reshape(-1, states)
+            held.clear()
+            texts, chain = block.texts(), model.chain(index, classes, c, e)
+            score = np.zeros(len(texts))
+            for some, wide, lengths in _blocks(texts, cells):
+                score[some] = chain.likelihoods(wide, lengths) / _LOG10
+            starts = np.cumsum(block.lengths) - block.lengths
+            known, logs = (np.add.reduceat(x[block.codes], starts) for x in ((c > 0).astype(np.int64), np.log10(c + 1.0)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block.docs, pa.int64()), pa.array(block.held), *map(pa.array, (block.lengths, known, logs, score))], [x.split()[0] for x in _SCORED.split(", ")]
+            )
 
 
 def score_documents(
@@ -542,6 +551,7 @@ def score_documents(
     weight: float = 10.0,
     seed: int = 3,
     by_word: bool = False,
+    block_bytes: int = 32 << 20,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs`.
 
@@ -552,23 +562,22 @@ def score_documents(
     others share one of `buckets` classes by their last letters, so the chain's size is a parameter whatever
     the vocabulary. The forward recursion runs over whole texts.
 
-    With `by_word` every training word has its own counts in every state: the last round sums them by word, a
-    table that grows with the vocabulary, and texts are joined to it (`Emissions` has the formula). The rounds
+    With `by_word` every training word has its own counts in every state: the last round sums them by word, which
+    grows with the vocabulary (`Emissions` has the formula). The rounds
     before it, which only place the states, share the classes, and training counts alone decide which words have
     classes of their own; without it, held-out counts are added there.
 
+    Texts are read once and kept as blocks of at most `block_bytes`: each distinct word once, tokens as numbers.
     Word counts are a table. Its most frequent words, at most `dictionary_words` of at most `longest_word` bytes,
-    bounded by their product, are sent to the tasks; the others are joined, and none of them is frequent.
+    bounded by their product, are sent to the tasks; for the others every block asks once (`count_words`).
     Null text is only an end, a null id counts as the id "", repeated rows are scored and trained on each,
     an empty table gives no rows, other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("block"), F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    blocks = materialize(rows.mapInArrow(lambda batches: _blocked(batches, buckets, folds, held, block_bytes), _BLOCK), "hmm-blocks")
     counts = materialize(
-        rows.mapInArrow(lambda batches: _counts(batches, folds, held), "word binary, c bigint, other bigint")
-        .groupBy("word")
-        .agg(F.sum("c").alias("c"), F.sum("other").alias("other")),
-        "hmm-words",
+        blocks.mapInArrow(_counts, "word binary, c bigint, other bigint").groupBy("word").agg(F.sum("c").alias("c"), F.sum("other").alias("other")), "hmm-words"
     )
     is_end = F.octet_length("word") == 0
     whole = counts.agg(
@@ -587,47 +596,19 @@ def score_documents(
     for row in bucketed.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         totals[row.bucket] = row.n, row.v
     dictionary = Dictionary(known, own, own_classes, totals)
-    shared = spark.sparkContext.broadcast(dictionary)
-    encoded = materialize(
-        rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
-            lambda batches: _encoded(batches, shared, folds, held), _ENCODED
-        ),
-        "hmm-texts",
-    )
-    columns = ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "shared_logs"]
-    scored_columns = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, shared_logs double, chain double"
-    if by_word:
-        chain, _ = train(encoded, dictionary.prior(), states, iterations - 1, segment, cells, stay, noise, weight, seed)
-        chain, emitted, of_known, others = count_words(encoded, chain, shared, dictionary.prior(), segment, cells, weight)
-        model = spark.sparkContext.broadcast(Emissions(chain, dictionary, emitted, of_known))
-        words = encoded.select("row", F.posexplode(F.arrays_zip("words", "times")).alias("k", "x"))
-        looked_up = (
-            words.select("row", "k", F.col("x.words").alias("word"), "x.times")
-            .join(others, "word")
-            .groupBy(F.col("row").alias("of_row"))
-            .agg(
-                F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_logs"),
-                F.sum("times").alias("rare_known"),
-                F.collect_list(F.struct("k", "e")).alias("found"),
-            )
-        )
-        joined = encoded.join(looked_up, encoded.row == looked_up.of_row, "left")
-        return joined.select(*columns, "rare_logs", "rare_known", "classes", "places", "found").mapInArrow(
-            lambda batches: _word_likelihoods(batches, model, cells),
-            scored_columns.replace("chain", "rare_logs double, rare_known bigint, chain"),
-        ).select(*_result(whole, F.col("chain")))
-    chain, _ = train(encoded, dictionary.prior(), states, iterations, segment, cells, stay, noise, weight, seed)
-
-    rare = encoded.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), "x.times")
-    looked_up = (
-        rare.join(counts.where("c > 0").select("word", "c"), "word")
-        .groupBy("row")
-        .agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_logs"), F.sum("times").alias("rare_known"))
-        .withColumnRenamed("row", "of_row")
-    )
-    scored = encoded.select(*columns, "classes").mapInArrow(
-        lambda batches: _likelihoods(batches, chain, cells),
-        scored_columns,
+    # Plain values: the workers need not have this package.
+    shared = spark.sparkContext.broadcast(dictionary.given)
+    prior, with_states = dictionary.prior(), states if by_word else 0
+    chain, _ = train(blocks, prior, shared, states, iterations - bool(by_word), segment, cells, stay, noise, weight, seed)
+    after, emitted, of_known, answers = count_words(blocks, chain if by_word else None, shared, prior, segment, cells, weight)
+    chain = after or chain
+    model = spark.sparkContext.broadcast((chain.start, chain.move, chain.emit, dictionary.given, emitted, of_known))
+    nothing = lambda schema, names: [F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in schema.split(", ")) if c not in names]
+    asked, held_back = {c.split()[0] for c in _ANSWER.split(", ")}, {c.split()[0] for c in _BLOCK.split(", ")}
+    both = blocks.select(F.lit(True).alias("whole"), *sorted(held_back), *nothing(_ANSWER, held_back)).unionByName(
+        answers.select(F.lit(False).alias("whole"), *sorted(asked), *nothing(_BLOCK, asked))
     )
-    score = F.col("chain") + F.col("shared_logs") + F.coalesce("rare_logs", F.lit(0.0))
-    return scored.join(looked_up, scored.row == looked_up.of_row, "left").select(*_result(whole, score))
+    n_blocks = blocks.count()
+    scored = both.repartition(max(1, n_blocks), "block").sortWithinPartitions("block", "whole").mapInArrow(lambda batches: _scored(batches, model, with_states, cells), _SCORED)
+    base = F.col("logs") - F.col("n_tokens") * math.log10(whole.n + whole.v + 1)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(whole.n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

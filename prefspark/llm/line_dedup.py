@@ -124,8 +124,11 @@ def _build(batches):
         )
 
 
-def _probe(batches):
-    """Rows come sorted by shard and salt, the shard's arrays first: one shard is held, requests pass through."""
+def _probe(batches, min_docs: int):
+    """Rows come sorted by shard and salt, the shard's arrays first: one shard is held, requests pass through.
+
+    A key is lost where its slot's count reaches `min_docs` and another document keeps it.
+    """
     index, cell = None, None
     for batch in batches:
         column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
@@ -139,10 +142,10 @@ def _probe(batches):
                 index, cell = Index(**row), (shard[start], salt[start])
                 continue
             if index is None or cell != (shard[start], salt[start]):
-                continue  # no line of this shard is frequent
+                continue
             h1, h2, doc = (column[c].slice(start, end - start).to_numpy() for c in ("h1", "h2", "doc"))
             slot = index.slots(h1, h2)
-            lost = np.flatnonzero((slot >= 0) & (index.keepers[slot] != doc))
+            lost = np.flatnonzero((slot >= 0) & (index.counts[slot] >= min_docs) & (index.keepers[slot] != doc))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x[lost], pa.int64()) for x in (doc, h1, h2)] + [pa.array(index.counts[slot[lost]], pa.int64())],
                 ["doc", "h1", "h2", "n_docs"],
@@ -156,15 +159,12 @@ def shared_lines(docs: DataFrame, id_column: str, text_column: str, min_chars: i
         .mapInArrow(lambda batches: _keys_of(batches, min_chars), "h1 bigint, h2 bigint, doc bigint"),
         "line-keys",
     )
-    frequent = materialize(
-        keys.distinct().groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper")).where(F.col("n_docs") >= min_docs),
-        "line-frequent",
-    )
-    n_shards = max(1, -(-frequent.count() // keys_per_shard))
+    counted = materialize(keys.distinct().groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper")), "line-counts")
+    n_shards = max(1, -(-counted.count() // keys_per_shard))
     salts = max(1, -(-keys.count() // (n_shards * requests_per_cell)))
     shard = F.pmod("h1", F.lit(n_shards)).cast("int").alias("shard")
     index = materialize(
-        frequent.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard").mapInArrow(_build, _SHARD), "line-index"
+        counted.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard").mapInArrow(_build, _SHARD), "line-index"
     )
     nothing = {c: F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in _SHARD.split(", ")[1:])}
     arrays = index.select(
@@ -178,7 +178,7 @@ def shared_lines(docs: DataFrame, id_column: str, text_column: str, min_chars: i
         arrays.unionByName(requests)
         .repartition("shard", "salt")
         .sortWithinPartitions("shard", "salt", "kind")
-        .mapInArrow(_probe, "doc bigint, h1 bigint, h2 bigint, n_docs bigint")
+        .mapInArrow(lambda batches: _probe(batches, min_docs), "doc bigint, h1 bigint, h2 bigint, n_docs bigint")
     )
 
 
@@ -219,7 +219,7 @@ def dedup_lines(
     `min_chars` code points that `min_docs` documents hold lose their lines in all documents but the one
     with the largest id; there all of them stay. Other lines stay as they are, joined by \n.
 
-    Distinct (key, document) pairs are counted with partial sums. The frequent keys are cut into shards of
+    Distinct (key, document) pairs are counted with partial sums. All keys are cut into shards of
     about `keys_per_shard`; each becomes a minimal perfect hash with arrays of 64-bit fingerprints, counts
     and keepers, stored as one row of a table in the shared folder. Documents send their keys' hashes to
     the shards; a shard is repeated for every `requests_per_cell` of them, so that a line which a third of

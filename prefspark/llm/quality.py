@@ -288,7 +288,11 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, **options) -> DataFrame
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that the verdict keeps, with all their columns: one pass to fit, one to filter, no shuffle of texts."""
+    """The rows of `docs` that the verdict keeps, with all their columns: one pass to fit, one to filter, no shuffle of texts.
+
+    Null and empty texts have no words and go. A null id has no label and is judged like others; rows that repeat
+    an id, and equal texts, are judged each. Without good rows the base rules decide alone. An empty table stays empty.
+    """
     model = fit(materialize(document_counts(docs, id_column, text_column), "quality-counts"), labels, **options)
     text_at = docs.columns.index(text_column)
 

@@ -258,14 +258,14 @@ def test_every_word_has_counts_by_state(docs, documents, empty, monkeypatch):
         kept["before"], heights = train(*args)
         return kept["before"], heights
 
-    def keep_words(encoded, chain, shared, *rest):
-        kept["known"], kept["got"] = shared.value, count_words(encoded, chain, shared, *rest)
+    def keep_words(blocks, chain, shared, *rest):
+        kept["blocks"], kept["known"], kept["got"] = blocks, hmm.Dictionary(*shared.value), count_words(blocks, chain, shared, *rest)
         return kept["got"]
 
     monkeypatch.setattr(hmm, "train", keep_train)
     monkeypatch.setattr(hmm, "count_words", keep_words)
     got = hmm.score_documents(docs, **options).collect()
-    known, (after, emitted, of_known, others) = kept["known"], kept["got"]
+    known, (after, emitted, of_known, answers) = kept["known"], kept["got"]
 
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
     place = {w: i for i, w in enumerate(list(known.index)[:16])}
@@ -279,13 +279,17 @@ def test_every_word_has_counts_by_state(docs, documents, empty, monkeypatch):
             for w, at in zip(words, seen[:, 0]):
                 e[w] += at
     n, v = sum(c.values()), len(c)
-    # Each training word outside the dictionary is in the table, once, with its own counts by state.
-    table = {r.word: r for r in others.collect()}
-    table = {bytes(w): r for w, r in table.items()}
-    assert {w: r.c for w, r in table.items()} == {w: times for w, times in c.items() if w not in known.index}
-    assert len(table) > 200 and others.count() == len(table)
-    for w, r in table.items():
-        assert r.e == pytest.approx(e[w], rel=1e-3, abs=1e-3)
+    # Each block gets the whole counts of its words outside the dictionary, once.
+    told, blocks = defaultdict(dict), {r.block: hmm.Block(r.asDict()) for r in kept["blocks"].collect()}
+    for r in answers.collect():
+        words = [blocks[r.block].words[i] for i in np.frombuffer(r.places, "<i4")]
+        assert not set(words) & set(told[r.block])
+        told[r.block].update(zip(words, zip(np.frombuffer(r.c, "<i8").tolist(), np.frombuffer(r.e, "<f4").reshape(-1, 8))))
+    assert len(blocks) > 2 and {w for b in told.values() for w in b if c[w]} == {w for w in c if w not in known.index}
+    for number, block in blocks.items():
+        assert set(told[number]) == set(block.words) - set(known.index)
+        for w, (times, by_state) in told[number].items():
+            assert times == c[w] and by_state == pytest.approx(e[w], rel=1e-3, abs=1e-3)
     for w, i in known.index.items():
         if w not in place:
             assert of_known[:, i] == pytest.approx(e[w], rel=1e-3, abs=1e-3)
