@@ -14,28 +14,49 @@ from prefspark.plans.session import materialize, tune
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the forest, calibrated on the labelled ones among them."""
+    """Documents that pass the base rules and the forest, calibrated on the labelled ones among them.
+
+    Null and empty texts fail the rules and go. Null ids and repeated rows are judged each, extra columns stay, an
+    empty table stays empty; texts of any length are read whole.
+    """
     return filter_quality(docs, read(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that five or more of them share but for one place."""
+    """All documents, without the lines that five or more of them share but for one place.
+
+    Null text becomes an empty one. A null id is below all others, rows that repeat an id are one document to the
+    count and keep or lose the same lines. Of equal lines the largest id's stay. Extra columns stay, an empty table
+    stays empty.
+    """
     kept = dedup_lines(docs).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: five words a shingle, a similarity of 0.8 or more."""
+    """One document of each group of linked documents: five words a shingle, a similarity of 0.8 or more.
+
+    The smallest id stays; of rows that repeat it the least in the order of the columns. Texts without words are
+    linked with nothing, rows without id stay all. Extra columns stay, an empty table stays empty.
+    """
     return keep_one(docs, size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark does not contaminate."""
+    """Documents that the benchmark does not contaminate.
+
+    Null and empty texts have no words and stay, as do all rows where the benchmark is empty. Null ids and repeated
+    rows are judged each. Extra columns stay, an empty table stays empty.
+    """
     return decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences with their token ids."""
+    """Pieces of training sequences with their token ids.
+
+    A null or empty text is its end token alone. Null ids and repeated rows are packed each, extra columns are left
+    out, an empty table gives no pieces; a text of any length is cut, and every id is in one piece.
+    """
     return pack_documents(docs)
 
 

@@ -1,4 +1,8 @@
+import os
 import re
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -25,6 +29,19 @@ def test_every_definition_has_a_query():
     }
 
 
+def test_entry_without_the_training_data_part(tmp_path):
+    here = os.path.dirname(os.path.abspath(entry.__file__))
+    copy = tmp_path / "repo"
+    shutil.copytree(here, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", ".pytest_cache"))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    for remaining in (True, False):
+        if not remaining:
+            (copy / "corpus_pipeline.py").unlink()
+        code = "import __spark_entry__ as e; names = set(e.queries()); assert 'top_n' in names and not any(n == 'pipeline' or n.startswith('op1') for n in names)"
+        done = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True, timeout=120)
+        assert done.returncode == 0, done.stderr[-2000:]
+
+
 @pytest.mark.parametrize(
     "name",
     ["recommend_itembased", "recommend_mf", "recommend_items_for_items", "kfold_split", "nearest_centroid", "tfidf", "stream_candidates"],
