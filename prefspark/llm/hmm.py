@@ -191,29 +191,56 @@ def _packed(data: bytes) -> bytes:
     return pa.compress(data, codec="zstd", asbytes=True)
 
 
+def _unpacked(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True)
+
+
+def _by_share(c: np.ndarray, e: np.ndarray) -> bytes:
+    """Counts by state (states, words) as shares of the words' counts in half precision, one state after the other: 2^-11 of a share at most is lost."""
+    return _packed((e / np.maximum(c, 1)).astype("<f2").tobytes())
+
+
+def _from_share(c: np.ndarray, data: bytes, states: int) -> np.ndarray:
+    if not states:
+        return np.zeros((0, len(c)))
+    return np.frombuffer(_unpacked(data, 2 * states * len(c)), "<f2").reshape(states, len(c)).astype(float) * c
+
+
 def _blocked(batches: Iterable[pa.RecordBatch], buckets: int, folds: int, held: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
     """Texts side by side as one row: distinct words once, and every token as the number of its word in the block."""
-    for batch in slices(batches, "text", block_bytes):
-        index: dict[bytes, int] = {}
-        codes, lengths = [], []
-        for part in slices([batch], "text", 8 << 20):
-            said = [tokens(text) for text in part.column(2).to_pylist()]
-            lengths += map(len, said)
-            coded = pa.array([w for words in said for w in words], pa.binary()).dictionary_encode()
-            local = np.array([index.setdefault(w, len(index)) for w in coded.dictionary.to_pylist()], "<i4")
-            codes.append(local[coded.indices.to_numpy()])
-        words, docs = b"\n".join(index), batch.column(1).to_pylist()
+    index: dict[bytes, int] = {}
+    codes, lengths, docs, rows, size = [], [], [], [], 0
+
+    def out():
+        words = b"\n".join(index)
         shared = np.array([suffix_class(w, buckets) for w in index], "<i4")
-        values = [batch.column(0)[0].as_py(), docs, [is_held_out(d, folds, held) for d in docs], lengths, _packed(np.concatenate(codes).tobytes()), _packed(words), len(words), _packed(shared.tobytes())]
+        values = [rows[0], docs, [is_held_out(d, folds, held) for d in docs], lengths, _packed(np.concatenate(codes).tobytes()), _packed(words), len(words), _packed(shared.tobytes())]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], [c.split()[0] for c in _BLOCK.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], [c.split()[0] for c in _BLOCK.split(", ")])
+
+    for part in slices(batches, "text", min(block_bytes, 8 << 20)):
+        if size and size + part.column(2).nbytes > block_bytes:
+            yield out()
+            size = 0
+            for held_ in (index, codes, lengths, docs, rows):
+                held_.clear()
+        said = [tokens(text) for text in part.column(2).to_pylist()]
+        lengths += map(len, said)
+        coded = pa.array([w for words in said for w in words], pa.binary()).dictionary_encode()
+        local = np.array([index.setdefault(w, len(index)) for w in coded.dictionary.to_pylist()], "<i4")
+        codes.append(local[coded.indices.to_numpy()])
+        rows.append(part.column(0)[0].as_py())
+        docs += part.column(1).to_pylist()
+        size += part.column(2).nbytes + 1
+    if docs:
+        yield out()
 
 
 class Block:
     """A row of `_BLOCK` opened."""
 
     def __init__(self, row: dict):
-        unpack = lambda name, size: pa.decompress(row[name], decompressed_size=size, codec="zstd", asbytes=True)
+        unpack = lambda name, size: _unpacked(row[name], size)
         self.number, self.docs, self.held = row["block"], row["doc_id"], np.array(row["held_out"], bool)
         self.lengths = np.array(row["lengths"], np.int64)
         self.codes = np.frombuffer(unpack("codes", 4 * int(self.lengths.sum())), "<i4")
@@ -357,9 +384,9 @@ def train(
 # ---- every word's counts ----
 
 
-_REQUEST = "bucket bigint, block bigint, places binary, words binary, c binary, e binary, sums binary"
+_REQUEST = "bucket bigint, block bigint, n int, size bigint, places binary, words binary, c binary, e binary, sums binary"
 _NAMES = [c.split()[0] for c in _REQUEST.split(", ")]
-_KINDS = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
+_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
 
 
 def _row(*values) -> pa.RecordBatch:
@@ -402,9 +429,10 @@ def _requests(batches: Iterable[pa.RecordBatch], chain: Chain | None, shared, n_
         for start, end in zip(cuts, [*cuts[1:], len(outside)]):
             at = outside[start:end]
             words = b"\n".join([block.words[i] for i in at])
-            yield _row(int(bucket[start]), block.number, at.astype("<i4").tobytes(), words, c[at].astype("<i4").tobytes(), found[:, at].T.astype("<f4").tobytes(), None)
+            numbers = (_packed(x.astype("<i4").tobytes()) for x in (at, c[at]))
+            yield _row(int(bucket[start]), block.number, len(at), len(words), next(numbers), _packed(words), next(numbers), _by_share(c[at], found[:, at]), None)
     if states:
-        yield _row(-1, None, None, None, None, None, np.concatenate([x.reshape(-1) for x in parts]).astype("<f8").tobytes())
+        yield _row(-1, *[None] * 7, np.concatenate([x.reshape(-1) for x in parts]).astype("<f8").tobytes())
 
 
 def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,29 +445,37 @@ def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
 
-_ANSWER = "block bigint, places binary, c binary, e binary"
+_ANSWER = "block bigint, n int, places binary, c binary, e binary"
 
 
 def _answers(batches: Iterable[pa.RecordBatch], states: int) -> Iterator[pa.RecordBatch]:
     """Whole counts of a bucket's words, given back to every block that asked."""
     for group in runs(batches, ["bucket"]):
-        asked = [data.split(b"\n") for data in group.column("words").to_pylist()]
+        column = {name: group.column(name).to_pylist() for name in group.column_names}
+        asked = [_unpacked(data, size).split(b"\n") for data, size in zip(column["words"], column["size"])]
         codes = pa.array([w for words in asked for w in words], pa.binary()).dictionary_encode().indices.to_numpy()
-        c = np.bincount(codes, np.frombuffer(b"".join(group.column("c").to_pylist()), "<i4")).astype(np.int64)
-        e = np.frombuffer(b"".join(group.column("e").to_pylist()), "<f4").reshape(-1, states) if states else np.zeros((len(codes), 0))
-        total = np.stack([np.bincount(codes, e[:, s], len(c)) for s in range(states)], axis=1) if states else np.zeros((len(c), 0))
+        own = [np.frombuffer(_unpacked(data, 4 * n), "<i4") for data, n in zip(column["c"], column["n"])]
+        c = np.bincount(codes, np.concatenate(own)).astype(np.int64)
+        e = np.concatenate([_from_share(x, data, states) for x, data in zip(own, column["e"])], axis=1)
+        total = np.array([np.bincount(codes, e[s], len(c)) for s in range(states)]).reshape(states, len(c))
         at = 0
-        for block, places, words in zip(group.column("block").to_pylist(), group.column("places").to_pylist(), asked):
-            mine = codes[at : at + len(words)]
-            at += len(words)
-            values = [block, places, c[mine].astype("<i8").tobytes(), total[mine].astype("<f4").tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int64(), *[pa.binary()] * 3))], [x.split()[0] for x in _ANSWER.split(", ")])
+        for block, places, n in zip(column["block"], column["places"], column["n"]):
+            mine = codes[at : at + n]
+            at += n
+            values = [block, n, places, _packed(c[mine].astype("<i8").tobytes()), _by_share(c[mine], total[:, mine])]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int64(), pa.int32(), *[pa.binary()] * 3))], [x.split()[0] for x in _ANSWER.split(", ")])
+
+
+def opened_answer(n: int, places: bytes, c: bytes, e: bytes, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, counts and counts by state (words, states) of an answer."""
+    times = np.frombuffer(_unpacked(c, 8 * n), "<i8")
+    return np.frombuffer(_unpacked(places, 4 * n), "<i4"), times, _from_share(times, e, states).T
 
 
 def count_words(
     blocks: DataFrame, chain: Chain | None, shared, prior: np.ndarray, segment: int, cells: int, weight: float, words_per_bucket: int = 200_000
 ) -> tuple[Chain | None, np.ndarray | None, np.ndarray | None, DataFrame]:
-    """Counts of the words outside the dictionary for every block that has them: (block, places, c, e).
+    """Counts of the words outside the dictionary for every block that has them: (block, n, places, c, e), see `opened_answer`.
 
     A block asks once for each of its distinct words, with its own counts: training tokens, and with a chain one more
     round's expected counts by state. Requests are dealt by word into buckets of about `words_per_bucket`, added up there and
@@ -455,7 +491,7 @@ def count_words(
         asked.where("bucket >= 0")
         .repartition(n_buckets, "bucket")
         .sortWithinPartitions("bucket")
-        .select("bucket", "block", "places", "words", "c", "e")
+        .drop("sums")
         .mapInArrow(lambda batches: _answers(batches, states), _ANSWER)
     )
     if chain is None:
@@ -509,17 +545,15 @@ def _scored(batches: Iterable[pa.RecordBatch], shared, states: int, cells: int)
         columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
         for i, whole in enumerate(columns["whole"].to_pylist()):
             if not whole:
-                held.append(tuple(columns[x][i].as_py() for x in ("places", "c", "e")))
+                held.append(tuple(columns[x][i].as_py() for x in ("n", "places", "c", "e")))
                 continue
             block = Block({x: columns[x][i].as_py() for x in ("block", "doc_id", "held_out", "lengths", "codes", "words", "size", "buckets")})
             index, classes = block.placed(model.known)
             c, e = np.zeros(len(index), np.int64), np.zeros((len(index), states), np.float32)
             c[index >= 0] = model.known.counts[index[index >= 0]]
-            for places, times, by_state_ in held:
-                at = np.frombuffer(places, "<i4")
-                c[at] = np.frombuffer(times, "<i8")
-                if states:
-                    e[at] = np.frombuffer(by_state_, "<f4").reshape(-1, states)
+            for answer in held:
+                at, times, by_state_ = opened_answer(*answer, states)
+                c[at], e[at] = times, by_state_
             held.clear()
             texts, chain = block.texts(), model.chain(index, classes, c, e)
             score = np.zeros(len(texts))
@@ -605,7 +639,7 @@ def score_documents(
     model = spark.sparkContext.broadcast((chain.start, chain.move, chain.emit, dictionary.given, emitted, of_known))
     nothing = lambda schema, names: [F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in schema.split(", ")) if c not in names]
     asked, held_back = {c.split()[0] for c in _ANSWER.split(", ")}, {c.split()[0] for c in _BLOCK.split(", ")}
-    both = blocks.select(F.lit(True).alias("whole"), *sorted(held_back), *nothing(_ANSWER, held_back)).unionByName(
+    both = blocks.select(F.lit(True).alias("whole"), *sorted(held_back), *nothing(_ANSWER, held_back | {"block"})).unionByName(
         answers.select(F.lit(False).alias("whole"), *sorted(asked), *nothing(_BLOCK, asked))
     )
     n_blocks = blocks.count()

@@ -282,9 +282,10 @@ def test_every_word_has_counts_by_state(docs, documents, empty, monkeypatch):
     # Each block gets the whole counts of its words outside the dictionary, once.
     told, blocks = defaultdict(dict), {r.block: hmm.Block(r.asDict()) for r in kept["blocks"].collect()}
     for r in answers.collect():
-        words = [blocks[r.block].words[i] for i in np.frombuffer(r.places, "<i4")]
+        places, times, by_state = hmm.opened_answer(r.n, r.places, r.c, r.e, 8)
+        words = [blocks[r.block].words[i] for i in places]
         assert not set(words) & set(told[r.block])
-        told[r.block].update(zip(words, zip(np.frombuffer(r.c, "<i8").tolist(), np.frombuffer(r.e, "<f4").reshape(-1, 8))))
+        told[r.block].update(zip(words, zip(times.tolist(), by_state)))
     assert len(blocks) > 2 and {w for b in told.values() for w in b if c[w]} == {w for w in c if w not in known.index}
     for number, block in blocks.items():
         assert set(told[number]) == set(block.words) - set(known.index)
