@@ -13,12 +13,18 @@ from prefspark.llm.quality import filter_quality
 from prefspark.plans.session import materialize, tune
 
 
+def ready(spark: SparkSession) -> None:
+    """Settings of every stage: fewer rows at a time go to a Python worker, since whole texts are held there."""
+    tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the forest, calibrated on the labelled ones among them.
 
     Null and empty texts fail the rules and go. Null ids and repeated rows are judged each, extra columns stay, an
     empty table stays empty; texts of any length are read whole.
     """
+    ready(spark)
     return filter_quality(docs, read(spark, sf_dir, "labels"))
 
 
@@ -29,6 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     count and keep or lose the same lines. Of equal lines the largest id's stay. Extra columns stay, an empty table
     stays empty.
     """
+    ready(spark)
     kept = dedup_lines(docs).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
@@ -39,6 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     The smallest id stays; of rows that repeat it the least in the order of the columns. Texts without words are
     linked with nothing, rows without id stay all. Extra columns stay, an empty table stays empty.
     """
+    ready(spark)
     return keep_one(docs, size=5, percent=80)
 
 
@@ -48,6 +56,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts have no words and stay, as do all rows where the benchmark is empty. Null ids and repeated
     rows are judged each. Extra columns stay, an empty table stays empty.
     """
+    ready(spark)
     return decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
@@ -57,6 +66,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is its end token alone. Null ids and repeated rows are packed each, extra columns are left
     out, an empty table gives no pieces; a text of any length is cut, and every id is in one piece.
     """
+    ready(spark)
     return pack_documents(docs)
 
 
