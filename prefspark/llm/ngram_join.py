@@ -48,7 +48,7 @@ def shingles(text: str | None, size: int, words_seen: dict[bytes, int]) -> np.nd
 
 def _sets(batches: Iterable[pa.RecordBatch], text_at: int, size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     seen = process_cache("shingle_words", dict)
-    for batch in slices(batches, "text", 8 << 20):
+    for batch in slices(batches, "text", 4 << 20):
         yield batch, [shingles(text, size, seen) for text in batch.column(text_at).to_pylist()]
 
 
@@ -124,7 +124,7 @@ def _counted(batches, size: int) -> Iterator[pa.RecordBatch]:
                 seen.add(digest)
                 held.append(found)
                 n += len(found)
-        if n > 2_000_000:
+        if n > 1_000_000:
             yield flush()
             held, n = [], 0
     if held:
