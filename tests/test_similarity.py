@@ -64,10 +64,17 @@ def test_copies_of_a_rating_follow_its_basket(spark):
     """A wide catalogue of short baskets copies nothing; a long basket copies by its own chunks."""
     data = [(u, u * 10 + k, 1.0) for u in range(200) for k in range(10)] + [(999, i, 1.0) for i in range(100)]
     baskets = S._baskets(spark.createDataFrame(data, PREFS), [])
-    for side in S._cells(baskets, ["user_id"], 20):
-        copies = {r.user_id: r["count"] for r in side.groupBy("user_id").count().collect()}
-        assert copies.pop(999) == 100 * 5
-        assert set(copies.values()) == {10}
+    packed = S._packed(baskets, ["user_id"], 20)
+    held = {}
+    for r in packed.collect():
+        held.setdefault(r.user_id, []).append(len(r.held))
+        # A chunk meets every other chunk of its basket once, and no basket of one chunk is copied.
+        assert r.chunks == (5 if r.user_id == 999 else 1)
+    assert sum(held.pop(999)) == 100 and set(map(tuple, held.values())) == {(10,)}
+    # Every pair is made once, and none is thrown away.
+    made = {r.user_id: (r["count"], r.kinds) for r in S._pairs(packed, ["user_id"]).groupBy("user_id").agg(
+        F.count("*").alias("count"), F.countDistinct("a.item_id", "b.item_id").alias("kinds")).collect()}
+    assert made.pop(999) == (4950, 4950) and set(made.values()) == {(45, 45)}
 
 
 def test_labels_are_kept_apart(spark):
