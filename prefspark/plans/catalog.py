@@ -84,6 +84,7 @@ def load_all() -> None:
     """Import the modules that register queries."""
     from prefspark.plans import (  # noqa: F401
         queries_facts,
+        queries_incremental,
         queries_models,
         queries_preferences,
         queries_recommend,
