@@ -4,6 +4,9 @@ Whole-table scoring pairs every requester with every candidate of the label that
 seen. The pairs are never written as rows: requesters are hashed into chunks and candidates into
 blocks of bounded size, a task multiplies one chunk by one block and returns each requester's best N
 of the block.
+
+Candidates lie in bands by the length of their vectors. A product is at most the product of the two lengths, so
+once the longest candidates gave a requester N scores, bands that cannot reach the N-th are never sent to it.
 """
 
 from __future__ import annotations
@@ -12,17 +15,20 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 
 from prefspark.functions.columns import dot, l1_norm
 from prefspark.operators.topk import top_n
+from prefspark.plans.session import materialize
 
 BlockRescore = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 CHUNK_REQUESTS = 1024
 BLOCK_CANDIDATES = 4096
+#: Bands for a factor of two in length, and the number of the last band; both ends are open.
+BANDS_PER_OCTAVE, LAST_BAND = 4, 200
 
 
 def unseen_items(users: DataFrame, prefs: DataFrame, cands: DataFrame) -> DataFrame:
@@ -83,6 +89,8 @@ def _best_of_block(how_many: int, digits: int | None, rescore: BlockRescore | No
             scores[row[known], col[known]] = np.nan
         scores = np.where(np.isnan(scores), -np.inf, scores)
         kept = scores > -np.inf
+        if "least" in requests and requests["least"].notna().any():
+            kept &= scores >= requests["least"].fillna(-np.inf).to_numpy(float)[:, None]
         if how_many < len(ids):
             # All above the last place, and of its ties as many as fit, by id.
             last = np.partition(scores, len(ids) - how_many, axis=1)[:, len(ids) - how_many, None]
@@ -103,6 +111,129 @@ def _best_of_block(how_many: int, digits: int | None, rescore: BlockRescore | No
     return best
 
 
+def vector_length(features: Column) -> Column:
+    """Euclidean length; 0 for no vector, infinite where a component is null or not a number."""
+    squares = F.aggregate(features, F.lit(0.0), lambda total, x: total + x.cast("double") * x)
+    length = F.coalesce(F.sqrt(squares), F.lit(float("inf")))
+    return F.when(features.isNull(), 0.0).when(F.isnan(length), float("inf")).otherwise(length)
+
+
+def length_band(length: Column) -> Column:
+    """Number of the band: the smaller, the longer the vectors."""
+    level = F.floor(-BANDS_PER_OCTAVE * F.log2(length))
+    inner = F.greatest(F.lit(-LAST_BAND), F.least(F.lit(LAST_BAND), level)).cast("int")
+    return F.when(length == 0, LAST_BAND).when(length == float("inf"), -LAST_BAND).otherwise(inner)
+
+
+def band_profile(universe: DataFrame, head_candidates: int, block_candidates: int) -> DataFrame:
+    """Per label its `bands`, an array of (band, longest, blocks) of at most 2 * LAST_BAND + 1 entries, and its `head`:
+    the first band up to which there are `head_candidates`, or the last one.
+
+    universe: (label, item_id, length, band).
+    """
+    each = universe.groupBy("label", "band").agg(F.count("*").alias("n"), F.max("length").alias("longest"))
+    running = Window.partitionBy("label").orderBy("band")
+    counted = each.withColumn("upto", F.sum("n").over(running)).withColumn(
+        "blocks", F.ceil(F.col("n") / block_candidates)
+    )
+    return counted.groupBy("label").agg(
+        F.array_sort(F.collect_list(F.struct("band", "longest", "blocks"))).alias("bands"),
+        F.coalesce(
+            F.min(F.when(F.col("upto") >= head_candidates, F.col("band"))), F.max("band")
+        ).alias("head"),
+    )
+
+
+def deeper_requests(
+    first: DataFrame, requests: DataFrame, profile: DataFrame, how_many: int, digits: int | None = None
+) -> DataFrame:
+    """Requests that need bands after the head: (request_id, label, least, lo, hi).
+
+    first: (request_id, label, value), the best rows of the head. `least` is the request's N-th best score there, null if it has fewer.
+    A band is needed unless the request's length times the band's longest vector stays below `least`; some room is
+    left for the last bits of a sum and for rounding to `digits`.
+    """
+    least = (
+        first.groupBy("request_id")
+        .agg(F.sort_array(F.collect_list("value"), asc=False).alias("best"))
+        .select("request_id", F.get("best", F.lit(how_many - 1)).alias("least"))
+    )
+    room = 0.0 if digits is None else 10.0**-digits
+    reach = F.col("length") * F.col("b.longest")
+    needed = F.col("least").isNull() | F.isnan(reach) | (reach * (1 + 1e-9) + room >= F.col("least"))
+    asking = requests.select("request_id", "label", vector_length(F.col("features")).alias("length"))
+    return (
+        asking.join(profile, "label")
+        .where(F.get("bands", F.size("bands") - 1)["band"] > F.col("head"))
+        .join(least, "request_id", "left")
+        .withColumn("b", F.explode(F.filter("bands", lambda b: b["band"] > F.col("head"))))
+        .where(needed)
+        .groupBy("request_id", "label", "least", (F.col("head") + 1).alias("lo"))
+        .agg(F.max("b.band").alias("hi"))
+    )
+
+
+def _cells(
+    vectors: DataFrame, asked: DataFrame, seen: DataFrame, universe: DataFrame, profile: DataFrame,
+    best: Callable, chunk_requests: int,
+) -> DataFrame:
+    """Best rows of every cell of a chunk of requests and a block of candidates.
+
+    vectors: (request_id, label, features, least, lo, hi), asked: (request_id, label, lo, hi). A request meets the blocks of
+    the bands lo..hi of its label; requests of equal lo and hi share chunks.
+    """
+    chunks = asked.groupBy("label", "lo", "hi").agg(F.ceil(F.count("*") / chunk_requests).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("request_id", F.lit("chunk")), F.col("chunks")).alias("chunk")
+    block = F.pmod(F.xxhash64("item_id", F.lit("block")), F.col("blocks")).alias("block")
+    none = F.lit(None)
+    cell = ["label", "hi", "chunk", "band", "block"]
+    left = [*cell, "request_id", "features", "least", "seen_item"]
+    blocks_of = profile.select("label", F.explode("bands").alias("b")).select("label", "b.band", "b.blocks")
+    placed = universe.join(blocks_of, ["label", "band"]).select("label", "item_id", "features", "band", block)
+
+    askers = (
+        vectors.join(chunks, ["label", "lo", "hi"])
+        .withColumn("chunk", chunk)
+        .join(profile.select("label", "bands"), "label")
+        .withColumn("b", F.explode(F.filter("bands", lambda b: b["band"].between(F.col("lo"), F.col("hi")))))
+        .withColumn("band", F.col("b.band"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b.blocks") - 1)))
+        .withColumn("seen_item", none.cast("long"))
+        .select(*left)
+    )
+    # A seen item goes to the one cell of its request and its own block.
+    marks = (
+        seen.select("request_id", "item_id")
+        .distinct()
+        .join(asked.join(chunks, ["label", "lo", "hi"]), "request_id")
+        .join(placed.drop("features"), ["label", "item_id"])
+        .where(F.col("band").between(F.col("lo"), F.col("hi")))
+        .select(
+            "label", "hi", chunk, "band", "block", "request_id", none.cast("array<double>").alias("features"),
+            none.cast("double").alias("least"), F.col("item_id").alias("seen_item"),
+        )
+    )
+    groups = chunks.groupBy("label").agg(F.collect_list(F.struct("lo", "hi", "chunks")).alias("groups"))
+    blocks = (
+        placed.join(groups, "label")
+        .withColumn("g", F.explode(F.filter("groups", lambda g: F.col("band").between(g["lo"], g["hi"]))))
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g.chunks") - 1)))
+        # Own names on this side: requests and candidates may come from the same table.
+        .select(
+            F.col("label").alias("label"), F.col("g.hi").alias("hi"), F.col("chunk").alias("chunk"),
+            F.col("band").alias("band"), F.col("block").alias("block"),
+            F.col("item_id").alias("item_id"), F.col("features").alias("features"),
+        )
+    )
+    request_type = vectors.schema["request_id"].dataType.simpleString()
+    return (
+        askers.unionByName(marks)
+        .groupBy(*cell)
+        .cogroup(blocks.groupBy(*cell))
+        .applyInPandas(best, f"label string, request_id {request_type}, item_id long, value double")
+    )
+
+
 def top_unseen(
     requests: DataFrame,
     seen: DataFrame,
@@ -115,6 +246,8 @@ def top_unseen(
     missing_as_zero: bool = False,
     chunk_requests: int = CHUNK_REQUESTS,
     block_candidates: int = BLOCK_CANDIDATES,
+    bounds: bool = False,
+    head_candidates: int = BLOCK_CANDIDATES,
 ) -> DataFrame:
     """Best `how_many` candidates of the request's label by vector product, seen ones left out.
 
@@ -124,6 +257,11 @@ def top_unseen(
     not hang on the last bits of a sum. `rescore` is called inside the block with numpy arrays, the item ids
     as one row and the scores of all its requests, and returns the scores to rank by; NaN leaves a
     candidate out. A block hands over `how_many` rows per request at most, ties broken by item id.
+
+    With `bounds` the label's longest vectors, `head_candidates` of them or some more, are scored first, and then only
+    the bands of shorter ones that can still reach the request's N-th best score. The rows are the same; it pays where
+    lengths differ and labels have many candidates. The first scores are written to the shared folder. A rescorer may lift
+    any candidate, so with one everything is scored.
     """
     asked = requests.select("request_id", "label") if asked is None else asked
     items = item_factors.select(F.col("id").alias("item_id"), "features")
@@ -132,52 +270,29 @@ def top_unseen(
         .distinct()
         .join(items, "item_id", "left" if missing_as_zero else "inner")
     )
-    sizes = (
-        universe.groupBy("label")
-        .agg(F.count("*").alias("candidates"))
-        .join(asked.groupBy("label").agg(F.count("*").alias("requests")), "label")
-        .select(
-            "label",
-            F.ceil(F.col("candidates") / block_candidates).alias("blocks"),
-            F.ceil(F.col("requests") / chunk_requests).alias("chunks"),
-        )
-    )
-    chunk = F.pmod(F.xxhash64("request_id", F.lit("chunk")), F.col("chunks")).alias("chunk")
-    block = F.pmod(F.xxhash64("item_id", F.lit("block")), F.col("blocks")).alias("block")
-    all_blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
-    all_chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")
-    none = F.lit(None)
-
-    sized = requests.select("request_id", "label", "features").join(sizes, "label")
-    # A seen item goes to the one cell of its request and its own block.
-    marks = (
-        seen.select("request_id", "item_id")
-        .distinct()
-        .join(asked.join(sizes, "label"), "request_id")
-        .select(
-            "label", chunk, block, "request_id", none.cast("array<double>").alias("features"),
-            F.col("item_id").alias("seen_item"),
-        )
-    )
-    askers = sized.select(
-        "label", chunk, all_blocks, "request_id", "features", none.cast("long").alias("seen_item")
-    )
-    # Own names on this side: requests and candidates may come from the same table.
-    blocks = universe.join(sizes, "label").select(
-        F.col("label").alias("label"), all_chunks, block, F.col("item_id").alias("item_id"),
-        F.col("features").alias("features"),
-    )
-    cell = ["label", "chunk", "block"]
-    request_type = requests.schema["request_id"].dataType.simpleString()
-    scored = (
-        askers.unionByName(marks)
-        .groupBy(*cell)
-        .cogroup(blocks.groupBy(*cell))
-        .applyInPandas(
-            _best_of_block(how_many, digits, rescore),
-            f"label string, request_id {request_type}, item_id long, value double",
+    best = _best_of_block(how_many, digits, rescore)
+    if not bounds or rescore is not None:
+        universe = universe.withColumns({"length": F.lit(0.0), "band": F.lit(0)})
+        profile = band_profile(universe, 1, block_candidates)
+        span = {"lo": F.lit(0), "hi": F.lit(0)}
+        vectors = requests.select("request_id", "label", "features").withColumns({"least": F.lit(None).cast("double"), **span})
+        scored = _cells(vectors, asked.withColumns(span), seen, universe, profile, best, chunk_requests)
+    else:
+        universe = universe.withColumn("length", vector_length(F.col("features")))
+        universe = materialize(universe.withColumn("band", length_band(F.col("length"))), "candidates")
+        profile = materialize(band_profile(universe, head_candidates, block_candidates), "bands")
+        to_head = profile.select("label", F.lit(-LAST_BAND).alias("lo"), F.col("head").alias("hi"))
+        vectors = requests.select("request_id", "label", "features", F.lit(None).cast("double").alias("least"))
+        scored = _cells(
+            vectors.join(to_head, "label"), asked.join(to_head, "label"), seen, universe, profile, best, chunk_requests
         )
-    )
+        if not profile.where(F.get("bands", F.size("bands") - 1)["band"] > F.col("head")).isEmpty():
+            first = top_n(scored, "request_id", how_many).select("label", "request_id", "item_id", "value")
+            first = materialize(first, "head-scores")
+            deeper = materialize(deeper_requests(first, requests, profile, how_many, digits), "deeper")
+            vectors = requests.select("request_id", "label", "features").join(deeper, ["request_id", "label"])
+            rest = _cells(vectors, deeper.drop("least"), seen, universe, profile, best, chunk_requests)
+            scored = first.unionByName(rest)
     return top_n(scored, "request_id", how_many).select(
         "label", "request_id", "rank", "item_id", "value"
     )

@@ -351,7 +351,7 @@ scored AS (SELECT a.label, a.user_id, c.item_id, round({value}, 6) AS value FROM
     )
 
 
-def _mf(spark, d, seen=None, **options):
+def _mf(spark, d, seen=None, items=None, **options):
     f, cands = V.factors(spark, d), V.cands_o(spark, d)
     labels = cands.select("label").distinct()
     every = F.collect_set("label").alias("labels")
@@ -360,7 +360,9 @@ def _mf(spark, d, seen=None, **options):
     asked = users.withColumn("labels", labels.agg(every).scalar()).select(
         "user_id", F.explode("labels").alias("label")
     )
-    return R.recommend_mf(asked, V.prefs_o(spark, d), f, f, cands, 10, seen=seen, digits=DIGITS, **options)
+    return R.recommend_mf(
+        asked, V.prefs_o(spark, d), f, f if items is None else items, cands, 10, seen=seen, digits=DIGITS, **options
+    )
 
 
 @query("recommend_mf", _mf_sql("prefs_o"))
@@ -373,6 +375,14 @@ def recommend_mf_given(spark, d):
     return _mf(spark, d, seen=V.pref_events(spark, d))
 
 
+@query("recommend_mf_bounded", _mf_sql("prefs_o", f"{_DOT} / (1 + c.item_id % 8)"))
+def recommend_mf_bounded(spark, d):
+    """Item vectors of eight lengths; bands that cannot reach a request's list are not scored."""
+    length = 1 + F.col("id") % 8
+    items = V.factors(spark, d).withColumn("features", F.transform("features", lambda x: x / length))
+    return _mf(spark, d, items=items, bounds=True, head_candidates=64)
+
+
 @query("recommend_mf_rescored", _mf_sql("prefs_o", f"{_DOT} / (1 + c.item_id % 2)"))
 def recommend_mf_rescored(spark, d):
     """Parts with odd numbers count half."""

@@ -50,6 +50,64 @@ def test_blocked_scoring_equals_brute_force(spark, chunk, block, n):
     assert not {a for a, _ in lists} & {30, 31}
 
 
+def long_tailed(spark, users=24, items=120, k=4, seed=3):
+    """As `world`, but every item is a fifth shorter than the one before it, with repeats, a zero and no vector."""
+    u, v, prefs, uf, _, p, cands = world(spark, users, items, k, seed)
+    v = v / np.linalg.norm(v, axis=1, keepdims=True) * (0.8 ** (np.arange(items) // 2))[:, None]
+    v[1], v[7] = v[0], 0.0
+    vf = [(n, list(map(float, x))) for n, x in enumerate(v)] + [(items, None)]
+    return u, v, prefs, uf, spark.createDataFrame(vf, VEC), p, cands
+
+
+@pytest.mark.parametrize("make", [world, long_tailed])
+@pytest.mark.parametrize("head,chunk,block,n,as_zero", [(1, 8, 6, 3, False), (20, 1024, 4096, 5, True), (9, 3, 4, 1000, False)])
+def test_bounded_lists_equal_full_ones(spark, rows, make, head, chunk, block, n, as_zero):
+    _, _, _, uf, vf, p, cands = make(spark)
+    asked = spark.createDataFrame([(a, l) for a in range(26) for l in ("even", "all")], "user_id long, label string")
+    sizes = {"chunk_requests": chunk, "block_candidates": block, "missing_as_zero": as_zero, "digits": 6}
+    full = R.recommend_mf(asked, p, uf, vf, cands, n, **sizes)
+    bounded = R.recommend_mf(asked, p, uf, vf, cands, n, bounds=True, head_candidates=head, **sizes)
+    assert rows(bounded) == rows(full) and full.count() > 0
+
+
+def test_short_candidates_are_skipped(spark):
+    """With steeply falling lengths nearly no (request, block) beyond the head is left; with equal ones none may go."""
+    for make, most in ((long_tailed, 0.3), (world, 1.0)):
+        u, v, _, uf, vf, p, cands = make(spark)
+        n = 3
+        items = vf.where("features IS NOT NULL").withColumn("length", R.vector_length(R.F.col("features")))
+        universe = cands.join(items.withColumnRenamed("id", "item_id"), "item_id")
+        universe = universe.withColumn("band", R.length_band(R.F.col("length")))
+        profile = R.band_profile(universe, 12, 4)
+        requests = uf.select(R.F.col("id").alias("request_id"), R.F.lit("all").alias("label"), "features")
+        held = {(r.label, b.band): b for r in profile.collect() for b in r.bands}
+        head = {r.label: r.head for r in profile.collect()}["all"]
+        blocks = {b: x.blocks for (label, b), x in held.items() if label == "all"}
+        of = {r.item_id: r.band for r in universe.where("label = 'all'").collect()}
+        first = [(a, "all", float(u[a] @ v[b])) for a in range(len(u)) for b in of if of[b] <= head]
+        found = R.deeper_requests(
+            spark.createDataFrame(first, "request_id long, label string, value double"), requests, profile, n
+        )
+        deepest = {r.request_id: r.hi for r in found.collect()}
+        after = sum(n_blocks for band, n_blocks in blocks.items() if band > head) * len(u)
+        met = sum(n_blocks for a in deepest for band, n_blocks in blocks.items() if head < band <= deepest[a])
+        assert after > 0 and met <= most * after
+        # What was skipped cannot be among the best.
+        for a in range(len(u)):
+            last = sorted((x for r, _, x in first if r == a), reverse=True)[n - 1]
+            assert all(u[a] @ v[b] < last for b in of if of[b] > max(head, deepest.get(a, head)))
+
+
+def test_lengths_without_a_number_come_first(spark):
+    vectors = spark.createDataFrame(
+        [(0, [3.0, 4.0]), (1, None), (2, [1.0, None]), (3, [float("nan")]), (4, [0.0]), (5, []), (6, [float("inf")])], VEC
+    )
+    length = R.vector_length(R.F.col("features"))
+    got = {r.id: (r.length, r.band) for r in vectors.select("id", length.alias("length"), R.length_band(length).alias("band")).collect()}
+    worst = (float("inf"), -R.LAST_BAND)
+    assert got == {0: (5.0, -10), 1: (0.0, 200), 2: worst, 3: worst, 4: (0.0, 200), 5: (0.0, 200), 6: worst}
+
+
 def test_given_items_replace_the_history(spark):
     u, v, prefs, uf, vf, p, cands = world(spark)
     asked = spark.createDataFrame([(0, "all")], "user_id long, label string")
