@@ -257,6 +257,31 @@ def merge_into_centroids(centroids: DataFrame, vectors: DataFrame, assignment: D
     )
 
 
+def move_between_centroids(
+    centroids: DataFrame, old: DataFrame, left: DataFrame, new: DataFrame, joined: DataFrame
+) -> DataFrame:
+    """Means after some items changed: their `old` vectors leave the centroids of `left`, their `new` ones go to those of `joined`.
+
+    Vectors are (item_id, dim, value), `left` and `joined` (item_id, centroid_id); an item without an entry in `left` is new.
+    Only sums by (centroid, dim) of the changed items are added, with their sign. Centroids that no item is left in go.
+    """
+    def sums(vectors: DataFrame, of: DataFrame, sign: int) -> DataFrame:
+        return vectors.join(of, "item_id").select("centroid_id", "dim", (F.lit(float(sign)) * F.col("value")).alias("total"))
+
+    def counts(of: DataFrame, sign: int) -> DataFrame:
+        return of.select("centroid_id", F.lit(float(sign)).alias("weight"))
+
+    held = centroids.select("centroid_id", "dim", (F.col("weight") * F.col("value")).alias("total"))
+    totals = held.unionByName(sums(old, left, -1)).unionByName(sums(new, joined, 1)).groupBy("centroid_id", "dim").agg(F.sum("total").alias("total"))
+    weights = (
+        centroids.select("centroid_id", "weight").distinct().unionByName(counts(left, -1)).unionByName(counts(joined, 1))
+        .groupBy("centroid_id").agg(F.sum("weight").alias("weight")).where(F.col("weight") > 0)
+    )
+    # Vectors are binary, so totals are whole numbers; a product of mean and weight is one but for its last bits.
+    whole = totals.withColumn("total", F.round("total", 6)).where(F.col("total") != 0)
+    return whole.join(weights, "centroid_id").select("centroid_id", "weight", "dim", (F.col("total") / F.col("weight")).alias("value"))
+
+
 # -- use ----------------------------------------------------------------------------
 
 

@@ -236,6 +236,47 @@ def stream_kmeans(spark, d):
     return K.cluster_stats(W.load_clusters(spark, root)[0])
 
 
+@query(
+    "stream_kmeans_facts",
+    with_views(
+        "prefs_e",
+        """, early AS (SELECT * FROM prefs_e WHERE (user_id + item_id) % 3 <> 0 AND item_id % 5 <> 0),
+space AS (SELECT user_id FROM early GROUP BY 1 HAVING count(*) > 5)
+SELECT count(*) AS items, CAST(count(*) AS DOUBLE) AS weight, 0 AS away, 0 AS off FROM
+(SELECT DISTINCT item_id FROM prefs_e WHERE user_id IN (SELECT user_id FROM space)) t""",
+    ),
+)
+def stream_kmeans_facts(spark, d):
+    """A fit, then a batch with ratings of known and of new items: weights add up to the items, the batch's items are at the
+    centroid that was nearest (`away`), and the means are those of the items as a full count gives them (`off`)."""
+    prefs = materialize(V.prefs_e(spark, d).select("user_id", "item_id"), "prefs")
+    is_early = (F.pmod(F.col("user_id") + F.col("item_id"), F.lit(3)) != 0) & (F.col("item_id") % 5 != 0)
+    path, log, root, ckpt = (scratch_path(spark, n) for n in ("prefs", "log", "clusters", "ckpt"))
+    seen = []
+    for rows in (prefs.where(is_early), prefs.where(~is_early)):
+        rows.coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(rows.schema).parquet(path)
+        finish(W.stream_kmeans(stream, log, root, ckpt, k=8, available_now=True))
+        seen.append(W.load_clusters(spark, root))
+    (before, _), (centroids, items) = seen
+    space = K.heavy_users(prefs.where(is_early), 5)
+    vectors = materialize(K.new_item_vectors(prefs, space), "vectors")
+    touched = K.new_item_vectors(prefs.where(~is_early), space).select("item_id").distinct()
+    near = K.nearest_centroid(vectors.join(touched, "item_id", "left_semi"), before).select("item_id", F.col("centroid_id").alias("near"))
+    away = near.join(items, "item_id", "left").where(~F.col("near").eqNullSafe(F.col("centroid_id")))
+    counted = K.centroids_of(vectors, items).select("centroid_id", "dim", F.col("weight").alias("w"), F.col("value").alias("v"))
+    off = centroids.join(counted, ["centroid_id", "dim"], "full").where(
+        F.col("w").isNull() | F.col("weight").isNull() | (F.abs(F.col("v") - F.col("value")) > 1e-9) | (F.col("w") != F.col("weight"))
+    )
+    weights = centroids.select("centroid_id", "weight").distinct()
+    return items.agg(F.count("*").alias("items")).select(
+        "items",
+        weights.agg(F.sum("weight")).scalar().alias("weight"),
+        away.agg(F.count("*").cast("int")).scalar().alias("away"),
+        off.agg(F.count("*").cast("int")).scalar().alias("off"),
+    )
+
+
 # -- files ---------------------------------------------------------------------------------
 
 

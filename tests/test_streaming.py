@@ -315,3 +315,52 @@ def test_clusters_follow_the_stream(spark, feed, tmp_path):
     assert sorted(sum(map(sorted, groups.values()), [])) == list(range(14))
     assert all(len({i % 2 for i in g}) == 1 for g in groups.values())
     assert centroids.select("centroid_id", "weight").distinct().agg(F.sum("weight")).first()[0] == 14
+
+
+def test_clusters_read_only_the_buckets_of_a_batch(spark, feed, tmp_path):
+    """A known item with new ratings changes its cluster, means stay those of the items, other buckets' files stay shut."""
+    fit = [(100 * (i % 2) + u, i) for i in range(40) for u in range(6)]
+    later = [(100, 0), *((100 + u, 0) for u in range(1, 6)), *((100 + u, 0) for u in range(6)), (3, None), (None, 4), (0, 2)]
+    later += [(u, 50) for u in range(6)]
+    root, log = str(tmp_path / "model"), str(tmp_path / "log")
+    stream = feed("user_id long, item_id long", [fit, later])
+    finish(W.stream_kmeans(stream, log, root, str(tmp_path / "ck"), k=2, cutoff=5.0, min_ratings=2, available_now=True, buckets=16))
+    centroids, items = W.load_clusters(spark, root)
+    of = {r.item_id: r.centroid_id for r in items.collect()}
+    assert sorted(of) == [*range(40), 50] and of[50] == of[2] != of[1]
+    held = {(r.centroid_id, r.dim): (r.weight, r.value) for r in centroids.collect()}
+    rated = {(u, i) for u, i in fit + later if u is not None and i is not None}
+    for c in set(of.values()):
+        mine = [i for i in of if of[i] == c]
+        for u in {u for u, i in rated if of[i] == c}:
+            weight, value = held.pop((c, u))
+            assert weight == len(mine) and value == pytest.approx(sum((u, i) in rated for i in mine) / weight)
+    assert not held
+    version = W.current(spark, root)[0]
+    state = spark.read.schema(W.FIT).parquet(W.version_path(root, version, "fit")).first()
+    assert state.batch_id == 1 and state.fit_batch == 0
+    of_batch = spark.read.schema(W.PAIR).parquet(log).where("batch_id = 1")
+    met = sorted({r.bucket for r in of_batch.collect()})
+    assert 0 < len(met) <= 3
+    # What lies in other buckets may be unreadable: it is not opened.
+    whole = {tuple(r) for r in W.known_pairs(spark, log, root, state, 0).collect()}
+    spoilt = [f for f in tmp_path.rglob("*.parquet") if "bucket=" in str(f) and int(str(f).split("bucket=")[1].split("/")[0]) not in met]
+    assert len(spoilt) > len(met)
+    for f in spoilt:
+        f.write_bytes(b"spoilt")
+    found = {tuple(r) for r in W.known_pairs(spark, log, root, state, 0, met).collect()}
+    assert found < whole and {(u, i) for u, i in whole if i in (0, 2)} <= found
+    with pytest.raises(Exception):
+        W.known_pairs(spark, log, root, state, 0).collect()
+
+
+def test_a_new_fit_folds_the_log(spark, feed, tmp_path):
+    batches = [[(u, 10 * b + i) for u in range(4) for i in range(3)] for b in range(4)]
+    root, log = str(tmp_path / "model"), tmp_path / "log"
+    stream = feed("user_id long, item_id long", batches)
+    finish(W.stream_kmeans(stream, str(log), root, str(tmp_path / "ck"), k=3, min_ratings=2, refit_seconds=1e-6, available_now=True, buckets=4))
+    assert sorted(p.name for p in log.iterdir() if p.name.startswith("batch_id")) == ["batch_id=3"]
+    assert len(W.folders(spark, f"{root}/fits")) == 2
+    centroids, items = W.load_clusters(spark, root)
+    assert sorted(r.item_id for r in items.collect()) == sorted(10 * b + i for b in range(4) for i in range(3))
+    assert centroids.select("centroid_id", "weight").distinct().agg({"weight": "sum"}).first()[0] == 12
