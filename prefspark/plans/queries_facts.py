@@ -145,6 +145,31 @@ def grid_search_als_facts(spark, d):
     return out.groupBy("label", "iterations").agg(F.count("*").alias("rows"))
 
 
+@query(
+    "halving_search_als_facts",
+    with_views(
+        "cands_e",
+        """SELECT label, CAST(iterations AS INTEGER) AS iterations, points, spent, CAST(24 AS BIGINT) AS in_all, true AS kept_best FROM (SELECT DISTINCT label FROM cands_e) l,
+(VALUES (1, CAST(4 AS BIGINT), CAST(12 AS BIGINT)), (2, CAST(2 AS BIGINT), CAST(12 AS BIGINT))) t(iterations, points, spent)""",
+    ),
+)
+def halving_search_als_facts(spark, d):
+    """Every label's grid by two rungs: points and iterations of each, and that the better half went on."""
+    prefs, cands = materialize(V.prefs_e(spark, d), "prefs"), materialize(V.cands_e(spark, d), "cands")
+    out = None
+    for (label,) in cands.select("label").distinct().orderBy("label").collect():
+        found = T.halving_search_als(prefs, cands, label, [2, 4], [0.05, 0.5], [40.0], [1, 2], parallelism=6)
+        out = found if out is None else out.unionByName(found)
+    out = materialize(out, "rungs")
+    point = F.struct("error", "features", "lambda", "alpha")
+    first = out.where("iterations = 1").groupBy("label").agg(F.slice(F.sort_array(F.collect_list(point)), 1, 2).alias("better"))
+    held = F.exists("better", lambda b: (b["features"] == F.col("features")) & (b["lambda"] == F.col("lambda")) & (b["alpha"] == F.col("alpha")))
+    each = out.join(first, "label").groupBy("label", "iterations").agg(
+        F.count("*").alias("points"), F.sum("spent").alias("spent"), F.bool_and((F.col("iterations") == 1) | held).alias("kept_best")
+    )
+    return each.join(T.best_of_halving(out).select("label", F.col("spent").alias("in_all")), "label")
+
+
 @query(
     "append_tuning_results",
     """SELECT p_type AS label, CAST(count(*) % 5 AS INTEGER) + 2 AS features, 0.01::DOUBLE AS "lambda", 40.0::DOUBLE AS alpha FROM part GROUP BY 1""",

@@ -437,7 +437,7 @@ def delete_articles_candidates(spark, d):
     with_views(
         "prefs_o",
         """, n AS (SELECT CAST(floor(count(*) * 0.3) AS BIGINT) AS bin FROM prefs_o),
-r AS (SELECT p.*, row_number() OVER (ORDER BY md5(concat_ws(':', '378934', CAST(user_id AS VARCHAR),
+r AS (SELECT p.*, row_number() OVER (ORDER BY md5(concat_ws(':', '20260', CAST(user_id AS VARCHAR),
   CAST(item_id AS VARCHAR)))) - 1 AS pos FROM prefs_o p)
 SELECT user_id, item_id, preference, CAST(f AS INTEGER) AS fold, pos >= bin * f AND pos < bin * (f + 1) AS is_test
 FROM r, n, (VALUES (0), (1), (2)) AS folds(f)""",

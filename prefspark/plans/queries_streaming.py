@@ -358,7 +358,11 @@ def save_factors(spark, d):
     )
 
 
-@query("save_topic_model", "SELECT vec_id AS item_id, len(embedding) AS topics FROM embeddings")
+@query(
+    "save_topic_model",
+    """SELECT vec_id AS item_id, len(embedding) AS topics, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[-1] AS DOUBLE) AS last,
+round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings""",
+)
 def save_topic_model(spark, d):
     """A second training comes between: rows inferred under the first are discarded."""
     root = scratch_path(spark, "topics")
@@ -367,4 +371,10 @@ def save_topic_model(spark, d):
     models.save_topic_model(topics, root)
     models.save_topic_model(topics.withColumn("topics", F.slice("topics", 1, 3)), root, expected_key=first)
     saved, _ = models.load_topic_model(spark, root)
-    return saved.select("item_id", F.size("topics").cast("long").alias("topics"))
+    return saved.select(
+        "item_id",
+        F.size("topics").cast("long").alias("topics"),
+        F.get("topics", F.lit(0)).alias("first"),
+        F.get("topics", F.size("topics") - 1).alias("last"),
+        F.round(F.aggregate("topics", F.lit(0.0), lambda total, x: total + x), 6).alias("total"),
+    )

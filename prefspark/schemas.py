@@ -77,4 +77,6 @@ TUNING_RESULTS = T.StructType(
     ]
 )
 
+HALVING_RESULTS = T.StructType([*TUNING_RESULTS.fields, T.StructField("spent", T.LongType())])
+
 DEFAULT_HOW_MANY = 10

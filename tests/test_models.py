@@ -25,7 +25,7 @@ def block_prefs(spark, users=24, items=16):
 @pytest.mark.parametrize("n,sizes", [(10, [3, 3, 3]), (1, [0, 0, 0]), (1000, [300, 300, 300])])
 def test_folds_are_exact_and_disjoint(spark, n, sizes):
     prefs = spark.createDataFrame([(a, a * 3, 1.0) for a in range(n)], PREFS)
-    order = sorted(range(n), key=lambda a: hashlib.md5(f"378934:{a}:{a * 3}".encode()).hexdigest())
+    order = sorted(range(n), key=lambda a: hashlib.md5(f"20260:{a}:{a * 3}".encode()).hexdigest())
     bin_size = n * 3 // 10
     tested = set()
     for fold in range(3):
@@ -137,6 +137,33 @@ def test_grid_search_rows(spark, tmp_path):
     assert best[0].error == results.where("iterations = -1").agg(F.min("error")).first()[0]
 
 
+def test_halving_keeps_the_better_half(spark):
+    """Every rung keeps the better half of the one before; who gets to the last has the error the full grid gives it."""
+    prefs = block_prefs(spark)
+    cands = [("all", i) for i in range(16)] + [("half", i) for i in range(0, 16, 2)]
+    cands = spark.createDataFrame(cands, "label string, item_id long")
+    grid = {"features": [2], "lambdas": [0.01, 0.1, 1.0, 30.0], "alphas": [40.0]}
+    for label in ("all", "half"):
+        found = T.halving_search_als(prefs, cands, label, **grid, rungs=[1, 3], parallelism=3)
+        rungs = {}
+        for r in found.collect():
+            rungs.setdefault(r.iterations, {})[r["lambda"]] = r.error
+            assert r.label == label and r.spent == 3 * r.iterations
+        assert sorted(rungs) == [1, 3] and len(rungs[1]) == 4 and len(rungs[3]) == 2
+        assert set(rungs[3]) == set(sorted(rungs[1], key=lambda x: (rungs[1][x], x))[:2])
+        full = T.grid_search_als(prefs, cands, label, **grid, iterations=[3], parallelism=3, curve=False)
+        assert full.where("iterations <> -1").count() == 12
+        errors = {r["lambda"]: r.error for r in full.where("iterations = -1").collect()}
+        assert all(rungs[3][x] == pytest.approx(errors[x]) for x in rungs[3])
+        mine = T.best_of_halving(found).first()
+        assert mine["lambda"] == min(rungs[3], key=lambda x: (rungs[3][x], x)) and mine.error == rungs[3][mine["lambda"]]
+        # The point that cannot win is gone early, and the winner is no worse than the grid's median.
+        assert 30.0 not in rungs[3] and mine.error <= sorted(errors.values())[1]
+        assert mine.spent == 4 * 3 + 2 * 9 < 4 * 9
+    with pytest.raises(ValueError):
+        T.halving_search_als(prefs, cands, "all", **grid, rungs=[3, 1])
+
+
 # -- topics ------------------------------------------------------------------------------------
 
 
