@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from prefspark.operators import preferences as P, text as X, topics as L
 from prefspark.sources import models, sinks
 from prefspark.plans.publish import expire, folders, new_version, publish, save, version_path
+from prefspark.plans.training import train
 from prefspark.streaming import content as W, deltas as D, preferences as SP
 
 LOG = "user_id long, item_id long, preference float, ingest_seq long"
@@ -364,3 +365,18 @@ def test_a_new_fit_folds_the_log(spark, feed, tmp_path):
     centroids, items = W.load_clusters(spark, root)
     assert sorted(r.item_id for r in items.collect()) == sorted(10 * b + i for b in range(4) for i in range(3))
     assert centroids.select("centroid_id", "weight").distinct().agg({"weight": "sum"}).first()[0] == 12
+
+
+def test_clusters_trained_by_kind_are_loaded_and_followed(spark, feed, tmp_path):
+    """`train` publishes centroids and items with their label and no fit of a stream; a stream begins with its own."""
+    rows = [(100 * (i % 2) + u, i, 1.0) for i in range(10) for u in range(6)]
+    prefs = spark.createDataFrame(rows, "user_id long, item_id long, preference float")
+    cands = spark.createDataFrame([("a", i) for i in range(10)] + [("b", i) for i in range(4)], "label string, item_id long")
+    root = str(tmp_path / "model")
+    train("clusters", root, prefs, cands, min_ratings=1, k=2, cutoff=5.0)
+    centroids, items = W.load_clusters(spark, root)
+    assert sorted((r.label, r.item_id) for r in items.collect()) == [("a", i) for i in range(10)] + [("b", i) for i in range(4)]
+    assert {r.label: r.w for r in centroids.select("label", "centroid_id", "weight").distinct().groupBy("label").agg(F.sum("weight").alias("w")).collect()} == {"a": 10, "b": 4}
+    stream = feed("user_id long, item_id long", [[row[:2] for row in rows]])
+    finish(W.stream_kmeans(stream, str(tmp_path / "log"), root, str(tmp_path / "ck"), k=2, cutoff=5.0, min_ratings=1, available_now=True))
+    assert sorted(r.item_id for r in W.load_clusters(spark, root)[1].collect()) == list(range(10))
