@@ -2,6 +2,7 @@ import datetime as dt
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +180,36 @@ def test_sketches_of_slots_merge_to_the_whole(spark):
         check_close(found, exact)
     assert {r.label for r in H.estimated_gate(slots).collect()} == {r.label for r in training_gate(prefs, cands).collect()} == {"a", "b"}
     assert H.estimated_counts(H.distinct_sketches(prefs.where("false"), cands)).isEmpty()
+
+
+@pytest.mark.parametrize("mode", ["last", "max"])
+def test_a_bucket_is_asked_once_for_all_its_keys(mode):
+    """A thousand keys of one bucket cost one read and one write of the state; what changes is what a dict would say."""
+
+    class Handle:
+        calls, held = 0, None
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            Handle.calls += 1
+            return Handle.held
+
+        def update(self, value):
+            Handle.calls += 1
+            Handle.held = value
+
+    processor, want, rng = ST.KeepWinner(mode, False), {}, random.Random(5)
+    processor.init(Handle())
+    for n in range(3):
+        batch = [(rng.choice([None, *range(40)]), rng.randrange(25), float(rng.randint(1, 9)), 10_000 * n + k, 0) for k in range(1500)]
+        frame = pd.DataFrame(batch, columns=["user_id", "item_id", "preference", "ingest_seq", "expires"])
+        before = dict(want)
+        for u, i, x, _, _ in batch:
+            want[u, i] = max(want.get((u, i), 0), x) if mode == "max" else x
+        Handle.calls = 0
+        found = pd.concat(processor.handleInputRows((0,), iter([frame[:700], frame[700:]]), None))
+        assert Handle.calls == 2
+        got = {tuple(None if pd.isna(v) else v for v in r[:2]): tuple(None if pd.isna(v) else v for v in r[2:]) for r in found.itertuples(index=False)}
+        assert len(got) == len(found) and got == {k: (before.get(k), x) for k, x in want.items() if before.get(k) != x}
