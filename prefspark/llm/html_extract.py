@@ -228,7 +228,7 @@ def _nearness(a: str, b: str) -> int:
     return n
 
 
-_HASHED = "page_id bigint, page_key bigint, host string, path string, differs boolean, lines array<bigint>"
+_HASHED = "page_id bigint, page_key bigint, host string, path string, lines array<bigint>"
 
 
 def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,8 +237,8 @@ def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page, key, url, source in zip(*(c.to_pylist() for c in batch.columns)):
             lines = page_lines(source)
             hashes = [xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63) for _, text in lines]
-            rows.append((page, key, *url_place(url), not any(zone == ARTICLE for zone, _ in lines), hashes))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int64())]
+            rows.append((page, key, *url_place(url), hashes))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
         names = [c.split()[0] for c in _HASHED.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
@@ -261,7 +261,7 @@ def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def template_lines(pages: DataFrame) -> DataFrame:
-    """(page_id, page_key, places): lines that pages without an article element share with their neighbour.
+    """(page_id, page_key, places): lines that pages share with their neighbour.
 
     Pages of a host with the same lines are copies, which tell nothing about each other's template: they are
     one body, in the place of the first of them. Bodies are put in the order of host and path by ranges, so
@@ -272,10 +272,10 @@ def template_lines(pages: DataFrame) -> DataFrame:
     hashed = materialize(pages.mapInArrow(_hashed, _HASHED).withColumn("body", F.xxhash64("lines")), "html-lines")
     order = ["host", "path", "page_id", "page_key"]
     bodies = hashed.groupBy("host", "body").agg(
-        F.min(F.struct("path", "page_id", "page_key")).alias("place"), F.max("differs").alias("differs"), F.first("lines").alias("lines")
+        F.min(F.struct("path", "page_id", "page_key")).alias("place"), F.first("lines").alias("lines")
     )
     ranged = materialize(
-        bodies.select("host", "place.*", "body", "differs", "lines").repartitionByRange(*order).withColumn("part", F.spark_partition_id()),
+        bodies.select("host", "place.*", "body", "lines").repartitionByRange(*order).withColumn("part", F.spark_partition_id()),
         "html-bodies",
     )
     body = F.struct(*order, "lines")
@@ -287,8 +287,7 @@ def template_lines(pages: DataFrame) -> DataFrame:
     inside = W.partitionBy("part").orderBy(*order)
     paired = ranged.withColumn("before", F.lag(body).over(inside)).withColumn("after", F.lead(body).over(inside))
     shared = (
-        paired.where("differs")
-        .join(across, "part")
+        paired.join(across, "part")
         .select(
             "host", "path", "body", "lines",
             F.coalesce("before", "last_before").alias("before"), F.coalesce("after", "first_after").alias("after"),
@@ -297,8 +296,7 @@ def template_lines(pages: DataFrame) -> DataFrame:
         .where(F.size("places") > 0)
     )
     return (
-        hashed.where("differs")
-        .join(shared, (F.col("host") == F.col("at_host")) & (F.col("body") == F.col("at_body")))
+        hashed.join(shared, (F.col("host") == F.col("at_host")) & (F.col("body") == F.col("at_body")))
         .groupBy("page_id", "page_key")
         .agg(F.min("places").alias("places"))
     )
@@ -310,10 +308,10 @@ def main_text(source: str | None, template: list[int] | None) -> str:
     The innermost kind of container that the page has decides: article elements, else main elements, else
     elements named as content, else the body. Lines of the template go, but not from article elements.
     """
-    lines = page_lines(source)
+    lines, gone = page_lines(source), set(template or ())
     best = max((zone for zone, _ in lines), default=OPEN)
-    gone = set(template or ()) if best != ARTICLE else ()
-    return "\n".join(text for i, (zone, text) in enumerate(lines) if zone == best and i not in gone)
+    left = [(zone, text) for i, (zone, text) in enumerate(lines) if zone == ARTICLE or i not in gone]
+    return "\n".join(text for zone, text in left if zone == best)
 
 
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,10 +327,10 @@ def extract_pages(pages: DataFrame, id_column: str = "page_id", url_column: str
     """(page_id, url, text, n_chars) for every row of `pages`.
 
     Markup says what can be told from one page: menus, headers, footers, sidebars, notices, adverts, forms,
-    scripts and comments go by element, role, class and id. What is left of a page without an article element
-    is differenced against the page with the nearest URL path on its host: lines are aligned by longest
-    common subsequence and shared ones are deleted; copies count as one page. Lines inside article elements
-    are never deleted for being shared: passages that articles repeat are main text.
+    scripts and comments go by element, role, class and id. What is left of every page is
+    differenced against the page with the nearest URL path on its host: lines are aligned by longest
+    common subsequence and shared ones are deleted; copies count as one page. A check follows: lines
+    inside article elements come back, since passages that articles repeat are main text.
 
     Null html has empty text; pages without URL share the empty host; repeated rows get the same text; an
     empty table gives no rows; other columns are not read.

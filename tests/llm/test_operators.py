@@ -607,3 +607,13 @@ def test_pipeline_against_plain_python(spark, tmp_path):
                 assert start == place and zlib.crc32(np.array(tokens[doc][start : start + length], "<u4").tobytes()) == crc
                 place += length
             assert place == len(tokens[doc])
+
+
+def test_pages_with_an_article_are_differenced_too(spark):
+    """Lines that neighbours share are found on every page; those inside articles come back, the others don't."""
+    page = "<body><p>Shared top</p><article><p>Own {0}</p><p>Passage of all</p></article><p>Only here {0}</p></body>"
+    rows = [(n, f"https://h.org/a/{n}", page.format(n)) for n in range(3)]
+    pages = spark.createDataFrame([(*r[:1], r[0] + 7, *r[1:]) for r in rows], "page_id long, page_key long, url string, html string")
+    assert {r.page_id: r.places for r in html_extract.template_lines(pages).collect()} == {n: [0, 2] for n in range(3)}
+    texts = {r.page_id: r.text for r in html_extract.extract_pages(pages.drop("page_key")).collect()}
+    assert texts == {n: f"Own {n}\nPassage of all" for n in range(3)}
