@@ -164,6 +164,18 @@ def test_halving_keeps_the_better_half(spark):
         T.halving_search_als(prefs, cands, "all", **grid, rungs=[3, 1])
 
 
+def test_folds_are_numbered_once_for_all_fits(spark, monkeypatch):
+    """Ids are numbered once per fold, whatever the number of fits, and errors are those of a fit on the plain tables."""
+    numbered, plain = [], M.indexes
+    monkeypatch.setattr(T, "indexes", lambda *a: numbered.append(1) or plain(*a))
+    prefs, cands = block_prefs(spark), spark.createDataFrame([("all", i) for i in range(16)], "label string, item_id long")
+    found = T.grid_search_als(prefs, cands, "all", [2], [0.05, 0.5], [40.0], [1], parallelism=2, curve=False)
+    assert len(numbered) == S.FOLDS
+    for r in found.where("iterations = -1").collect():
+        alone = [T.absolute_error(test, *M.train_als_implicit(train, 2, r["lambda"], 1)).first().error for train, test in (S.kfold_split(prefs, f) for f in range(S.FOLDS))]
+        assert r.error == pytest.approx(sum(alone), rel=1e-3)
+
+
 # -- topics ------------------------------------------------------------------------------------
 
 
