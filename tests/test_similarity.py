@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefspark.functions.columns import MEASURES, register_measure
-from prefspark.operators import itembased as I, similarity as S
+from prefspark.operators import itembased as I, pair_sums as Q, similarity as S
 from prefspark.operators.topk import top_n
 
 PREFS = "user_id long, item_id long, preference float"
@@ -86,6 +86,32 @@ def test_labels_are_kept_apart(spark):
         assert sorted(map(tuple, mine.collect())) == sorted(map(tuple, alone.collect()))
 
 
+@pytest.mark.parametrize("held,buckets", [(1_000_000, 4096), (40, 3), (7, 1)])
+def test_packed_sums_are_grouped_sums(spark, rows, monkeypatch, held, buckets):
+    """Whatever a task holds and however full a bucket is; null keys are keys, null figures are left out."""
+    monkeypatch.setattr(Q, "HELD", held)
+    monkeypatch.setattr(Q, "OUT", 16)
+    rng = random.Random(4)
+    some = lambda x: None if rng.random() < 0.1 else x
+    data = [(some(rng.choice("ab")), some(rng.randrange(9)), some(rng.randrange(9)), rng.choice((1, -1)), some(float(rng.randrange(5))), some(rng.randrange(5))) for _ in range(600)]
+    df = spark.createDataFrame(data, "label string, i long, j long, both long, sxy double, n_i long")
+    want = df.groupBy("label", "i", "j").agg(F.sum("both").alias("both"), F.sum("sxy").alias("sxy"), F.max("n_i").alias("n_i"))
+    got = Q.pair_sums(df, ["label", "i", "j"], ["n_i"], buckets)
+    assert rows(got) == rows(want) and got.dtypes == want.dtypes
+    assert Q.pair_sums(df.where("false"), ["label", "i", "j"], ["n_i"]).isEmpty()
+
+
+def test_pairs_are_packed_before_they_are_shuffled(spark):
+    """A pair that occurs once costs a few bytes of the shuffle."""
+    data = [(u, i, float((u * i) % 5)) for u in range(40) for i in range(u * 50, u * 50 + 50)]
+    plan = S.pair_statistics(spark.createDataFrame(data, PREFS))._jdf.queryExecution().toString()
+    assert "hashpartitioning(bucket" in plan and "hashpartitioning(i" not in plan
+    frame = spark.createDataFrame([(i, i + 1, 1, 1.0, 1.0) for i in range(40_000)], "i long, j long, both long, sx double, sy double")
+    schema = Q.to_arrow_schema(frame.schema)
+    packed = frame.coalesce(1).mapInArrow(lambda b: Q._packed(b, schema, ["i", "j"], [], 16), Q._ROW)
+    assert packed.agg(F.sum(F.length("packed"))).first()[0] < 40_000 * 12
+
+
 def test_log_likelihood_by_hand(spark):
     # users 1..4; item 1: {1,2,3}, item 2: {1,2}, item 3: {4}
     data = [(1, 1, 1.0), (2, 1, 1.0), (3, 1, 1.0), (1, 2, 1.0), (2, 2, 1.0), (4, 3, 1.0)]
@@ -235,3 +261,15 @@ def test_recommendations_by_brute_force(spark, monkeypatch, heavy_history, list_
     assert {(r.request_id, r.item_id): round(r.value, 9) for r in means.collect()} == {
         k: round(sum(s for s, _ in v) / len(v), 9) for k, v in votes.items()
     }
+
+
+def test_neighbours_travel_as_arrays_of_ids(spark, rows):
+    """Users' lists are shuffled as ids alone; a neighbour without similarity counts as owned, null ids are ids."""
+    prefs = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 3), (3, None), (4, 9)], "user_id long, item_id long")
+    sims = spark.createDataFrame(
+        [(1, 2, 0.5), (1, 5, 0.5), (2, 5, 0.1), (2, 6, None), (3, None, 0.3), (3, 4, float("nan"))], "item_id long, similar_item_id long, similarity double"
+    )
+    for heavy in (4096, 1):
+        found = I.similar_candidates(None, prefs, sims, heavy)
+        assert rows(found) == sorted([(1, 5), (2, 4), (2, None)], key=repr)
+    assert "array_except" in found._jdf.queryExecution().toString()
