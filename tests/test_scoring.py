@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from prefspark.operators import scoring as R
+from prefspark.operators import scoring as R, topics as T
 from prefspark.operators.dispatch import recommend, route
 from prefspark.operators.topics import recommend_topics
 
@@ -186,6 +186,56 @@ def test_topic_recommendations(spark):
     assert got == {1: [(2, 0.74), (3, 0.18), (4, 0.0)], 2: [(3, 0.18), (4, 0.0)]}
 
 
+@pytest.mark.parametrize("long_list", [64, 3])
+def test_requests_share_the_scores_of_their_first_item(spark, monkeypatch, long_list):
+    """Many requests with few first items are scored per first item; lists over the limit on their own."""
+    monkeypatch.setattr(T, "LONG_LIST", long_list)
+    rng, pick = np.random.default_rng(5), random.Random(5)
+    v = {n: rng.normal(size=3) for n in range(12)}
+    topics = spark.createDataFrame([(n, list(map(float, x))) for n, x in v.items()], "item_id long, topics array<double>")
+    pool = {"a": range(0, 40), "b": range(6, 90, 2)}
+    cands = spark.createDataFrame([(label, i) for label, ids in pool.items() for i in ids], "label string, item_id long")
+    given = {n: ("ab"[n % 2], [pick.randrange(4), *pick.sample(range(4, 20), n % 6)]) for n in range(60)}
+    seeds = [(n, label, at, i) for n, (label, items) in given.items() for at, i in enumerate(items)]
+    sizes = []
+    monkeypatch.setattr(T, "top_unseen", lambda requests, *a, **k: sizes.append(requests.count()) or R.top_unseen(requests, *a, **k))
+    got = {}
+    frame = spark.createDataFrame(seeds, "request_id long, label string, position int, item_id long")
+    for r in sorted(T.recommend_topics(frame, topics, cands, 5, digits=6).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.request_id, []).append((r["rank"], r.item_id, r.value))
+    for n, (label, items) in given.items():
+        score = {i: round(float(v[items[0]] @ v[i]), 6) if i in v else 0.0 for i in pool[label] if i not in items}
+        best = sorted(score, key=lambda i: (-score[i], i))[:5]
+        assert [(k, i) for k, i, _ in got[n]] == [*enumerate(best, 1)]
+        assert np.allclose([x for _, _, x in got[n]], [score[i] for i in best], atol=1e-9)
+    assert sizes[0] <= 8 and len(sizes) == (1 if long_list == 64 else 2)
+
+
+def test_vectors_are_sent_to_few_large_cells(spark, monkeypatch):
+    """Work for all tasks is all that chunks and blocks are cut for; lists are those of small cells."""
+    u, v, prefs, uf, vf, p, cands = world(spark)
+    asked = spark.createDataFrame([(a, "all") for a in range(30)], "user_id long, label string")
+    met = spark.sparkContext.accumulator(0)
+    make = R._best_of_block
+
+    def counting(*args):
+        best = make(*args)
+
+        def run(key, left, block):
+            met.add(int(left["seen_item"].isna().sum()))
+            return best(key, left, block)
+
+        return run
+
+    monkeypatch.setattr(R, "_best_of_block", counting)
+    monkeypatch.setattr(R, "CHUNK_REQUESTS", 4)
+    monkeypatch.setattr(R, "TILE_SCORES", 64)
+    got = R.recommend_mf(asked, p, uf, vf, cands, 5, digits=6).collect()
+    assert met.value == 30
+    small = R.recommend_mf(asked, p, uf, vf, cands, 5, digits=6, chunk_requests=3, block_candidates=7).collect()
+    assert sorted(got) == sorted(small) and met.value > 60
+
+
 REQ = "request_id long, user_id long, item_ids array<long>, label string, how_many int"
 
 
