@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Iterable, Iterator
@@ -63,6 +64,25 @@ def process_cache(name: str, make):
     return getattr(holder, name)
 
 
+def lean(function):
+    """`function` over a task's batches; when the task ends, memory that is free goes back to the system.
+
+    A Python worker lives on between tasks and stages, and so would all that its allocators keep, beside stages that
+    need no Python at all.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:  # glibc's
+                trim(0)
+
+    return run
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose `column` holds about `limit` bytes at most (one row at least)."""
     for batch in batches:

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from prefspark.llm.common import lean
 from prefspark.plans.session import materialize
 
 
@@ -60,7 +61,7 @@ def connected_components(edges: DataFrame, rounds: int = 50, held_edges: int = 5
     shared folder. Rounds go on until all components are stars; more than `rounds` is an error.
     """
     ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    now = materialize(ordered.mapInArrow(lambda batches: _contracted(batches, held_edges), "a bigint, b bigint").distinct(), "edges")
+    now = materialize(ordered.mapInArrow(lean(lambda batches: _contracted(batches, held_edges)), "a bigint, b bigint").distinct(), "edges")
     for _ in range(rounds):
         if _settled(now):
             named = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -78,5 +79,5 @@ def connected_components(edges: DataFrame, rounds: int = 50, held_edges: int = 5
         lowest = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "of")
         hung = large.join(lowest, F.col("a") == F.col("of"))
         small = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(hung.select("a", F.col("m").alias("b"))).where("a <> b")
-        now = materialize(small.mapInArrow(lambda batches: _contracted(batches, held_edges), "a bigint, b bigint").distinct(), "edges")
+        now = materialize(small.mapInArrow(lean(lambda batches: _contracted(batches, held_edges)), "a bigint, b bigint").distinct(), "edges")
     raise RuntimeError(f"components did not settle in {rounds} rounds")

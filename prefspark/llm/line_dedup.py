@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from prefspark.llm.common import BLANK, fresh, runs, slices
+from prefspark.llm.common import BLANK, fresh, lean, runs, slices
 from prefspark.plans.session import materialize
 
 _U = np.uint64
@@ -156,7 +156,7 @@ def shared_lines(docs: DataFrame, id_column: str, text_column: str, min_chars: i
     """(doc, h1, h2, n_docs): the line keys each document loses."""
     keys = materialize(
         docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_column).alias("text"))
-        .mapInArrow(lambda batches: _keys_of(batches, min_chars), "h1 bigint, h2 bigint, doc bigint"),
+        .mapInArrow(lean(lambda batches: _keys_of(batches, min_chars)), "h1 bigint, h2 bigint, doc bigint"),
         "line-keys",
     )
     counted = materialize(keys.distinct().groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper")), "line-counts")
@@ -164,7 +164,7 @@ def shared_lines(docs: DataFrame, id_column: str, text_column: str, min_chars: i
     salts = max(1, -(-keys.count() // (n_shards * requests_per_cell)))
     shard = F.pmod("h1", F.lit(n_shards)).cast("int").alias("shard")
     index = materialize(
-        counted.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard").mapInArrow(_build, _SHARD), "line-index"
+        counted.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard").mapInArrow(lean(_build), _SHARD), "line-index"
     )
     nothing = {c: F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in _SHARD.split(", ")[1:])}
     arrays = index.select(
@@ -178,7 +178,7 @@ def shared_lines(docs: DataFrame, id_column: str, text_column: str, min_chars: i
         arrays.unionByName(requests)
         .repartition("shard", "salt")
         .sortWithinPartitions("shard", "salt", "kind")
-        .mapInArrow(lambda batches: _probe(batches, min_docs), "doc bigint, h1 bigint, h2 bigint, n_docs bigint")
+        .mapInArrow(lean(lambda batches: _probe(batches, min_docs)), "doc bigint, h1 bigint, h2 bigint, n_docs bigint")
     )
 
 
@@ -243,4 +243,4 @@ def dedup_lines(
     )
     text_at, lost_at = kept.index(text_column), len(kept)
     schema = docs.select(*kept).schema.add(lines_column, "long").add(dropped_column, "long")
-    return joined.mapInArrow(lambda batches: _strip(batches, text_at, lost_at, min_chars, lines_column, dropped_column), schema)
+    return joined.mapInArrow(lean(lambda batches: _strip(batches, text_at, lost_at, min_chars, lines_column, dropped_column)), schema)

@@ -5,15 +5,16 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from array import array
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from prefspark.llm.common import fresh, process_cache, runs, slices
+from prefspark.llm.common import fresh, lean, runs, slices
 from prefspark.llm.components import connected_components
 from prefspark.plans.session import materialize
 
@@ -47,7 +48,7 @@ def shingles(text: str | None, size: int, words_seen: dict[bytes, int]) -> np.nd
 
 
 def _sets(batches: Iterable[pa.RecordBatch], text_at: int, size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    seen = process_cache("shingle_words", dict)
+    seen: dict[bytes, int] = {}
     for batch in slices(batches, "text", 4 << 20):
         yield batch, [shingles(text, size, seen) for text in batch.column(text_at).to_pylist()]
 
@@ -143,10 +144,10 @@ def _regions(batches) -> Iterator[pa.RecordBatch]:
 def rarity_of(texts: DataFrame, size: int) -> Rarity:
     """Count the shingles of all sets; the driver gets 2^BITS bits and 2^LEVELS bytes, whatever the corpus."""
     counted = (
-        texts.mapInArrow(lambda batches: _counted(batches, size), "bucket int, hashes binary")
+        texts.mapInArrow(lean(lambda batches: _counted(batches, size)), "bucket int, hashes binary")
         .repartition("bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(_regions, "bucket int, marks binary, levels binary")
+        .mapInArrow(lean(_regions), "bucket int, marks binary, levels binary")
         .toArrow()
     )
     return Rarity.of({b: (m, v) for b, m, v in zip(*(counted[c].to_pylist() for c in ("bucket", "marks", "levels")))})
@@ -165,7 +166,7 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def merge_skip(lists: list[list[int]], needed: int) -> Iterator[tuple[int, int]]:
+def merge_skip(lists: list[Sequence[int]], needed: int) -> Iterator[tuple[int, int]]:
     """(value, lists that hold it) for values in `needed` or more sorted lists.
 
     A heap has every list's next value. A value popped too seldom takes others with it until `needed` - 1
@@ -231,7 +232,8 @@ def linked_pairs(
     owner = np.repeat(np.arange(len(order)), [len(x) for x in common])
     flat = np.concatenate(common)
     ends = np.cumsum(times[times > 1])
-    postings = [x.tolist() for x in np.split(owner[np.argsort(flat, kind="stable")], ends[:-1])] if len(ends) else []
+    # Compact arrays: a list of numbers would take ten times their room.
+    postings = [array("i", x.tobytes()) for x in np.split(owner[np.argsort(flat, kind="stable")].astype(np.intc), ends[:-1])] if len(ends) else []
     forest, pairs = Forest(len(order)), []
     for place, held in enumerate(common):
         n = sizes[place]
@@ -380,7 +382,7 @@ class JaccardJoin:
         rarity = rarity_of(self.rows.where("doc IS NOT NULL").select("text"), size)
         # Plain arrays: the workers need not have this package.
         shared = context.broadcast((rarity.marks, rarity.levels))
-        scanned = materialize(self.rows.mapInArrow(lambda batches: _scanned(batches, size, percent, shared), _SCANNED), "join-sets")
+        scanned = materialize(self.rows.mapInArrow(lean(lambda batches: _scanned(batches, size, percent, shared)), _SCANNED), "join-sets")
         shared.destroy()
         #: (doc, n, d1, d2) of every row.
         self.described = scanned.where("shingle IS NULL").select("doc", "n", "d1", "d2")
@@ -398,15 +400,15 @@ class JaccardJoin:
         bits, slots = _bitmap(members)
         shared = members.sparkSession.sparkContext.broadcast(bits)
         texts = self.rows.select("doc", "text", F.xxhash64("doc").bitwiseAND(slots - 1).alias("slot")).mapInArrow(
-            lambda batches: _candidates(batches, shared), "doc bigint, text string"
+            lean(lambda batches: _candidates(batches, shared)), "doc bigint, text string"
         )
         found = (
             members.join(texts, members.node == texts.doc)
             .select("node", "d1", "d2", "cells", "text")
-            .mapInArrow(lambda batches: _placed(batches, size), _PLACED)
+            .mapInArrow(lean(lambda batches: _placed(batches, size)), _PLACED)
             .repartition("key", "low", "high")
             .sortWithinPartitions("key", "low", "high")
-            .mapInArrow(lambda batches: _search(batches, percent, spanning), "a bigint, b bigint")
+            .mapInArrow(lean(lambda batches: _search(batches, percent, spanning)), "a bigint, b bigint")
         )
         return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from prefspark.llm.common import process_cache, runs, slices
+from prefspark.llm.common import lean, process_cache, runs, slices
 
 SEPARATOR = 1
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
@@ -250,10 +250,10 @@ def pack_documents(
         "row", F.monotonically_increasing_id()
     )
     grouped = rows.select(F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(groups)).alias("grp"), "row", "doc_id", "text")
-    pieces = grouped.mapInArrow(lambda batches: _tokenized(batches, tokenizer, capacity), _CUT)
+    pieces = grouped.mapInArrow(lean(lambda batches: _tokenized(batches, tokenizer, capacity)), _CUT)
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     return (
         pieces.repartition("grp")
         .sortWithinPartitions("grp")
-        .mapInArrow(lambda batches: _packed(batches, capacity, min_fill, keep_ids), schema + (", ids binary" if keep_ids else ""))
+        .mapInArrow(lean(lambda batches: _packed(batches, capacity, min_fill, keep_ids)), schema + (", ids binary" if keep_ids else ""))
     )

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from prefspark.llm.common import BLANK, slices
+from prefspark.llm.common import BLANK, lean, slices
 from prefspark.plans.session import materialize
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -171,7 +171,7 @@ def document_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in counts.T)], ["doc_id", *COUNTS])
 
     schema = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS)
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(lean(run), schema)
 
 
 def _matrix(rows: list) -> np.ndarray:
@@ -256,7 +256,7 @@ def fit(
     sample = np.concatenate([sample, draw(0, math.ceil(len(sample) * bad_share))])
     model.forest = IsolationForest(model.excess(sample), trees, tree_size, seed)
     good, bad = np.zeros(_BINS + 1), np.zeros(_BINS + 1)
-    for row in labelled.mapInArrow(_bins(model), "good int, bin bigint").groupBy("good", "bin").count().collect():
+    for row in labelled.mapInArrow(lean(_bins(model)), "good int, bin bigint").groupBy("good", "bin").count().collect():
         (good if row.good == 1 else bad)[row.bin] += row["count"]
     model.threshold = best_threshold(good, bad, max_clean_loss, clean_weight) if bad.sum() else 1.0
     return model
@@ -274,7 +274,7 @@ def judge(counts: DataFrame, model: QualityModel) -> DataFrame:
                 [*batch.schema.names, "base_failed", "score", "kept"],
             )
 
-    return counts.mapInArrow(run, counts.schema.simpleString()[7:-1].replace(":", " ") + ", base_failed boolean, score double, kept boolean")
+    return counts.mapInArrow(lean(run), counts.schema.simpleString()[7:-1].replace(":", " ") + ", base_failed boolean, score double, kept boolean")
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -300,4 +300,4 @@ def filter_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
         for batch, counts in _counted(slices(batches, text_column, 16 << 20), text_at):
             yield batch.filter(pa.array(model.keeps(counts)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

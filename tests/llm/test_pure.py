@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from prefspark.llm import chat, hmm, html_extract as H, line_dedup as L, ngram_join as N, packing as P, quality as Q, warc as W
+from prefspark.llm import chat, common as C, hmm, html_extract as H, line_dedup as L, ngram_join as N, packing as P, quality as Q, warc as W
 
 rnd = random.Random(7)
 
@@ -383,3 +383,15 @@ def test_shingles():
     assert [size(x) for x in (None, "", " \n", "a", "a b c", "a b c d", "a b c d e", "A b c D a B c d")] == [0, 0, 0, 1, 1, 1, 2, 4]
     assert (N.shingles("a b", 4, {}) != N.shingles("b a", 4, {})).all()
     assert hashlib.md5(N.shingles("X y z w v", 4, {}).tobytes()).digest() == hashlib.md5(N.shingles("x Y z w v", 4, {}).tobytes()).digest()
+
+
+def test_a_task_gives_its_memory_back_when_it_ends(monkeypatch):
+    """Also a task that is not read to its end or fails."""
+    called = []
+    monkeypatch.setattr(C.ctypes, "CDLL", lambda name: type("Libc", (), {"malloc_trim": staticmethod(called.append)}))
+    assert list(C.lean(lambda batches: (b for b in batches))(iter([1, 2]))) == [1, 2] and called == [0]
+    begun = C.lean(lambda batches: (1 // b for b in batches))(iter([1, 0]))
+    assert next(begun) == 1 and called == [0]
+    with pytest.raises(ZeroDivisionError):
+        next(begun)
+    assert called == [0, 0]
