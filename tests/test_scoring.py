@@ -213,8 +213,7 @@ def test_requests_share_the_scores_of_their_first_item(spark, monkeypatch, long_
 
 def test_vectors_are_sent_to_few_large_cells(spark, monkeypatch):
     """Work for all tasks is all that chunks and blocks are cut for; lists are those of small cells."""
-    u, v, prefs, uf, vf, p, cands = world(spark)
-    asked = spark.createDataFrame([(a, "all") for a in range(30)], "user_id long, label string")
+    monkeypatch.setattr(R, "TILE_SCORES", 1 << 14, raising=False)
     met = spark.sparkContext.accumulator(0)
     make = R._best_of_block
 
@@ -228,12 +227,15 @@ def test_vectors_are_sent_to_few_large_cells(spark, monkeypatch):
         return run
 
     monkeypatch.setattr(R, "_best_of_block", counting)
-    monkeypatch.setattr(R, "CHUNK_REQUESTS", 4)
-    monkeypatch.setattr(R, "TILE_SCORES", 64)
-    got = R.recommend_mf(asked, p, uf, vf, cands, 5, digits=6).collect()
-    assert met.value == 30
-    small = R.recommend_mf(asked, p, uf, vf, cands, 5, digits=6, chunk_requests=3, block_candidates=7).collect()
-    assert sorted(got) == sorted(small) and met.value > 60
+    rng = np.random.default_rng(2)
+    vectors = spark.createDataFrame([(n, [float(a), float(b)]) for n, (a, b) in enumerate(rng.integers(-9, 9, (5000, 2)))], VEC)
+    cands = vectors.select(R.F.lit("all").alias("label"), R.F.col("id").alias("item_id"))
+    requests = vectors.where("id < 20").select(R.F.col("id").alias("request_id"), R.F.lit("all").alias("label"), "features")
+    seen = spark.createDataFrame([(a, b) for a in range(20) for b in range(a, 5000, 3)], "request_id long, item_id long")
+    got = R.top_unseen(requests, seen, vectors, cands, 5, digits=6).collect()
+    assert met.value == 20
+    small = R.top_unseen(requests, seen, vectors, cands, 5, digits=6, chunk_requests=3, block_candidates=700).collect()
+    assert sorted(got) == sorted(small) and len(got) == 100 and met.value == 20 + 8 * 20
 
 
 REQ = "request_id long, user_id long, item_ids array<long>, label string, how_many int"
