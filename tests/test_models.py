@@ -212,6 +212,28 @@ def test_topics_separate_two_vocabularies(spark):
         L.train_topics(docs, weighting="none")
 
 
+def test_topics_are_fitted_in_even_tasks_on_texts_read_once(spark):
+    """A fit's rounds have four tasks a core, however few the files; the training's documents need no second reading."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(len(batch))
+            yield batch
+
+    rows = [(i % 30, f"alpha w{i % 7} W{i % 7} v{i}") for i in range(40)] + [(50, None), (None, "alpha w1")]
+    table = spark.createDataFrame(rows, "item_id long, text string").coalesce(1)
+    model = L.train_topics(table.mapInPandas(counted, table.schema), k=2, iters=2, max_df_sigma=2.0, weighting="tfidf")
+    alone = sorted(((r.item_id, *np.round(r.topics, 9)) for r in L.document_topics(model, table).collect()), key=repr)
+    kept = sorted(((r.item_id, *np.round(r.topics, 9)) for r in L.document_topics(model).collect()), key=repr)
+    assert kept == alone and len(kept) == 32
+    assert reads.value == len(rows)
+    assert L.evenly(model.vectors).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    model.vectors = None
+    with pytest.raises(ValueError):
+        L.document_topics(model)
+
+
 def test_slots_of_the_hashed_space(spark):
     """Collisions are as rare as the width says, and terms that share a slot share its weight by their documents."""
     words = spark.range(20_000).select(F.concat(F.lit("term"), "id").alias("term"))
