@@ -116,6 +116,20 @@ def encoder():
     return P.Encoder(P.tokenizer_path())
 
 
+def test_ids_are_made_without_places_in_the_text():
+    """The encoder asks the tokenizer for ids alone, and gets those of the plain call."""
+    encoder = P.Encoder(P.tokenizer_path())
+    plain = encoder.tokenizer
+
+    class IdsOnly:
+        encode_batch_fast = staticmethod(plain.encode_batch_fast)
+
+    encoder.tokenizer = IdsOnly()
+    texts = ["One two, 3x one's", "", "naïve\xa0two\x1cthree", "日本 one", "<|endoftext|> one", "one two one"]
+    got = [np.frombuffer(ids, np.uint16).tolist() for ids in encoder.encode(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 TEXT = st.text(alphabet=st.one_of(st.characters(max_codepoint=255), st.sampled_from("abcAB'st 1\n.,"), st.sampled_from("́ΣςİΩ한é　 ﬁⅧ‍𝒳")), max_size=40)
 
 
