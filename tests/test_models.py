@@ -87,6 +87,16 @@ def test_training_gate_and_label_models(spark):
         sizes = {r.label: r["count"] for r in items.groupBy("label").count().collect()}
         assert sizes == {"all": 16, "even": 8}
         assert users.where("label = 'even'").count() == 24
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(len(batch))
+            yield batch
+
+    # The ratings are read once for the gate, the numbering and the fit.
+    M.train_all_labels(prefs.mapInPandas(counted, prefs.schema), cands, rank=2, iters=1, implicit=False)
+    assert reads.value == prefs.count()
     none = M.train_all_labels(prefs, cands.where("label = 'few'"), implicit=True)
     assert none[0].count() == none[1].count() == 0
 
@@ -228,7 +238,8 @@ def test_topics_are_fitted_in_even_tasks_on_texts_read_once(spark):
     kept = sorted(((r.item_id, *np.round(r.topics, 9)) for r in L.document_topics(model).collect()), key=repr)
     assert kept == alone and len(kept) == 32
     assert reads.value == len(rows)
-    assert L.evenly(model.vectors).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert L.evenly(model.vectors, 1).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert L.evenly(model.vectors) is model.vectors  # too few to deal
     model.vectors = None
     with pytest.raises(ValueError):
         L.document_topics(model)
