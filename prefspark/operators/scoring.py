@@ -12,7 +12,7 @@ once the longest candidates gave a requester N scores, bands that cannot reach t
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,12 +22,12 @@ from pyspark.ml.stat import Summarizer
 
 from prefspark.functions.columns import dot, l1_norm
 from prefspark.operators.topk import top_n
-from prefspark.plans.session import materialize, tasks
+from prefspark.plans.session import even_tasks, materialize
 
 BlockRescore = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
-#: Requests of a chunk: the first number, up to the second as long as every task has a chunk.
-CHUNK_REQUESTS, LARGE_CHUNK = 1024, 16_384
+#: Requests of a chunk: the first number, up to the second as long as every task has a cell.
+CHUNK_REQUESTS, LARGE_CHUNK = 1024, 65_536
 BLOCK_CANDIDATES = 32_768
 #: Candidates that bounds score first, and scores that a task holds at a time.
 HEAD_CANDIDATES, TILE_SCORES = 4096, 1 << 20
@@ -168,18 +168,20 @@ def band_profile(universe: DataFrame, head_candidates: int, block_candidates: in
 
 
 def deeper_requests(
-    first: DataFrame, requests: DataFrame, profile: DataFrame, how_many: int, digits: int | None = None
+    first: DataFrame, requests: DataFrame, profile: DataFrame, how_many: int, digits: int | None = None,
+    key: Sequence[str] = ("request_id",),
 ) -> DataFrame:
     """Requests that need bands after the head: (request_id, label, least, lo, hi).
 
-    first: (request_id, label, value), the best rows of the head. `least` is the request's N-th best score there, null if it has fewer.
+    first: (request_id, label, value), the best rows of the head. `least` is the N-th best score there of a request's list, which
+    `key` tells from others; null if it has fewer.
     A band is needed unless the request's length times the band's longest vector stays below `least`; some room is
     left for the last bits of a sum and for rounding to `digits`.
     """
     least = (
-        first.groupBy("request_id")
+        first.groupBy(*key)
         .agg(F.sort_array(F.collect_list("value"), asc=False).alias("best"))
-        .select("request_id", F.get("best", F.lit(how_many - 1)).alias("least"))
+        .select(*key, F.get("best", F.lit(how_many - 1)).alias("least"))
     )
     room = 0.0 if digits is None else 10.0**-digits
     reach = F.col("length") * F.col("b.longest")
@@ -188,7 +190,7 @@ def deeper_requests(
     return (
         asking.join(profile, "label")
         .where(F.get("bands", F.size("bands") - 1)["band"] > F.col("head"))
-        .join(least, "request_id", "left")
+        .join(least, list(key), "left")
         .withColumn("b", F.explode(F.filter("bands", lambda b: b["band"] > F.col("head"))))
         .where(needed)
         .groupBy("request_id", "label", "least", (F.col("head") + 1).alias("lo"))
@@ -204,12 +206,16 @@ def _cells(
 
     vectors: (request_id, label, features, least, lo, hi), asked: (request_id, label, lo, hi). A request meets the blocks of
     the bands lo..hi of its label; requests of equal lo and hi share chunks. Without `chunk_requests` they are as large as
-    leaves every task a chunk, within bounds.
+    leaves every task a cell, within bounds: a number of cells that does not grow sends a vector to as many as before.
+    A row of `seen` holds for all labels of its request.
     """
     counted = asked.groupBy("label", "lo", "hi").agg(F.count("*").alias("n"))
     if chunk_requests is None:
         # One row per label and bands.
-        each = F.sum("n").over(Window.partitionBy(F.lit(0))) / tasks(asked.sparkSession)
+        met = F.filter("bands", lambda b: b["band"].between(F.col("lo"), F.col("hi")))
+        cells = F.col("n") * F.aggregate(met, F.lit(0).cast("long"), lambda total, b: total + b["blocks"])
+        counted = counted.join(profile.select("label", "bands"), "label").withColumn("cells", cells)
+        each = F.sum("cells").over(Window.partitionBy(F.lit(0))) / even_tasks(asked.sparkSession)
         counted = counted.withColumn("size", F.least(F.lit(LARGE_CHUNK), F.greatest(F.lit(CHUNK_REQUESTS), each)))
     else:
         counted = counted.withColumn("size", F.lit(chunk_requests))
@@ -232,16 +238,16 @@ def _cells(
         .withColumn("seen_item", none.cast("long"))
         .select(*left)
     )
-    # A seen item goes to the one cell of its request and its own block.
+    # A seen item goes to the one cell of its request and its own block. Items first: what is no candidate goes no further.
     marks = (
         seen.select("request_id", "item_id")
-        .join(placed.select("item_id").distinct(), "item_id", "left_semi")
-        .distinct()
-        .join(asked.join(chunks, ["label", "lo", "hi"]), "request_id")
-        .join(placed.drop("features"), ["label", "item_id"])
+        .join(placed.drop("features"), "item_id")
+        .join(asked.join(chunks, ["label", "lo", "hi"]), ["request_id", "label"])
         .where(F.col("band").between(F.col("lo"), F.col("hi")))
+        .select("label", "hi", chunk, "band", "block", "request_id", "item_id")
+        .distinct()
         .select(
-            "label", "hi", chunk, "band", "block", "request_id", none.cast("array<double>").alias("features"),
+            *cell, "request_id", none.cast("array<double>").alias("features"),
             none.cast("double").alias("least"), F.col("item_id").alias("seen_item"),
         )
     )
@@ -289,10 +295,12 @@ def top_unseen(
     block_candidates: int = BLOCK_CANDIDATES,
     bounds: bool = False,
     head_candidates: int = HEAD_CANDIDATES,
+    key: Sequence[str] = ("request_id",),
 ) -> DataFrame:
     """Best `how_many` candidates of the request's label by vector product, seen ones left out.
 
-    requests: (request_id, label, features); seen: (request_id, item_id). `asked` is the requests'
+    requests: (request_id, label, features); seen: (request_id, item_id). A list is told from others by `key`; with the label in it
+    an id may ask for several labels, a list for each. `asked` is the requests'
     (request_id, label) where that is cheaper to get than the vectors; it may hold more. Items without a vector are
     no candidates or, with `missing_as_zero`, score 0. With `digits` scores are rounded before they are ranked, so that the order does
     not hang on the last bits of a sum. `rescore` is called inside the block with numpy arrays, the item ids
@@ -330,13 +338,13 @@ def top_unseen(
             vectors.join(to_head, "label"), asked.join(to_head, "label"), seen, universe, profile, best, chunk_requests
         )
         if not profile.where(F.get("bands", F.size("bands") - 1)["band"] > F.col("head")).isEmpty():
-            first = top_n(scored, "request_id", how_many).select("label", "request_id", "item_id", "value")
+            first = top_n(scored, key, how_many).select("label", "request_id", "item_id", "value")
             first = materialize(first, "head-scores")
-            deeper = materialize(deeper_requests(first, requests, profile, how_many, digits), "deeper")
+            deeper = materialize(deeper_requests(first, requests, profile, how_many, digits, key), "deeper")
             vectors = requests.select("request_id", "label", "features").join(deeper, ["request_id", "label"])
             rest = _cells(vectors, deeper.drop("least"), seen, universe, profile, best, chunk_requests)
             scored = first.unionByName(rest)
-    return top_n(scored, "request_id", how_many).select(
+    return top_n(scored, key, how_many).select(
         "label", "request_id", "rank", "item_id", "value"
     )
 
@@ -358,28 +366,17 @@ def recommend_mf(
     without a vector gets no rows.
     """
     asked = users.select("user_id", "label").distinct()
-    # One request per user and label.
-    request = F.concat_ws(":", F.col("user_id").cast("string"), F.col("label"))
     rated = prefs.select("item_id").distinct()
     universe = cands.join(rated, "item_id", "left_semi")
     vectors = user_factors.select(F.col("id").alias("user_id"), "features")
-    requests = asked.join(vectors, "user_id").withColumn("request_id", request)
-    history = (prefs if seen is None else seen).select("user_id", "item_id")
-    # Only items of the asked label can be in its list.
-    excluded = (
-        history.join(universe.select("label", "item_id").distinct(), "item_id")
-        .join(asked, ["user_id", "label"])
-        .select(request.alias("request_id"), "item_id")
-    )
+    requests = asked.join(vectors, "user_id").withColumnRenamed("user_id", "request_id")
+    history = (prefs if seen is None else seen).select(F.col("user_id").alias("request_id"), "item_id")
     known = requests.select("request_id", "label")
-    top = top_unseen(requests, excluded, item_factors, universe, how_many, known, **options)
-    return top.select(
-        "label",
-        F.substring_index("request_id", ":", 1).cast("long").alias("user_id"),
-        "rank",
-        "item_id",
-        "value",
+    # A user's request for one label is a list of its own.
+    top = top_unseen(
+        requests, history, item_factors, universe, how_many, known, key=["request_id", "label"], **options
     )
+    return top.select("label", F.col("request_id").cast("long").alias("user_id"), "rank", "item_id", "value")
 
 
 def _known(item_sets: DataFrame, item_factors: DataFrame) -> DataFrame:

@@ -108,6 +108,32 @@ def test_lengths_without_a_number_come_first(spark):
     assert got == {0: (5.0, -10), 1: (0.0, 200), 2: worst, 3: worst, 4: (0.0, 200), 5: (0.0, 200), 6: worst}
 
 
+def test_cells_do_not_outgrow_the_tasks(spark, monkeypatch):
+    """Chunks grow with the blocks they meet, and a user's history is one for all labels asked for."""
+    monkeypatch.setattr(R, "CHUNK_REQUESTS", 1)
+    requests = spark.range(400).select(
+        R.F.col("id").alias("request_id"), R.F.explode(R.F.array(R.F.lit("a"), R.F.lit("b"))).alias("label"),
+        R.F.array(R.F.lit(1.0)).alias("features"), R.F.lit(None).cast("double").alias("least"), R.F.lit(0).alias("lo"), R.F.lit(0).alias("hi"),
+    )
+    universe = spark.range(64).select(
+        R.F.lit("a").alias("label"), R.F.col("id").alias("item_id"), R.F.array(R.F.lit(1.0)).alias("features"),
+        R.F.lit(0.0).alias("length"), R.F.lit(0).alias("band"),
+    )
+    universe = universe.unionByName(universe.withColumn("label", R.F.lit("b")).where("item_id < 8"))
+    # Item 70 is no candidate, request 900 asks for nothing, and a row comes twice.
+    seen = spark.createDataFrame([(5, 3), (5, 3), (6, 50), (5, 70), (900, 3)], "request_id long, item_id long")
+
+    def sizes(key, left, block):
+        marks = left["seen_item"].notna()
+        return pd.DataFrame({"label": [key[0]], "request_id": [int((~marks).sum())], "item_id": [int(marks.sum())], "value": [float(len(block))]})
+
+    asked = requests.select("request_id", "label", "lo", "hi")
+    cells = R._cells(requests, asked, seen, universe, R.band_profile(universe, 1, 8), sizes, None).collect()
+    met = sum(r.request_id * r.value for r in cells if r.value)
+    assert met == 400 * (64 + 8)
+    assert len(cells) <= 2 * R.even_tasks(spark) and sum(r.item_id for r in cells) == 3
+
+
 def test_given_items_replace_the_history(spark):
     u, v, prefs, uf, vf, p, cands = world(spark)
     asked = spark.createDataFrame([(0, "all")], "user_id long, label string")
