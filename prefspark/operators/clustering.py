@@ -116,13 +116,22 @@ def _manhattan(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.stack([np.abs(points - c).sum(axis=1) for c in centers], axis=1)
 
 
+def _dense(rows: pd.DataFrame, dims: int) -> np.ndarray:
+    """Sketches as rows of a matrix."""
+    out = np.zeros((len(rows), dims))
+    at = np.repeat(np.arange(len(rows)), rows["slots"].map(len))
+    out[at, np.concatenate(rows["slots"].to_numpy())] = np.concatenate(rows["sums"].to_numpy())
+    return out
+
+
 def _sketch_pass(k: int, cutoff: float, dims: int):
+    """Over sketches, or over centroids, which are written in full."""
     def run(batches):
         found = _Centroids(k, cutoff, dims)
         for batch in batches:
             for start in range(0, len(batch), BATCH):
                 some = batch.iloc[start : start + BATCH]
-                found.extend(np.stack(some["v"].to_numpy()), some["weight"].to_numpy(), some["draw"].to_numpy())
+                found.extend(np.stack(some["v"].to_numpy()) if "v" in some else _dense(some, dims), some["weight"].to_numpy(), some["draw"].to_numpy())
         if found.n:
             yield pd.DataFrame({"v": list(found.vectors[: found.n]), "weight": found.weights[: found.n]})
 
@@ -153,18 +162,12 @@ def _draw(seed: int, *columns: str):
 
 
 def sketch_vectors(vectors: DataFrame, dims: int = SKETCH_DIMS) -> DataFrame:
-    """(item_id, v): the vector with its dimensions hashed into `dims` sums."""
+    """(item_id, slots, sums): the vector with its dimensions hashed into `dims` sums, and the numbers of those that have one."""
     hashed = vectors.groupBy("item_id", F.pmod(F.xxhash64("dim"), F.lit(dims)).cast("int").alias("b")).agg(
-        F.sum("value").alias("x")
-    )
-    cells = hashed.groupBy("item_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("b", "x"))).alias("cells")
-    )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda b: F.coalesce(F.try_element_at("cells", b), F.lit(0.0)),
+        F.coalesce(F.sum("value"), F.lit(0.0)).alias("x")
     )
-    return cells.select("item_id", dense.alias("v"))
+    cells = hashed.groupBy("item_id").agg(F.collect_list(F.struct("b", "x")).alias("cells"))
+    return cells.select("item_id", F.col("cells.b").alias("slots"), F.col("cells.x").alias("sums"))
 
 
 def fit_streaming_kmeans(
@@ -189,7 +192,7 @@ def fit_streaming_kmeans(
     parts = max(1, math.ceil(sketches.count() / rows_per_part))
     # Placed and ordered by hash: the same input gives the same centroids.
     points = (
-        sketches.select("v", F.lit(1.0).alias("weight"), _draw(seed, "item_id").alias("draw"), "item_id")
+        sketches.select("slots", "sums", F.lit(1.0).alias("weight"), _draw(seed, "item_id").alias("draw"), "item_id")
         .repartition(parts, "item_id")
         .sortWithinPartitions(F.xxhash64("item_id"), "item_id")
     )
@@ -211,7 +214,7 @@ def fit_streaming_kmeans(
     def assign(batches):
         for batch in batches:
             if len(batch):
-                distance = _manhattan(np.stack(batch["v"].to_numpy()), centers)
+                distance = _manhattan(_dense(batch, sketch_dims), centers)
                 yield pd.DataFrame({"item_id": batch["item_id"], "centroid_id": distance.argmin(axis=1)})
 
     assignment = sketches.mapInPandas(assign, "item_id long, centroid_id long")

@@ -89,5 +89,6 @@ def infer_topics(spark, d):
 
 @query("fit_streaming_kmeans")
 def fit_streaming_kmeans(spark, d):
-    vectors = K.item_user_vectors(V.prefs_o(spark, d), 40)
+    # Written once: every pass reads them.
+    vectors = materialize(K.item_user_vectors(V.prefs_o(spark, d), 40), "vectors")
     return K.fit_streaming_kmeans(vectors, k=12, cutoff=20.0)[0]

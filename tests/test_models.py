@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from prefspark.operators import clustering as K, factors as M, preferences as P, splits as S, text as X, topics as L, tuning as T
 from prefspark.schemas import CENTROIDS
 from prefspark.sources import sinks
@@ -297,6 +298,32 @@ def test_streaming_kmeans_finds_the_groups(spark):
     assert centroids.columns == CENTROIDS.fieldNames()
 
 
+def test_sketches_hold_only_slots_in_use(spark):
+    """Sums by hashed dimension, a null counts nothing; as a matrix every other slot is 0."""
+    data = [(1, 5, 1.0), (1, 6, 2.0), (1, 7, None), (2, 5, 0.5), (2, 900, 3.0), (3, 8, None)]
+    vectors = spark.createDataFrame(data, "item_id long, dim long, value double")
+    slot = {r.dim: r.b for r in vectors.select("dim", F.pmod(F.xxhash64("dim"), F.lit(3)).alias("b")).collect()}
+    got = K.sketch_vectors(vectors, 3).toPandas().sort_values("item_id")
+    expected = np.zeros((3, 3))
+    for item, dim, value in data:
+        expected[item - 1, slot[dim]] += value or 0.0
+    assert (K._dense(got, 3) == expected).all()
+    assert [len(x) for x in got["slots"]] == [len({slot[d] for i, d, _ in data if i == item}) for item in (1, 2, 3)]
+
+
+def test_kmeans_query_writes_its_vectors_once(spark, tmp_path, monkeypatch):
+    """The passes read written vectors, not the tables they come from."""
+    spark.range(3).selectExpr("id AS o_orderkey", "id AS o_custkey", "timestamp '2024-01-01' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = spark.range(150).selectExpr("id % 3 AS l_orderkey", "id DIV 3 AS l_partkey", "1.0D AS l_quantity")
+    lines.where("l_orderkey > 0 OR l_partkey < 40").write.parquet(f"{tmp_path}/lineitem.parquet")
+    read = []
+    monkeypatch.setattr(K, "fit_streaming_kmeans", lambda vectors, **k: read.append(vectors) or (vectors, None))
+    got = entry.queries()["fit_streaming_kmeans"](spark, str(tmp_path))
+    # User 0 has no more than 40 items.
+    assert got.count() == 100 and {r.dim for r in got.collect()} == {1, 2}
+    assert read and not any("lineitem" in f or "orders" in f for f in read[0].inputFiles())
+
+
 def test_clusters_are_a_function_of_the_vectors(spark):
     """Session settings and the order of rows change nothing, every item is at its nearest centroid, k are found."""
     data = [(i, 50 * (i % 8) + u, 1.0) for i in range(160) for u in range(12) if (i * 7 + u) % 5]
