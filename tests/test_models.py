@@ -76,6 +76,23 @@ def test_implicit_als_separates_the_groups(spark):
     assert same > other + 0.5
 
 
+def test_fits_share_written_ratings(spark, rows, monkeypatch):
+    """The solver reads numbered ratings from files, and fits of one table number it once."""
+    prefs, read = block_prefs(spark), []
+    fit = M.fit_numbered
+    monkeypatch.setattr(M, "fit_numbered", lambda ratings, *a: read.append(ratings.inputFiles()) or fit(ratings, *a))
+    alone = M.train_als_explicit(prefs, rank=2, iters=2)
+    numbered = M.number_ratings(prefs)
+    monkeypatch.setattr(M, "number_ratings", None)
+    shared = M.train_als_explicit(prefs, rank=2, iters=2, numbered=numbered)
+    M.train_als_implicit(prefs, rank=2, iters=2, numbered=numbered)
+    assert all(files and all("ratings-" in f for f in files) for files in read)
+    assert read[1] == read[2] and numbered[2].count() == prefs.count()
+    for a, b in zip(alone, shared):
+        assert [r[0] for r in rows(a)] == [r[0] for r in rows(b)]
+        assert np.allclose([r[1] for r in rows(a)], [r[1] for r in rows(b)], atol=1e-4)
+
+
 def test_training_gate_and_label_models(spark):
     prefs = block_prefs(spark)
     cands = spark.createDataFrame(
