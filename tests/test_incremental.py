@@ -135,6 +135,25 @@ def test_delta_leads_from_count_to_count(spark, chunk_items, label):
     assert merged.exceptAll(want).isEmpty() and want.exceptAll(merged).isEmpty()
 
 
+@pytest.mark.parametrize("chunk_items", [2, 512])
+def test_packed_counts_and_deltas_merge_to_the_same(spark, chunk_items):
+    """A pair that changed twice, a rating without a value, and users who come and go; a basket's pair is dealt once."""
+    schema = "user_id long, item_id long, preference float"
+    old = {(u, i): float(u + i) for u in range(5) for i in range(7)} | {(0, 10): None}
+    new = {k: v + 1 if v and sum(k) % 3 == 0 else v for k, v in old.items() if sum(k) % 5 != 4} | {(7, i): 1.0 for i in range(3)}
+    before, after = (spark.createDataFrame(prefs_of(s), schema) for s in (old, new))
+    changes = D.preference_changes(before, after)
+    delta = D.pair_statistics_delta(before, changes, chunk_items, packed=True)
+    merged = D.merge_pair_statistics(S.pair_statistics(before, packed=True).materialize("pairs"), delta)
+    plain = D.merge_pair_statistics(S.pair_statistics(before), D.pair_statistics_delta(before, changes, chunk_items))
+    want = S.pair_statistics(after).select(*merged.columns)
+    for got in (merged, plain):
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    made = sum(r.n for r in delta.rows.coalesce(1).collect())
+    pairs = {(u, i, j) for s in (old, new) for u, i in s for w, j in s if u == w and i < j}
+    assert made <= len(pairs)
+
+
 def test_delta_of_one_rating_makes_its_own_pairs_only(spark):
     schema = "user_id long, item_id long, preference float"
     before = spark.createDataFrame([(u, i, 1.0) for u in range(3) for i in range(50)], schema)

@@ -273,3 +273,30 @@ def test_neighbours_travel_as_arrays_of_ids(spark, rows):
         found = I.similar_candidates(None, prefs, sims, heavy)
         assert rows(found) == sorted([(1, 5), (2, 4), (2, None)], key=repr)
     assert "array_except" in found._jdf.queryExecution().toString()
+
+
+def test_sums_of_single_ratings_cost_little(spark, rows):
+    """Products are told from the ratings they are made of; nulls, labels and odd numbers come back as they were."""
+    data = [(i % 997, i // 997 + 1000, 1, float(i % 50) * (i % 7), float(i % 50), float(i % 7), float(i % 50) ** 2, float(i % 7) ** 2) for i in range(60_000)]
+    schema = "i long, j long, both long, sxy double, sx double, sy double, sxx double, syy double"
+    packed = Q.packed_sums(spark.createDataFrame(data, schema).coalesce(1), ["i", "j"], buckets=256)
+    assert packed.rows.agg(F.sum(F.length("packed"))).first()[0] < len(data) * 8
+    assert sorted(map(tuple, packed.materialize("sums").sums().collect())) == sorted(data)
+    odd = [("a", 1, 2, 0, 1e-300, 3.5, None, 0.0, float("inf")), ("b", -5, 2, -1, -2.0, 1e300, 2.5, 1e300, 0.1), (None, None, 2, 2, None, 0.0, -0.0, 1.0, 2.0)]
+    df = spark.createDataFrame(odd * 3, "label string, " + schema)
+    want = df.groupBy("label", "i", "j").agg(*(F.sum(c).alias(c) for c in df.columns[3:]))
+    assert rows(Q.pair_sums(df, ["label", "i", "j"])) == rows(want)
+
+
+def test_pairs_are_made_in_parts(spark, monkeypatch):
+    """Null ratings count and are left out of sums; an item rated twice is no pair with itself."""
+    monkeypatch.setattr(Q, "MADE", 3)
+    data = [(u, i, None if (u + i) % 5 == 0 else float(u + i)) for u in range(4) for i in range(6)] + [(0, 3, 2.0), (0, None, 1.0)]
+    df = spark.createDataFrame(data, PREFS)
+    a, b = (df.select("user_id", F.col("item_id").alias(n), F.col("preference").cast("double").alias(v)) for n, v in (("i", "x"), ("j", "y")))
+    x, y = F.col("x"), F.col("y")
+    want = a.join(b, "user_id").where("i < j").groupBy("i", "j").agg(
+        F.count("*").alias("both"), F.sum(x * y).alias("sxy"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"))
+    for chunk_items in (512, 4):
+        got = S.pair_statistics(df.where("item_id is not null") if chunk_items < 7 else df, chunk_items)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
