@@ -300,3 +300,28 @@ def test_pairs_are_made_in_parts(spark, monkeypatch):
     for chunk_items in (512, 4):
         got = S.pair_statistics(df.where("item_id is not null") if chunk_items < 7 else df, chunk_items)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("held_votes", [1, 40, 1_000_000])
+def test_votes_are_summed_without_rows(spark, monkeypatch, held_votes):
+    """Users come whole whatever a task holds; a vote without a similarity bars its item, one without a rating counts below alone."""
+    monkeypatch.setattr(I, "HELD_VOTES", held_votes)
+    rng = random.Random(7)
+    prefs = [(u, i, None if rng.random() < 0.1 else float(rng.randint(1, 5))) for u in (*range(15), None) for i in range(12) if rng.random() < 0.4]
+    sims = [(i, j, None if rng.random() < 0.05 else rng.choice((0.0, 0.25, 0.5))) for i in range(12) for j in range(14) if i != j and rng.random() < 0.5]
+    got = I.recommend_itembased(
+        None, spark.createDataFrame(prefs, PREFS), spark.createDataFrame(sims, "item_id long, similar_item_id long, similarity double"), how_many=3, digits=6
+    )
+    assert "inline(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    for user in (*range(15), None):
+        own = {i: r for u, i, r in prefs if u == user}
+        scored = []
+        for j in {j for i, j, _ in sims if i in own} - own.keys():
+            votes = [(s, own[i]) for i, k, s in sims if k == j and i in own]
+            known = [(s, r) for s, r in votes if s is not None]
+            rated = [s * r for s, r in known if r is not None]
+            if len(known) == len(votes) and rated and sum(s for s, _ in known):
+                scored.append((-round(sum(rated) / sum(s for s, _ in known), 6), j))
+        want += [(user, rank, j, -v) for rank, (v, j) in enumerate(sorted(scored)[:3], 1)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
