@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from prefspark.operators.clustering import recommend_cluster_weight
 from prefspark.operators.itembased import recommend_items_for_items, recommend_itembased
-from prefspark.operators.scoring import recommend_anonymous_mf, recommend_mf
+from prefspark.operators.scoring import handed_out, recommend_anonymous_mf, recommend_mf, shared_lists
 from prefspark.operators.topics import recommend_topics
 from prefspark.plans.session import materialize
 from prefspark.schemas import DEFAULT_HOW_MANY
@@ -133,8 +133,17 @@ def _itembased(by_user, by_items, prefs, sims, cands, n, options):
 
 
 def _factorization(by_user, by_items, prefs, user_factors, item_factors, cands, n, options):
+    """A user's requests for one label share a list, unless their given items leave out different candidates."""
     columns = ["request_id", "rank", "item_id", "value"]
-    given = _item_rows(by_user.where(F.col("path") == "user_items"))
+    rows = _item_rows(by_user.where(F.col("path") == "user_items"))
+    if not options.get("missing_as_zero"):
+        ids = item_factors.select(F.col("id").alias("item_id")).distinct()
+        rows = rows.join(cands.select("label", "item_id").distinct().join(ids, "item_id", "left_semi"), ["label", "item_id"], "left_semi")
+    left_out = rows.groupBy("request_id", "label").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    asked = by_user.select("request_id", "user_id", "label", "path").join(left_out, ["request_id", "label"], "left")
+    members = shared_lists(asked, ["user_id", "label", "path", "items"])
+    by_user = members.where("request_id = list_id")
+    given = by_user.select("request_id", "label", F.explode("items").alias("item_id"))
     history = (
         by_user.where(F.col("path") == "user")
         .select("request_id", "user_id")
@@ -153,13 +162,15 @@ def _factorization(by_user, by_items, prefs, user_factors, item_factors, cands,
         n,
         seen=seen.select(F.col("request_id").alias("user_id"), "item_id"),
         **options,
-    ).withColumnRenamed("user_id", "request_id")
+    )
+    users = handed_out(users.select(F.col("user_id").alias("request_id"), *columns[1:]), members)
     items = recommend_anonymous_mf(
         _item_rows(by_items).select("request_id", "label", "item_id"),
         item_factors,
         prefs,
         cands,
         n,
+        share=True,
         **options,
     )
     return users.select(*columns).unionByName(items.select(*columns))

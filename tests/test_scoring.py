@@ -345,3 +345,40 @@ def test_dispatch_clusters_and_topics(spark):
     got = recommend("lda", requests, cands, topics=topics).collect()
     # request 1 starts with item 2: item 1 is among the given ones, so nothing is left
     assert [(r.request_id, r.item_id) for r in got] == [(2, None)]
+
+
+def test_equal_requests_are_scored_once(spark, monkeypatch):
+    """Lists of the same known items, and a user's requests for one label, are one list; what differs stays apart."""
+    asked = []
+    real = R.top_unseen
+
+    def spy(requests, *args, **options):
+        asked.append(requests.count())
+        return real(requests, *args, **options)
+
+    monkeypatch.setattr(R, "top_unseen", spy)
+    rng = np.random.default_rng(5)
+    v = {i: rng.normal(size=3) for i in range(6)}
+    factors = spark.createDataFrame([(i, x.tolist()) for i, x in v.items()], "id long, features array<double>")
+    cands = spark.createDataFrame([(label, i) for label in "ab" for i in range(8)], "label string, item_id long")
+    prefs = spark.createDataFrame([(u, i, 1.0) for u in (1, 2) for i in (u, 7)] + [(9, i, 1.0) for i in range(8)], PREFS)
+    lists = {1: ("a", [0, 7]), 2: ("a", [0]), 3: ("a", [0, 1]), 4: ("b", [0]), 5: ("a", [7]), 6: ("a", [1, 0, 0, 99])}
+    sets = spark.createDataFrame([(r, label, i) for r, (label, items) in lists.items() for i in items], "request_id long, label string, item_id long")
+    got = {}
+    for r in R.recommend_anonymous_mf(sets, factors, prefs, cands, 3, share=True).collect():
+        got.setdefault(r.request_id, {})[r["rank"]] = (r.label, r.item_id, r.value)
+    want = lambda u, seen: sorted((i for i in v if i not in seen), key=lambda i: -(u @ v[i]))[:3]
+    assert asked == [3] and sorted(got) == [1, 2, 3, 4, 6]
+    for r, places in got.items():
+        known = {i for i in lists[r][1] if i in v}
+        u = sum(v[i] for i in known)
+        assert [places[n][1] for n in (1, 2, 3)] == want(u, known) and {x[0] for x in places.values()} == {lists[r][0]}
+    asked.clear()
+    requests = [(1, 1, None, "a", 3), (2, 1, None, "a", 2), (3, 2, None, "a", 3), (4, 1, [2], "a", 3), (5, 1, [2, 7, 99], "a", 3), (6, 1, [98], "a", 3), (7, 1, None, "b", 3)]
+    found = {}
+    answers = recommend("factorization", spark.createDataFrame(requests, REQ), cands, prefs, user_factors=factors, item_factors=factors)
+    for r in answers.orderBy("rank").collect():
+        found.setdefault(r.request_id, []).append(r.item_id)
+    assert asked[0] == 5  # 1 and 2, 3, 4 and 5, 6, 7
+    seen = {1: {1}, 2: {1}, 3: {2}, 4: {2}, 5: {2}, 6: set(), 7: {1}}
+    assert found == {r: want(v[u], seen[r])[: n] for r, u, _, _, n in requests}
